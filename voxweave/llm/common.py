@@ -53,9 +53,3 @@ def col(name: str) -> Column:
     """A top-level column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
-
-def word_count(text: Column) -> Column:
-    """Words of a text as a long; a null text has none."""
-    bare = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"[{BLANKS}]+", " "))
-    words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-    return F.when(F.length(bare) == 0, 0).otherwise(words).cast("long")

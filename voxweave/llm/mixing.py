@@ -20,10 +20,13 @@ those named like a new column, which are replaced.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import col, word_count
+from .common import col
+from .tokens import pieces, word_spans
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -32,6 +35,13 @@ SALTS = 16
 FINENESS = 4
 
 
+@F.arrow_udf("long")
+def word_count(texts: pa.Array) -> pa.Array:
+    """Words of each text; a null text has none."""
+    counts = [word_spans(data, offsets)[2] for _, _, data, offsets in pieces(texts)]
+    return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(source, source_size) to (source, source_size, target).
 

@@ -50,10 +50,9 @@ def mask(rules: tuple[str, ...]) -> int:
 
 def _repeat_words() -> list[tuple[str, Column]]:
     """Steps that count the words covered by repeated 3-word windows; `words` exists."""
-    windows = F.zip_with(
-        F.zip_with(F.slice("words", 1, F.size("words") - 2), F.slice("words", 2, F.size("words") - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        F.slice("words", 3, F.size("words") - 2),
-        lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size("words") - 3),
+        lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)),
     )
     hashes = F.when(F.size("words") >= 3, windows).otherwise(F.array().cast("array<bigint>"))
     repeats = F.size("hashes") > F.size(F.array_distinct("hashes"))
