@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP10_SQL, op10_chat_format
+from .decontam import op7_decontamination
 from .minhash import op8_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .quality import OP4_SQL, op4_quality
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
     "op10_chat_format": op10_chat_format,
 }
