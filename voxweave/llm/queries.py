@@ -8,11 +8,13 @@ from .minhash import op8_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .quality import OP4_SQL, op4_quality
 from .sharding import op1_sharding
+from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
     "op10_chat_format": op10_chat_format,
@@ -21,5 +23,6 @@ QUERIES = {
 ORACLES = {
     "op3_mixing": OP3_SQL,
     "op4_quality": OP4_SQL,
+    "op6_warc": OP6_SQL,
     "op10_chat_format": OP10_SQL,
 }
