@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP10_SQL, op10_chat_format
 from .decontam import op7_decontamination
+from .lm import op9_lm_score
 from .minhash import op8_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .quality import OP4_SQL, op4_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
+    "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
 }
 
