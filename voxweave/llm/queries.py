@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP10_SQL, op10_chat_format
 from .decontam import op7_decontamination
+from .licences import op5_license_scan
 from .lm import op9_lm_score
 from .minhash import op8_minhash
 from .mixing import OP3_SQL, op3_mixing
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
+    "op5_license_scan": op5_license_scan,
     "op6_warc": op6_warc,
     "op7_decontamination": op7_decontamination,
     "op8_minhash": op8_minhash,
