@@ -9,11 +9,13 @@ from .lm import op9_lm_score
 from .minhash import op8_minhash
 from .mixing import OP3_SQL, op3_mixing
 from .quality import OP4_SQL, op4_quality
+from .repeats import op2_repeats
 from .sharding import op1_sharding
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_repeats": op2_repeats,
     "op3_mixing": op3_mixing,
     "op4_quality": op4_quality,
     "op5_license_scan": op5_license_scan,

@@ -55,15 +55,16 @@ def permute(x: Column, rows: Column, seed: int) -> Column:
     return walked
 
 
-def assign_shards(df: DataFrame, shards: int, keys: list[str], seed: int = 0) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int, keys: list[str | Column], seed: int = 0) -> DataFrame:
     """df with shard (int), slot (long) and row_number (long); keys order the rows."""
     if shards < 1:
         raise ValueError("shards must be positive")
     new = {"shard", "slot", "row_number"}
     kept = [c for c in df.columns if c.lower() not in new]
+    order = [col(k) if isinstance(k, str) else k for k in keys]
     # the caller's columns travel in one struct, so no name of theirs can clash
-    spread = F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(BINS)).cast("int")
-    rows = df.select(F.struct(*[col(c) for c in kept]).alias("row"), F.struct(*[col(k) for k in keys]).alias("key"), spread.alias("bin"))
+    spread = F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(BINS)).cast("int")
+    rows = df.select(F.struct(*[col(c) for c in kept]).alias("row"), F.struct(*order).alias("key"), spread.alias("bin"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
