@@ -14,6 +14,11 @@
    components are paired, confirmed and linked. So a group of n near copies costs
    about n pairs, yet every pair that agrees in enough coordinates is either
    linked through others or compared.
+5. A list of more than LONG classes in different components comes from a passage that many
+   texts share. Its classes are posted again, under the rarest shingles of their full
+   sets: two sets at the threshold share one of the first n - ceil(0.8 n) + 1 in any
+   common order, so a shared passage that is not nearly the whole text pairs nobody. This
+   is exact, and replaces the pairs of those lists.
 
 A pair at the threshold of 0.8 agrees in fewer than MATCHES coordinates with
 probability 3e-7 (binomial with 48 coordinates); nothing else is approximate, save for
@@ -43,6 +48,8 @@ from .tokens import U64, mix64, pieces, shingles, word_hashes
 COORDS = 48
 MATCHES = 24
 PREFIX = COORDS - MATCHES + 1
+#: Lists up to this length are paired directly.
+LONG = 16
 #: A link needs 100 * common >= THRESHOLD * union.
 THRESHOLD = 80
 
@@ -123,6 +130,43 @@ def _confirm(width: int, threshold: int):
     return run
 
 
+def _grams(width: int):
+    """Exploded shingle sets: (set_key, label, size, gram)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, grams in enumerate(_sets(batch.column(2), width)):
+                keys, labels = (batch.column(k).take(pa.array(np.full(len(grams), i))) for k in (0, 1))
+                size = pa.array(np.full(len(grams), len(grams)), pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, labels, size, pa.array(grams.view(np.int64), pa.int64())], names=["set_key", "label", "size", "gram"])
+
+    return run
+
+
+def _rare_posts(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(gram, set_key, label): nodes posted under the rarest shingles of their sets."""
+    texts = nodes.join(bodies, "set_key").select("set_key", "label", "text")
+    grams = cut(texts.mapInArrow(_grams(width), "set_key binary, label binary, size long, gram long"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    mine = Window.partitionBy("set_key")
+    # shingles of one text only come first in the order
+    place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "gram"))
+    prefix = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1
+    return grams.join(often, "gram").withColumn("place", place).where(F.col("place") <= prefix).select("gram", "set_key", "label")
+
+
+def _apart(posts: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs (a, b) of one list and different components; those of one component never meet."""
+    found = posts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    several = posts.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
+    kinds = found.join(several, keys)
+    other = kinds.withColumnRenamed("label", "label_b")
+    met = kinds.withColumnRenamed("label", "label_a").join(other, keys).where("label_a < label_b")
+    a = posts.withColumnRenamed("label", "label_a").withColumnRenamed("set_key", "a")
+    b = posts.withColumnRenamed("label", "label_b").withColumnRenamed("set_key", "b")
+    return met.join(a, [*keys, "label_a"]).join(b, [*keys, "label_b"]).select("a", "b")
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough and whose sizes allow the threshold."""
     side = lambda x: classes.select(F.col("set_key").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -175,12 +219,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
 
     label = F.coalesce("label", "set_key").alias("label")
     tagged = cut(lists.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left").select("at", "value", "set_key", label))
-    met = tagged.groupBy("at", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = met.groupBy("at", "value").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-    open_lists = tagged.join(several, ["at", "value"])
-    left = open_lists.select("at", "value", F.col("set_key").alias("a"), F.col("label").alias("label_a"))
-    right = open_lists.select("at", "value", F.col("set_key").alias("b"), F.col("label").alias("label_b"))
-    apart = left.join(right, ["at", "value"]).where("label_a <> label_b AND a < b").select("a", "b").distinct()
+    per_list = tagged.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    open_lists = cut(tagged.join(per_list.where("lo <> hi").select("at", "value", "n"), ["at", "value"]))
+    short = open_lists.where(F.col("n") <= LONG).select("at", "value", "set_key", "label")
+    crowded = open_lists.where(F.col("n") > LONG).select("set_key", "label").distinct()
+    apart = _apart(short, ["at", "value"]).unionByName(_apart(_rare_posts(crowded, bodies, width, threshold), ["gram"])).distinct()
     more = cut(confirmed(apart))
     groups = components(links.unionByName(more))
 

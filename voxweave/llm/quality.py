@@ -30,7 +30,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("many_words", "n_words > 1000000"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
-    ("symbols", "10 * n_symbols > 3 * n_words"),
+    ("symbols", "n_symbols > n_words"),
     ("duplicate_lines", "n_dup_lines > 0 AND 100 * n_dup_lines > 50 * n_lines"),
 )
 BASE = ("few_words", "repeated_words")
@@ -163,7 +163,7 @@ WITH d AS (
     + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END
     + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN n_symbols > n_words THEN 32 ELSE 0 END
     + CASE WHEN n_dup_lines > 0 AND 100 * n_dup_lines > 50 * n_lines THEN 64 ELSE 0 END)::BIGINT AS failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
