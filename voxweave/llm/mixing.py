@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import col
 from .tokens import pieces, word_spans
@@ -35,7 +36,7 @@ SALTS = 16
 FINENESS = 4
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """Words of each text; a null text has none."""
     counts = [word_spans(data, offsets)[2] for _, _, data, offsets in pieces(texts)]
