@@ -7,8 +7,8 @@
    COORDS - MATCHES + 1 postings of each, in any common order; taking the rarest
    postings first keeps lists of frequent shingles short. Values posted once
    find nobody and are dropped.
-3. In each list every class is paired with the list's least class; a class keeps the
-   partner with most collisions. Pairs whose signatures agree often enough are confirmed on
+3. In each list every class is paired with the class whose values are shared most widely, as
+   an original's are; a class keeps the partner with most collisions. Pairs whose signatures agree often enough are confirmed on
    their full shingle sets. The confirmed links' components come next.
 4. Merging skips what is linked already: only classes that share a list but lie in different
    components are paired, confirmed and linked. So a group of n near copies costs
@@ -17,8 +17,8 @@
 5. A list of more than LONG classes in different components comes from a passage that many
    texts share. Its classes are posted again, under the rarest shingles of their full
    sets: two sets at the threshold share one of the first n - ceil(0.8 n) + 1 in any
-   common order, so a shared passage that is not nearly the whole text pairs nobody. This
-   is exact, and replaces the pairs of those lists.
+   common order (the smaller set, of the first ninth), so a shared passage that is not nearly
+   the whole text pairs nobody. This is exact, and replaces the pairs of those lists.
 
 A pair at the threshold of 0.8 agrees in fewer than MATCHES coordinates with
 probability 3e-7 (binomial with 48 coordinates); nothing else is approximate, save for
@@ -143,28 +143,36 @@ def _grams(width: int):
     return run
 
 
-def _rare_posts(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int) -> DataFrame:
-    """(gram, set_key, label): nodes posted under the rarest shingles of their sets."""
+def _apart_crowded(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Pairs of crowded lists that may reach the threshold, by prefixes of their full sets.
+
+    Common shingles number at least threshold * (n_a + n_b) / (100 + threshold). With rare shingles
+    first, the first common one is early in both sets: what follows it must still suffice.
+    """
     texts = nodes.join(bodies, "set_key").select("set_key", "label", "text")
     grams = cut(texts.mapInArrow(_grams(width), "set_key binary, label binary, size long, gram long"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     mine = Window.partitionBy("set_key")
     # shingles of one text only come first in the order
     place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "gram"))
-    prefix = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1
-    return grams.join(often, "gram").withColumn("place", place).where(F.col("place") <= prefix).select("gram", "set_key", "label")
-
-
-def _apart(posts: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b) of one list and different components; those of one component never meet."""
-    found = posts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n")).drop("n")
-    several = posts.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
-    kinds = found.join(several, keys)
-    other = kinds.withColumnRenamed("label", "label_b")
-    met = kinds.withColumnRenamed("label", "label_a").join(other, keys).where("label_a < label_b")
-    a = posts.withColumnRenamed("label", "label_a").withColumnRenamed("set_key", "a")
-    b = posts.withColumnRenamed("label", "label_b").withColumnRenamed("set_key", "b")
-    return met.join(a, [*keys, "label_a"]).join(b, [*keys, "label_b"]).select("a", "b")
+    posts = grams.join(often, "gram").withColumn("place", place)
+    # against sets as large or larger, and against smaller ones
+    as_small = F.col("size") - F.ceil(F.col("size") * (2 * threshold) / (100 + threshold)) + 1
+    as_large = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1
+    posts = cut(posts.where(F.col("place") <= as_large).select("gram", "set_key", "label", "size", "place"))
+    a = posts.where(F.col("place") <= as_small).select("gram", *[F.col(c).alias(f"{c}_a") for c in ("set_key", "label", "size", "place")])
+    b = posts.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("set_key", "label", "size", "place")])
+    met = a.join(b, "gram").where("label_a <> label_b AND (size_a < size_b OR size_a = size_b AND set_key_a < set_key_b)")
+    met = met.where(f"100 * size_a >= {threshold} * size_b")
+    met = met.where(f"(100 + {threshold}) * (1 + least(size_a - place_a, size_b - place_b)) >= {threshold} * (size_a + size_b)")
+    return met.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))
+
+
+def _apart(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one short list and different components."""
+    a = posts.select("at", "value", F.col("set_key").alias("a"), F.col("label").alias("label_a"))
+    b = posts.select("at", "value", F.col("set_key").alias("b"), F.col("label").alias("label_b"))
+    return a.join(b, ["at", "value"]).where("label_a <> label_b AND a < b").select("a", "b")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
@@ -195,10 +203,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     # values posted once come first in the order; they are COORDS minus those that are shared
     mine = Window.partitionBy("set_key")
     place = F.lit(COORDS) - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "at"))
-    lists = cut(shared.withColumn("place", place).where(F.col("place") <= PREFIX).select("at", "value", "set_key"))
+    # what an original has that its edited copies lack: all of its values are shared, and widely
+    weight = F.sum("often").over(mine).alias("weight")
+    lists = cut(shared.select("*", place.alias("place"), weight).where(F.col("place") <= PREFIX).select("at", "value", "set_key", "weight"))
 
-    least = lists.groupBy("at", "value").agg(F.min("set_key").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = lists.join(least, ["at", "value"]).where("a <> set_key").groupBy("set_key", "a").agg(F.count(F.lit(1)).alias("n"))
+    lead = F.max(F.struct("weight", "set_key"))["set_key"].alias("a")
+    heads = lists.groupBy("at", "value").agg(lead, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = lists.join(heads, ["at", "value"]).where("a <> set_key").groupBy("set_key", "a").agg(F.count(F.lit(1)).alias("n"))
     first = stars.groupBy("set_key").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("set_key").alias("b"))
 
     listed = lists.select("set_key").distinct().join(classes, "set_key").select("set_key", F.col("lead_id").alias("doc_id"), F.col("lead_hash").alias("text_hash"))
@@ -223,13 +234,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     open_lists = cut(tagged.join(per_list.where("lo <> hi").select("at", "value", "n"), ["at", "value"]))
     short = open_lists.where(F.col("n") <= LONG).select("at", "value", "set_key", "label")
     crowded = open_lists.where(F.col("n") > LONG).select("set_key", "label").distinct()
-    apart = _apart(short, ["at", "value"]).unionByName(_apart(_rare_posts(crowded, bodies, width, threshold), ["gram"])).distinct()
+    apart = _apart(short).unionByName(_apart_crowded(crowded, bodies, width, threshold)).distinct()
     more = cut(confirmed(apart))
     groups = components(links.unionByName(more))
 
-    heads = classes.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "lead_id", label)
-    named = heads.groupBy("label").agg(F.min("lead_id").alias("component_id"))
-    ends = heads.join(named, "label").select("set_key", "component_id")
+    named = classes.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "lead_id", label)
+    least = named.groupBy("label").agg(F.min("lead_id").alias("component_id"))
+    ends = named.join(least, "label").select("set_key", "component_id")
     out = slim.select("doc_id", "n_shingles", "set_key").join(ends, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
