@@ -45,7 +45,11 @@ from .tokens import _BASE, _INVERSE, U64, buffers, mix64, powers, prefix, span_h
 
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
-SHARD_BYTES, CHUNK, BUCKET_BYTES, SORT_BYTES = 4 << 20, 1 << 19, 12 << 20, 1 << 20
+SHARD_BYTES, CHUNK, BUCKET_BYTES, SORT_BYTES = 2 << 20, 1 << 18, 6 << 20, 1 << 18
+#: A string reaches so far to the left of its anchor, or at least so far to its right.
+NEAR = (LENGTH - GRAM) // 2
+#: No byte of UTF-8.
+MARK = 255
 NOBODY = np.iinfo(np.int64).max
 _LOW = U64((1 << 22) - 1)
 
@@ -239,8 +243,12 @@ def _meet(table: pa.Table) -> pa.Table:
     h, c, least = (np.concatenate([p[k] for p in parts]) for k in range(3))
     owner = np.repeat(np.arange(len(parts)), sizes)
     local = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    order = np.lexsort((owner, least, c, h))
-    same_h = np.zeros(len(h), dtype=bool)
+    # an anchor that is reported once has no partner
+    order = np.argsort(h)
+    twin = h[order][1:] == h[order][:-1]
+    order = order[np.append(False, twin) | np.append(twin, False)]
+    order = order[np.lexsort((owner[order], least[order], c[order], h[order]))]
+    same_h = np.zeros(len(order), dtype=bool)
     same_h[1:] = h[order][1:] == h[order][:-1]
     same = same_h.copy()
     same[1:] &= c[order][1:] == c[order][:-1]
@@ -309,70 +317,106 @@ def _send(buckets: int):
     return run
 
 
-def least_documents(texts: list[np.ndarray], least: np.ndarray) -> list[np.ndarray]:
+def least_documents(body: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For every string of LENGTH bytes in each text, the least document of all equal strings.
 
-    The texts' suffixes are sorted as one string with a mark after each text.
+    body is the texts one after another; they are sorted as one string with a mark after each.
     """
-    size = np.array([len(t) for t in texts])
-    body = np.zeros(int(size.sum()) + len(texts), dtype=np.uint16)
     stop = np.cumsum(size + 1)
-    begin = stop - size - 1
-    owner = np.repeat(np.arange(len(texts)), size + 1)
-    inner = np.ones(len(body), dtype=bool)
+    marked = np.full(int(stop[-1]), MARK, dtype=np.uint8)
+    owner = np.repeat(np.arange(len(size)), size + 1)
+    inner = np.ones(len(marked), dtype=bool)
     inner[stop - 1] = False
-    body[inner] = np.concatenate(texts).astype(np.uint16) + 1
-    array = suffix_array(body, 257)
-    common = permuted_common_prefixes(body, array, LENGTH)
-    group = np.cumsum(common[array] < LENGTH) - 1
-    whole = np.arange(len(body)) + LENGTH < stop[owner]
+    marked[inner] = body
+    array = suffix_array(marked, 256)
+    common = permuted_common_prefixes(marked, array, LENGTH)
+    first = np.flatnonzero(common[array] < LENGTH)
+    whole = np.arange(len(marked)) + LENGTH < stop[owner]
     doc = np.where(whole, least[owner], NOBODY)
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    best = np.empty(len(body), dtype=np.int64)
-    best[array] = np.minimum.reduceat(doc[array], first)[group]
-    return [best[b : b + n - LENGTH + 1] for b, n in zip(begin, size)]
-
-
-def _sort_contexts(anchors: np.ndarray, least: np.ndarray, texts: list[np.ndarray], offsets: np.ndarray) -> list[np.ndarray]:
-    """least_documents over contexts, anchors kept together, a bounded piece at a time."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
-    size = np.array([len(t) for t in texts])
-    order = np.argsort(anchors, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(anchors[order]) != 0)) if len(order) else np.zeros(0, np.int64)
-    pieces, held, now = [], 0, []
-    for a, b in zip(starts, np.append(starts[1:], len(order))):
-        part = order[a:b]
-        n = int(size[part].sum())
-        if n > 4 * SORT_BYTES:
-            # strings of one anchor are equal only at equal offsets from it
-            for part_out, k, best in _by_offset(part, texts, offsets, least):
-                if not len(out[part_out]):
-                    out[part_out] = np.full(size[part_out] - LENGTH + 1, NOBODY)
-                out[part_out][k] = best
-            continue
-        now.append(part)
-        held += n
-        if held >= SORT_BYTES:
-            pieces.append(np.concatenate(now))
-            now, held = [], 0
-    if now:
-        pieces.append(np.concatenate(now))
-    for part in pieces:
-        for i, best in zip(part, least_documents([texts[i] for i in part], least[part])):
-            out[i] = best
-    return out
+    best = np.empty(len(marked), dtype=np.int64)
+    best[array] = np.repeat(np.minimum.reduceat(doc[array], first), np.diff(np.append(first, len(marked))))
+    return best[whole]
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0]+n[0]-1, start[1] .. and so on."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _by_offset(part: np.ndarray, texts: list[np.ndarray], offsets: np.ndarray, least: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(text, string, least document), one offset and a few first letters at a time."""
-    for off in range(WINDOW):
-        rows = [(i, int(offsets[i]) - off) for i in part if 0 <= offsets[i] - off <= len(texts[i]) - LENGTH]
-        by_letter: dict[bytes, list[tuple[int, int]]] = {}
-        for i, k in rows:
-            by_letter.setdefault(texts[i][k : k + 2].tobytes() + texts[i][k + LENGTH - 2 : k + LENGTH].tobytes(), []).append((i, k))
-        for some in by_letter.values():
-            found = least_documents([texts[i][k : k + LENGTH] for i, k in some], np.array([least[i] for i, _ in some]))
-            yield from ((i, k, int(best[0])) for (i, k), best in zip(some, found))
+def _near_strings(anchors: np.ndarray, body: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) strings of each context that another of its anchor may have.
+
+    A string takes in NEAR bytes before its anchor, or NEAR bytes behind it. Contexts that share
+    neither with another are out; those that share one side keep that side's strings.
+    """
+    sums = prefix(body)
+    at = begin + offset
+    strings = size - LENGTH + 1
+    left, right = offset >= NEAR, offset + GRAM + NEAR <= size
+
+    def shared(has: np.ndarray, a: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(begin), dtype=bool)
+        some = np.flatnonzero(has)
+        side = span_hashes(sums, a[some], a[some] + NEAR)
+        order = some[np.lexsort((side, anchors[some]))]
+        key = np.empty(len(begin), dtype=U64)
+        key[some] = side
+        equal = (anchors[order[1:]] == anchors[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+        out[order[1:][equal]] = True
+        out[order[:-1][equal]] = True
+        return out
+
+    on_left, on_right = shared(left, at - NEAR), shared(right, at + GRAM)
+    middle = np.clip(offset - NEAR + 1, 0, strings)  # strings before it take in the left side
+    lo = np.where(on_left, 0, middle)
+    hi = np.where(on_right, strings, middle)
+    return lo, np.maximum(lo, hi)
+
+
+def _sort_contexts(anchors: np.ndarray, least: np.ndarray, body: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """least_documents over contexts: anchors kept together, a bounded piece at a time."""
+    begin = np.cumsum(size) - size
+    strings = size - LENGTH + 1
+    place = np.cumsum(strings) - strings
+    out = np.repeat(least, strings)
+    lo, hi = _near_strings(anchors, body, begin, size, offset)
+    live = np.flatnonzero(hi > lo)
+    live = live[np.argsort(anchors[live], kind="stable")]
+    group = np.cumsum(np.append(True, anchors[live][1:] != anchors[live][:-1])) - 1 if len(live) else live
+    long = np.bincount(group, weights=(hi - lo)[live] + LENGTH) > 16 * SORT_BYTES if len(live) else live
+
+    def sort(which: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """Strings a .. b-1 of the contexts."""
+        n = b - a + LENGTH - 1
+        best = least_documents(body[_ranges(begin[which] + a, n)], n, least[which])
+        out[_ranges(place[which] + a, b - a)] = best
+
+    plain = live[~long[group]] if len(live) else live
+    held = np.cumsum((hi - lo)[plain] + LENGTH) // SORT_BYTES
+    last_of_group = np.append(anchors[plain][1:] != anchors[plain][:-1], True)[: len(plain)]
+    cuts, seen = [0], 0
+    for i in np.flatnonzero(last_of_group):
+        if held[i] > seen or i == len(plain) - 1:
+            cuts.append(int(i) + 1)
+            seen = held[i]
+    for a, b in zip(cuts, cuts[1:]):
+        part = plain[a:b]
+        sort(part, lo[part], hi[part])
+    # strings of one anchor are equal only at equal offsets from it: a very long group is taken apart by
+    # that offset, and by the strings' first bytes
+    for g in np.flatnonzero(long):
+        part = live[group == g]
+        for reach in range(WINDOW):
+            k = offset[part] - reach
+            has = (k >= lo[part]) & (k < hi[part])
+            some, k = part[has], k[has]
+            head = np.stack([body[begin[some] + k + j] for j in (0, 1, LENGTH - 2, LENGTH - 1)], axis=1).astype(np.uint8)
+            kind = np.ascontiguousarray(head).view("<u4").ravel()
+            order = np.argsort(kind, kind="stable")
+            for one in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+                if len(one):
+                    sort(some[one], k[one], k[one] + 1)
+    return out
 
 
 def _sort_bucket(key: tuple, asked: pa.Table, sent: pa.Table) -> pa.Table:
@@ -381,20 +425,22 @@ def _sort_bucket(key: tuple, asked: pa.Table, sent: pa.Table) -> pa.Table:
     if not len(asked):
         return pa.Table.from_batches([_batch(names, ([], pa.int32()), ([], pa.int64()), ([], pa.int32()), ([], pa.binary()))])
     anchors, least, number, who, local, ours = _arrays(asked["blob"][0].as_buffer(), "<u8", "<i8", "<u4", "<i8", "<u4", "u1")
-    texts, offsets = [], []
-    for row in sorted(sent.to_pylist(), key=lambda r: r["shard"]):
-        size, offset, body = _arrays(row["blob"], "<u4", "<u4", "u1")
-        texts += np.split(body, np.cumsum(size)[:-1])
-        offsets.append(offset)
-    best = _sort_contexts(anchors, least, texts, np.concatenate(offsets))
-    # runs of equal answers
-    runs = []
-    for b in best:
-        start = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        runs.append((start, np.append(start[1:], len(b)), b[start]))
-    many = np.array([len(r[0]) for r in runs])
+    parts = [_arrays(row["blob"], "<u4", "<u4", "u1") for row in sorted(sent.to_pylist(), key=lambda r: r["shard"])]
+    size, offset, body = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    size, offset = size.astype(np.int64), offset.astype(np.int64)
+    best = _sort_contexts(anchors, least, body, size, offset)
+    # runs of equal answers within a context
+    strings = size - LENGTH + 1
+    place = np.cumsum(strings) - strings
+    opens = np.append(True, best[1:] != best[:-1])
+    opens[place] = True
+    lo = np.flatnonzero(opens)
+    doc = best[lo]
+    hi = np.append(lo[1:], len(best))
+    context = np.repeat(np.arange(len(size)), strings)[lo]
+    lo, hi = lo - place[context], hi - place[context]
+    many = np.bincount(context, minlength=len(size))
     begin = np.cumsum(many) - many
-    lo, hi, doc = (np.concatenate([r[k] for r in runs]) for k in range(3))
     n = many[number]
     at = np.repeat(begin[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     # a shard whose own least document is the answer needs none

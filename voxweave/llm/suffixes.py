@@ -151,18 +151,24 @@ def _induce_each(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts:
 
 
 def permuted_common_prefixes(text: np.ndarray, array: np.ndarray, cap: int) -> np.ndarray:
-    """In text order: symbols that a suffix shares with the one before it in the array, up to cap."""
+    """In text order: bytes that a suffix shares with the one before it in the array, up to cap.
+
+    text is uint8; eight bytes are compared at a time.
+    """
     n = len(text)
     before = np.full(n, -1, dtype=np.int64)
     before[array[1:]] = array[:-1]
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray((n,), dtype="<u8", buffer=padded.data, strides=(1,))
     out = np.zeros(n, dtype=np.int64)
     live = np.flatnonzero(before >= 0)
-    for k in range(cap):
-        a, b = live + k, before[live] + k
-        inside = np.maximum(a, b) < n
-        live = live[inside]
-        live = live[text[a[inside]] == text[b[inside]]]
-        if not len(live):
-            break
-        out[live] = k + 1
-    return out
+    for k in range(0, cap, 8):
+        ends = n - np.maximum(live, before[live]) - k  # bytes that both still have
+        live = live[ends > 0]
+        ends = ends[ends > 0]
+        differ = words[live + k] ^ words[before[live] + k]
+        same = np.where(differ == 0, 8, np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)) // 8)
+        same = np.minimum(same, ends)
+        out[live] += same
+        live = live[same == 8]
+    return np.minimum(out, cap)
