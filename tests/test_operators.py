@@ -117,6 +117,26 @@ def test_morphology_and_pooling(spark):
     assert np.allclose(back(morphology.convolve(make(spark, IMAGE), kernel, stride=2))[0], want[:, ::2, ::2])
 
 
+def test_skeleton_of_a_square_is_its_middle(spark):
+    x = np.zeros((1, 5, 5, 1))
+    x[0, 1:4, 1:4] = 1
+    want = np.zeros_like(x)
+    assert np.array_equal(back(morphology.skeleton(make(spark, x), 0))[0], want)
+    want[0, 2, 2] = 1
+    assert np.array_equal(back(morphology.skeleton(make(spark, x), 1))[0], want)
+    assert np.array_equal(back(morphology.skeleton(make(spark, x), 3))[0], want)
+
+
+def test_centerline_loss(spark):
+    same = [(0, 0, 1.0, 1.0, 1.0, 1.0), (0, 0, 0.0, 0.0, 0.0, 0.0)]
+    apart = [(1, 0, 1.0, 0.0, 1.0, 0.0), (1, 0, 0.0, 1.0, 0.0, 1.0)]
+    half = [(2, 0, 1.0, 1.0, 1.0, 1.0), (2, 0, 0.0, 1.0, 0.0, 1.0)]
+    rows = spark.createDataFrame(same + apart + half, "sample_id long, class int, y_true double, y_pred double, s_true double, s_pred double")
+    got = {r.sample_id: r.loss for r in scores.centerline_dice_loss(rows).collect()}
+    # precision 1/2 and recall 1 in the last: their harmonic mean is 2/3
+    assert np.allclose([got[0], got[1], got[2]], [0, 1, 1 / 3], atol=1e-5)
+
+
 def pairs(spark, true, pred):
     rows = [(s, h, w, c, int(np.argmax(true[s, h, w])), float(true[s, h, w, c]), float(pred[s, h, w, c])) for s in range(true.shape[0]) for h in range(true.shape[1]) for w in range(true.shape[2]) for c in range(true.shape[3])]
     return spark.createDataFrame(rows, "sample_id int, h int, w int, class int, true_class int, y_true double, y_pred double")
