@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 from voxweave.llm.licences import CUE, TEMPLATES, align, license_notices, op5_license_scan, scan
@@ -36,3 +37,23 @@ def test_query_against_plain_search(spark, sf):
     want = sorted((r.doc_id, n) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for t, n in lines.items() if t in (r.text or ""))
     got = sorted((r.doc_id, r.license) for r in op5_license_scan(spark, sf).collect())
     assert got == want and got
+
+
+def test_notices_in_cue_dense_text():
+    """However long the block, every verbatim notice in it is found, and once."""
+    rng = random.Random(4)
+    some = ["".join(rng.choice("abdegilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    for n in (500, 2000, 5000, 50_000):
+        for name, text, _ in TEMPLATES if n <= 2000 else TEMPLATES[2:14:5]:
+            filler = ["copyright" if k % 80 == 40 else rng.choice(some) for k in range(n)]
+            at = rng.randrange(n)
+            whole = " ".join([*filler[:at], text.rstrip("."), *filler[at:]])
+            start = len(" ".join(filler[:at])) + (at > 0)
+            found = [(x[0], x[4]) for x in scan(whole) if start <= x[1] < x[2] <= start + len(text)]
+            assert found == [(name, 0)], (n, name, found)
+
+
+def test_a_closer_wrong_version_hides_nothing():
+    """Version 2 verbatim is closer to the version 3 wording than version 3 with two changes."""
+    said = "This work is licensed under the GNU General Public License, version 2. All work was licensed under the GNU General Public License, version 3."
+    assert [(x[0], x[4]) for x in scan(said)] == [("GPL-2.0", 0), ("GPL-3.0", 2)]

@@ -2,11 +2,15 @@
 
 1. Candidate blocks: words within REACH words of a cue ("license", "copyright", ...),
    wherever in the whole text it is; overlapping reaches are one block.
-2. A block's words, in lower case, are compressed alone and with each template as zstandard raw
-   dictionary. The bytes saved, as a share of the template's own compressed size, rank the
-   templates.
-3. Those that save enough are confirmed by exact wording: the template is aligned within the
-   block, words that differ are listed, and it counts only if few differ and none of the words
+2. Blocks are cut into pieces of PIECE words that overlap by the longest notice, so a notice lies
+   whole in some piece however long its block is. A piece's candidates are the templates with
+   enough words in common with it, the words that tell licenses apart among them; no other
+   can be confirmed.
+3. A piece's words, in lower case, are compressed alone and with each candidate as zstandard raw
+   dictionary, with the same parameters. The bytes saved, as a share of the template's own
+   compressed size, only rank the candidates.
+4. All candidates are confirmed by exact wording: the template is aligned within the
+   piece, words that differ are listed, and it counts only if few differ and none of the words
    that tell licenses apart. Of confirmed places that overlap, the closest wording stays; of
    equally close ones, the larger saving.
 
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,11 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REACH = 48
-#: Of the template's compressed size, at least so much must be saved.
-LEAST_SAVING = 0.25
+#: Words of a piece; several times the longest notice.
+PIECE = 512
 #: One word in so many may differ.
 ONE_IN = 5
-LEVEL = 9
+#: With and without dictionary the same parameters, as savings compare the two.
+PARAMETERS = zstandard.ZstdCompressionParameters.from_level(9, source_size=1 << 13, write_content_size=False, write_checksum=False)
 
 CUE = r"(?i)licen[cs]|copyright|copyleft|spdx|warrant|permission|public domain|creative commons|all rights reserved|\bCC[ -]?(?:BY|0)\b"
 
@@ -102,10 +108,11 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
     yield spans[lo][0], spans[hi][1]
 
 
-def align(template: list[str], block: list[str]) -> tuple[int, int, list[tuple[str, str]]]:
+def align(template: list[str], block: list[str], fixed: tuple[str, ...] = ()) -> tuple[int, int, list[tuple[str, str]]]:
     """Where in the block the template fits best: (start, end, differing words).
 
-    Least edit distance of words, with the block's words before and after for free. A
+    Least edit distance of words, with the block's words before and after for free; a change of
+    a `fixed` word costs more than all others together. A
     difference is (template word, block word); either may be "" for an extra or missing word.
     """
     n = len(block)
@@ -113,19 +120,20 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, list[tuple[s
     t = np.array([ids.setdefault(w, len(ids)) for w in template])
     b = np.array([ids.setdefault(w, len(ids)) for w in block])
     at = np.arange(n + 1)
+    cost = [2 * len(template) if w in fixed else 1 for w in template]
     table = np.zeros((len(t) + 1, n + 1), dtype=np.int32)
     for i in range(1, len(t) + 1):
-        row = table[i - 1] + 1
-        row[1:] = np.minimum(row[1:], table[i - 1, :-1] + (b != t[i - 1]))
+        row = table[i - 1] + cost[i - 1]
+        row[1:] = np.minimum(row[1:], table[i - 1, :-1] + (b != t[i - 1]) * cost[i - 1])
         table[i] = np.minimum.accumulate(row - at) + at
     i, j = len(t), int(np.argmin(table[-1]))
     end, differ = j, []
     while i:
-        if j and table[i, j] == table[i - 1, j - 1] + (t[i - 1] != b[j - 1]):
+        if j and table[i, j] == table[i - 1, j - 1] + (t[i - 1] != b[j - 1]) * cost[i - 1]:
             if t[i - 1] != b[j - 1]:
                 differ.append((template[i - 1], block[j - 1]))
             i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + 1:
+        elif table[i, j] == table[i - 1, j] + cost[i - 1]:
             i -= 1
             differ.append((template[i], ""))
         else:
@@ -136,14 +144,20 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, list[tuple[s
 
 class Template:
     def __init__(self, name: str, text: str, fixed: str) -> None:
-        self.name, self.words, self.fixed = name, words_of(text), fixed.split()
+        self.name, self.words, self.fixed = name, words_of(text), tuple(fixed.split())
+        self.counts = Counter(self.words)
+        self.least = len(self.words) - len(self.words) // ONE_IN
         raw = " ".join(self.words).encode()
         self.own = len(_alone().compress(raw))
         primed = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.given = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False)
+        self.given = zstandard.ZstdCompressor(compression_params=PARAMETERS, dict_data=primed)
+
+    def possible(self, counts: Counter[str]) -> bool:
+        """Whether a piece has the fixed words and as many others as a confirmed place must have."""
+        return all(w in counts for w in self.fixed) and sum(min(n, counts[w]) for w, n in self.counts.items()) >= self.least
 
     def confirm(self, block: list[str]) -> tuple[int, int, list[tuple[str, str]]] | None:
-        start, end, differ = align(self.words, block)
+        start, end, differ = align(self.words, block, self.fixed)
         lost = [w for w, _ in differ]
         wrong = len(differ) * ONE_IN > len(self.words) or any(w in lost for w in self.fixed)
         return None if wrong else (start, end, differ)
@@ -151,7 +165,7 @@ class Template:
 
 @lru_cache(maxsize=1)
 def _alone() -> zstandard.ZstdCompressor:
-    return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
+    return zstandard.ZstdCompressor(compression_params=PARAMETERS)
 
 
 @lru_cache(maxsize=1)
@@ -159,33 +173,52 @@ def templates() -> tuple[Template, ...]:
     return tuple(Template(*t) for t in TEMPLATES)
 
 
+@lru_cache(maxsize=1)
+def overlap() -> int:
+    """Words of the longest place that can be confirmed."""
+    return max(len(t.words) + len(t.words) // ONE_IN for t in templates())
+
+
+def cuts(n: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the pieces of a block of n words."""
+    step = PIECE - overlap()
+    for a in range(0, max(1, n - overlap()), step):
+        yield a, min(a + PIECE, n)
+
+
+def finds_in(said: list[str]) -> Iterator[tuple[float, float, int, int, int, list[tuple[str, str]]]]:
+    """(share of words that differ, -saving, template, start, end, differences) in a piece."""
+    counts = Counter(said)
+    able = [(i, t) for i, t in enumerate(templates()) if t.possible(counts)]
+    if not able:
+        return
+    raw = " ".join(said).encode()
+    alone = len(_alone().compress(raw))
+    for i, t in able:
+        saving = (alone - len(t.given.compress(raw))) / t.own
+        # a template can occur again in what is left of the piece
+        todo = [(0, len(said))]
+        while todo:
+            a, b = todo.pop()
+            found = t.confirm(said[a:b]) if b - a else None
+            if found:
+                start, end, differ = found[0] + a, found[1] + a, found[2]
+                todo += [(a, start), (end, b)]
+                yield len(differ) / len(t.words), -saving, i, start, end, differ
+
+
 def scan(text: str) -> Iterator[tuple[str, int, int, float, int, str]]:
     """(license, start, end, saving, differing words, what differs) of each find in a text."""
     for lo, hi in blocks(text):
         spans = [m.span() for m in _WORD.finditer(text, lo, hi)]
         said = [text[a:b].lower() for a, b in spans]
-        raw = " ".join(said).encode()
-        alone = len(_alone().compress(raw))
-        ranked = sorted(((alone - len(t.given.compress(raw))) / t.own, -i) for i, t in enumerate(templates()))[::-1]
-        finds = []
-        for saving, i in ranked:
-            if saving < LEAST_SAVING:
-                break
-            # a template can occur again in what is left of the block
-            todo = [(0, len(said))]
-            while todo:
-                a, b = todo.pop()
-                found = templates()[-i].confirm(said[a:b]) if b - a else None
-                if not found:
-                    continue
-                start, end, differ = found[0] + a, found[1] + a, found[2]
-                todo += [(a, start), (end, b)]
-                finds.append((len(differ) / len(templates()[-i].words), -saving, -i, start, end, differ))
+        finds = [(*rank, start + a, end + a, differ) for a, b in cuts(len(said)) for *rank, start, end, differ in finds_in(said[a:b])]
         # of confirmed finds that overlap, that with the closest wording stays
         taken: list[tuple[int, int]] = []
         for _, saving, i, start, end, differ in sorted(finds):
-            if all(end <= x or start >= y for x, y in taken):
-                taken.append((start, end))
+            at = bisect_right(taken, (start, end))
+            if (not at or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+                taken.insert(at, (start, end))
                 changes = "; ".join(f"{x or '+'} > {y or '-'}" for x, y in differ)
                 yield templates()[i].name, spans[start][0], spans[end - 1][1], round(-saving, 4), len(differ), changes
 
