@@ -55,3 +55,15 @@ def test_odd_rows(odd, odd_rows, none):
         assert (r.mean_logp is None) == (r.n_words == 0) and (r.n_words or r.sum_logp == 0)
     empty = token_table(none)
     assert score(empty, train(empty)).count() == 0
+
+
+def test_every_word_is_a_training_target():
+    counts = np.array([3, 0, 1, 8, 0, 5, 2])
+    got = np.concatenate([lm.targets(counts, turn) for turn in range(lm.ROUNDS)])
+    assert sorted(got) == list(range(19))
+    assert lm.targets(np.zeros(3, np.int64), 0).size == 0
+
+
+def test_training_covers_all_words(spark, odd):
+    tokens = token_table(odd)
+    assert train(tokens).targets == sum(r.n_words for r in score(tokens, Model(first_weights(np.ones(lm.CLASSES)), np.zeros(lm.VOCABULARY, int), np.zeros(lm.VOCABULARY))).collect())

@@ -9,9 +9,9 @@ Everything is learned here, from all documents. Words are hashed to VOCABULARY i
 which bounds the model; ids are counted over the whole corpus, and classes are cut from the
 frequency order so that each has about an equal share of all words. Training
 runs in the tasks that hold the data: in each of ROUNDS rounds every partition starts
-from the shared weights and does stochastic gradient steps over its documents (every
-document gives every STRIDE-th of its words as a target, from an offset that changes by
-round), and the partitions' weights are averaged by the number of their targets. What
+from the shared weights and does stochastic gradient steps over its documents (a round's
+targets are every ROUNDS-th word of each document, and the rounds' targets together are all words,
+each once), and the partitions' weights are averaged by the number of their targets. What
 is gathered is one weight vector a partition, added up in two levels as it streams in.
 Sums are in fixed point, so the order of arrival does not matter.
 
@@ -37,7 +37,7 @@ VOCABULARY = 1 << 15
 BUCKETS = 1 << 12
 EDGE = BUCKETS  # the context beyond either end
 CLASSES, WIDTH, SIDE = 64, 16, 2
-ROUNDS, STRIDE, MINIBATCH, RATE = 2, 4, 1024, 0.1
+ROUNDS, MINIBATCH, RATE = 2, 1024, 0.1
 _FIXED = float(1 << 16)
 _SLICE = 1 << 14
 _SPAN = 2 * SIDE
@@ -83,6 +83,13 @@ def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack(cols, axis=1) if n else np.zeros((0, _SPAN), np.int64)
 
 
+def targets(counts: np.ndarray, turn: int) -> np.ndarray:
+    """Which words a round predicts: of each document those whose position leaves `turn` modulo ROUNDS."""
+    n = int(counts.sum())
+    place = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.flatnonzero(place % ROUNDS == turn)
+
+
 def hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
     h = w["hidden"] + sum(w["embed"][ctx[:, k]] * w["scale"][k] for k in range(_SPAN))
     return np.tanh(h)
@@ -200,8 +207,9 @@ def word_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
 class Model:
     """Trained weights and word classes; its size does not depend on the corpus."""
 
-    def __init__(self, weights: Weights, classes: np.ndarray, within: np.ndarray) -> None:
+    def __init__(self, weights: Weights, classes: np.ndarray, within: np.ndarray, targets: int = 0) -> None:
         self.weights, self.classes, self.within = weights, classes, within
+        self.targets = targets  # words predicted in training, over all rounds
 
     def logp(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log P(word | both sides) of every word."""
@@ -220,7 +228,7 @@ def train(tokens: DataFrame) -> Model:
     partitions = ids.rdd.getNumPartitions()
     counted = _total(ids.mapInArrow(_count, "sums binary, n long"), partitions)
     classes, within, share = word_classes(counted[0] if counted else np.zeros(VOCABULARY, np.int64))
-    weights = first_weights(share)
+    weights, seen = first_weights(share), 0
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((weights, classes))
 
@@ -230,7 +238,7 @@ def train(tokens: DataFrame) -> Model:
             rng = np.random.default_rng(turn)
             for batch in batches:
                 for _, ids, counts in _documents(batch, 0):
-                    at = np.arange((2 * turn + 1) % STRIDE, len(ids), STRIDE)
+                    at = targets(counts, turn)
                     ctx = contexts(ids, counts)[at]
                     target = kinds[ids[at]]
                     order = rng.permutation(len(at))
@@ -243,7 +251,8 @@ def train(tokens: DataFrame) -> Model:
         total = _total(ids.mapInArrow(run, "sums binary, n long"), partitions)
         if total:
             weights = unpack(total[0] / _FIXED / total[1])
-    return Model(weights, classes, within)
+            seen += total[1]
+    return Model(weights, classes, within, seen)
 
 
 def score(tokens: DataFrame, model: Model) -> DataFrame:
