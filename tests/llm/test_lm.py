@@ -66,4 +66,32 @@ def test_every_word_is_a_training_target():
 
 def test_training_covers_all_words(spark, odd):
     tokens = token_table(odd)
-    assert train(tokens).targets == sum(r.n_words for r in score(tokens, Model(first_weights(np.ones(lm.CLASSES)), np.zeros(lm.VOCABULARY, int), np.zeros(lm.VOCABULARY))).collect())
+    model = train(tokens)
+    assert model.targets == sum(r.n_words for r in score(tokens, model).collect())
+
+
+def test_every_word_has_its_own_count(spark):
+    """Many more words than VOCABULARY: each keeps its count, and the tables grow."""
+    rows = [(i, " ".join(f"w{i * 1000 + k} " + "often " * (k % 50 == 0) for k in range(1000))) for i in range(100)]
+    rows.append((100, " ".join(f"f{k} " * (k + 3) for k in range(60))))
+    tokens = token_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    vocab = lm.vocabulary(tokens)
+    table = vocab.table.toPandas().sort_values(["n", "word"], ascending=[False, True])
+    want = np.array([2000, *range(62, 2, -1), *[1] * 100_000])
+    assert (table.n.to_numpy() == want).all() and table.word.is_unique
+    assert len(vocab.mass) > lm.CLASSES and vocab.slots > lm.BUCKETS
+    classes, _, share = word_classes(np.append(want, 0), len(vocab.mass))
+    assert (table.kind.to_numpy()[:61] == classes[:61]).all() and table.slot.to_numpy()[:61].tolist() == list(range(1, 62))
+    assert np.abs(vocab.mass / vocab.mass.sum() - share).max() < 0.01
+    within = np.append((table.n.to_numpy() + 1) / vocab.mass[table.kind], 1 / vocab.mass[-1])
+    of_class = np.bincount(np.append(table.kind, len(vocab.mass) - 1), weights=within, minlength=len(vocab.mass))
+    assert np.allclose(of_class[vocab.mass > 0], 1)
+
+
+def test_a_known_word_is_likelier_than_an_unseen_one(spark):
+    rows = [(i, " ".join(f"w{i * 1000 + k} twice twice" for k in range(1000))) for i in range(60)]
+    model = train(token_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))
+    held = [(k, f"twice w{k * 1000 + 5} twice") for k in range(50)] + [(100 + k, f"twice junk{k} twice") for k in range(50)]
+    got = {r.doc_id: r.sum_logp for r in score(token_table(spark.createDataFrame(held, "doc_id long, text string")), model).collect()}
+    unseen = {round(got[100 + k], 2) for k in range(50)}
+    assert len(got) == 100 and max(unseen) < np.median([got[k] for k in range(50)])

@@ -5,18 +5,23 @@ context words are embedded, scaled by position, summed, squashed, and mapped to
 softmax over word classes; within its class a word has its smoothed corpus frequency.
 A document's score is the sum over its words of log P(word | both sides).
 
-Everything is learned here, from all documents. Words are hashed to VOCABULARY ids,
-which bounds the model; ids are counted over the whole corpus, and classes are cut from the
-frequency order so that each has about an equal share of all words. Training
+Everything is learned here, from all documents. Every word (by a 64-bit hash) has its own
+count over the whole corpus, in a table that is joined to the words of each block of documents
+and never gathered; classes are cut from the frequency order so that each has about an equal
+share of all words. The most frequent words have embeddings of their own as context, the others share a quarter or
+more of the table. Up to VOCABULARY words there are CLASSES classes and BUCKETS embeddings; beyond, classes grow with
+the cube root of the number of words and embeddings with its square root. Only WIDTH is fixed. Training
 runs in the tasks that hold the data: in each of ROUNDS rounds every partition starts
 from the shared weights and does stochastic gradient steps over its documents (a round's
 targets are every ROUNDS-th word of each document, and the rounds' targets together are all words,
 each once), and the partitions' weights are averaged by the number of their targets. What
-is gathered is one weight vector a partition, added up in two levels as it streams in.
+is gathered is one weight vector a partition, added up in slices as it streams in, and how
+many words have each count (less than the root of twice the words of the corpus).
 Sums are in fixed point, so the order of arrival does not matter.
 
 Defined cases: a null or blank text has n_words 0, sum_logp 0 and mean_logp null; a word
-next to a text's end has an end mark as context; repeated rows count and score as
+next to a text's end has an end mark as context; all words that the training documents lack count
+as one unseen word; repeated rows count and score as
 rows; a corpus without words leaves the first weights; an empty table gives no rows;
 columns other than doc_id and text are ignored.
 """
@@ -25,32 +30,45 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_table
-from .tokens import U64, pieces, word_hashes
+from .tokens import pieces, word_hashes
 
-VOCABULARY = 1 << 15
+VOCABULARY = 1 << 15  # up to so many words the tables have their least sizes
 BUCKETS = 1 << 12
-EDGE = BUCKETS  # the context beyond either end
+EDGE = 0  # the context beyond either end
 CLASSES, WIDTH, SIDE = 64, 16, 2
 ROUNDS, MINIBATCH, RATE = 2, 1024, 0.1
 _FIXED = float(1 << 16)
-_SLICE = 1 << 14
+_SLICE = 1 << 10
+_BLOCK = 1 << 22  # bytes of text
+_PART = 1 << 13
 _SPAN = 2 * SIDE
 
-_SHAPES = {"embed": (BUCKETS + 1, WIDTH), "scale": (_SPAN, WIDTH), "hidden": (WIDTH,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
-
 Weights = dict[str, np.ndarray]
 
 
-def first_weights(class_share: np.ndarray) -> Weights:
+def sizes_for(words: int) -> tuple[int, int]:
+    """(classes, context embeddings) for a number of different words."""
+    more = max(1.0, words / VOCABULARY)
+    return round(CLASSES * more ** (1 / 3)), round(BUCKETS * more**0.5)
+
+
+def shapes(classes: int, slots: int) -> dict[str, tuple[int, ...]]:
+    return {"embed": (slots + 1, WIDTH), "scale": (_SPAN, WIDTH), "hidden": (WIDTH,), "out": (WIDTH, classes), "bias": (classes,)}
+
+
+def first_weights(class_share: np.ndarray, slots: int = BUCKETS) -> Weights:
     """Small random weights; the biases start from the classes' shares."""
     rng = np.random.default_rng(0)
-    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in _SHAPES.items()}
+    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(class_share), slots).items()}
     out["scale"][:] = 1
     out["hidden"][:] = 0
     out["bias"] = np.log(class_share + 1e-6).astype(np.float32)
@@ -58,12 +76,12 @@ def first_weights(class_share: np.ndarray) -> Weights:
 
 
 def pack(w: Weights) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in _SHAPES])
+    return np.concatenate([v.ravel() for v in w.values()])
 
 
-def unpack(flat: np.ndarray) -> Weights:
+def unpack(flat: np.ndarray, like: Weights) -> Weights:
     out, at = {}, 0
-    for k, shape in _SHAPES.items():
+    for k, shape in ((k, v.shape) for k, v in like.items()):
         n = int(np.prod(shape))
         out[k] = flat[at : at + n].reshape(shape).astype(np.float32)
         at += n
@@ -71,10 +89,10 @@ def unpack(flat: np.ndarray) -> Weights:
 
 
 def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Context buckets of every word, one column for each of its four neighbours."""
+    """Context embeddings of every word, one column for each of its four neighbours."""
     n = len(ids)
     owner = np.repeat(np.arange(len(counts)), counts)
-    padded = np.concatenate([np.full(SIDE, EDGE), (ids % BUCKETS).astype(np.int64), np.full(SIDE, EDGE)])
+    padded = np.concatenate([np.full(SIDE, EDGE), ids.astype(np.int64), np.full(SIDE, EDGE)])
     owners = np.concatenate([np.full(SIDE, -1), owner, np.full(SIDE, -1)])
     cols = []
     for off in [*range(-SIDE, 0), *range(1, SIDE + 1)]:
@@ -133,113 +151,175 @@ class Trainer:
         each = (back[:, None, :] * w["scale"]).reshape(-1, WIDTH)
         flat = ctx.ravel()
         order = np.argsort(flat, kind="stable")
-        ids, start = np.unique(flat[order], return_index=True)
+        ids = flat[order]
+        start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         embed = np.add.reduceat(each[order], start, axis=0)
         scale = (rows * back[:, None, :]).sum(axis=0)
         self._step("out", h.T @ p)
         self._step("bias", p.sum(axis=0))
         self._step("hidden", back.sum(axis=0))
         self._step("scale", scale)
-        self._step("embed", embed, ids)
+        self._step("embed", embed, ids[start])
         self.targets += n
 
 
-def _to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_TOKENS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("at", pa.binary()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+_ENCODED = pa.schema([*list(_TOKENS)[:4], ("kinds", pa.binary()), ("slots", pa.binary()), ("n", pa.binary())])
+_TOKENS_SQL = "block long, doc_ids array<long>, sizes array<long>, at binary, words array<long>, counts array<long>"
+_ENCODED_SQL = "block long, doc_ids array<long>, sizes array<long>, at binary, kinds binary, slots binary, n binary"
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = TaskContext.get().partitionId() << 33
     for batch in batches:
-        rows: list[bytes] = []
-        for _, _, data, offsets in pieces(batch.column(1)):
-            hashes, counts = word_hashes(data, offsets)
-            ids = (hashes % U64(VOCABULARY)).astype("<u2")
-            end = np.cumsum(counts)
-            rows.extend(ids[a:b].tobytes() for a, b in zip(end - counts, end))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
+        for a, b, data, offsets in pieces(batch.column(1), _BLOCK):
+            hashes, sizes = word_hashes(data, offsets)
+            words, at, counts = np.unique(hashes.view(np.int64), return_inverse=True, return_counts=True)
+            row = [block, batch.column(0)[a:b].to_pylist(), sizes, at.astype("<u4").tobytes(), words, counts]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _TOKENS)], schema=_TOKENS)
+            block += 1
 
 
-def _documents(batch: pa.RecordBatch, column: int, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, ids, words per text) for runs of documents of about `limit` bytes."""
-    for row, _, data, offsets in pieces(batch.column(column), limit):
-        yield row, np.frombuffer(data.tobytes(), dtype="<u2"), np.diff(offsets) // 2
+def _rows(batch: pa.RecordBatch, *columns: tuple[str, str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(sizes, index of each word, further columns of the block's different words) of the blocks."""
+    for row in range(batch.num_rows):
+        sizes = batch["sizes"][row].values.to_numpy(zero_copy_only=False)
+        yield sizes, *(np.frombuffer(batch[name][row].as_buffer(), dtype=kind) for name, kind in (("at", "<u4"), *columns))
 
 
 def _one(values: np.ndarray, n: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([values.astype("<i8").tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["sums", "n"])
+    parts = [values[a : a + _PART].astype("<i8").tobytes() for a in range(0, len(values), _PART)]
+    cols = [pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary()), pa.array([n] * len(parts), pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "sums", "n"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row: the sum of the rows' vectors, taken one at a time."""
-    total, n = None, 0
+    """One row for each slice: the sum of its rows' vectors, taken one at a time."""
+    total: dict[int, np.ndarray] = {}
+    n: dict[int, int] = {}
     for batch in batches:
-        for sums, k in zip(batch.column(0), batch.column(1)):
-            part = np.frombuffer(sums.as_buffer(), dtype="<i8")
-            total = part.copy() if total is None else total + part
-            n += k.as_py()
-    if total is not None:
-        yield _one(total, n)
+        for part, sums, k in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            values = np.frombuffer(sums.as_buffer(), dtype="<i8")
+            total[part] = total[part] + values if part in total else values.copy()
+            n[part] = n.get(part, 0) + k
+    if total:
+        cols = [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary()), pa.array(list(n.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["part", "sums", "n"])
 
 
-def _total(parts: DataFrame, partitions: int) -> tuple[np.ndarray, int] | None:
-    """The sum of a vector from each partition, in two levels."""
-    schema = "sums binary, n long"
-    level = parts.repartition(max(1, round(partitions**0.5))).mapInArrow(_add, schema)
-    rows = level.repartition(1).mapInArrow(_add, schema).collect()  # one row of fixed width
-    return (np.frombuffer(bytes(rows[0]["sums"]), dtype="<i8"), rows[0]["n"]) if rows else None
+_SUMS = "part long, sums binary, n long"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(VOCABULARY, np.int64)
-    for batch in batches:
-        for _, ids, _ in _documents(batch, 0):
-            total += np.bincount(ids, minlength=VOCABULARY)
-    yield _one(total, 1)
+def _total(parts: DataFrame, length: int) -> tuple[np.ndarray, int] | None:
+    """The sum of a vector of `length` from each partition, added up by slices."""
+    rows = parts.repartition(-(-length // _PART), "part").mapInArrow(_add, _SUMS).collect()  # one vector
+    rows = sorted(rows, key=lambda r: r["part"])
+    return (np.concatenate([np.frombuffer(bytes(r["sums"]), dtype="<i8") for r in rows]), rows[0]["n"]) if rows else None
 
 
-def word_classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each id, log P(id | class), share of each class), from corpus counts."""
+def word_classes(counts: np.ndarray, number: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each word, log P(word | class), share of each class), from corpus counts.
+
+    What `vocabulary` does in Spark, for counts in one array; the tests hold the two together.
+    """
     smooth = counts + 1.0
-    order = np.lexsort((np.arange(VOCABULARY), -counts))
+    order = np.lexsort((np.arange(len(counts)), -counts))
     share = np.cumsum(smooth[order]) / smooth.sum()
-    classes = np.empty(VOCABULARY, np.int64)
-    classes[order] = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
-    mass = np.bincount(classes, weights=smooth, minlength=CLASSES)
+    classes = np.empty(len(counts), np.int64)
+    classes[order] = np.minimum((share * number).astype(np.int64), number - 1)
+    mass = np.bincount(classes, weights=smooth, minlength=number)
     return classes, np.log(smooth / mass[classes]), mass / mass.sum()
 
 
+@dataclass
+class Vocabulary:
+    """table: (word, n, kind, slot), a row for each word of the corpus; mass: smoothed count of each class."""
+
+    table: DataFrame
+    mass: np.ndarray
+    slots: int
+    own: int  # words with a context embedding of their own
+
+
 class Model:
-    """Trained weights and word classes; its size does not depend on the corpus."""
+    """Trained weights and word classes."""
 
-    def __init__(self, weights: Weights, classes: np.ndarray, within: np.ndarray, targets: int = 0) -> None:
-        self.weights, self.classes, self.within = weights, classes, within
+    def __init__(self, weights: Weights, vocabulary: Vocabulary, encoded: tuple[DataFrame, DataFrame], targets: int = 0) -> None:
+        self.weights, self.vocabulary = weights, vocabulary
+        self.encoded = encoded  # the training tokens, and the same with classes and counts
         self.targets = targets  # words predicted in training, over all rounds
 
-    def logp(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log P(word | both sides) of every word."""
-        return class_logp(self.weights, contexts(ids, counts), self.classes[ids]) + self.within[ids]
-
 
 def token_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids): words as 2-byte ids, written once and read in every pass."""
+    """Blocks of documents with their different words, counted; written once and read in every pass."""
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return as_table(columns.mapInArrow(_to_ids, "doc_id long, ids binary"), "lm-tokens")
+    return as_table(columns.mapInArrow(_to_blocks, _TOKENS_SQL), "lm-tokens")
+
+
+def vocabulary(tokens: DataFrame) -> Vocabulary:
+    """Count of every word, its class and its context embedding."""
+    spark = tokens.sparkSession
+    each = tokens.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    counted = as_table(each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")), "lm-counts")
+    ties = counted.groupBy("n").agg(F.count(F.lit(1)).alias("ties")).collect()  # fewer than sqrt(2 x words of the corpus)
+    n, same = np.array(sorted(((r["n"], r["ties"]) for r in ties), reverse=True), dtype=np.int64).reshape(-1, 2).T
+    before, mass = np.cumsum(same) - same, same * (n + 1)
+    classes, slots = sizes_for(int(same.sum()))
+    owning = before + same <= slots - slots // 4
+    own = int(same[owning].sum())
+    total = int(mass.sum()) + 1  # and the unseen word
+    found = pa.table({"n": n, "ties": same, "before": before, "over": np.cumsum(mass) - mass, "owning": owning})
+    rows = counted.join(F.broadcast(spark.createDataFrame(found)), "n")
+    # ties of the frequent words are numbered; of the others the hash itself, spread evenly, says where in the tie a word is
+    head = rows.where("owning").withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("word")).cast("long") - 1)
+    spread = F.floor(F.col("ties") * (F.col("word") / F.lit(2.0**64) + 0.5))
+    tail = rows.where("not owning").withColumn("rank", F.least(F.col("ties") - 1, spread).cast("long"))
+    share = (F.col("over") + (F.col("rank") + 1) * (F.col("n") + 1)) / F.lit(float(total))
+    kind = F.least(F.lit(classes - 1), F.floor(share * classes)).cast("int")
+    slot = F.when(F.col("owning"), F.col("before") + F.col("rank")).otherwise(own + F.pmod("word", F.lit(slots - own)))
+    table = as_table(head.unionByName(tail).select("word", "n", kind.alias("kind"), (slot + 1).cast("int").alias("slot")), "lm-words")
+    of_class = np.zeros(classes, np.int64)
+    for r in table.groupBy("kind").agg(F.sum(F.col("n") + 1).alias("mass")).collect():  # one row a class
+        of_class[r["kind"]] = r["mass"]
+    of_class[-1] += 1
+    return Vocabulary(table, of_class, slots, own)
+
+
+def encode(tokens: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Token blocks with class, context embedding and count of their different words."""
+    last, own, slots = len(vocab.mass) - 1, vocab.own, vocab.slots
+
+    def put(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(right["pos"].to_numpy())
+        n, kind, slot = (right[k].to_numpy()[order] for k in ("n", "kind", "slot"))
+        new = [n_.astype(t).tobytes() for n_, t in ((kind, "<i4"), (slot, "<i4"), (n, "<i8"))]
+        cols = [left[k].combine_chunks() for k in ("block", "doc_ids", "sizes", "at")] + [pa.array([v], pa.binary()) for v in new]
+        return pa.Table.from_arrays(cols, schema=_ENCODED)
+
+    words = tokens.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word")).join(vocab.table, "word", "left")
+    other = (own + 1 + F.pmod("word", F.lit(slots - own))).cast("int")
+    filled = {"n": F.lit(0), "kind": F.lit(last), "slot": other}  # those of a word that the corpus lacks
+    words = words.select("of", "pos", *[F.coalesce(k, v).alias(k) for k, v in filled.items()])
+    blocks = tokens.select("block", "doc_ids", "sizes", "at").groupBy("block")
+    return as_table(blocks.cogroup(words.groupBy("of")).applyInArrow(put, _ENCODED_SQL), "lm-encoded")
 
 
 def train(tokens: DataFrame) -> Model:
     spark = tokens.sparkSession
-    ids = tokens.select("ids")
-    partitions = ids.rdd.getNumPartitions()
-    counted = _total(ids.mapInArrow(_count, "sums binary, n long"), partitions)
-    classes, within, share = word_classes(counted[0] if counted else np.zeros(VOCABULARY, np.int64))
-    weights, seen = first_weights(share), 0
+    vocab = vocabulary(tokens)
+    encoded = encode(tokens, vocab)
+    weights, seen = first_weights(vocab.mass / vocab.mass.sum(), vocab.slots), 0
+    columns = encoded.select("sizes", "at", "kinds", "slots")
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((weights, classes))
+        shared = spark.sparkContext.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
-            start, kinds = shared.value
-            trainer = Trainer(start)
+            trainer = Trainer(shared.value)
             rng = np.random.default_rng(turn)
             for batch in batches:
-                for _, ids, counts in _documents(batch, 0):
+                for counts, ids, kinds, slots in _rows(batch, ("kinds", "<i4"), ("slots", "<i4")):
                     at = targets(counts, turn)
-                    ctx = contexts(ids, counts)[at]
+                    ctx = contexts(slots[ids], counts)[at]
                     target = kinds[ids[at]]
                     order = rng.permutation(len(at))
                     for a in range(0, len(order), MINIBATCH):
@@ -248,30 +328,30 @@ def train(tokens: DataFrame) -> Model:
             if trainer.targets:
                 yield _one(np.rint(pack(trainer.w).astype(np.float64) * trainer.targets * _FIXED), trainer.targets)
 
-        total = _total(ids.mapInArrow(run, "sums binary, n long"), partitions)
+        total = _total(columns.mapInArrow(run, _SUMS), sum(v.size for v in weights.values()))
         if total:
-            weights = unpack(total[0] / _FIXED / total[1])
+            weights = unpack(total[0] / _FIXED / total[1], weights)
             seen += total[1]
-    return Model(weights, classes, within, seen)
+    return Model(weights, vocab, (tokens, encoded), seen)
 
 
 def score(tokens: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_words, sum_logp, mean_logp) for each row of a token table."""
-    shared = tokens.sparkSession.sparkContext.broadcast(model)
+    """(doc_id, n_words, sum_logp, mean_logp) for each document of a token table."""
+    encoded = model.encoded[1] if tokens is model.encoded[0] else encode(tokens, model.vocabulary)
+    shared = tokens.sparkSession.sparkContext.broadcast((model.weights, model.vocabulary.mass))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, mass = shared.value
         for batch in batches:
-            n, total = [], []
-            for _, ids, counts in _documents(batch, 1):
-                logp = np.concatenate(([0.0], np.cumsum(shared.value.logp(ids, counts))))
+            for row, (counts, ids, kinds, slots, n) in enumerate(_rows(batch, ("kinds", "<i4"), ("slots", "<i4"), ("n", "<i8"))):
+                within = np.log((n + 1) / mass[kinds])
+                logp = class_logp(weights, contexts(slots[ids], counts), kinds[ids]) + within[ids]
+                logp = np.concatenate(([0.0], np.cumsum(logp)))
                 end = np.cumsum(counts)
-                n.append(counts)
-                total.append(np.round(logp[end] - logp[end - counts], 4))
-            sizes = np.concatenate(n) if n else np.zeros(0, np.int64)
-            sums = np.concatenate(total) if total else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_words", "sum_logp"])
+                sums = np.round(logp[end] - logp[end - counts], 4)
+                yield pa.RecordBatch.from_arrays([batch["doc_ids"][row].values, pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_words", "sum_logp"])
 
-    out = tokens.mapInArrow(run, "doc_id long, n_words long, sum_logp double")
+    out = encoded.mapInArrow(run, "doc_id long, n_words long, sum_logp double")
     return out.withColumn("mean_logp", F.when(F.col("n_words") > 0, F.col("sum_logp") / F.col("n_words")))
 
 
