@@ -94,3 +94,9 @@ def test_components(spark):
     real = {n for a, b in edges if a != b for n in (a, b)}
     assert set(got) == real and all((got[x] == got[y]) == (root(x) == root(y)) for x in real for y in real)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_thresholds_that_would_lose_links_are_refused(none):
+    for call in (near_duplicates, drop_near_duplicates):
+        with pytest.raises(ValueError, match="at least 80"):
+            call(none, threshold=60)

@@ -21,7 +21,7 @@
    the whole text pairs nobody. This is exact, and replaces the pairs of those lists.
 
 A pair at the threshold of 0.8 agrees in fewer than MATCHES coordinates with
-probability 3e-7 (binomial with 48 coordinates); nothing else is approximate, save for
+probability 8e-7 (binomial with 48 coordinates); nothing else is approximate, save for
 64-bit hashes of shingles.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing;
@@ -185,7 +185,12 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    MATCHES is meant for THRESHOLD: under it, links would be lost (6% of those at 0.6), so it is refused.
+    """
+    if threshold < THRESHOLD:
+        raise ValueError(f"threshold must be at least {THRESHOLD}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     schema = "doc_id long, text_hash long, n_shingles long, set_key binary, sig array<int>"
     slim = as_table(texts.mapInArrow(_signatures(width), schema), "minhash-rows")
