@@ -16,39 +16,31 @@ WORD = f"[^{BLANKS}]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    A temporary folder is made only where the session names none, as in tests.
+    A temporary folder is made only for a local master whose session names none, as in tests; a
+    cluster without the setting is an error.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="voxweave-")
-    if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def as_table(df: DataFrame, label: str) -> DataFrame:
-    """Write once as Parquet in the shared folder, and read that copy from then on."""
+    """Write once as Parquet in the shared folder, and read that copy from then on.
+
+    Lineage ends there: a lost executor costs a read. The folder is the caller's to clear when
+    the results that were read from it are no longer needed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that the caller's columns don't use (case-insensitive)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def col(name: str) -> Column:
     """A top-level column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

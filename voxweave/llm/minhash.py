@@ -8,27 +8,28 @@
    postings first keeps lists of frequent shingles short. Values posted once
    find nobody and are dropped.
 3. In each list every class is paired with the class whose values are shared most widely, as
-   an original's are; a class keeps the partner with most collisions. Pairs whose signatures agree often enough are confirmed on
-   their full shingle sets. The confirmed links' components come next.
-4. Merging skips what is linked already: only classes that share a list but lie in different
-   components are paired, confirmed and linked. So a group of n near copies costs
-   about n pairs, yet every pair that agrees in enough coordinates is either
-   linked through others or compared.
-5. A list of more than LONG classes in different components comes from a passage that many
-   texts share. Its classes are posted again, under the rarest shingles of their full
-   sets: two sets at the threshold share one of the first n - ceil(0.8 n) + 1 in any
-   common order (the smaller set, of the first ninth), so a shared passage that is not nearly
-   the whole text pairs nobody. This is exact, and replaces the pairs of those lists.
+   an original's are; a class keeps the partner with most collisions. Pairs whose signatures
+   agree often enough are confirmed on their full shingle sets. Confirmed links make components.
+4. Merging skips what is linked already, in rounds. Each list that still holds several
+   components puts up leaders; a leader is compared with the list's classes in other components,
+   and then leaves the list, as all of its pairs there are settled. Components are contracted between
+   the rounds, so a group of n near copies costs about n pairs a round.
+5. Lists that are open after that round over signatures come from texts that share much, but less than the
+   threshold. Their classes are posted again, under the rarest shingles of their full sets and by
+   set size (see `_full_posts`): this is exact, and leaves out classes that can't reach the
+   threshold with anybody. Rounds go on over these lists, with GROWTH times as many leaders in each,
+   until none is open. So every pair is linked through others, or compared, or excluded by a bound.
 
 A pair at the threshold of 0.8 agrees in fewer than MATCHES coordinates with
-probability 8e-7 (binomial with 48 coordinates); nothing else is approximate, save for
-64-bit hashes of shingles.
+probability 8e-7 (binomial with 48 coordinates, taking their hashes as independent); nothing
+else is approximate, save for 64-bit hashes of shingles and 128-bit sums of them for whole sets.
 
 Defined cases: a null, empty or blank text has no shingles and is linked with nothing;
 a text with fewer words than the shingle has its whole sequence as one; repeated rows
 are kept as rows, of one class; a null doc_id never names a component if the
-component has another id, otherwise component_id is null and kept true; an
-empty table gives no rows; columns other than doc_id and text are ignored.
+component has another id, otherwise component_id is null and kept true; rows that share a doc_id
+but not the text are judged apart; an empty table gives no rows; columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations
@@ -41,15 +42,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import as_table, cut
-from .graph import components
+from .common import as_table, col
+from .graph import contract
 from .tokens import U64, mix64, pieces, shingles, word_hashes
 
 COORDS = 48
 MATCHES = 24
 PREFIX = COORDS - MATCHES + 1
-#: Lists up to this length are paired directly.
-LONG = 16
+#: Leaders of each open list: in the round over signatures, in the first over full sets, and how they multiply.
+LEADERS, FULL_LEADERS, GROWTH = 1, 16, 16
 #: A link needs 100 * common >= THRESHOLD * union.
 THRESHOLD = 80
 
@@ -131,63 +132,98 @@ def _confirm(width: int, threshold: int):
 
 
 def _grams(width: int):
-    """Exploded shingle sets: (set_key, label, size, gram)."""
+    """Exploded shingle sets: (node, size, gram)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, grams in enumerate(_sets(batch.column(2), width)):
-                keys, labels = (batch.column(k).take(pa.array(np.full(len(grams), i))) for k in (0, 1))
-                size = pa.array(np.full(len(grams), len(grams)), pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, labels, size, pa.array(grams.view(np.int64), pa.int64())], names=["set_key", "label", "size", "gram"])
+            node, held, rows, sets = np.asarray(batch.column(0)), 0, [], []
+            for i, grams in enumerate(_sets(batch.column(1), width)):
+                rows.append(i)
+                sets.append(grams)
+                held += len(grams)
+                if held >= 1 << 18 or i == len(batch) - 1:
+                    n = np.array([len(s) for s in sets])
+                    cols = [np.repeat(node[rows], n), np.repeat(n, n), np.concatenate(sets).view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "size", "gram"])
+                    held, rows, sets = 0, [], []
 
     return run
 
 
-def _apart_crowded(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Pairs of crowded lists that may reach the threshold, by prefixes of their full sets.
+def _full_posts(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Postings of full sets, whose lists hold every pair that may reach the threshold.
 
-    Common shingles number at least threshold * (n_a + n_b) / (100 + threshold). With rare shingles
-    first, the first common one is early in both sets: what follows it must still suffice.
+    Shingles are ordered rare first. Two sets at the threshold have at least
+    threshold * (n_a + n_b) / (100 + threshold) shingles in common, so the first common one is early in
+    both, and what follows it in each must still suffice. A list is a shingle and a class of the smaller
+    set's size (5 % wide); a set is posted as the smaller one in the class of its own size, and as
+    the larger one in those that its posting's place still allows.
     """
-    texts = nodes.join(bodies, "set_key").select("set_key", "label", "text")
-    grams = cut(texts.mapInArrow(_grams(width), "set_key binary, label binary, size long, gram long"))
+    texts = bodies.join(nodes, "node", "left_semi").select("node", "text")
+    grams = as_table(texts.mapInArrow(_grams(width), "node long, size long, gram long"), "minhash-grams")
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    mine = Window.partitionBy("set_key")
+    mine = Window.partitionBy("node")
     # shingles of one text only come first in the order
     place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "gram"))
     posts = grams.join(often, "gram").withColumn("place", place)
-    # against sets as large or larger, and against smaller ones
-    as_small = F.col("size") - F.ceil(F.col("size") * (2 * threshold) / (100 + threshold)) + 1
-    as_large = F.col("size") - F.ceil(F.col("size") * threshold / 100) + 1
-    posts = cut(posts.where(F.col("place") <= as_large).select("gram", "set_key", "label", "size", "place"))
-    a = posts.where(F.col("place") <= as_small).select("gram", *[F.col(c).alias(f"{c}_a") for c in ("set_key", "label", "size", "place")])
-    b = posts.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("set_key", "label", "size", "place")])
-    met = a.join(b, "gram").where("label_a <> label_b AND (size_a < size_b OR size_a = size_b AND set_key_a < set_key_b)")
-    met = met.where(f"100 * size_a >= {threshold} * size_b")
-    met = met.where(f"(100 + {threshold}) * (1 + least(size_a - place_a, size_b - place_b)) >= {threshold} * (size_a + size_b)")
-    return met.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))
-
-
-def _apart(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one short list and different components."""
-    a = posts.select("at", "value", F.col("set_key").alias("a"), F.col("label").alias("label_a"))
-    b = posts.select("at", "value", F.col("set_key").alias("b"), F.col("label").alias("label_b"))
-    return a.join(b, ["at", "value"]).where("label_a <> label_b AND a < b").select("a", "b")
+    # what can be common from here on, and the other's largest size that this allows
+    posts = posts.withColumn("most", F.floor((F.col("size") - F.col("place") + 1) * ((100 + threshold) / threshold)) - F.col("size"))
+    step = lambda c: F.floor(F.log(c.cast("double")) / np.log(1.05)).cast("int")
+    least = F.ceil(F.col("size") * (threshold / 100))
+    own = F.when(F.col("most") >= F.col("size"), F.array(step(F.col("size"))))
+    below = F.when(F.col("most") >= least, F.sequence(step(least), step(F.least("most", "size"))))
+    roles = F.array(F.struct(F.lit(True).alias("small"), own.alias("steps")), F.struct(F.lit(False).alias("small"), below.alias("steps")))
+    posts = posts.where(F.col("most") >= least).select("*", F.explode(roles).alias("role"))
+    posts = posts.select("node", "size", "most", "gram", "role.small", F.explode("role.steps").alias("step"))
+    lists = posts.groupBy("gram", "step").agg(F.bool_or("small").alias("s"), F.bool_or(~F.col("small")).alias("l")).where("s AND l")
+    key = F.xxhash64("gram", "step").alias("list")
+    weight = (F.col("most") - F.col("size")).alias("weight")
+    return posts.join(lists, ["gram", "step"]).select(key, "node", weight, "size", "most", "small")
+
+
+def _open(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists that hold several components, with each posting's component."""
+    label = F.col("node") if labels is None else F.coalesce("label", "node")
+    tagged = posts if labels is None else posts.join(labels, "node", "left")
+    tagged = tagged.select(*posts.columns, label.alias("label"))
+    many = F.min("label") < F.max("label")
+    if "small" in posts.columns:
+        many &= F.bool_or("small") & F.bool_or(~F.col("small"))
+    several = tagged.groupBy("list").agg(many.alias("several")).where("several").select("list")
+    return as_table(tagged.join(several, "list"), "minhash-open")
+
+
+def _led(lists: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs of leaders and their list's classes in other components, lists without the leaders)."""
+    rest = [c for c in lists.columns if c not in ("list", "weight")]
+    salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
+    best = lists.groupBy("list", salt.alias("salt")).agg(F.max(F.struct("weight", *rest)).alias("lead"))
+    best = as_table(best.select("list", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in rest]), "minhash-leaders")
+    fits = F.col("lead_label") != F.col("label")
+    if "small" in rest:
+        lead_larger = F.col("lead_size") >= F.col("size")
+        fits &= F.when(F.col("lead_small"), ~F.col("small") & (F.col("size") >= F.col("lead_size"))).otherwise(F.col("small") & lead_larger)
+        fits &= (F.col("size") <= F.col("lead_most")) & (F.col("lead_size") <= F.col("most"))
+    pairs = lists.join(best, "list").where(fits).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
+    role = [lists["node"] == best["lead_node"]] + ([lists["small"] == best["lead_small"]] if "small" in rest else [])
+    left = lists.join(best, [lists["list"] == best["list"], *role], "left_anti")
+    return pairs, left
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough and whose sizes allow the threshold."""
-    side = lambda x: classes.select(F.col("set_key").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
     equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return both.where(sizes).where(equal >= MATCHES).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def members(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, n_shingles, and its component's lead_id and lead_hash.
 
-    MATCHES is meant for THRESHOLD: under it, links would be lost (6% of those at 0.6), so it is refused.
+    The lead is the least (doc_id, text_hash) of the component. MATCHES is meant for THRESHOLD: under it,
+    links would be lost (6% of those at 0.6), so it is refused.
     """
     if threshold < THRESHOLD:
         raise ValueError(f"threshold must be at least {THRESHOLD}")
@@ -198,64 +234,86 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     any_hash = F.min("text_hash").alias("any_hash")
     classes = as_table(
         slim.where("n_shingles > 0").groupBy("set_key").agg(lead, any_hash, F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
-        .select("set_key", F.col("lead.doc_id").alias("lead_id"), F.coalesce("lead.text_hash", "any_hash").alias("lead_hash"), "sig", "n_shingles"),
+        .select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("lead.doc_id").alias("lead_id"), F.coalesce("lead.text_hash", "any_hash").alias("lead_hash"), "sig", "n_shingles"),
         "minhash-classes",
     )
 
-    posted = classes.select("set_key", F.posexplode("sig").alias("at", "value"))
-    often = posted.groupBy("at", "value").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = posted.join(often, ["at", "value"])
+    place_of = (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("list")
+    posted = classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", place_of)
+    often = posted.groupBy("list").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    shared = posted.join(often, "list")
     # values posted once come first in the order; they are COORDS minus those that are shared
-    mine = Window.partitionBy("set_key")
-    place = F.lit(COORDS) - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "at"))
+    mine = Window.partitionBy("node")
+    place = F.lit(COORDS) - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "list"))
     # what an original has that its edited copies lack: all of its values are shared, and widely
     weight = F.sum("often").over(mine).alias("weight")
-    lists = cut(shared.select("*", place.alias("place"), weight).where(F.col("place") <= PREFIX).select("at", "value", "set_key", "weight"))
+    lists = as_table(shared.select("*", place.alias("place"), weight).where(F.col("place") <= PREFIX).select("list", "node", "weight"), "minhash-lists")
 
-    lead = F.max(F.struct("weight", "set_key"))["set_key"].alias("a")
-    heads = lists.groupBy("at", "value").agg(lead, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = lists.join(heads, ["at", "value"]).where("a <> set_key").groupBy("set_key", "a").agg(F.count(F.lit(1)).alias("n"))
-    first = stars.groupBy("set_key").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("set_key").alias("b"))
+    lead = F.max(F.struct("weight", "node"))["node"].alias("a")
+    heads = lists.groupBy("list").agg(lead, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = lists.join(heads, "list").where("a <> node").groupBy("node", "a").agg(F.count(F.lit(1)).alias("n"))
+    first = stars.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("node").alias("b"))
 
-    listed = lists.select("set_key").distinct().join(classes, "set_key").select("set_key", F.col("lead_id").alias("doc_id"), F.col("lead_hash").alias("text_hash"))
+    listed = lists.select("node").distinct().join(classes, "node").select("node", F.col("lead_id").alias("doc_id"), F.col("lead_hash").alias("text_hash"))
     same = (F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))) & (F.col("x.text_hash") == F.col("y.text_hash"))
     # repeated rows bring a text more than once
-    bodies = as_table(
-        listed.alias("x").join(texts.alias("y"), same).select("x.set_key", "y.text").dropDuplicates(["set_key"]), "minhash-texts"
-    )
+    bodies = as_table(listed.alias("x").join(texts.alias("y"), same).select("x.node", "y.text").dropDuplicates(["node"]), "minhash-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         near = _agreeing(pairs, classes, threshold)
-        a = bodies.select(F.col("set_key").alias("a"), F.col("text").alias("text_a"))
-        b = bodies.select(F.col("set_key").alias("b"), F.col("text").alias("text_b"))
-        return near.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, threshold), "a binary, b binary")
-
-    links = cut(confirmed(first))
-    groups = components(links)
-
-    label = F.coalesce("label", "set_key").alias("label")
-    tagged = cut(lists.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left").select("at", "value", "set_key", label))
-    per_list = tagged.groupBy("at", "value").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    open_lists = cut(tagged.join(per_list.where("lo <> hi").select("at", "value", "n"), ["at", "value"]))
-    short = open_lists.where(F.col("n") <= LONG).select("at", "value", "set_key", "label")
-    crowded = open_lists.where(F.col("n") > LONG).select("set_key", "label").distinct()
-    apart = _apart(short).unionByName(_apart_crowded(crowded, bodies, width, threshold)).distinct()
-    more = cut(confirmed(apart))
-    groups = components(links.unionByName(more))
-
-    named = classes.join(groups.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "lead_id", label)
-    least = named.groupBy("label").agg(F.min("lead_id").alias("component_id"))
-    ends = named.join(least, "label").select("set_key", "component_id")
-    out = slim.select("doc_id", "n_shingles", "set_key").join(ends, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+        a = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        return near.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, threshold), "a long, b long")
+
+    labels, turn = contract(None, confirmed(first)), 0
+
+    def settled(lists: DataFrame, leaders: int) -> DataFrame:
+        """What is still open of the lists after one round."""
+        nonlocal labels, turn
+        pairs, lists = _led(lists, leaders, turn)
+        labels, turn = contract(labels, confirmed(pairs)), turn + 1
+        return _open(lists.drop("label"), labels)
+
+    lists = settled(_open(lists, labels), LEADERS)
+    if not lists.isEmpty():
+        lists, leaders = _open(_full_posts(lists.select("node").distinct(), bodies, width, threshold), labels), FULL_LEADERS
+        while not lists.isEmpty():
+            lists, leaders = settled(lists, leaders), leaders * GROWTH
+
+    # classes that are linked with others: the least lead of their component
+    own = F.struct(F.col("lead_id").isNull().alias("none"), "lead_id", "lead_hash")
+    named = classes.join(labels, "node").select("set_key", "label", own.alias("own"))
+    least = named.groupBy("label").agg(F.min("own").alias("least"))
+    ends = named.join(least, "label").select("set_key", F.col("least.lead_id").alias("far_id"), F.col("least.lead_hash").alias("far_hash"))
+    alone = classes.select("set_key", "lead_id", "lead_hash")
+    every = as_table(alone.join(ends, "set_key", "left").select(
+        "set_key", F.when(F.col("far_hash").isNull(), F.col("lead_id")).otherwise(F.col("far_id")).alias("lead_id"), F.coalesce("far_hash", "lead_hash").alias("lead_hash")
+    ), "minhash-leads")
+    return slim.select("doc_id", "text_hash", "n_shingles", "set_key").join(every, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    component = F.when(F.col("n_shingles") > 0, F.col("lead_id")).otherwise(F.col("doc_id"))
+    out = members(docs, width, threshold).select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """docs without the rows that another document of their group stands for."""
-    gone = near_duplicates(docs, width, threshold).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
+    """docs with one row of each group of near copies: that of the least (doc_id, hash of the text), null ids last.
+
+    Of repeated rows of it, that with the least hash of all columns stays; rows without words all stay.
+    """
+    known = members(docs, width, threshold).where("n_shingles > 0")
+    leads = F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("text_hash") == F.col("lead_hash"))
+    keys = known.groupBy("doc_id", "text_hash").agg(F.bool_or(leads).alias("leads"), F.count(F.lit(1)).alias("n"))
+    keys = as_table(keys.where("n > 1 OR NOT leads").select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), "leads"), "minhash-keys")
+    row = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("key_id")) & (F.col("hash") == F.col("key_hash"))
+    once = row.join(keys, same, "left_anti").select("row")
+    order = Window.partitionBy("id", "hash").orderBy(F.xxhash64("row"))
+    repeated = row.join(keys.where("leads"), same, "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row")
+    return once.unionByName(repeated).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,13 +185,7 @@ def records(path: str, start: int, end: int) -> Iterator[tuple[dict[str, str], b
         lines = head.decode("utf-8").split("\r\n")[1:]
         fields = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         yield fields, rest[: int(fields["content-length"])]
-        if not reader.data and not reader.more():
-            return
-        if reader.at >= end:
-            return
-        while len(reader.data) < len(MAGIC) and reader.more():
-            pass
-        if not reader.data.startswith(MAGIC) and not reader.seek_record(end):  # padding between members
+        if not reader.seek_record(end):  # the next member is validated too; padding between members is skipped
             return
 
 
