@@ -50,7 +50,7 @@ COORDS = 48
 MATCHES = 24
 PREFIX = COORDS - MATCHES + 1
 #: Leaders of each open list: in the round over signatures, in the first over full sets, and how they multiply.
-LEADERS, FULL_LEADERS, GROWTH = 1, 16, 16
+LEADERS, FULL_LEADERS, GROWTH = 1, 64, 1024
 #: A link needs 100 * common >= THRESHOLD * union.
 THRESHOLD = 80
 
@@ -181,16 +181,21 @@ def _full_posts(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int)
     return posts.join(lists, ["gram", "step"]).select(key, "node", weight, "size", "most", "small")
 
 
-def _open(posts: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The lists that hold several components, with each posting's component."""
-    label = F.col("node") if labels is None else F.coalesce("label", "node")
-    tagged = posts if labels is None else posts.join(labels, "node", "left")
-    tagged = tagged.select(*posts.columns, label.alias("label"))
-    many = F.min("label") < F.max("label")
-    if "small" in posts.columns:
-        many &= F.bool_or("small") & F.bool_or(~F.col("small"))
-    several = tagged.groupBy("list").agg(many.alias("several")).where("several").select("list")
-    return as_table(tagged.join(several, "list"), "minhash-open")
+def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold several components, with each posting's component.
+
+    Of full sets' lists only postings whose bounds allow some partner in the list.
+    """
+    tagged = posts.join(labels, "node", "left").select(*posts.columns, F.coalesce("label", "node").alias("label"))
+    several = (F.min("label") < F.max("label")).alias("several")
+    if "small" not in posts.columns:
+        lists = tagged.groupBy("list").agg(several).where("several").select("list")
+        return as_table(tagged.join(lists, "list"), "minhash-open")
+    ends = [f(F.when(F.col("small") == (role == "s"), F.col(c))).alias(f"{name}_{role}") for role in "sl" for name, f, c in (("least", F.min, "size"), ("far", F.max, "most"))]
+    lists = tagged.groupBy("list").agg(several, *ends).where("several AND least_s IS NOT NULL AND least_l IS NOT NULL")
+    as_small = F.col("small") & (F.col("least_l") <= F.col("most")) & (F.col("size") <= F.col("far_l"))
+    as_large = ~F.col("small") & (F.col("least_s") <= F.col("most")) & (F.col("size") <= F.col("far_s"))
+    return as_table(tagged.join(lists, "list").where(as_small | as_large).select(*posts.columns, "label"), "minhash-open")
 
 
 def _led(lists: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFrame]:
