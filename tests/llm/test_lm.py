@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from voxweave.llm import lm
-from voxweave.llm.lm import Model, contexts, first_weights, score, token_table, train, word_classes
+from voxweave.llm.lm import Places, contexts, score, token_table, train
+from voxweave.llm.tokens import word_hashes
 
 
 def test_contexts_stay_within_texts():
@@ -15,14 +17,68 @@ def test_contexts_stay_within_texts():
     assert ctx.tolist() == [[e, e, 11, 12], [e, 10, 12, e], [10, 11, e, e], [e, e, e, e]]
 
 
+def zipf(number):
+    """(counts, ties, words, counts of the words) of a corpus whose n-th word occurs 3 * number / n times."""
+    each = np.maximum(3 * number // np.arange(1, number + 1), 1)
+    n, ties = np.unique(each, return_counts=True)
+    words = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, number)
+    return n[::-1], ties[::-1], words, each
+
+
 def test_probabilities_sum_to_one():
-    counts = np.random.default_rng(0).integers(0, 50, lm.VOCABULARY)
-    classes, within, share = word_classes(counts)
-    model = Model(first_weights(share), classes, within)
-    ids = np.arange(lm.VOCABULARY, dtype=np.int64)
-    fixed = np.repeat([[1, 2, 3, 4]], lm.VOCABULARY, axis=0)
-    p = np.exp(lm.class_logp(model.weights, fixed, classes) + within)
-    assert abs(p.sum() - 1) < 1e-4 and len(ids) == len(p)
+    """Over all words and the unseen one, for any context and any weights."""
+    n, ties, words, each = zipf(70_000)
+    places = Places(n, ties, words[: lm.HEAVY], each[: lm.HEAVY])
+    assert places.classes > lm.CLASSES and places.slots > lm.BUCKETS
+    cell, slot = places.of(words, each)
+    assert slot[: places.own].tolist() != [0] and len(set(slot[: places.own])) == places.own and slot.max() <= places.slots
+    mass = np.bincount(cell, weights=each + 1, minlength=places.classes * lm.CELLS)
+    mass[-1] += 1
+    own = np.flatnonzero(np.bincount(cell, minlength=len(mass)) == 1)
+    assert len(np.intersect1d(own, cell[:500])) > 450  # frequent words have cells of their own
+    w = lm.first_weights(mass.reshape(-1, lm.CELLS), places.slots)
+    rng = np.random.default_rng(2)
+    w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in w.items()}
+    every = np.flatnonzero(mass)
+    p = np.exp(lm.cell_logp(w, np.repeat([[1, 2, 3, 4]], len(mass), axis=0), np.arange(len(mass))))
+    assert abs(p.sum() - 1) < 1e-4 and p[every].sum() <= p.sum()
+
+
+def slow_scores(model, rows):
+    """Each score by loops over words, from the weights and counts alone."""
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    known = {r.word: r.n for r in model.vocabulary.counted.collect()}
+    mass, out = model.vocabulary.mass, {}
+    for i, text in rows:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        words = word_hashes(raw, np.array([0, len(raw)]))[0].view(np.int64)
+        n = np.array([known.get(int(x), 0) for x in words], np.int64)
+        cells, slots = model.vocabulary.places.of(words, n)
+        total = 0.0
+        for k in range(len(words)):
+            h = w["hidden"].copy()
+            for nth, off in enumerate((-2, -1, 1, 2)):
+                h += w["embed"][slots[k + off] if 0 <= k + off < len(words) else lm.EDGE] * w["scale"][nth]
+            h = np.tanh(h)
+            kind, sub = divmod(int(cells[k]), lm.CELLS)
+            first, second = h @ w["out"] + w["bias"], h @ w["cells"][kind] + w["cell_bias"][kind]
+            total += first[kind] - math.log(np.exp(first).sum()) + second[sub] - math.log(np.exp(second).sum())
+            total += math.log((n[k] + 1) / mass[kind][sub])
+        out[i] = total
+    return out
+
+
+def test_scores_equal_slow_ones(spark, odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(lm, "HEAVY", 100)  # most words go through the join
+    tokens = token_table(odd)
+    model = train(tokens)
+    n = {r.word: r.n for r in model.vocabulary.counted.collect()}
+    raw = np.concatenate([word_hashes(np.frombuffer((r[1] or "").encode(), np.uint8), np.array([0, len((r[1] or "").encode())]))[0] for r in odd_rows]).view(np.int64)
+    assert n == {int(a): int(b) for a, b in zip(*np.unique(raw, return_counts=True))}
+    some = [(i, r[1]) for i, r in enumerate(odd_rows) if len(r[1] or "") < 3000] + [(1000, "junk that nobody wrote zzzz")]
+    got = {r.doc_id: r.sum_logp for r in score(token_table(spark.createDataFrame(some, "doc_id long, text string")), model).collect()}
+    want = slow_scores(model, some)
+    assert all(abs(got[i] - want[i]) < 1e-3 * (1 + abs(want[i])) for i in want)
 
 
 def test_held_out_text_beats_shuffled_words(spark):
@@ -70,24 +126,6 @@ def test_training_covers_all_words(spark, odd):
     assert model.targets == sum(r.n_words for r in score(tokens, model).collect())
 
 
-def test_every_word_has_its_own_count(spark):
-    """Many more words than VOCABULARY: each keeps its count, and the tables grow."""
-    rows = [(i, " ".join(f"w{i * 1000 + k} " + "often " * (k % 50 == 0) for k in range(1000))) for i in range(100)]
-    rows.append((100, " ".join(f"f{k} " * (k + 3) for k in range(60))))
-    tokens = token_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    vocab = lm.vocabulary(tokens)
-    table = vocab.table.toPandas().sort_values(["n", "word"], ascending=[False, True])
-    want = np.array([2000, *range(62, 2, -1), *[1] * 100_000])
-    assert (table.n.to_numpy() == want).all() and table.word.is_unique
-    assert len(vocab.mass) > lm.CLASSES and vocab.slots > lm.BUCKETS
-    classes, _, share = word_classes(np.append(want, 0), len(vocab.mass))
-    assert (table.kind.to_numpy()[:61] == classes[:61]).all() and table.slot.to_numpy()[:61].tolist() == list(range(1, 62))
-    assert np.abs(vocab.mass / vocab.mass.sum() - share).max() < 0.01
-    within = np.append((table.n.to_numpy() + 1) / vocab.mass[table.kind], 1 / vocab.mass[-1])
-    of_class = np.bincount(np.append(table.kind, len(vocab.mass) - 1), weights=within, minlength=len(vocab.mass))
-    assert np.allclose(of_class[vocab.mass > 0], 1)
-
-
 def test_a_known_word_is_likelier_than_an_unseen_one(spark):
     rows = [(i, " ".join(f"w{i * 1000 + k} twice twice" for k in range(1000))) for i in range(60)]
     model = train(token_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)))

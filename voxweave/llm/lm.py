@@ -1,23 +1,27 @@
 """Language-model scores by masked pseudo-likelihood.
 
 A window network predicts each word from the two words on either side of it:
-context words are embedded, scaled by position, summed, squashed, and mapped to a
-softmax over word classes; within its class a word has its smoothed corpus frequency.
-A document's score is the sum over its words of log P(word | both sides).
+context words are embedded, scaled by position, summed and squashed. From that hidden state one
+softmax gives the word's class, and a second one, with weights of its own for each class, the
+cell within the class. Classes are cut from the frequency order so that each has about an equal share of
+all words; a class of up to CELLS words has a cell for each word, so there the network predicts the
+word itself; larger classes have CELLS cells, equal in words, within which a word has its share by its own
+count. A document's score is the sum over its words of log P(word | both sides).
 
 Everything is learned here, from all documents. Every word (by a 64-bit hash) has its own
-count over the whole corpus, in a table that is joined to the words of each block of documents
-and never gathered; classes are cut from the frequency order so that each has about an equal
-share of all words. The most frequent words have embeddings of their own as context, the others share a quarter or
-more of the table. Up to VOCABULARY words there are CLASSES classes and BUCKETS embeddings; beyond, classes grow with
-the cube root of the number of words and embeddings with its square root. Only WIDTH is fixed. Training
-runs in the tasks that hold the data: in each of ROUNDS rounds every partition starts
+count over the whole corpus, in a table that is never gathered. The HEAVY most frequent words,
+which make up most of the text, travel as one array to the tasks; the counts of all others are
+joined to the words of each block of documents. Frequent words have embeddings of their own as
+context, the others share a quarter or more of the table. Up to VOCABULARY words there are CLASSES classes and
+BUCKETS embeddings; beyond, both grow with the cube root of the number of words. WIDTH and CELLS are fixed.
+Training runs in the tasks that hold the data: in each of ROUNDS rounds every partition starts
 from the shared weights and does stochastic gradient steps over its documents (a round's
 targets are every ROUNDS-th word of each document, and the rounds' targets together are all words,
 each once), and the partitions' weights are averaged by the number of their targets. What
 is gathered is one weight vector a partition, added up in slices as it streams in, and how
 many words have each count (less than the root of twice the words of the corpus).
-Sums are in fixed point, so the order of arrival does not matter.
+Sums are in fixed point, so the order of arrival does not matter; another partitioning of the
+input trains other weights, and gives other scores.
 
 Defined cases: a null or blank text has n_words 0, sum_logp 0 and mean_logp null; a word
 next to a text's end has an end mark as context; all words that the training documents lack count
@@ -29,13 +33,13 @@ columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_table
@@ -44,11 +48,11 @@ from .tokens import pieces, word_hashes
 VOCABULARY = 1 << 15  # up to so many words the tables have their least sizes
 BUCKETS = 1 << 12
 EDGE = 0  # the context beyond either end
-CLASSES, WIDTH, SIDE = 64, 16, 2
-ROUNDS, MINIBATCH, RATE = 2, 1024, 0.1
+CLASSES, CELLS, WIDTH, SIDE = 64, 64, 16, 2
+HEAVY = 1 << 16  # words whose counts are sent to the tasks
+ROUNDS, MINIBATCH, RATE = 2, 4096, 0.1
 _FIXED = float(1 << 16)
-_SLICE = 1 << 10
-_BLOCK = 1 << 22  # bytes of text
+_BLOCK = 1 << 24  # bytes of text
 _PART = 1 << 13
 _SPAN = 2 * SIDE
 
@@ -58,20 +62,22 @@ Weights = dict[str, np.ndarray]
 def sizes_for(words: int) -> tuple[int, int]:
     """(classes, context embeddings) for a number of different words."""
     more = max(1.0, words / VOCABULARY)
-    return round(CLASSES * more ** (1 / 3)), round(BUCKETS * more**0.5)
+    return round(CLASSES * more ** (1 / 3)), round(BUCKETS * more ** (1 / 3))
 
 
 def shapes(classes: int, slots: int) -> dict[str, tuple[int, ...]]:
-    return {"embed": (slots + 1, WIDTH), "scale": (_SPAN, WIDTH), "hidden": (WIDTH,), "out": (WIDTH, classes), "bias": (classes,)}
+    return {"embed": (slots + 1, WIDTH), "scale": (_SPAN, WIDTH), "hidden": (WIDTH,), "out": (WIDTH, classes), "bias": (classes,), "cells": (classes, WIDTH, CELLS), "cell_bias": (classes, CELLS)}
 
 
-def first_weights(class_share: np.ndarray, slots: int = BUCKETS) -> Weights:
-    """Small random weights; the biases start from the classes' shares."""
+def first_weights(mass: np.ndarray, slots: int = BUCKETS) -> Weights:
+    """Small random weights; the biases start from the shares of classes and cells (mass: classes x CELLS)."""
     rng = np.random.default_rng(0)
-    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(class_share), slots).items()}
+    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(mass), slots).items()}
     out["scale"][:] = 1
     out["hidden"][:] = 0
-    out["bias"] = np.log(class_share + 1e-6).astype(np.float32)
+    of_class = mass.sum(axis=1)
+    out["bias"] = np.log(of_class / of_class.sum() + 1e-6).astype(np.float32)
+    out["cell_bias"] = np.log(mass / np.maximum(of_class, 1)[:, None] + 1e-6).astype(np.float32)
     return out
 
 
@@ -113,15 +119,30 @@ def hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(h)
 
 
-def class_logp(w: Weights, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(class of the word | its context)."""
-    out = np.empty(len(target), dtype=np.float64)
-    for a in range(0, len(target), _SLICE):
-        b = a + _SLICE
-        logits = hidden(w, ctx[a:b]) @ w["out"] + w["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        chosen = logits[np.arange(len(logits)), target[a:b]]
-        out[a:b] = chosen - np.log(np.exp(logits).sum(axis=1))
+def _by_class(kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, places) of each class that occurs."""
+    order = np.argsort(kinds, kind="stable")
+    first = np.flatnonzero(np.append(True, kinds[order][1:] != kinds[order][:-1]))
+    for a, b in zip(first, np.append(first[1:], len(order))):
+        yield int(kinds[order[a]]), order[a:b]
+
+
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def cell_logp(w: Weights, ctx: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """log P(cell of the word | its context); cell = class * CELLS + place in the class."""
+    out = np.empty(len(cell), dtype=np.float64)
+    for a in range(0, len(cell), MINIBATCH):
+        kinds, subs = np.divmod(cell[a : a + MINIBATCH], CELLS)
+        h = hidden(w, ctx[a : a + MINIBATCH])
+        p = np.log(_softmax(h @ w["out"] + w["bias"])[np.arange(len(kinds)), kinds])
+        for kind, at in _by_class(kinds):
+            p[at] += np.log(_softmax(h[at] @ w["cells"][kind] + w["cell_bias"][kind])[np.arange(len(at)), subs[at]])
+        out[a : a + MINIBATCH] = p
     return out
 
 
@@ -133,21 +154,27 @@ class Trainer:
         self.seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in w.items()}
         self.targets = 0
 
-    def _step(self, name: str, grad: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
+    def _step(self, name: str, grad: np.ndarray, at: np.ndarray | slice | int = slice(None)) -> None:
         self.seen[name][at] += grad * grad
         self.w[name][at] -= RATE * grad / np.sqrt(self.seen[name][at])
 
-    def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
-        w, n = self.w, len(target)
+    def step(self, ctx: np.ndarray, cell: np.ndarray) -> None:
+        w, n = self.w, len(cell)
+        kinds, subs = np.divmod(cell, CELLS)
         rows = w["embed"][ctx]
         h = np.tanh(w["hidden"] + (rows * w["scale"]).sum(axis=1))
-        p = h @ w["out"] + w["bias"]
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), target] -= 1
+        p = _softmax(h @ w["out"] + w["bias"])
+        p[np.arange(n), kinds] -= 1
         p /= n
-        back = (p @ w["out"].T) * (1 - h * h)
+        back = p @ w["out"].T
+        for kind, at in _by_class(kinds):
+            q = _softmax(h[at] @ w["cells"][kind] + w["cell_bias"][kind])
+            q[np.arange(len(at)), subs[at]] -= 1
+            q /= n
+            back[at] += q @ w["cells"][kind].T
+            self._step("cells", h[at].T @ q, kind)
+            self._step("cell_bias", q.sum(axis=0), kind)
+        back *= 1 - h * h
         each = (back[:, None, :] * w["scale"]).reshape(-1, WIDTH)
         flat = ctx.ravel()
         order = np.argsort(flat, kind="stable")
@@ -164,9 +191,9 @@ class Trainer:
 
 
 _TOKENS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("at", pa.binary()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
-_ENCODED = pa.schema([*list(_TOKENS)[:4], ("kinds", pa.binary()), ("slots", pa.binary()), ("n", pa.binary())])
+_ENCODED = pa.schema([*list(_TOKENS)[:4], ("cells", pa.binary()), ("slots", pa.binary()), ("n", pa.binary())])
 _TOKENS_SQL = "block long, doc_ids array<long>, sizes array<long>, at binary, words array<long>, counts array<long>"
-_ENCODED_SQL = "block long, doc_ids array<long>, sizes array<long>, at binary, kinds binary, slots binary, n binary"
+_ENCODED_SQL = "block long, doc_ids array<long>, sizes array<long>, at binary, cells binary, slots binary, n binary"
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +202,8 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in pieces(batch.column(1), _BLOCK):
             hashes, sizes = word_hashes(data, offsets)
             words, at, counts = np.unique(hashes.view(np.int64), return_inverse=True, return_counts=True)
-            row = [block, batch.column(0)[a:b].to_pylist(), sizes, at.astype("<u4").tobytes(), words, counts]
+            packed = zstandard.ZstdCompressor(level=3).compress(at.astype("<u4").tobytes())
+            row = [block, batch.column(0)[a:b].to_pylist(), sizes, packed, words, counts]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _TOKENS)], schema=_TOKENS)
             block += 1
 
@@ -184,7 +212,8 @@ def _rows(batch: pa.RecordBatch, *columns: tuple[str, str]) -> Iterator[tuple[np
     """(sizes, index of each word, further columns of the block's different words) of the blocks."""
     for row in range(batch.num_rows):
         sizes = batch["sizes"][row].values.to_numpy(zero_copy_only=False)
-        yield sizes, *(np.frombuffer(batch[name][row].as_buffer(), dtype=kind) for name, kind in (("at", "<u4"), *columns))
+        at = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch["at"][row].as_py()), dtype="<u4")
+        yield sizes, at, *(np.frombuffer(batch[name][row].as_buffer(), dtype=kind) for name, kind in columns)
 
 
 def _one(values: np.ndarray, n: int) -> pa.RecordBatch:
@@ -217,28 +246,67 @@ def _total(parts: DataFrame, length: int) -> tuple[np.ndarray, int] | None:
     return (np.concatenate([np.frombuffer(bytes(r["sums"]), dtype="<i8") for r in rows]), rows[0]["n"]) if rows else None
 
 
-def word_classes(counts: np.ndarray, number: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each word, log P(word | class), share of each class), from corpus counts.
+class Places:
+    """Class, cell and context embedding of any word from its hash and its count.
 
-    What `vocabulary` does in Spark, for counts in one array; the tests hold the two together.
+    Words are ranked by count; of the heavy words ties are in the order of their hashes, of the others
+    the hash itself, spread evenly, says where in the tie a word is.
     """
-    smooth = counts + 1.0
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    share = np.cumsum(smooth[order]) / smooth.sum()
-    classes = np.empty(len(counts), np.int64)
-    classes[order] = np.minimum((share * number).astype(np.int64), number - 1)
-    mass = np.bincount(classes, weights=smooth, minlength=number)
-    return classes, np.log(smooth / mass[classes]), mass / mass.sum()
+
+    def __init__(self, n: np.ndarray, ties: np.ndarray, heavy: np.ndarray, heavy_n: np.ndarray) -> None:
+        """n, ties: each count, most first, and how many words have it; heavy: the most frequent words."""
+        mass = ties * (n + 1)
+        self.n, self.ties, self.before, self.over = n, ties, np.cumsum(ties) - ties, np.cumsum(mass) - mass
+        self.total = float(mass.sum() + 1)  # and the unseen word
+        self.classes, self.slots = sizes_for(int(ties.sum()))
+        order = np.argsort(heavy)
+        self.heavy, self.heavy_n = heavy[order], heavy_n[order]
+        rank = np.empty(len(heavy), np.int64)
+        rank[np.lexsort((self.heavy, -self.heavy_n))] = np.arange(len(heavy))
+        self.heavy_rank = rank
+        whole = self.before + ties <= min(len(heavy), self.slots - self.slots // 4)
+        self.own = int(ties[whole].sum())  # words with a context embedding of their own
+        # the rank that each class starts from, and its words
+        edge = np.arange(self.classes) / self.classes * self.total
+        tie = np.clip(np.searchsorted(self.over, edge, side="right") - 1, 0, None)
+        known = len(n) > 0
+        first = self.before[tie] + np.minimum(((edge - self.over[tie]) / (n[tie] + 1)).astype(np.int64), ties[tie]) if known else np.zeros(self.classes, np.int64)
+        self.first, self.members = first, np.diff(np.append(first, int(ties.sum())))
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """Counts of the heavy ones among words; 0 for others."""
+        if not len(self.heavy):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.heavy, words), len(self.heavy) - 1)
+        return np.where(self.heavy[at] == words, self.heavy_n[at], 0)
+
+    def of(self, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, context embedding) of words with counts n."""
+        cell = np.full(len(words), self.classes * CELLS - 1, np.int64)
+        slot = self.own + 1 + words % max(self.slots - self.own, 1)
+        seen = np.flatnonzero(n > 0)
+        if len(seen):
+            word = words[seen]
+            tie = np.searchsorted(-self.n, -n[seen])
+            spread = np.floor(self.ties[tie] * (word / 2.0**64 + 0.5)).astype(np.int64)
+            at = np.minimum(np.searchsorted(self.heavy, word), len(self.heavy) - 1)
+            ranked = (self.heavy[at] == word) & (self.before[tie] + self.ties[tie] <= len(self.heavy))
+            rank = np.where(ranked, self.heavy_rank[at] - self.before[tie], np.minimum(spread, self.ties[tie] - 1))
+            share = (self.over[tie] + (rank + 1) * (self.n[tie] + 1)) / self.total
+            kind = np.minimum((share * self.classes).astype(np.int64), self.classes - 1)
+            sub = (self.before[tie] + rank - self.first[kind]) * CELLS // np.maximum(self.members[kind], CELLS)
+            cell[seen] = kind * CELLS + np.clip(sub, 0, CELLS - 1)
+            slot[seen] = np.where(self.before[tie] + rank < self.own, self.before[tie] + rank + 1, slot[seen])
+        return cell, slot
 
 
 @dataclass
 class Vocabulary:
-    """table: (word, n, kind, slot), a row for each word of the corpus; mass: smoothed count of each class."""
+    """counted: (word, n), a row for each word of the corpus; mass: smoothed count of each cell."""
 
-    table: DataFrame
+    counted: DataFrame
+    places: Places
     mass: np.ndarray
-    slots: int
-    own: int  # words with a context embedding of their own
 
 
 class Model:
@@ -257,50 +325,49 @@ def token_table(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(tokens: DataFrame) -> Vocabulary:
-    """Count of every word, its class and its context embedding."""
+    """Count of every word, and how classes and cells are cut from the counts."""
     spark = tokens.sparkSession
     each = tokens.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
     counted = as_table(each.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")), "lm-counts")
     ties = counted.groupBy("n").agg(F.count(F.lit(1)).alias("ties")).collect()  # fewer than sqrt(2 x words of the corpus)
     n, same = np.array(sorted(((r["n"], r["ties"]) for r in ties), reverse=True), dtype=np.int64).reshape(-1, 2).T
-    before, mass = np.cumsum(same) - same, same * (n + 1)
-    classes, slots = sizes_for(int(same.sum()))
-    owning = before + same <= slots - slots // 4
-    own = int(same[owning].sum())
-    total = int(mass.sum()) + 1  # and the unseen word
-    found = pa.table({"n": n, "ties": same, "before": before, "over": np.cumsum(mass) - mass, "owning": owning})
-    rows = counted.join(F.broadcast(spark.createDataFrame(found)), "n")
-    # ties of the frequent words are numbered; of the others the hash itself, spread evenly, says where in the tie a word is
-    head = rows.where("owning").withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy("word")).cast("long") - 1)
-    spread = F.floor(F.col("ties") * (F.col("word") / F.lit(2.0**64) + 0.5))
-    tail = rows.where("not owning").withColumn("rank", F.least(F.col("ties") - 1, spread).cast("long"))
-    share = (F.col("over") + (F.col("rank") + 1) * (F.col("n") + 1)) / F.lit(float(total))
-    kind = F.least(F.lit(classes - 1), F.floor(share * classes)).cast("int")
-    slot = F.when(F.col("owning"), F.col("before") + F.col("rank")).otherwise(own + F.pmod("word", F.lit(slots - own)))
-    table = as_table(head.unionByName(tail).select("word", "n", kind.alias("kind"), (slot + 1).cast("int").alias("slot")), "lm-words")
-    of_class = np.zeros(classes, np.int64)
-    for r in table.groupBy("kind").agg(F.sum(F.col("n") + 1).alias("mass")).collect():  # one row a class
-        of_class[r["kind"]] = r["mass"]
-    of_class[-1] += 1
-    return Vocabulary(table, of_class, slots, own)
+    heavy = counted.orderBy(F.col("n").desc(), "word").limit(HEAVY).toArrow()  # at most HEAVY rows
+    places = Places(n, same, heavy["word"].to_numpy(), heavy["n"].to_numpy())
+    shared = spark.sparkContext.broadcast(places)
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(shared.value.classes * CELLS, np.int64)
+        for batch in batches:
+            count = batch["n"].to_numpy()
+            np.add.at(held, shared.value.of(batch["word"].to_numpy(), count)[0], count + 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "mass"])
+
+    mass = np.zeros(places.classes * CELLS, np.int64)
+    for r in counted.mapInArrow(masses, "cell long, mass long").groupBy("cell").agg(F.sum("mass").alias("mass")).collect():  # one row a cell
+        mass[r["cell"]] = r["mass"]
+    mass[-1] += 1  # the unseen word
+    return Vocabulary(counted, places, mass.reshape(-1, CELLS))
 
 
 def encode(tokens: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Token blocks with class, context embedding and count of their different words."""
-    last, own, slots = len(vocab.mass) - 1, vocab.own, vocab.slots
+    """Token blocks with cell, context embedding and count of their different words."""
+    spark = tokens.sparkSession
+    shared = spark.sparkContext.broadcast(vocab.places)
 
     def put(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["pos"].to_numpy())
-        n, kind, slot = (right[k].to_numpy()[order] for k in ("n", "kind", "slot"))
-        new = [n_.astype(t).tobytes() for n_, t in ((kind, "<i4"), (slot, "<i4"), (n, "<i8"))]
+        words = left["words"].combine_chunks().values.to_numpy(zero_copy_only=False)
+        n = shared.value.counts(words)
+        n[right["pos"].to_numpy()] = right["n"].to_numpy()
+        cell, slot = shared.value.of(words, n)
+        new = [n_.astype(t).tobytes() for n_, t in ((cell, "<i4"), (slot, "<i4"), (n, "<i8"))]
         cols = [left[k].combine_chunks() for k in ("block", "doc_ids", "sizes", "at")] + [pa.array([v], pa.binary()) for v in new]
         return pa.Table.from_arrays(cols, schema=_ENCODED)
 
-    words = tokens.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word")).join(vocab.table, "word", "left")
-    other = (own + 1 + F.pmod("word", F.lit(slots - own))).cast("int")
-    filled = {"n": F.lit(0), "kind": F.lit(last), "slot": other}  # those of a word that the corpus lacks
-    words = words.select("of", "pos", *[F.coalesce(k, v).alias(k) for k, v in filled.items()])
-    blocks = tokens.select("block", "doc_ids", "sizes", "at").groupBy("block")
+    heavy = F.broadcast(spark.createDataFrame(pa.table({"word": vocab.places.heavy})))  # at most HEAVY rows
+    words = tokens.select(F.col("block").alias("of"), F.posexplode("words").alias("pos", "word")).join(heavy, "word", "left_anti")
+    words = words.join(vocab.counted, "word").select("of", "pos", "n")
+    blocks = tokens.select("block", "doc_ids", "sizes", "at", "words").groupBy("block")
     return as_table(blocks.cogroup(words.groupBy("of")).applyInArrow(put, _ENCODED_SQL), "lm-encoded")
 
 
@@ -308,8 +375,8 @@ def train(tokens: DataFrame) -> Model:
     spark = tokens.sparkSession
     vocab = vocabulary(tokens)
     encoded = encode(tokens, vocab)
-    weights, seen = first_weights(vocab.mass / vocab.mass.sum(), vocab.slots), 0
-    columns = encoded.select("sizes", "at", "kinds", "slots")
+    weights, seen = first_weights(vocab.mass, vocab.places.slots), 0
+    columns = encoded.select("sizes", "at", "cells", "slots")
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -317,10 +384,10 @@ def train(tokens: DataFrame) -> Model:
             trainer = Trainer(shared.value)
             rng = np.random.default_rng(turn)
             for batch in batches:
-                for counts, ids, kinds, slots in _rows(batch, ("kinds", "<i4"), ("slots", "<i4")):
+                for counts, ids, cells, slots in _rows(batch, ("cells", "<i4"), ("slots", "<i4")):
                     at = targets(counts, turn)
                     ctx = contexts(slots[ids], counts)[at]
-                    target = kinds[ids[at]]
+                    target = cells[ids[at]].astype(np.int64)
                     order = rng.permutation(len(at))
                     for a in range(0, len(order), MINIBATCH):
                         part = order[a : a + MINIBATCH]
@@ -338,14 +405,14 @@ def train(tokens: DataFrame) -> Model:
 def score(tokens: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_words, sum_logp, mean_logp) for each document of a token table."""
     encoded = model.encoded[1] if tokens is model.encoded[0] else encode(tokens, model.vocabulary)
-    shared = tokens.sparkSession.sparkContext.broadcast((model.weights, model.vocabulary.mass))
+    shared = tokens.sparkSession.sparkContext.broadcast((model.weights, model.vocabulary.mass.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, mass = shared.value
         for batch in batches:
-            for row, (counts, ids, kinds, slots, n) in enumerate(_rows(batch, ("kinds", "<i4"), ("slots", "<i4"), ("n", "<i8"))):
-                within = np.log((n + 1) / mass[kinds])
-                logp = class_logp(weights, contexts(slots[ids], counts), kinds[ids]) + within[ids]
+            for row, (counts, ids, cells, slots, n) in enumerate(_rows(batch, ("cells", "<i4"), ("slots", "<i4"), ("n", "<i8"))):
+                within = np.log((n + 1) / mass[cells])
+                logp = cell_logp(weights, contexts(slots[ids], counts), cells[ids].astype(np.int64)) + within[ids]
                 logp = np.concatenate(([0.0], np.cumsum(logp)))
                 end = np.cumsum(counts)
                 sums = np.round(logp[end] - logp[end - counts], 4)
