@@ -29,13 +29,13 @@ def test_probabilities_sum_to_one():
     """Over all words and the unseen one, for any context and any weights."""
     n, ties, words, each = zipf(70_000)
     places = Places(n, ties, words[: lm.HEAVY], each[: lm.HEAVY])
-    assert places.classes > lm.CLASSES and places.slots > lm.BUCKETS
+    assert places.slots > lm.BUCKETS
     cell, slot = places.of(words, each)
     assert slot[: places.own].tolist() != [0] and len(set(slot[: places.own])) == places.own and slot.max() <= places.slots
-    mass = np.bincount(cell, weights=each + 1, minlength=places.classes * lm.CELLS)
+    mass = np.bincount(cell, weights=each + 1, minlength=lm.CLASSES * lm.CELLS)
     mass[-1] += 1
     own = np.flatnonzero(np.bincount(cell, minlength=len(mass)) == 1)
-    assert len(np.intersect1d(own, cell[:500])) > 450  # frequent words have cells of their own
+    assert len(np.intersect1d(own, cell[:90])) > 80  # frequent words have cells of their own
     w = lm.first_weights(mass.reshape(-1, lm.CELLS), places.slots)
     rng = np.random.default_rng(2)
     w = {k: (v + rng.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in w.items()}

@@ -12,8 +12,8 @@ Everything is learned here, from all documents. Every word (by a 64-bit hash) ha
 count over the whole corpus, in a table that is never gathered. The HEAVY most frequent words,
 which make up most of the text, travel as one array to the tasks; the counts of all others are
 joined to the words of each block of documents. Frequent words have embeddings of their own as
-context, the others share a quarter or more of the table. Up to VOCABULARY words there are CLASSES classes and
-BUCKETS embeddings; beyond, both grow with the cube root of the number of words. WIDTH and CELLS are fixed.
+context, the others share a quarter or more of the table. Up to VOCABULARY words there are BUCKETS embeddings;
+beyond, they grow with the cube root of the number of words. WIDTH, CLASSES and CELLS are fixed.
 Training runs in the tasks that hold the data: in each of ROUNDS rounds every partition starts
 from the shared weights and does stochastic gradient steps over its documents (a round's
 targets are every ROUNDS-th word of each document, and the rounds' targets together are all words,
@@ -48,10 +48,11 @@ from .tokens import pieces, word_hashes
 VOCABULARY = 1 << 15  # up to so many words the tables have their least sizes
 BUCKETS = 1 << 12
 EDGE = 0  # the context beyond either end
-CLASSES, CELLS, WIDTH, SIDE = 64, 64, 16, 2
+CLASSES, CELLS, WIDTH, SIDE = 32, 32, 16, 2
 HEAVY = 1 << 16  # words whose counts are sent to the tasks
 ROUNDS, MINIBATCH, RATE = 2, 4096, 0.1
 _FIXED = float(1 << 16)
+_SLICE = 2048
 _BLOCK = 1 << 24  # bytes of text
 _PART = 1 << 13
 _SPAN = 2 * SIDE
@@ -59,20 +60,19 @@ _SPAN = 2 * SIDE
 Weights = dict[str, np.ndarray]
 
 
-def sizes_for(words: int) -> tuple[int, int]:
-    """(classes, context embeddings) for a number of different words."""
-    more = max(1.0, words / VOCABULARY)
-    return round(CLASSES * more ** (1 / 3)), round(BUCKETS * more ** (1 / 3))
+def slots_for(words: int) -> int:
+    """Context embeddings for a number of different words."""
+    return round(BUCKETS * max(1.0, words / VOCABULARY) ** (1 / 3))
 
 
-def shapes(classes: int, slots: int) -> dict[str, tuple[int, ...]]:
-    return {"embed": (slots + 1, WIDTH), "scale": (_SPAN, WIDTH), "hidden": (WIDTH,), "out": (WIDTH, classes), "bias": (classes,), "cells": (classes, WIDTH, CELLS), "cell_bias": (classes, CELLS)}
+def shapes(slots: int) -> dict[str, tuple[int, ...]]:
+    return {"embed": (slots + 1, WIDTH), "scale": (_SPAN, WIDTH), "hidden": (WIDTH,), "out": (WIDTH, CLASSES), "bias": (CLASSES,), "cells": (CLASSES, WIDTH, CELLS), "cell_bias": (CLASSES, CELLS)}
 
 
 def first_weights(mass: np.ndarray, slots: int = BUCKETS) -> Weights:
-    """Small random weights; the biases start from the shares of classes and cells (mass: classes x CELLS)."""
+    """Small random weights; the biases start from the shares of classes and cells (mass: CLASSES x CELLS)."""
     rng = np.random.default_rng(0)
-    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(len(mass), slots).items()}
+    out = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(slots).items()}
     out["scale"][:] = 1
     out["hidden"][:] = 0
     of_class = mass.sum(axis=1)
@@ -119,30 +119,37 @@ def hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
     return np.tanh(h)
 
 
-def _by_class(kinds: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, places) of each class that occurs."""
-    order = np.argsort(kinds, kind="stable")
-    first = np.flatnonzero(np.append(True, kinds[order][1:] != kinds[order][:-1]))
-    for a, b in zip(first, np.append(first[1:], len(order))):
-        yield int(kinds[order[a]]), order[a:b]
-
-
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits = np.exp(logits - logits.max(axis=1, keepdims=True))
-    logits /= logits.sum(axis=1, keepdims=True)
+    """In place, over the last axis."""
+    logits -= logits.max(axis=-1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=-1, keepdims=True)
     return logits
 
 
+def _in_class(w: Weights, h: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hidden states by class, place of each word in its class, P(cell | class) by class and place).
+
+    Classes have about equal shares of the words, so few of the places by class stay empty.
+    """
+    order = np.argsort(kinds.astype(np.int16), kind="stable")
+    many = np.bincount(kinds, minlength=CLASSES)
+    place = np.empty(len(kinds), np.int64)
+    place[order] = np.arange(len(kinds)) - np.repeat(np.cumsum(many) - many, many)
+    states = np.zeros((CLASSES, int(many.max()), WIDTH), np.float32)
+    states[kinds, place] = h
+    return states, place, _softmax(states @ w["cells"] + w["cell_bias"][:, None, :])
+
+
 def cell_logp(w: Weights, ctx: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """log P(cell of the word | its context); cell = class * CELLS + place in the class."""
     out = np.empty(len(cell), dtype=np.float64)
-    for a in range(0, len(cell), MINIBATCH):
-        kinds, subs = np.divmod(cell[a : a + MINIBATCH], CELLS)
-        h = hidden(w, ctx[a : a + MINIBATCH])
-        p = np.log(_softmax(h @ w["out"] + w["bias"])[np.arange(len(kinds)), kinds])
-        for kind, at in _by_class(kinds):
-            p[at] += np.log(_softmax(h[at] @ w["cells"][kind] + w["cell_bias"][kind])[np.arange(len(at)), subs[at]])
-        out[a : a + MINIBATCH] = p
+    for a in range(0, len(cell), _SLICE):
+        kinds, subs = np.divmod(cell[a : a + _SLICE], CELLS)
+        h = hidden(w, ctx[a : a + _SLICE])
+        p = _softmax(h @ w["out"] + w["bias"])[np.arange(len(kinds)), kinds]
+        _, place, q = _in_class(w, h, kinds)
+        out[a : a + _SLICE] = np.log(p.astype(np.float64)) + np.log(q[kinds, place, subs].astype(np.float64))
     return out
 
 
@@ -154,7 +161,7 @@ class Trainer:
         self.seen = {k: np.full(v.shape, 1e-3, np.float32) for k, v in w.items()}
         self.targets = 0
 
-    def _step(self, name: str, grad: np.ndarray, at: np.ndarray | slice | int = slice(None)) -> None:
+    def _step(self, name: str, grad: np.ndarray, at: np.ndarray | slice = slice(None)) -> None:
         self.seen[name][at] += grad * grad
         self.w[name][at] -= RATE * grad / np.sqrt(self.seen[name][at])
 
@@ -162,26 +169,29 @@ class Trainer:
         w, n = self.w, len(cell)
         kinds, subs = np.divmod(cell, CELLS)
         rows = w["embed"][ctx]
-        h = np.tanh(w["hidden"] + (rows * w["scale"]).sum(axis=1))
+        h = np.tanh(w["hidden"] + np.einsum("nkd,kd->nd", rows, w["scale"]))
         p = _softmax(h @ w["out"] + w["bias"])
         p[np.arange(n), kinds] -= 1
         p /= n
         back = p @ w["out"].T
-        for kind, at in _by_class(kinds):
-            q = _softmax(h[at] @ w["cells"][kind] + w["cell_bias"][kind])
-            q[np.arange(len(at)), subs[at]] -= 1
-            q /= n
-            back[at] += q @ w["cells"][kind].T
-            self._step("cells", h[at].T @ q, kind)
-            self._step("cell_bias", q.sum(axis=0), kind)
+        states, place, q = _in_class(w, h, kinds)
+        q[kinds, place, subs] -= 1
+        q /= n
+        filled = np.zeros((*q.shape[:2], 1), np.float32)
+        filled[kinds, place] = 1
+        q *= filled
+        back += (q @ w["cells"].transpose(0, 2, 1))[kinds, place]
+        self._step("cells", states.transpose(0, 2, 1) @ q)
+        self._step("cell_bias", q.sum(axis=1))
         back *= 1 - h * h
         each = (back[:, None, :] * w["scale"]).reshape(-1, WIDTH)
         flat = ctx.ravel()
-        order = np.argsort(flat, kind="stable")
+        narrow = len(w["embed"]) <= 1 << 16  # sorted faster
+        order = np.argsort(flat.astype(np.uint16) if narrow else flat, kind="stable")
         ids = flat[order]
         start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         embed = np.add.reduceat(each[order], start, axis=0)
-        scale = (rows * back[:, None, :]).sum(axis=0)
+        scale = np.einsum("nkd,nd->kd", rows, back)
         self._step("out", h.T @ p)
         self._step("bias", p.sum(axis=0))
         self._step("hidden", back.sum(axis=0))
@@ -258,7 +268,7 @@ class Places:
         mass = ties * (n + 1)
         self.n, self.ties, self.before, self.over = n, ties, np.cumsum(ties) - ties, np.cumsum(mass) - mass
         self.total = float(mass.sum() + 1)  # and the unseen word
-        self.classes, self.slots = sizes_for(int(ties.sum()))
+        self.slots = slots_for(int(ties.sum()))
         order = np.argsort(heavy)
         self.heavy, self.heavy_n = heavy[order], heavy_n[order]
         rank = np.empty(len(heavy), np.int64)
@@ -267,10 +277,10 @@ class Places:
         whole = self.before + ties <= min(len(heavy), self.slots - self.slots // 4)
         self.own = int(ties[whole].sum())  # words with a context embedding of their own
         # the rank that each class starts from, and its words
-        edge = np.arange(self.classes) / self.classes * self.total
+        edge = np.arange(CLASSES) / CLASSES * self.total
         tie = np.clip(np.searchsorted(self.over, edge, side="right") - 1, 0, None)
         known = len(n) > 0
-        first = self.before[tie] + np.minimum(((edge - self.over[tie]) / (n[tie] + 1)).astype(np.int64), ties[tie]) if known else np.zeros(self.classes, np.int64)
+        first = self.before[tie] + np.minimum(((edge - self.over[tie]) / (n[tie] + 1)).astype(np.int64), ties[tie]) if known else np.zeros(CLASSES, np.int64)
         self.first, self.members = first, np.diff(np.append(first, int(ties.sum())))
 
     def counts(self, words: np.ndarray) -> np.ndarray:
@@ -282,7 +292,7 @@ class Places:
 
     def of(self, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cell, context embedding) of words with counts n."""
-        cell = np.full(len(words), self.classes * CELLS - 1, np.int64)
+        cell = np.full(len(words), CLASSES * CELLS - 1, np.int64)
         slot = self.own + 1 + words % max(self.slots - self.own, 1)
         seen = np.flatnonzero(n > 0)
         if len(seen):
@@ -293,7 +303,7 @@ class Places:
             ranked = (self.heavy[at] == word) & (self.before[tie] + self.ties[tie] <= len(self.heavy))
             rank = np.where(ranked, self.heavy_rank[at] - self.before[tie], np.minimum(spread, self.ties[tie] - 1))
             share = (self.over[tie] + (rank + 1) * (self.n[tie] + 1)) / self.total
-            kind = np.minimum((share * self.classes).astype(np.int64), self.classes - 1)
+            kind = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
             sub = (self.before[tie] + rank - self.first[kind]) * CELLS // np.maximum(self.members[kind], CELLS)
             cell[seen] = kind * CELLS + np.clip(sub, 0, CELLS - 1)
             slot[seen] = np.where(self.before[tie] + rank < self.own, self.before[tie] + rank + 1, slot[seen])
@@ -336,14 +346,14 @@ def vocabulary(tokens: DataFrame) -> Vocabulary:
     shared = spark.sparkContext.broadcast(places)
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(shared.value.classes * CELLS, np.int64)
+        held = np.zeros(CLASSES * CELLS, np.int64)
         for batch in batches:
             count = batch["n"].to_numpy()
             np.add.at(held, shared.value.of(batch["word"].to_numpy(), count)[0], count + 1)
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "mass"])
 
-    mass = np.zeros(places.classes * CELLS, np.int64)
+    mass = np.zeros(CLASSES * CELLS, np.int64)
     for r in counted.mapInArrow(masses, "cell long, mass long").groupBy("cell").agg(F.sum("mass").alias("mass")).collect():  # one row a cell
         mass[r["cell"]] = r["mass"]
     mass[-1] += 1  # the unseen word
