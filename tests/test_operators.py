@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxweave.functions import scalars
-from voxweave.operators import augment, intensity, layers, morphology, scores, spatial, windows
+from voxweave.operators import augment, geometry, intensity, layers, morphology, scores, spatial, windows
 from voxweave.plans import catalog, transforms
 from voxweave.sources import readers
 from voxweave.streaming.metrics import stream_dice, windowed_means
@@ -69,23 +69,101 @@ def test_samplers(spark):
     assert (grown[0, 0, 0], grown[2, 2, 2], grown[3, 3, 3]) == (0, 7, -1)
 
 
-def test_output_shapes(spark):
-    diag = lambda *s: [s[0], 0, 0, 0, 0, s[1], 0, 0, 0, 0, s[2], 0, 0, 0, 0, 1]
-    cases = [
-        (diag(2, 3, 4), diag(2, 3, 4), (4, 5, 6), [4, 5, 6]),
-        (diag(2, 2, 2), diag(1, 1, 1), (4, 5, 6), [8, 10, 12]),
-        (diag(2, 3, 4), diag(1, 1.5, 2), (4, 5, 6), [8, 10, 12]),
-        (diag(1, 1, 1), diag(2, 2, 2), (301, 5, 6), [151, 3, 3]),
-        ([0, 0, -4, 10, 0, 3, 0, 20, 2, 0, 0, 30, 0, 0, 0, 1], diag(1, 1.5, 2), (4, 5, 6), [24, 10, 4]),
-    ]
-    for a, b, shape, want in cases:
-        cols = [F.array(*[F.lit(float(x)) for x in m]) for m in (a, b)]
-        got = spark.range(1).select(scalars.output_shape(*cols, shape).alias("n")).first().n
-        assert got == want
-    m = RNG.standard_normal((4, 4))
-    m[3] = [0, 0, 0, 1]
-    inv = spark.range(1).select(scalars.invert(F.array(*[F.lit(float(x)) for x in m.ravel()])).alias("m")).first().m
-    assert np.allclose(np.array(inv).reshape(4, 4), np.linalg.inv(m))
+def constant(m):
+    return F.array(*[F.lit(float(x)) for x in np.asarray(m, dtype=float).ravel()])
+
+
+def test_affines_against_numpy(spark):
+    """Oblique, sheared and permuted affines: shape from the mapped corners, inverse, product, destination."""
+    rng = np.random.default_rng(5)
+    for k in range(2):
+        a, b = np.eye(4), np.eye(4)
+        a[:3] = rng.standard_normal((3, 4)) * [3, 2, 1, 9]
+        b[:3] = rng.standard_normal((3, 4)) if k % 2 else np.hstack([np.diag(rng.random(3) + 0.5)[rng.permutation(3)], rng.random((3, 1))])
+        shape = tuple(int(n) for n in rng.integers(3, 60, 3))
+        for ends in (False, True):
+            corners = np.array([[(n - ends) * (c >> j & 1) for j, n in enumerate(shape)] + [1] for c in range(8)])
+            span = np.ptp((np.linalg.inv(b) @ a @ corners.T)[:3], axis=1)
+            want = np.maximum(np.floor(span + 0.5) + ends, 1).astype(int).tolist()
+            cols = [constant(a), constant(b)]
+            r = spark.range(1).select(scalars.output_shape(*cols, shape, ends).alias("n"), scalars.invert(cols[0]).alias("i"), scalars.product(*cols).alias("p"), scalars.destination_affine(cols[0], constant([1, 2, 3])).alias("t")).first()
+            assert r.n == want
+        assert np.allclose(np.array(r.i).reshape(4, 4), np.linalg.inv(a)) and np.allclose(np.array(r.p).reshape(4, 4), a @ b)
+        to = np.array(r.t).reshape(4, 4)
+        assert np.allclose(np.linalg.norm(to[:3, :3], axis=0), [1, 2, 3]) and np.allclose(to[:3, 3], a[:3, 3])
+    with pytest.raises(Exception, match="not a 4x4 affine"):
+        spark.range(1).select(scalars.valid_affine(constant(np.ones(16)))).collect()
+
+
+def test_volumes_of_several_shapes(spark):
+    """Orientation and spacing with a shape and an affine in each row, and back."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k, perm in enumerate([(0, 1, 2), (2, 0, 1), (1, 2, 0), (2, 1, 0)]):
+        shape = tuple(int(n) for n in rng.integers(2, 6, 3)) + (1 + k % 2,)
+        x = rng.standard_normal(shape)
+        a = np.eye(4)
+        a[:3, :3] = np.eye(3)[:, perm] * rng.choice([-1, 1], 3) * [1, 2, 1.5] + rng.standard_normal((3, 3)) * 0.05
+        a[:3, 3] = rng.standard_normal(3)
+        rows.append((k, list(shape), x.ravel().tolist(), a.ravel().tolist()))
+        axes = np.abs(a[:3, :3]).argmax(axis=0)
+        order = [int(np.flatnonzero(axes == t)[0]) for t in (2, 1, 0)]
+        y = x.transpose(*order, 3)
+        for j, (o, t) in enumerate(zip(order, (2, 1, 0))):
+            if a[t, o] < 0:
+                y = np.flip(y, j)
+        want[k] = y
+    df = spark.createDataFrame(rows, "sample_id long, shape array<int>, data array<double>, affine array<double>")
+    turned = geometry.orient(df, "ras")
+    for r in turned.collect():
+        got = np.array(r.data).reshape(r.shape)
+        assert np.array_equal(got, want[r.sample_id])
+        # the voxel that went to the origin keeps its place in the world
+        a, old = np.array(r.affine).reshape(4, 4), np.array(rows[r.sample_id][3]).reshape(4, 4)
+        place = np.argwhere(np.array(rows[r.sample_id][2]).reshape(rows[r.sample_id][1]) == got[0, 0, 0, 0])[0][:3]
+        assert np.allclose(a[:3, 3], old[:3, :3] @ place + old[:3, 3])
+    spaced = geometry.respace(turned, (1.0, 1.0, 1.0))
+    assert all(np.allclose(np.linalg.norm(np.array(r.affine).reshape(4, 4)[:3, :3], axis=0), 1) and len(r.trace) == 2 for r in spaced.collect())
+    back_again = geometry.unorient(geometry.unspace(spaced))
+    for r in back_again.collect():
+        assert r.shape == rows[r.sample_id][1] and np.allclose(r.affine, rows[r.sample_id][3]) and r.trace == []
+    there = geometry.resample(df.withColumn("to_affine", F.col("affine")), (2, 2, 2))
+    assert all(np.allclose(np.array(r.data).reshape(r.shape), np.array(rows[r.sample_id][2]).reshape(rows[r.sample_id][1])[:2, :2, :2]) for r in there.collect())
+    same = geometry.unorient(turned).collect()
+    assert all(r.data == rows[r.sample_id][2] and r.shape == rows[r.sample_id][1] for r in same)
+    with pytest.raises(ValueError):
+        geometry.orient(df, "RAR")
+    with pytest.raises(Exception, match="was not Spacing"):
+        geometry.unspace(turned).collect()
+
+
+def test_padding(spark):
+    for mode in ("constant", "edge", "reflect", "symmetric", "wrap"):
+        extra = {"constant_values": 7.0} if mode == "constant" else {}
+        out = windows.pad(make(spark, VOLUME), mode, 7.0, d=(2, 1), w=(0, 3))
+        assert np.array_equal(back(out)[0], np.pad(VOLUME, ((2, 1), (0, 0), (0, 3), (0, 0)), mode=mode, **extra))
+    big = windows.sliding_window(make(spark, VOLUME), {"d": 5, "h": 9, "w": 2}, lambda p: p.withColumn("v", F.col("v") - 1), 0.5, "gaussian", "edge")
+    assert big.shape == VOLUME.shape and np.allclose(back(big)[0], VOLUME - 1)
+
+
+def test_convolution_over_channels(spark):
+    kernel = RNG.standard_normal((3, 2, 2, 3))
+    x = IMAGE[0]
+    for stride in (1, 2):
+        out = back(morphology.convolve_channels(make(spark, IMAGE), kernel, stride))[0][0]
+        n = [-(-s // stride) for s in x.shape[:2]]
+        lead = [max((m - 1) * stride + k - s, 0) // 2 for m, k, s in zip(n, kernel.shape, x.shape)]
+        for i in range(n[0]):
+            for j in range(n[1]):
+                total = np.zeros(3)
+                for p in range(3):
+                    for q in range(2):
+                        u, v = i * stride + p - lead[0], j * stride + q - lead[1]
+                        if 0 <= u < x.shape[0] and 0 <= v < x.shape[1]:
+                            total += x[u, v] @ kernel[p, q]
+                assert np.allclose(out[i, j], total)
+    with pytest.raises(ValueError):
+        morphology.convolve_channels(make(spark, VOLUME), kernel)
 
 
 def test_windows(spark):
@@ -146,7 +224,8 @@ def test_scores(spark):
     true = np.eye(3)[np.array([[[0, 1], [1, 2]], [[0, 0], [0, 1]]])]
     perfect = pairs(spark, true, true)
     assert scores.dice_result(scores.dice_state(perfect)).first().dice == pytest.approx(1)
-    assert scores.reduced(scores.overlap_loss(perfect)).first().loss == pytest.approx(0, abs=1e-5)
+    # predictions are clipped to 1e-7, and sample 1 lacks class 2: 1e-7 over the 5e-7 of four voxels and the smoothing
+    assert scores.reduced(scores.overlap_loss(perfect)).first().loss == pytest.approx((1 - 1 / 5) / 6, abs=1e-5)
     pred = RNG.random(true.shape)
     p = np.clip(pred, 1e-7, 1 - 1e-7)
     i, t, u = (true * p).sum((1, 2)), true.sum((1, 2)), p.sum((1, 2))
@@ -209,9 +288,9 @@ def test_catalog(spark):
     with pytest.raises(KeyError):
         catalog.lookup(spark, "none")
     assert {r.encoder for r in catalog.compatible(spark).where("segmentor = 'segformer'").collect()} == set(catalog.BACKBONES["mit"].split())
-    names = ["BinaryDiceLoss", "UNETRPlusPlus", "DiceCELoss", "A1B2"]
+    names = ["SoftJaccardScore", "Dice_Loss", "HTTPRangeReader", "Grid3DPool", "already_snake"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select(scalars.camel_to_snake(F.col("n")).alias("s")).collect()
-    assert [r.s for r in got] == ["binary_dice_loss", "unetr_plus_plus", "dice_ce_loss", "a1_b2"]
+    assert [r.s for r in got] == ["soft_jaccard_score", "dice_loss", "http_range_reader", "grid3_d_pool", "already_snake"]
 
 
 def test_sources(spark, tmp_path):

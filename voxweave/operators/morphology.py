@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +93,37 @@ def convolve(vox: Voxels, kernel: dict[tuple[int, int, int], float], stride: int
         return out
     moved = {a: F.expr(f"cast({a} div {stride} as int)") for a in spatial_axes(vox)}
     return out.mapped(out.df.withColumns(moved), out.resized(**{a: -(-out.size(a) // stride) for a in spatial_axes(out)}))
+
+
+def convolve_channels(vox: Voxels, kernel: list, stride: int = 1, transpose: bool = False) -> Voxels:
+    """A convolution that mixes channels, padded with zeros to the same size (divided by stride).
+
+    kernel is nested as (h, w, in, out), or (d, h, w, in, out) for volumes. Transposed, each voxel is spread over
+    its neighbourhood in an array `stride` times as large. The kernel, a parameter, is broadcast;
+    contributions are summed before they are shuffled.
+    """
+    axes = spatial_axes(vox)
+    weights = np.asarray(kernel, dtype=float)
+    if weights.ndim != len(axes) + 2 or weights.shape[-2] != vox.size("c"):
+        raise ValueError("the kernel does not fit the array")
+    taps = [(*map(int, at[:-2]), int(at[-2]), int(at[-1]), float(weights[at])) for at in np.ndindex(*weights.shape)]
+    names = [*[f"k_{a}" for a in axes], "k_in", "k_out"]
+    table = vox.df.sparkSession.createDataFrame(taps, ", ".join(f"{n} int" for n in names) + ", weight double")
+    df = vox.df.join(F.broadcast(table), F.col("c") == F.col("k_in"))  # as long as the kernel
+    sizes, moved = {}, {}
+    for a, width in zip(axes, weights.shape):
+        if transpose:
+            before = max(width - stride, 0) // 2
+            sizes[a] = vox.size(a) * stride
+            place = F.col(a) * stride + F.col(f"k_{a}") - before
+        else:
+            sizes[a] = -(-vox.size(a) // stride)
+            before = max((sizes[a] - 1) * stride + width - vox.size(a), 0) // 2
+            ahead = F.col(a) - F.col(f"k_{a}") + before
+            df = df.where(F.pmod(ahead, F.lit(stride)) == 0)
+            place = F.floor(ahead / stride).cast("int")
+        df = df.where((place >= 0) & (place < sizes[a]))
+        moved[a] = place
+    rest = [a for a in ("d",) if a not in axes]
+    sums = df.groupBy("sample_id", *rest, *[x.alias(a) for a, x in moved.items()], F.col("k_out").alias("c")).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+    return vox.mapped(sums, vox.resized(**sizes, c=weights.shape[-1]))

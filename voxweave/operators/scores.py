@@ -79,47 +79,67 @@ def dice_result(state: DataFrame, smooth: float = 1e-6) -> DataFrame:
     return dice_by_class(state, smooth).agg(F.coalesce(F.avg("dice"), F.lit(0.0)).alias("dice"))
 
 
-def _sums(pairs: DataFrame, smooth: float) -> DataFrame:
+def sparse(pairs: DataFrame) -> DataFrame:
+    """y_true from the voxel's class: one where it is the row's class."""
+    return pairs.withColumn("y_true", (F.col("true_class") == F.col("class")).cast("double"))
+
+
+def _sums(pairs: DataFrame, smooth: float, targets: Sequence[int] | None = None, ignored: Sequence[int] = ()) -> DataFrame:
+    """Masked sums of each sample and class; every loss is a ratio of them.
+
+    Only target classes have rows. Voxels whose true class is ignored count nowhere, yet their
+    classes keep a row.
+    """
+    if targets is not None:
+        pairs = pairs.where(F.col("class").isin(list(targets)))
+    m = F.when(F.col("true_class").isin(list(ignored)), 0.0).otherwise(1.0) if ignored else F.lit(1.0)
     p, t = clip(F.col("y_pred"), smooth, 1 - smooth), F.col("y_true")
     cross, both = -(t * F.ln(p)), -(t * F.ln(p) + (1 - t) * F.ln(1 - p))
     return pairs.groupBy("sample_id", "class").agg(
-        F.sum(t * p).alias("i"), F.sum(t).alias("t"), F.sum(p).alias("p"), F.sum(cross).alias("ce"), F.sum(both).alias("bce"), F.count(F.lit(1)).alias("n")
+        F.sum(m * t * p).alias("i"), F.sum(m * t).alias("t"), F.sum(m * p).alias("p"), F.sum(m * cross).alias("ce"), F.sum(m * both).alias("bce"), F.sum(m).alias("n")
     )
 
 
-def overlap_loss(pairs: DataFrame, kind: str = "dice", smooth: float = 1e-7, alpha: float = 0.5, beta: float = 0.5) -> DataFrame:
-    """(sample_id, class, loss) of a Dice, IoU or Tversky loss."""
+def _overlap(kind: str, smooth: float, alpha: float = 0.5, beta: float = 0.5) -> Column:
     i, t, p, e = F.col("i"), F.col("t"), F.col("p"), F.lit(smooth)
     score = {
         "dice": (2 * i + e) / (t + p + e),
         "iou": (i + e) / (t + p - i + e),
         "tversky": (i + e) / (i + F.lit(alpha) * (p - i) + F.lit(beta) * (t - i) + e),
     }[kind]
-    return _sums(pairs, smooth).select("sample_id", "class", (1 - score).alias("loss"))
+    return 1 - score
+
+
+def _entropy(binary: bool) -> Column:
+    return F.col("bce" if binary else "ce") / F.greatest(F.col("n"), F.lit(1.0))
+
+
+def overlap_loss(pairs: DataFrame, kind: str = "dice", smooth: float = 1e-7, alpha: float = 0.5, beta: float = 0.5, targets: Sequence[int] | None = None, ignored: Sequence[int] = ()) -> DataFrame:
+    """(sample_id, class, loss) of a Dice, IoU or Tversky loss."""
+    return _sums(pairs, smooth, targets, ignored).select("sample_id", "class", _overlap(kind, smooth, alpha, beta).alias("loss"))
 
 
-def generalized_dice_loss(pairs: DataFrame, weight: str = "square", smooth: float = 1e-7) -> DataFrame:
+def generalized_dice_loss(pairs: DataFrame, weight: str = "square", smooth: float = 1e-7, targets: Sequence[int] | None = None, ignored: Sequence[int] = ()) -> DataFrame:
     """(sample_id, loss): classes weighted by the inverse of their volume; absent ones don't count."""
     t = F.col("t")
     w = {"square": 1 / (t * t + F.lit(smooth)), "simple": 1 / (t + F.lit(smooth)), "uniform": F.lit(1.0)}[weight]
-    weighted = _sums(pairs, smooth).withColumn("wt", F.when(t > 0, w).otherwise(0.0))
+    weighted = _sums(pairs, smooth, targets, ignored).withColumn("wt", F.when(t > 0, w).otherwise(0.0))
     sums = weighted.groupBy("sample_id").agg(F.sum(F.col("wt") * F.col("i")).alias("i"), F.sum(F.col("wt") * (t + F.col("p"))).alias("u"))
     score = F.when(F.col("u") > 0, (2 * F.col("i") + F.lit(smooth)) / (F.col("u") + F.lit(smooth))).otherwise(1.0)
     return sums.select("sample_id", (1 - score).alias("loss"))
 
 
-def cross_entropy(pairs: DataFrame, binary: bool = False, smooth: float = 1e-7) -> DataFrame:
-    """(sample_id, class, loss): mean over the voxels there are."""
-    sums = _sums(pairs, smooth)
-    return sums.select("sample_id", "class", (F.col("bce" if binary else "ce") / F.greatest(F.col("n"), F.lit(1))).alias("loss"))
+def cross_entropy(pairs: DataFrame, binary: bool = False, smooth: float = 1e-7, targets: Sequence[int] | None = None, ignored: Sequence[int] = ()) -> DataFrame:
+    """(sample_id, class, loss): mean over the voxels that count."""
+    return _sums(pairs, smooth, targets, ignored).select("sample_id", "class", _entropy(binary).alias("loss"))
 
 
-def dice_ce_loss(pairs: DataFrame, binary: bool = False, dice_weight: float = 1.0, ce_weight: float = 1.0, smooth: float = 1e-7) -> DataFrame:
+def dice_ce_loss(pairs: DataFrame, binary: bool = False, dice_weight: float = 1.0, ce_weight: float = 1.0, smooth: float = 1e-7, targets: Sequence[int] | None = None, ignored: Sequence[int] = ()) -> DataFrame:
+    """(sample_id, class, loss): both losses from one aggregation."""
     if dice_weight < 0 or ce_weight < 0:
         raise ValueError("weights must not be negative")
-    dice = overlap_loss(pairs, "dice", smooth).withColumnRenamed("loss", "a")
-    both = dice.join(cross_entropy(pairs, binary, smooth), ["sample_id", "class"])
-    return both.select("sample_id", "class", (F.lit(dice_weight) * F.col("a") + F.lit(ce_weight) * F.col("loss")).alias("loss"))
+    loss = F.lit(dice_weight) * _overlap("dice", smooth) + F.lit(ce_weight) * _entropy(binary)
+    return _sums(pairs, smooth, targets, ignored).select("sample_id", "class", loss.alias("loss"))
 
 
 def reduced(losses: DataFrame, reduction: str = "mean") -> DataFrame:

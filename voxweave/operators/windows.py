@@ -6,10 +6,12 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..voxels import AXES, Voxels, spatial_axes
+from .spatial import crop
 
 
 def scan_interval(image: int, roi: int, overlap: float) -> int:
@@ -44,6 +46,31 @@ def patch_table(vox: Voxels, roi: dict[str, int], overlap: float) -> DataFrame:
     return table
 
 
+def pad(vox: Voxels, mode: str = "constant", fill: float = 0.0, **widths: tuple[int, int]) -> Voxels:
+    """Cells added before and after the named axes: constant, edge, reflect, symmetric or wrap.
+
+    Each added cell is copied from one voxel of the axis (constants hang on the first), so nothing is shuffled.
+    """
+    if mode not in ("constant", "edge", "reflect", "symmetric", "wrap"):
+        raise ValueError(f"no such mode: {mode}")
+    for axis, (before, after) in widths.items():
+        n = vox.size(axis)
+        source = np.zeros(before + n + after, int) if mode == "constant" else np.pad(np.arange(n), (before, after), mode=mode)
+        source[before : before + n] = np.arange(n)
+        to = F.array(*[F.array(*[F.lit(int(k)) for k in np.flatnonzero(source == j)]) for j in range(n)])
+        df = vox.df.withColumn("to", F.explode(F.element_at(to, F.col(axis) + 1)))
+        if mode == "constant":
+            df = df.withColumn("v", F.when(F.col("to") - before == F.col(axis), F.col("v")).otherwise(F.lit(float(fill))))
+        vox = vox.mapped(df.withColumn(axis, F.col("to")), vox.resized(**{axis: before + n + after}))
+    return vox
+
+
+def roi_padding(vox: Voxels, roi: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """Widths that bring axes shorter than the region up to it, as even as can be."""
+    short = {a: max(roi[a] - vox.size(a), 0) for a in spatial_axes(vox)}
+    return {a: (n // 2, n - n // 2) for a, n in short.items() if n}
+
+
 def extract_patches(vox: Voxels, roi: dict[str, int], overlap: float = 0.25) -> DataFrame:
     """(sample_id, patch_id, axes within the patch, v): each voxel goes to the patches over it.
 
@@ -73,9 +100,27 @@ def merge_patches(vox: Voxels, patches: DataFrame, roi: dict[str, int], mode: st
     return vox.mapped(merged)
 
 
-def sliding_window(vox: Voxels, roi: dict[str, int], model: Callable[[DataFrame], DataFrame], overlap: float = 0.25, mode: str = "constant") -> Voxels:
-    """Patches through a model (DataFrame of patches to the same columns), merged."""
-    return merge_patches(vox, model(extract_patches(vox, roi, overlap)), roi, mode)
+def sliding_window(
+    vox: Voxels, roi: dict[str, int], model: Callable[[DataFrame], DataFrame], overlap: float = 0.25, mode: str = "constant", padding: str = "constant", fill: float = 0.0
+) -> Voxels:
+    """Patches through a model (DataFrame of patches to the same columns), merged.
+
+    An array smaller than the region is padded before, and its result cropped after.
+    """
+    widths = roi_padding(vox, roi)
+    padded = pad(vox, padding, fill, **widths)
+    out = merge_patches(padded, model(extract_patches(padded, roi, overlap)), roi, mode)
+    return crop(out, **{a: (n, n + vox.size(a)) for a, (n, _) in widths.items()}) if widths else out
+
+
+def shift_mask(height: int, width: int, window: int, shift: int, spark: SparkSession) -> DataFrame:
+    """(win, i, j, mask): -100 where two places of a shifted window come from different regions, else 0."""
+    band = lambda x, n: F.when(x < n - window, 0).when(x < n - shift, 1).otherwise(2)
+    h, w = F.floor(F.col("id") / width).cast("int"), (F.col("id") % width).cast("int")
+    win = (F.floor(h / window) * (width // window) + F.floor(w / window)).cast("int")
+    cells = spark.range(height * width).select(win.alias("win"), ((h % window) * window + w % window).alias("i"), (band(h, height) * 3 + band(w, width)).alias("region"))
+    other = cells.select("win", F.col("i").alias("j"), F.col("region").alias("other"))
+    return cells.join(other, "win").select("win", "i", "j", F.when(F.col("region") == F.col("other"), 0.0).otherwise(-100.0).alias("mask"))
 
 
 def window_partition(vox: Voxels, **size: int) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import augment, intensity, layers, morphology, scores, spatial, windows
+from .operators import augment, geometry, intensity, layers, morphology, scores, spatial, windows
 from .plans import catalog, transforms
 from .sources.readers import batched
 from .voxels import Voxels, pack, rounded, unpack
@@ -156,9 +156,67 @@ def _shape(s, d):
     return _affines(s, d).select("vec_id", *[n.getItem(k).alias(f"n{k}") for k in range(3)])
 
 
+def _volumes(s: SparkSession, d: str, even: list, odd: list) -> DataFrame:
+    """Packed 4x4x4 volumes with one of two affines by vec_id; entries may be columns."""
+    pick = lambda x: F.array(*[v.cast("double") if isinstance(v, Column) else F.lit(float(v)) for v in x])
+    rows = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    affine = F.when(F.col("vec_id") % 2 == 0, pick(even)).otherwise(pick(odd))
+    return rows.select(F.col("vec_id").alias("sample_id"), F.array(*map(F.lit, (4, 4, 4, 1))).alias("shape"), F.col("embedding").cast("array<double>").alias("data"), affine.alias("affine"))
+
+
+#: Affines of the test volumes, row by row; "step" is vec_id % 3 + 1.
+_TURNED = ([0, 0, -2, 5, "step", 0, 0, 1, 0, 1.5, 0, 2, 0, 0, 0, 1], [-1, 0, 0, 5, 0, 2, 0, 1, 0, 0, "step", 2, 0, 0, 0, 1])
+
+
+def _turned(s: SparkSession, d: str) -> DataFrame:
+    """Axes (A, S, L) for even ids and (L, A, S) for odd ones."""
+    step = F.col("vec_id") % 3 + 1
+    return _volumes(s, d, *[[step if x == "step" else x for x in row] for row in _TURNED])
+
+
+def _oblique(s: SparkSession, d: str) -> DataFrame:
+    """Spacing (1 to 3, 1.5, 2), the first two axes turned by half a right angle, or as in a 3-4-5 triangle."""
+    step, r = F.col("vec_id") % 3 + 1, 0.5**0.5
+    half = [step * r, -1.5 * r, 0, 5, step * r, 1.5 * r, 0, 1, 0, 0, 2, 2, 0, 0, 0, 1]
+    third = [step * 0.6, -1.5 * 0.8, 0, 5, step * 0.8, 1.5 * 0.6, 0, 1, 0, 0, 2, 2, 0, 0, 0, 1]
+    return _volumes(s, d, half, third)
+
+
+_flat = lambda df: df.select("sample_id", F.posexplode("data").alias("i", "v"))
+query("orientation", f"WITH {V3} SELECT sample_id, (CASE WHEN sample_id % 2 = 0 THEN h * 16 + d * 4 + 3 - w ELSE w * 16 + h * 4 + 3 - d END)::INT AS i, round(v, 6) + 0.0 AS v FROM v")(lambda s, d: _flat(geometry.orient(_turned(s, d))))
+query("orientation_inverse", f"WITH {V3} SELECT sample_id, (d * 16 + h * 4 + w)::INT AS i, round(v, 6) + 0.0 AS v FROM v")(lambda s, d: _flat(geometry.unorient(geometry.orient(_turned(s, d), "LPS"))))
+
+
+@query("orientation_affine", """SELECT vec_id AS sample_id, 'SAR' AS codes, CASE WHEN vec_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0 END AS a2, CASE WHEN vec_id % 2 = 0 THEN -1.0::DOUBLE ELSE 2.0 END AS a3,
+CASE WHEN vec_id % 2 = 0 THEN (vec_id % 3 + 1)::DOUBLE ELSE 2.0 END AS a5, CASE WHEN vec_id % 2 = 0 THEN 1.5::DOUBLE ELSE vec_id % 3 + 1 END AS a8, 0.0::DOUBLE AS back FROM embeddings""")
+def _oriented_affine(s, d):
+    out = geometry.orient(_turned(s, d))
+    a = F.col("affine")
+    then = geometry.unorient(out).join(_turned(s, d).select("sample_id", F.col("affine").alias("old")), "sample_id")
+    same = then.select("sample_id", F.aggregate(F.zip_with("affine", "old", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda t, x: t + x).alias("back"))
+    return out.select("sample_id", scalars.axis_codes(a).alias("codes"), *[a.getItem(k).alias(f"a{k}") for k in (2, 3, 5, 8)]).join(same, "sample_id")
+
+
+_NEW = "n AS (SELECT vec_id AS sample_id, a, b, c, a * 0.8::DOUBLE / (vec_id % 3 + 1) AS x, b * 1.1::DOUBLE / 1.5 AS y, c * 1.7::DOUBLE / 2 AS z FROM embeddings, range(15) p(a), range(5) q(b), range(5) r(c) WHERE a < floor(4 * (vec_id % 3 + 1) / 0.8 + 0.5))"
+query("spacing_nearest", f"""WITH {V3}, {_NEW} SELECT n.sample_id, ((a * 5 + b) * 5 + n.c)::INT AS i, round(coalesce(v.v, -1), 6) + 0.0 AS v
+FROM n LEFT JOIN v ON v.sample_id = n.sample_id AND v.d = round_even(x, 0) AND v.h = round_even(y, 0) AND v.w = round_even(z, 0)""")(lambda s, d: _flat(geometry.respace(_oblique(s, d), (0.8, 1.1, 1.7), "nearest", -1.0)))
+query("spacing_linear", f"""WITH {V3}, {_NEW}, t AS (SELECT n.*, floor(x) + i AS td, floor(y) + j AS th, floor(z) + k AS tw, abs(1 - i - (x - floor(x))) * abs(1 - j - (y - floor(y))) * abs(1 - k - (z - floor(z))) AS wt FROM n, range(2) f(i), range(2) g(j), range(2) h(k))
+SELECT t.sample_id, ((a * 5 + b) * 5 + t.c)::INT AS i, round(sum(wt * coalesce(v.v, -1)), 6) + 0.0 AS v FROM t LEFT JOIN v ON v.sample_id = t.sample_id AND v.d = td AND v.h = th AND v.w = tw GROUP BY ALL""")(
+    lambda s, d: _flat(geometry.respace(_oblique(s, d), (0.8, 1.1, 1.7), "linear", -1.0))
+)
+
+
+@query("affine_output_shape_oblique", """WITH e AS (SELECT vec_id, (vec_id % 3 + 1)::DOUBLE AS st, CASE WHEN vec_id % 2 = 0 THEN sqrt(0.5::DOUBLE) ELSE 0.6 END AS co, CASE WHEN vec_id % 2 = 0 THEN sqrt(0.5::DOUBLE) ELSE 0.8 END AS si FROM embeddings)
+SELECT vec_id AS sample_id, floor(40 * st * co + 61 * 1.5 * si + 0.5)::INT AS n0, floor(40 * st * si + 61 * 1.5 * co + 0.5)::INT AS n1, 12 AS n2 FROM e""")
+def _oblique_shape(s, d):
+    world = F.array(*[F.lit(float(k % 5 == 0)) for k in range(16)])
+    n = scalars.output_shape(F.col("affine"), world, (40, 61, 6))
+    return _oblique(s, d).select("sample_id", *[n.getItem(k).alias(f"n{k}") for k in range(3)])
+
+
 # ---- sliding windows ----------------------------------------------------------------------------
 
-query("patch_slices", "SELECT (i * 3 + j)::INT AS patch_id, (i * 3 - greatest(i * 3 + 4 - 8, 0))::INT AS start_h, (j * 2 - greatest(j * 2 + 3 - 8, 0))::INT AS start_w FROM range(3) a(i), range(4) b(j)".replace("i * 3 + j", "i * 4 + j"))(
+query("patch_slices", "SELECT (i * 4 + j)::INT AS patch_id, (i * 3 - greatest(i * 3 + 4 - 8, 0))::INT AS start_h, (j * 2 - greatest(j * 2 + 3 - 8, 0))::INT AS start_w FROM range(3) a(i), range(4) b(j)")(
     lambda s, d: windows.patch_table(load(s, d), {"h": 4, "w": 3}, 0.25)
 )
 _starts = "p AS (SELECT (i * 4 + j)::INT AS patch_id, (i * 3 - greatest(i * 3 + 4 - 8, 0))::INT AS sh, (j * 2 - greatest(j * 2 + 3 - 8, 0))::INT AS sw FROM range(3) a(i), range(4) b(j))"
@@ -171,6 +229,15 @@ for _mode, _wt in (("constant", "1.0::DOUBLE"), ("gaussian", "greatest(exp(-powe
         lambda s, d, m=_mode: windows.sliding_window(load(s, d), {"h": 4, "w": 3}, _model, 0.25, m).df
     )
 vox("sliding_identity_3d", "3d", lambda v: windows.sliding_window(v, {"d": 3, "h": 2, "w": 4}, lambda p: p, 0.5, "gaussian"), "v")
+for _m, _x in {"constant": "", "edge": "greatest(least(t - 2, 7), 0)", "reflect": "CASE WHEN t < 2 THEN 2 - t WHEN t > 9 THEN 16 - t ELSE t - 2 END", "symmetric": "CASE WHEN t < 2 THEN 1 - t WHEN t > 9 THEN 17 - t ELSE t - 2 END", "wrap": "(t + 6) % 8"}.items():
+    _src = f"SELECT sample_id, d, t::INT AS h, w, c, round(v, 6) + 0.0 AS v FROM range(13) p(t) JOIN v ON h = {_x}"
+    if _m == "constant":
+        _src = "SELECT sample_id, d, t::INT AS h, w, c, round(CASE WHEN t BETWEEN 2 AND 9 THEN v ELSE -3 END, 6) + 0.0 AS v FROM range(13) p(t) JOIN v ON h = greatest(least(t - 2, 7), 0)"
+    query(f"pad_{_m}", f"WITH {V2} {_src}")(lambda s, d, m=_m: windows.pad(load(s, d), m, -3.0, h=(2, 3)).df)
+for _m in ("constant", "reflect"):
+    vox(f"sliding_padded_{_m}", "2d", lambda v, m=_m: windows.sliding_window(v, {"h": 11, "w": 5}, lambda p: p.withColumn("v", F.col("v") * 2 + 1), 0.5, "gaussian", m), "v * 2 + 1")
+query("shift_mask", """WITH x AS (SELECT h, w, (h // 4 * 2 + w // 4)::INT AS win, ((h % 4) * 4 + w % 4)::INT AS i, CASE WHEN h < 4 THEN 'a' WHEN h < 6 THEN 'b' ELSE 'c' END || CASE WHEN w < 4 THEN 'a' WHEN w < 6 THEN 'b' ELSE 'c' END AS r FROM range(8) p(h), range(8) q(w))
+SELECT x.win, x.i, y.i AS j, CASE WHEN x.r = y.r THEN 0.0::DOUBLE ELSE -100.0 END AS mask FROM x JOIN x y ON x.win = y.win""")(lambda s, d: windows.shift_mask(8, 8, 4, 2, s))
 query("window_partition", f"WITH {V2} SELECT sample_id, (h // 4 * 4 + w // 2)::INT AS win, (h % 4 * 2 + w % 2)::INT AS pos, c, round(v, 6) + 0.0 AS v FROM v")(lambda s, d: windows.window_partition(load(s, d), h=4, w=2))
 vox("window_reverse", "3d", lambda v: windows.window_reverse(v, windows.window_partition(v, d=2, h=4, w=2), d=2, h=4, w=2), "v")
 vox("patch_merging", "2d", windows.patch_merging, "v", idx="sample_id, d, (h // 2)::INT AS h, (w // 2)::INT AS w, (h % 2 + 2 * (w % 2))::INT AS c")
@@ -192,6 +259,13 @@ _K = {(0, i - 1, j - 1): (i + 1) * 0.5 - j * 0.25 for i in range(3) for j in ran
 _conv = f"WITH {V2}, k AS (SELECT (i - 1)::INT AS a, (j - 1)::INT AS b, (i + 1) * 0.5::DOUBLE - j * 0.25::DOUBLE AS x FROM range(3) p(i), range(3) q(j)) SELECT o.sample_id, o.d, o.h, o.w, o.c, round(sum(i.v * x), 6) + 0.0 AS v FROM v o, k JOIN v i ON i.sample_id = o.sample_id AND i.h = o.h + a AND i.w = o.w + b GROUP BY ALL"
 query("conv3x3", _conv)(lambda s, d: morphology.convolve(load(s, d), _K).df)
 
+_MIX = lambda n: [[[[(i + 1) * 0.5 - j * 0.25 + p * 0.125 - q * 0.375 for q in range(2)] for p in range(4)] for j in range(n)] for i in range(n)]
+_mix = "k AS (SELECT i, j, p, q, (i + 1) * 0.5::DOUBLE - j * 0.25::DOUBLE + p * 0.125::DOUBLE - q * 0.375::DOUBLE AS x FROM range({n}) e(i), range({n}) f(j), range(4) g(p), range(2) h(q))"
+_mixed = "SELECT sample_id, 0 AS d, oh::INT AS h, ow::INT AS w, q::INT AS c, round(sum(v * x), 6) + 0.0 AS v FROM v JOIN k ON c = p, range({m}) y(oh), range({m}) z(ow) WHERE {on} GROUP BY ALL"
+query("conv_channels", f"WITH {MC}, {_mix.format(n=3)} {_mixed.format(m=4, on='h = oh + i - 1 AND w = ow + j - 1')}")(lambda s, d: morphology.convolve_channels(load(s, d, "mc"), _MIX(3)).df)
+query("conv_channels_stride2", f"WITH {MC}, {_mix.format(n=3)} {_mixed.format(m=2, on='h = oh * 2 + i AND w = ow * 2 + j')}")(lambda s, d: morphology.convolve_channels(load(s, d, "mc"), _MIX(3), 2).df)
+query("conv_transpose", f"WITH {MC}, {_mix.format(n=2)} {_mixed.format(m=8, on='oh = h * 2 + i AND ow = w * 2 + j')}")(lambda s, d: morphology.convolve_channels(load(s, d, "mc"), _MIX(2), 2, True).df)
+
 # ---- metrics and losses -------------------------------------------------------------------------
 
 
@@ -243,6 +317,23 @@ for _n, _e in {"sum": "sum(l)", "mean": "avg(l)", "sum_over_batch_size": "sum(l)
     query(f"reduction_{_n}", f"WITH {_P}, {_SOFT}, {_SUMS}, o AS (SELECT sample_id, {_LOSS['dice']} AS l FROM i) SELECT round({_e}, 6) + 0.0 AS loss FROM o")(lambda s, d, n=_n: scores.reduced(scores.overlap_loss(_soft(s, d)), n))
 
 
+_PROB = "s AS (SELECT sample_id, class, true_class, y_true, 1 / (1 + exp(-y_pred)) AS y_pred FROM q)"
+_MASKED = "l AS (SELECT *, least(greatest(y_pred, 1e-7), 1 - 1e-7) AS p, {mask} AS m FROM s {where}), i AS (SELECT sample_id, class, sum(m * y_true * p) AS i, sum(m * y_true) AS t, sum(m * p) AS p, sum(-m * y_true * ln(p)) AS ce, sum(-m * (y_true * ln(p) + (1 - y_true) * ln(1 - p))) AS bce, sum(m) AS n FROM l GROUP BY 1, 2)"
+_VARIANTS = {
+    "binary": (_PROB, _MASKED.format(mask="1.0::DOUBLE", where=""), lambda s, d: scores.probabilities(_pairs(s, d), "binary", True), {}),
+    "sparse_ignored": (_SOFT, _MASKED.format(mask="CASE WHEN true_class IN (0, 3) THEN 0.0::DOUBLE ELSE 1.0 END", where=""), lambda s, d: scores.sparse(_soft(s, d).drop("y_true")), {"ignored": [0, 3]}),
+    "targets": (_SOFT, _MASKED.format(mask="1.0::DOUBLE", where="WHERE class IN (1, 3)"), _soft, {"targets": [1, 3]}),
+}
+for _v, (_from, _sums, _rows, _of) in _VARIANTS.items():
+    for _n, _e in _LOSS.items():
+        query(f"loss_{_n}_{_v}", f"WITH {_P}, {_from}, {_sums} SELECT sample_id, class, round({_e}, 6) + 0.0 AS loss FROM i")(lambda s, d, n=_n, r=_rows, o=_of: scores.overlap_loss(r(s, d), n, alpha=0.3, beta=0.7, **o))
+    query(f"loss_cross_entropy_{_v}", f"WITH {_P}, {_from}, {_sums} SELECT sample_id, class, round(bce / greatest(n, 1), 6) + 0.0 AS loss FROM i")(lambda s, d, r=_rows, o=_of: scores.cross_entropy(r(s, d), True, **o))
+    query(f"loss_dice_ce_{_v}", f"WITH {_P}, {_from}, {_sums} SELECT sample_id, class, round({_LOSS['dice']} + 0.5 * ce / greatest(n, 1), 6) + 0.0 AS loss FROM i")(lambda s, d, r=_rows, o=_of: scores.dice_ce_loss(r(s, d), False, 1.0, 0.5, **o))
+    query(f"loss_gdl_{_v}", f"WITH {_P}, {_from}, {_sums}, g AS (SELECT sample_id, sum(CASE WHEN t > 0 THEN 1 / (t + 1e-7) ELSE 0 END * i) AS i, sum(CASE WHEN t > 0 THEN 1 / (t + 1e-7) ELSE 0 END * (t + p)) AS u FROM i GROUP BY 1) SELECT sample_id, round(1 - CASE WHEN u > 0 THEN (2 * i + 1e-7) / (u + 1e-7) ELSE 1 END, 6) + 0.0 AS loss FROM g")(
+        lambda s, d, r=_rows, o=_of: scores.generalized_dice_loss(r(s, d), "simple", **o)
+    )
+
+
 @query("loss_centerline_dice")
 def _cldice(s, d):
     true = load(s, d).values((F.col("v") > 0).cast("double"))
@@ -334,7 +425,7 @@ _s = " UNION ALL ".join(f"SELECT '{n}' AS name, '{f}' AS family" for n, fs in ca
 query("registry_catalog", f"WITH b AS ({_b}), s AS ({_s}), x AS (SELECT family, string_agg(name, ' ' ORDER BY name) AS backbones FROM b GROUP BY 1), y AS (SELECT family, string_agg(name, ' ' ORDER BY name) AS segmentors FROM s GROUP BY 1) SELECT family, backbones, segmentors FROM x FULL JOIN y USING (family)")(lambda s, d: catalog.by_family(s))
 query("registry_family", f"WITH b AS ({_b}), s AS ({_s}) SELECT 'vit' AS family, (SELECT string_agg(name, ' ' ORDER BY name) FROM b WHERE family = 'vit') AS backbones, (SELECT string_agg(name, ' ' ORDER BY name) FROM s WHERE family = 'vit') AS segmentors")(lambda s, d: catalog.by_family(s, "ViT"))
 query("encoder_compat", f"WITH b AS ({_b}), s AS ({_s}) SELECT s.name AS segmentor, b.name AS encoder FROM b JOIN s USING (family)")(lambda s, d: catalog.compatible(s))
-query("camel_to_snake", "SELECT DISTINCT event_type, lower(regexp_replace(regexp_replace(x, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM (SELECT event_type, upper(substr(event_type, 1, 1)) || substr(event_type, 2) || 'EventLOSS2D' AS x FROM events)")(
+query("camel_to_snake", "SELECT DISTINCT event_type, event_type || '_event_loss2_d' AS snake FROM events")(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_type").distinct().select("event_type", scalars.camel_to_snake(F.concat(F.upper(F.substring("event_type", 1, 1)), F.expr("substr(event_type, 2)"), F.lit("EventLOSS2D"))).alias("snake"))
 )
 query("best_score", """WITH m AS (SELECT label AS epoch, avg(embedding[1]::DOUBLE) AS score FROM embeddings GROUP BY 1), e AS (SELECT epoch, (epoch + 1) % 2 = 0 AS ev, CASE WHEN (epoch + 1) % 2 = 0 THEN score ELSE 0 END AS score FROM m)
