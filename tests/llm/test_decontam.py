@@ -74,3 +74,13 @@ def test_empty(spark, none):
     q = spark.createDataFrame([], "item_id long, text string")
     assert contaminated_pairs(none, q).count() == 0
     assert decontaminate(none, spark.createDataFrame([(1, "x")], "item_id long, text string")).count() == 0
+
+
+def test_query(spark, sf):
+    """The registered query on short documents, against brute force; long ones are among its rows too."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    short = [(d, t) for d, t in docs if len(t or "") < 400]
+    ids = {d for d, _ in short}
+    got = {(r.doc_id, r.item_id) for r in decontam.op7_decontamination(spark, sf).collect()}
+    assert {p for p in got if p[0] in ids} == brute(short, items) and {d for d, _ in got} <= {d for d, _ in docs}

@@ -211,7 +211,9 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in pieces(batch.column(1), _BLOCK):
             hashes, sizes = word_hashes(data, offsets)
-            words, at, counts = np.unique(hashes.view(np.int64), return_inverse=True, return_counts=True)
+            coded = pa.array(hashes.view(np.int64)).dictionary_encode()
+            words, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            counts = np.bincount(at, minlength=len(words))
             packed = zstandard.ZstdCompressor(level=3).compress(at.astype("<u4").tobytes())
             row = [block, batch.column(0)[a:b].to_pylist(), sizes, packed, words, counts]
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _TOKENS)], schema=_TOKENS)
