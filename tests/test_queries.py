@@ -28,12 +28,12 @@ def rows(names, data):
     return [names[i] for i in order], sorted(tuple(plain(r[i]) for i in order) for r in data)
 
 
-ALL = sorted(__spark_entry__.oracle_sql()) if os.environ.get("ALL_QUERIES") else sorted(set(ORACLES) & set(QUERIES))[::4] + ["flagship_normalized_dice"]
+ALL = sorted(set(ORACLES) & set(QUERIES)) if os.environ.get("ALL_QUERIES", "1") != "0" else sorted(set(ORACLES) & set(QUERIES))[::4] + ["flagship_normalized_dice"]
 
 
 @pytest.mark.parametrize("name", ALL)
 def test_against_sql(spark, duck, sf, name):
-    """A quarter of the queries; all with ALL_QUERIES=1, which takes minutes."""
+    """Every query that has SQL; a quarter of them with ALL_QUERIES=0."""
     df = __spark_entry__.queries()[name](spark, sf)
     result = duck.execute(__spark_entry__.oracle_sql()[name])
     want = rows([c[0] for c in result.description], result.fetchall())
