@@ -34,9 +34,36 @@ def brute(docs, items, least=13):
 
 
 def test_masks_hit_every_stretch():
-    """13 words with up to two substituted: some mask finds only equal words."""
-    for bad in itertools.chain.from_iterable(itertools.combinations(range(13), r) for r in range(3)):
-        assert any(all(at + k not in bad for k in m) for m in MASKS for at in range(13 - m[-1]))
+    """13 to 25 words with one substitution in five: some mask finds only equal words."""
+    for n in range(13, 26):
+        places = [sum(1 << at + k for k in m) for m in MASKS for at in range(n - m[-1])]
+        for bad in itertools.combinations(range(n), n // 5):
+            taken = sum(1 << k for k in bad)
+            assert any(not p & taken for p in places), (n, bad)
+
+
+def test_masks_of_short_items():
+    """Wherever the allowed substitutions are, some mask leaves them all out and has words left."""
+    for n in range(1, 13):
+        for bad in itertools.combinations(range(n), n // 5):
+            assert any(m and not set(m) & set(bad) for m in decontam.short_masks(n)), (n, bad)
+
+
+def test_substitutions_in_items_of_any_length(spark, words):
+    """Items of 5 to 30 words, each planted with as many substitutions as the rule allows, evenly or by chance."""
+    rng = random.Random(9)
+    items = [(n, " ".join(rng.choice(words) for _ in range(n))) for n in range(5, 31)]
+    docs = []
+    for n, text in items:
+        for turn in range(8):
+            part = text.split()
+            bad = [5 * k + turn % 5 for k in range(n // 5)] if turn < 5 else rng.sample(range(n), n // 5)
+            for k in bad:
+                part[k] = "zz"
+            docs.append((n * 10 + turn, " ".join(["yy", *part, "xx"])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated_pairs(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items) and {(i, i // 10) for i, _ in docs} <= got
 
 
 def cases(spark, words):
@@ -61,7 +88,6 @@ def test_pairs(spark, words, monkeypatch):
     rows = contaminated_pairs(d.withColumn("item_id", F.lit("x")), q.withColumn("doc_id", F.lit(1))).collect()
     got = {(r.doc_id, r.item_id) for r in rows}
     want = brute(docs[:-1], items)
-    # 3 of 13 words are beyond one in five, so stretches with two are complete
     assert got == want
     assert len(rows) == len(got) and all(5 * (r.n_words - r.n_equal) <= r.n_words for r in rows)
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 40)

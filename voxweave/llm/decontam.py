@@ -1,20 +1,25 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Texts are words with A-Z lower-cased. Fixed masks pick 7 positions out of windows of up
-to 11 words and ignore the others; the hash of the picked words is a seed. The
-three masks together hit every aligned stretch of 13 words that has up to two
-substituted words, wherever these are (searched exhaustively, and tested).
+to 14 words and ignore the others; the hash of the picked words is a seed.
 
 Seeds of documents are joined with seeds of benchmark items. Around each hit the two
 texts are compared on the hit's diagonal, and the longest stretch with at most one
 substitution in five words is measured. A document is contaminated by an item if a
-stretch has MIN_WORDS words, or the whole of a shorter item. Items with fewer words than a
-mask needs are matched word for word.
+stretch has MIN_WORDS words, or the whole of a shorter item.
+
+No such pair is missed. The six masks together hit every aligned stretch of 13 to 25 words with
+one substitution in five at most, wherever these are (searched exhaustively, and
+tested), and a longer one, cut into two halves of 13 words or more, is as good in one of the
+halves. An item of n < 13 words may have n // 5 words substituted; its words are cut into two
+groups more than that, and each mask leaves out as many groups as there may be
+substitutions, so some mask leaves out all of them.
 
 The benchmark is a query set held against all rows in blocks: items stream to the
 driver until a block has BLOCK_WORDS words, and each block is broadcast to one pass over the
-documents. So a broadcast is bounded however large the benchmark is, and documents
-are never shuffled.
+documents. Where there is more than one block, each pass is written to the shared folder and its
+broadcast released before the next, so one block is held at a time however large the
+benchmark is. Documents are never shuffled.
 
 Defined cases: a null or blank text has no words, so it neither contaminates nor is
 contaminated; repeated rows or ids give their pairs once; a null id is an id like
@@ -24,16 +29,26 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import as_table
 from .tokens import U64, mix64, pieces, word_hashes
 
-MASKS = ((0, 1, 2, 3, 5, 6, 7), (0, 1, 2, 4, 7, 9, 10), (0, 1, 4, 5, 7, 8, 9))
+MASKS = (
+    (0, 1, 2, 3, 5, 6, 7),
+    (0, 1, 2, 4, 7, 9, 10),
+    (0, 1, 4, 5, 7, 8, 9),
+    (0, 1, 2, 4, 11, 12, 13),
+    (0, 1, 3, 6, 8, 9, 10),
+    (0, 1, 2, 3, 6, 7, 8),
+)
 MIN_WORDS = 13
 #: A stretch may have one substitution in so many words.
 ONE_IN = 5
@@ -55,6 +70,15 @@ def _seeds(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix64(out)
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks over the whole of an item of n words, n // ONE_IN of which may be substituted."""
+    bad = n // ONE_IN
+    if not bad:
+        return [tuple(range(n))]
+    group = np.arange(n) * (bad + 2) // n
+    return [tuple(np.flatnonzero(~np.isin(group, out)).tolist()) for out in itertools.combinations(range(bad + 2), bad)]
+
+
 def _owners(counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(counts)), counts)
 
@@ -69,31 +93,32 @@ class Block:
         self.counts = np.concatenate([c for _, c in parts])
         self.first = np.cumsum(self.counts) - self.counts
         owner = _owners(self.counts)
-        short = np.unique(self.counts[(self.counts > 0) & (self.counts <= max(m[-1] for m in MASKS))])
+        short = np.unique(self.counts[(self.counts > 0) & (self.counts < MIN_WORDS)]).tolist()
         #: (mask, item words it is for: None for all) of every kind of seed
-        self.kinds = [(m, None) for m in MASKS] + [(tuple(range(int(n))), int(n)) for n in short]
+        self.kinds = [(m, None) for m in MASKS] + [(m, n) for n in short for m in short_masks(n)]
         self.index = []
         for mask, only in self.kinds:
             seeds = _seeds(self.words, mask)
             at = np.flatnonzero(owner[: len(seeds)] == owner[mask[-1] : mask[-1] + len(seeds)])
             if only is not None:
-                at = at[self.counts[owner[at]] == only]
+                at = at[(self.counts[owner[at]] == only) & (at == self.first[owner[at]])]
             order = at[np.argsort(seeds[at], kind="stable")]
             values, start = np.unique(seeds[order], return_index=True)
-            present = np.zeros(1 << 22, dtype=bool)
-            present[(values >> U64(42)).astype(np.int64)] = True
-            self.index.append((values, np.append(start, len(order)), order, present))
+            bits = min(22, (32 * len(values) + 1).bit_length())
+            present, drop = np.zeros(1 << bits, dtype=bool), U64(64 - bits)
+            present[(values >> drop).astype(np.int64)] = True
+            self.index.append((values, np.append(start, len(order)), order, present, drop))
         self.owner = owner
 
     def diagonals(self, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Distinct rows (text, item, item position - text position) that share a seed."""
         owner, first = _owners(counts), np.cumsum(counts) - counts
         found = [np.zeros((0, 3), np.int64)]
-        for (mask, _), (values, start, order, present) in zip(self.kinds, self.index):
+        for (mask, _), (values, start, order, present, drop) in zip(self.kinds, self.index):
             if not len(values):
                 continue
             seeds = _seeds(words, mask)
-            at = np.flatnonzero(present[(seeds >> U64(42)).astype(np.int64)])
+            at = np.flatnonzero(present[(seeds >> drop).astype(np.int64)])
             at = at[owner[at] == owner[at + mask[-1]]]
             nth = np.searchsorted(values, seeds[at])
             same = (nth < len(values)) & (values[np.minimum(nth, len(values) - 1)] == seeds[at])
@@ -153,6 +178,20 @@ def _blocks(benchmark: DataFrame) -> Iterator[Block]:
         yield Block(items, texts)
 
 
+def _shared_blocks(spark: SparkSession, benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block as a broadcast, and whether it is the only one; if not, it is released when the next is asked for."""
+    blocks = _blocks(benchmark)
+    block, alone = next(blocks, None), True
+    while block is not None:
+        after = next(blocks, None)
+        alone = alone and after is None
+        shared = spark.sparkContext.broadcast(block)
+        yield shared, alone
+        if not alone:
+            shared.destroy()
+        block = after
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_words, n_equal, start_word): each document with each item it leaks.
 
@@ -162,8 +201,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, n_words long, n_equal long, start_word long"
     out = spark.createDataFrame([], schema)
     columns = docs.select(F.col("doc_id").cast("long"), "text")
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+    for shared, alone in _shared_blocks(spark, benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
@@ -173,23 +211,29 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rest = [pa.array([held.items[r[1]] for r in rows], pa.int64())] + [pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "n_words", "n_equal", "start_word"])
 
-        out = out.unionByName(columns.mapInArrow(run, schema))
+        found = columns.mapInArrow(run, schema)
+        out = out.unionByName(found if alone else as_table(found, "leaks"))
     longest = F.max(F.struct("n_words", "n_equal", (-F.col("start_word")).alias("back"))).alias("m")
     best = out.groupBy("doc_id", "item_id").agg(longest)
     return best.select("doc_id", "item_id", "m.n_words", "m.n_equal", (-F.col("m.back")).alias("start_word"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that leak a benchmark item; rows without an id are judged by text."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark)]
-
+def _clean(shared: Broadcast) -> Callable[[str], Column]:
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        leaks = {row for b in blocks for row, *_ in b.value.matches(texts)}
+        leaks = {row for row, *_ in shared.value.matches(texts)}
         return pa.array([i not in leaks for i in range(len(texts))], pa.bool_())
 
-    return docs.where(clean("text"))
+    return clean
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without those that leak a benchmark item; rows without an id are judged by text."""
+    for shared, alone in _shared_blocks(docs.sparkSession, benchmark):
+        docs = docs.where(_clean(shared)("text"))
+        if not alone:
+            docs = as_table(docs, "clean")
+    return docs
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
