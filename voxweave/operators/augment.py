@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gumbel, uniform
@@ -54,13 +56,37 @@ def crop_centers(labels: Voxels, seed: int, positive: float, negative: float, sa
     best = draws.groupBy("sample_id", "draw").agg(F.min(key).alias("m"))
     return best.select("sample_id", "draw", "m.d", "m.h", "m.w")
 
-def random_cutout(vox: Voxels, seed: int, size: dict[str, int], cuts: int, prob: float = 0.5, fill: float = 0.0) -> Voxels:
-    """Boxes around random centers, set to fill."""
+def crop_around(vox: Voxels, centers: DataFrame, **size: int) -> DataFrame:
+    """(sample_id, draw, axes within the crop, v): boxes of a size around centers, moved to lie inside."""
+    places = centers.select("sample_id", "draw", *[F.greatest(F.least(F.greatest(F.col(a) - n // 2, F.lit(0)) + n, F.lit(vox.size(a))) - n, F.lit(0)).alias(f"start_{a}") for a, n in size.items()])
+    rows = vox.df.join(places, "sample_id")
+    for a, n in size.items():
+        rows = rows.where((F.col(a) >= F.col(f"start_{a}")) & (F.col(a) < F.col(f"start_{a}") + n)).withColumn(a, F.col(a) - F.col(f"start_{a}"))
+    return rows.select("sample_id", "draw", *AXES, "v")
+
+def noise(vox: Voxels, seed: int, deviation: float) -> Voxels:
+    """Normal noise for every voxel, stretched to the range of its sample."""
+    at = [F.col(a) for a in ("sample_id", *AXES)]
+    first, second = uniform(seed, F.lit("r"), *at), uniform(seed, F.lit("a"), *at)
+    normal = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - first)) * F.cos(F.lit(2 * math.pi) * second) * F.lit(float(deviation))
+    drawn = vox.df.withColumn("z", normal)
+    spans = drawn.groupBy("sample_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("v", "z") for n, f in (("low", F.min), ("high", F.max))])
+    scaled = (F.col("high_v") - F.col("low_v")) * (F.col("z") - F.col("low_z")) / (F.col("high_z") - F.col("low_z") + F.lit(1e-8)) + F.col("low_v")
+    return vox.mapped(drawn.join(spans, "sample_id").withColumn("v", scaled))
+
+def random_cutout(vox: Voxels, seed: int, size: dict[str, int], cuts: int, prob: float = 0.5, fill: float = 0.0, by_slice: bool = False, deviation: float | None = None) -> Voxels:
+    """Boxes around random centers, set to fill, or to noise of a standard deviation; by_slice draws centers for each depth."""
+    if deviation is not None:
+        filled = noise(vox, seed, deviation).df.withColumnRenamed("v", "x")
+        both = vox.df.join(filled, ["sample_id", *AXES])
+        cut = random_cutout(vox.mapped(vox.df.withColumn("v", F.lit(0.0))), seed, size, cuts, prob, 1.0, by_slice).df.withColumnRenamed("v", "cut")
+        return vox.mapped(both.join(cut, ["sample_id", *AXES]).withColumn("v", F.when(F.col("cut") > 0, F.col("x")).otherwise(F.col("v"))))
+    where = [F.col("d")] if by_slice else []
     hit, cut = _hit(seed, 0, prob), F.lit(False)
     for k in range(cuts):
         inside = F.lit(True)
         for j, (a, n) in enumerate(sorted(size.items())):
-            center = F.floor(uniform(seed, F.col("sample_id"), 1 + k * len(size) + j) * vox.size(a))
+            center = F.floor(uniform(seed, F.col("sample_id"), 1 + k * len(size) + j, *where) * vox.size(a))
             inside = inside & (F.col(a) >= center - n // 2) & (F.col(a) < center - n // 2 + n)
         cut = cut | inside
     return vox.values(F.when(hit & cut, F.lit(float(fill))).otherwise(F.col("v")))
@@ -72,6 +98,25 @@ def random_choice(ids: DataFrame, seed: int, weights: list[float], choose: int)
     place = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc("key"), "choice"))
     return each.withColumn("place", place).where((F.col("place") <= choose) & (F.col("weight") > 0)).select("sample_id", "place", "choice")
 
+def random_choice_applied(vox: Voxels, seed: int, choices: list[dict[str, Column]], weights: list[float], choose: int) -> Voxels:
+    """`choose` of the weighted choices applied to each sample in drawn order.
+
+    A choice maps columns (axes of an unchanged size, or v) to expressions of them. Draws are those of random_choice, worked
+    out within each row, so nothing is joined or shuffled.
+    """
+    keys = [F.struct((-gumbel(uniform(seed, F.col("sample_id"), F.lit(k)), F.lit(float(w)))).alias("key"), F.lit(k).alias("choice")) for k, w in enumerate(weights)]
+    df = vox.df.withColumn("drawn", F.slice(F.array_sort(F.filter(F.array(*keys), lambda x: x["key"] < 1e9)), 1, choose))
+    for place in range(choose):
+        choice = F.get("drawn", F.lit(place))["choice"]
+        new = {}
+        for c in sorted({c for x in choices for c in x}):
+            new[c] = F.col(c)
+            for k, x in enumerate(choices):
+                if c in x:
+                    new[c] = F.when(choice == k, x[c]).otherwise(new[c])
+        df = df.withColumns(new)
+    return vox.mapped(df)
+
 def drop_path(vox: Voxels, seed: int, rate: float) -> Voxels:
     """Samples dropped as a whole; those kept are scaled up."""
     return vox.values(F.when(uniform(seed, F.col("sample_id"), 0) < F.lit(1 - rate), F.col("v") / F.lit(1 - rate)).otherwise(0.0))
@@ -85,5 +130,3 @@ def random_rotate(vox: Voxels, seed: int, factor: float, prob: float = 0.8, fill
     to = cells.withColumn("fh", F.rint(F.sin("a") * x + F.cos("a") * y + F.lit(ch)).cast("int")).withColumn("fw", F.rint(F.cos("a") * x - F.sin("a") * y + F.lit(cw)).cast("int"))
     source = vox.df.select("sample_id", "d", F.col("h").alias("fh"), F.col("w").alias("fw"), "c", "v")
     return vox.mapped(to.join(source, ["sample_id", "d", "fh", "fw", "c"], "left").withColumn("v", F.coalesce("v", F.lit(float(fill)))))
-
-__all__ = [n for n in dir() if n.startswith(("random_", "crop_", "drop_"))] + ["spatial_axes"]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import gelu, sigmoid
+from ..functions.scalars import gelu, sigmoid, uniform
 from ..voxels import AXES, Voxels
+from .morphology import convolve
 
 ACTIVATIONS = {
     "linear": lambda x: x,
@@ -85,17 +86,71 @@ def attention_gate(x: Voxels, gate: Voxels, wx: float, wg: float, psi: float) ->
     return x.mapped(both.withColumn("v", F.col("v") * alpha))
 
 
-def window_attention(blocks: DataFrame, scale: float) -> DataFrame:
-    """Self-attention within blocks (sample_id, win, pos, c, v) of a fixed size: softmax(q k' * scale) v."""
-    key = ["sample_id", "win"]
+def window_attention(blocks: DataFrame, scale: float, head_size: int | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """Self-attention within blocks (sample_id, win, pos, c, v) of a fixed size: softmax(q k' * scale + mask) v.
+
+    Channels are taken by `head_size` into heads of their own. A mask (win, i, j, mask) is added to the scores.
+    """
+    key = ["sample_id", "win", "head"]
+    blocks = blocks.withColumn("head", F.lit(0) if head_size is None else F.expr(f"c div {head_size}"))
     q = blocks.select(*key, F.col("pos").alias("i"), "c", F.col("v").alias("q"))
     k = blocks.select(*key, F.col("pos").alias("j"), "c", F.col("v").alias("k"))
     scores = q.join(k, [*key, "c"]).groupBy(*key, "i", "j").agg((F.sum(F.col("q") * F.col("k")) * F.lit(scale)).alias("s"))
+    if mask is not None:
+        scores = scores.join(mask, ["win", "i", "j"]).withColumn("s", F.col("s") + F.col("mask"))
     row = Window.partitionBy(*key, "i")
     e = scores.withColumn("e", F.exp(F.col("s") - F.max("s").over(row)))
     p = e.withColumn("p", F.col("e") / F.sum("e").over(row))
     out = p.join(k, [*key, "j"]).groupBy(*key, F.col("i").alias("pos"), "c").agg(F.sum(F.col("p") * F.col("k")).alias("v"))
-    return out
+    return out.drop("head")
+
+
+def mlp(vectors: DataFrame, first: list[list[float]], second: list[list[float]], bias: tuple[list[float], list[float]], activation: str = "gelu", keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """Two dense layers over c with an activation between them."""
+    hidden = dense(vectors, first, keys, bias[0])
+    return dense(hidden.withColumn("v", ACTIVATIONS[activation](F.col("v"))), second, keys, bias[1])
+
+
+def separable_convolution(vox: Voxels, kernel: dict[tuple[int, int, int], float], pointwise: list[list[float]], stride: int = 1) -> Voxels:
+    """A spatial kernel on each channel alone, then a matrix over channels."""
+    deep = convolve(vox, kernel, stride)
+    mixed = dense(deep.df, pointwise, ("sample_id", "d", "h", "w"))
+    return deep.mapped(mixed, deep.resized(c=len(pointwise[0])))
+
+
+def dropout(vox: Voxels, seed: int, rate: float) -> Voxels:
+    """Voxels dropped one by one; those kept are scaled up."""
+    kept = uniform(seed, *[F.col(a) for a in ("sample_id", *AXES)]) < F.lit(1 - rate)
+    return vox.values(F.when(kept, F.col("v") / F.lit(1 - rate)).otherwise(0.0))
+
+
+def class_target(scores: DataFrame, chosen: int | None = None) -> DataFrame:
+    """(sample_id, target) of class scores (sample_id, c, v): the chosen class, or the highest score."""
+    of = F.max("v") if chosen is None else F.max(F.when(F.col("c") == chosen, F.col("v")))
+    return scores.groupBy("sample_id").agg(of.alias("target"))
+
+
+def region_target(vox: Voxels, mask: str = "all", chosen: int | None = None) -> DataFrame:
+    """(sample_id, target): the chosen class's scores summed over all voxels, over its highest ones, or over its object.
+
+    The object is where that class is the predicted one (the first of equals); of one channel, where the score is above 0.
+    """
+    if mask not in ("all", "single", "object"):
+        raise ValueError(f"no such mask: {mask}")
+    if vox.size("c") == 1:
+        score, inside = F.max("v"), F.max("v") > 0
+    elif chosen is None:
+        raise ValueError("several classes need a chosen one")
+    else:
+        score = F.max(F.when(F.col("c") == chosen, F.col("v")))
+        inside = F.max_by("c", F.struct(F.col("v"), -F.col("c"))) == chosen
+    cells = vox.df.groupBy("sample_id", "d", "h", "w").agg(score.alias("v"), inside.alias("inside"))
+    if mask == "single":
+        # all cells that share the maximum count: their number times it
+        tops = cells.groupBy("sample_id", "v").agg(F.count(F.lit(1)).alias("n")).groupBy("sample_id").agg(F.max(F.struct("v", "n")).alias("t"))
+        return tops.select("sample_id", (F.col("t.v") * F.col("t.n")).alias("target"))
+    taken = F.col("v") if mask == "all" else F.when(F.col("inside"), F.col("v")).otherwise(0.0)
+    return cells.groupBy("sample_id").agg(F.sum(taken).alias("target"))
 
 
 def concat_channels(*parts: Voxels) -> Voxels:

@@ -160,3 +160,24 @@ def affine_resample(vox: Voxels, matrix: tuple[float, ...], shape: tuple[int, in
     points = cells.select("sample_id", F.struct("d", "h", "w").alias("point"), *[x.alias(n) for x, n in zip(at, "xyz")])
     out = sample_at(vox, points, mode, fill).select("sample_id", "point.d", "point.h", "point.w", "c", "v")
     return vox.mapped(out, (d, h, w, vox.size("c")))
+
+
+def repeat_channels(vox: Voxels, times: int) -> Voxels:
+    """Each channel `times` over, side by side."""
+    df = vox.df.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda k: F.col("c") * times + k)))
+    return vox.mapped(df, vox.resized(c=vox.size("c") * times))
+
+
+def label_channels(labels: Voxels, groups: list[list[int]]) -> Voxels:
+    """A channel of 0 and 1 for each group of class ids, which may overlap; one class a group is one-hot."""
+    if labels.size("c") != 1:
+        raise ValueError("labels have one channel")
+    hits = F.array(*[F.col("v").isin([float(x) for x in g]).cast("double") for g in groups])
+    return labels.mapped(labels.df.select("sample_id", *AXES[:3], F.posexplode(hits).alias("c", "v")), labels.resized(c=len(groups)))
+
+
+def decode_for_training(image: Voxels, label: Voxels, size: dict[str, int], channels: int = 1, classes: int | None = None) -> tuple[Voxels, Voxels]:
+    """An image and its label as a model takes them: resized between corners (labels by the nearest), repeated, one-hot."""
+    seen = repeat_channels(resize(image, "linear", True, **size), channels) if image.size("c") != channels else resize(image, "linear", True, **size)
+    truth = resize(label, "nearest", **size)
+    return seen, truth if classes is None else label_channels(truth, [[k] for k in range(classes)])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import augment, geometry, intensity, layers, morphology, scores, spatial, windows
+from .operators import augment, geometry, intensity, layers, morphology, regions, scores, spatial, windows
 from .plans import catalog, transforms
 from .sources.readers import batched
 from .voxels import Voxels, pack, rounded, unpack
@@ -249,7 +249,20 @@ _er = "least(" + _m3.format(f="min", x="v", o="w", a="h") + ", " + _m3.format(f=
 vox("erode", "2d", morphology.erode, _er)
 vox("dilate", "2d", morphology.dilate, _m3.format(f="max", x="x", o="h", a="w"), f"y AS (SELECT *, {_m3.format(f='max', x='v', o='w', a='h')} AS x FROM v)", "y")
 vox("open", "2d", morphology.opened, _m3.format(f="max", x="x", o="h", a="w"), f"e AS (SELECT {IDX}, {_er} AS v FROM v), y AS (SELECT *, {_m3.format(f='max', x='v', o='w', a='h')} AS x FROM e)", "y")
+def _skeleton_sql(iterations: int, value: str = "v", name: str = "k") -> str:
+    """CTEs up to <name>: the soft skeleton of `value`, one recursion step an iteration."""
+    up = lambda f, x, o, a: f"{f}({x}) OVER (PARTITION BY sample_id, {o} ORDER BY {a} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
+    thin = lambda x: f"least({up('min', x, 'w', 'h')}, {up('min', x, 'h', 'w')})"
+    opened = lambda x, source: f"(SELECT *, {up('max', 'y', 'h', 'w')} AS o FROM (SELECT *, {up('max', 'e', 'w', 'h')} AS y FROM (SELECT *, {thin(x)} AS e FROM {source})))"
+    start = f"SELECT 0 AS n, sample_id, h, w, x, greatest(x - o, 0) AS skel FROM {opened('x', f'(SELECT sample_id, h, w, {value} AS x FROM v)')}"
+    step = f"SELECT n + 1, sample_id, h, w, x1, skel + greatest(lost - skel * lost, 0) FROM (SELECT *, greatest(x1 - o, 0) AS lost FROM {opened('x1', f'(SELECT *, {thin(chr(120))} AS x1 FROM {name}_all WHERE n < {iterations})')})"
+    return f"{name}_all AS ({start} UNION ALL {step}), {name} AS (SELECT sample_id, h, w, skel FROM {name}_all WHERE n = {iterations})"
+
+
+for _n in (2, 50):
+    ORACLES[f"skeleton_{_n}it"] = f"WITH RECURSIVE {V2}, {_skeleton_sql(_n)} SELECT sample_id, 0 AS d, h, w, 0 AS c, round(skel, 6) + 0.0 AS v FROM k"
 vox("skeleton_2it", "2d", lambda v: morphology.skeleton(v, 2))
+query("skeleton_50it")(lambda s, d: unpack(regions.skeleton(pack(load(s, d))), (8, 8)).df)
 for _f in ("avg", "max"):
     query(f"adaptive_{_f}_pool", f"WITH {V2} SELECT sample_id, d, i::INT AS h, j::INT AS w, c, round({_f}(v), 6) + 0.0 AS v FROM v, range(3) a(i), range(5) b(j) WHERE h >= i * 8 // 3 AND h < ceil((i + 1) * 8 / 3.0) AND w >= j * 8 // 5 AND w < ceil((j + 1) * 8 / 5.0) GROUP BY ALL")(
         lambda s, d, f=_f: morphology.adaptive_pool(load(s, d), f, h=3, w=5).df
@@ -454,3 +467,78 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("y_true") * F.col("y_pred")).alias("intersection"), F.sum(F.col("y_true") + F.col("y_pred")).alias("total"), F.count(F.lit(1)).alias("valid")
     )
     return scores.dice_by_class(state)
+
+
+# ---- whole arrays, and compositions of the operators above --------------------------------------
+
+
+def _component_sql(bridge: int) -> str:
+    return f"""WITH RECURSIVE {V2}, m AS (SELECT sample_id, h, w FROM v WHERE v > 0.1), x AS (SELECT a.h::INT AS h, b.w::INT AS w FROM range(8) a(h), range(8) b(w)),
+g AS (SELECT DISTINCT m.sample_id, x.h, x.w FROM m JOIN x ON abs(x.h - m.h) <= {bridge} AND abs(x.w - m.w) <= {bridge}),
+r AS (SELECT sample_id, h, w, h * 8 + w AS root FROM g UNION SELECT g.sample_id, g.h, g.w, r.root FROM r JOIN g ON g.sample_id = r.sample_id AND abs(g.h - r.h) <= 1 AND abs(g.w - r.w) <= 1),
+l AS (SELECT sample_id, h, w, min(root) AS root FROM r GROUP BY ALL), n AS (SELECT sample_id, root, count(*) AS n FROM l GROUP BY ALL),
+k AS (SELECT sample_id, root FROM n QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, root) = 1)
+SELECT v.sample_id, (v.h * 8 + v.w)::INT AS i, CASE WHEN v.v > 0.1 AND k.root IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END AS v
+FROM v LEFT JOIN l ON l.sample_id = v.sample_id AND l.h = v.h AND l.w = v.w LEFT JOIN k ON k.sample_id = l.sample_id AND k.root = l.root"""
+
+
+for _n in (0, 1):
+    query(f"largest_component_{_n}", _component_sql(_n))(lambda s, d, n=_n: _flat(regions.largest_component(pack(load(s, d).values((F.col("v") > 0.1).cast("double"))), n)))
+
+_DRAWN = f"""z AS (SELECT *, k, {_u('sample_id', 'k', "'-1'")} < 0.75 AS want, {_u('sample_id', 'k', 'd', 'h', 'w', 'c')} AS u FROM v, range(2) r(k)),
+p AS (SELECT sample_id, k::INT AS draw, h, w FROM z QUALIFY row_number() OVER (PARTITION BY sample_id, k ORDER BY want <> (v > 0), u, d, h, w) = 1)"""
+query("crop_posneg", f"""WITH {V2}, {_DRAWN}, b AS (SELECT sample_id, draw, greatest(least(greatest(h - 1, 0), 5), 0) AS y, greatest(least(greatest(w - 2, 0), 4), 0) AS x FROM p)
+SELECT sample_id, draw, d, (h - y)::INT AS h, (w - x)::INT AS w, c, round(v, 6) + 0.0 AS v FROM v JOIN b USING (sample_id) WHERE h - y BETWEEN 0 AND 2 AND w - x BETWEEN 0 AND 3""")(
+    lambda s, d: augment.crop_around(load(s, d), augment.crop_centers(load(s, d), 7, 3, 1, 2), h=3, w=4)
+)
+vox("cutout_slices", "3d", lambda v: augment.random_cutout(v, 7, {"h": 2, "w": 2}, 1, 0.7, -9.0, by_slice=True),
+    f"CASE WHEN {_u('sample_id', '0')} < 0.7 AND h >= y - 1 AND h < y + 1 AND w >= x - 1 AND w < x + 1 THEN -9 ELSE v END", f"z AS (SELECT *, floor({_u('sample_id', '1', 'd')} * 4) AS y, floor({_u('sample_id', '2', 'd')} * 4) AS x FROM v)", "z")
+_NOISE = ", ".join(f"{_u(chr(39) + k + chr(39), 'sample_id', 'd', 'h', 'w', 'c')} AS {n}" for k, n in (("r", "u1"), ("a", "u2")))
+vox("cutout_noise", "2d", lambda v: augment.random_cutout(v, 7, {"h": 3, "w": 4}, 1, 0.7, deviation=0.1),
+    f"CASE WHEN {_u('sample_id', '0')} < 0.7 AND h >= y - 1 AND h < y + 2 AND w >= x - 2 AND w < x + 2 THEN (max(v) OVER q - min(v) OVER q) * (g - min(g) OVER q) / (max(g) OVER q - min(g) OVER q + 1e-8) + min(v) OVER q ELSE v END",
+    f"n AS (SELECT *, {_NOISE} FROM v), z AS (SELECT *, sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2) * 0.1 AS g, floor({_u('sample_id', '1')} * 8) AS y, floor({_u('sample_id', '2')} * 8) AS x FROM n)", "z WINDOW q AS (PARTITION BY sample_id)")
+_CHOSEN = f"""e AS (SELECT vec_id AS sample_id, k::INT AS choice, [3.0, 1.0, 0.0, 2.0][k + 1]::DOUBLE AS wt FROM embeddings, range(4) r(k)),
+o AS (SELECT sample_id, choice, row_number() OVER (PARTITION BY sample_id ORDER BY ln(wt) - ln(-ln(greatest({_u('sample_id', 'choice')}, 1e-6))) DESC, choice) AS r FROM e WHERE wt > 0),
+z AS (SELECT v.*, a.choice AS a, b.choice AS b FROM v JOIN o a ON a.sample_id = v.sample_id AND a.r = 1 JOIN o b ON b.sample_id = v.sample_id AND b.r = 2),
+y AS (SELECT *, CASE a WHEN 0 THEN v + 1 WHEN 1 THEN v * 2 ELSE v END AS x FROM z)"""
+vox("random_choice_applied", "2d", lambda v: augment.random_choice_applied(v, 7, [{"v": F.col("v") + 1}, {"v": F.col("v") * 2}, {"v": F.lit(-9.0)}, {"w": F.lit(7) - F.col("w")}], [3, 1, 0, 2], 2),
+    "CASE b WHEN 0 THEN x + 1 WHEN 1 THEN x * 2 ELSE x END", _CHOSEN, "y", "sample_id, d, h, CASE WHEN a = 3 OR b = 3 THEN 7 - w ELSE w END AS w, c")
+_BIAS = ([0.1, -0.2, 0.3], [0.5, 0.25, 0.125, -0.5])
+query("mlp", f"""WITH {MC}, g AS (SELECT sample_id, c, avg(v) AS v FROM v GROUP BY 1, 2), a AS (SELECT sample_id, o, sum(v * (0.1::DOUBLE * (c + 1) - 0.05::DOUBLE * o)) + max([0.1, -0.2, 0.3][o + 1]::DOUBLE) AS x FROM g, range(3) r(o) GROUP BY ALL),
+b AS (SELECT sample_id, o, x / (1 + exp(-1.5957691216057308 * (x + 0.044715 * x * x * x))) AS v FROM a)
+SELECT sample_id, u::INT AS c, round(sum(v * (0.2::DOUBLE * u - 0.1::DOUBLE * o)) + max([0.5, 0.25, 0.125, -0.5][u + 1]::DOUBLE), 6) + 0.0 AS v FROM b, range(4) r(u) GROUP BY ALL""")(
+    lambda s, d: layers.mlp(layers.global_pool(load(s, d, "mc")), _W, _U, _BIAS)
+)
+query("conv_separable", f"""WITH {MC}, k AS (SELECT (i - 1)::INT AS a, (j - 1)::INT AS b, (i + 1) * 0.5::DOUBLE - j * 0.25::DOUBLE AS x FROM range(3) p(i), range(3) q(j)),
+t AS (SELECT o.sample_id, o.d, o.h, o.w, o.c, sum(i.v * x) AS v FROM v o, k JOIN v i ON i.sample_id = o.sample_id AND i.c = o.c AND i.h = o.h + a AND i.w = o.w + b GROUP BY ALL)
+SELECT sample_id, d, h, w, u::INT AS c, round(sum(v * (0.1::DOUBLE * (c + 1) - 0.05::DOUBLE * u)), 6) + 0.0 AS v FROM t, range(3) r(u) GROUP BY ALL""")(lambda s, d: layers.separable_convolution(load(s, d, "mc"), _K, _W).df)
+query("attention_heads_masked", f"""WITH {MC}, b AS (SELECT sample_id, (h // 2 * 2 + w // 2)::INT AS win, (h % 2 * 2 + w % 2)::INT AS pos, c, c // 2 AS hd, v,
+CASE WHEN h < 2 THEN 'a' WHEN h < 3 THEN 'b' ELSE 'c' END || CASE WHEN w < 2 THEN 'a' WHEN w < 3 THEN 'b' ELSE 'c' END AS r FROM v),
+s AS (SELECT q.sample_id, q.win, q.hd, q.pos AS i, k.pos AS j, sum(q.v * k.v) * 0.5 + CASE WHEN q.r = k.r THEN 0 ELSE -100 END AS s FROM b q JOIN b k ON q.sample_id = k.sample_id AND q.win = k.win AND q.c = k.c GROUP BY q.sample_id, q.win, q.hd, q.pos, k.pos, q.r, k.r),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, win, hd, i)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id, win, hd, i) AS p FROM e)
+SELECT p.sample_id, p.win, p.i AS pos, k.c, round(sum(p * k.v), 6) + 0.0 AS v FROM p JOIN b k ON k.sample_id = p.sample_id AND k.win = p.win AND k.hd = p.hd AND k.pos = p.j GROUP BY ALL""")(
+    lambda s, d: layers.window_attention(windows.window_partition(load(s, d, "mc"), h=2, w=2), 0.5, 2, windows.shift_mask(4, 4, 2, 1, s))
+)
+query("target_class", f"WITH {MC}, g AS (SELECT sample_id, c, avg(v) AS v FROM v GROUP BY 1, 2) SELECT sample_id, round(max(v), 6) + 0.0 AS top, round(max(v) FILTER (c = 2), 6) + 0.0 AS chosen FROM g GROUP BY 1")(
+    lambda s, d: layers.class_target(layers.global_pool(load(s, d, "mc"))).withColumnRenamed("target", "top").join(layers.class_target(layers.global_pool(load(s, d, "mc")), 2).withColumnRenamed("target", "chosen"), "sample_id")
+)
+_CELLS = "t AS (SELECT sample_id, h, w, max(v) FILTER (c = 1) AS v, max(v) FILTER (c = 1) = max(v) AND coalesce(max(v) FILTER (c < 1) < max(v), true) AS hit FROM v GROUP BY 1, 2, 3)"
+for _m, _e in {"all": "sum(v)", "object": "sum(CASE WHEN hit THEN v ELSE 0 END)", "single": "max(v) * count(*) FILTER (v = top)"}.items():
+    query(f"target_region_{_m}", f"WITH {MC}, {_CELLS} SELECT sample_id, round({_e}, 6) + 0.0 AS target FROM (SELECT *, max(v) OVER (PARTITION BY sample_id) AS top FROM t) GROUP BY 1")(
+        lambda s, d, m=_m: layers.region_target(load(s, d, "mc"), m, 1)
+    )
+query("target_region_binary", f"WITH {V2} SELECT sample_id, round(sum(CASE WHEN v > 0 THEN v ELSE 0 END), 6) + 0.0 AS target FROM v GROUP BY 1")(lambda s, d: layers.region_target(load(s, d), "object"))
+_ids = lambda s, d: load(s, d).values(F.pmod(F.col("h") + F.col("sample_id"), F.lit(4)).cast("double"))
+query("label_channels", f"WITH {V2} SELECT sample_id, d, h, w, k::INT AS c, CASE WHEN list_contains([[1, 3], [1, 2, 3], [3]][k + 1], (h + sample_id) % 4) THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM v, range(3) r(k)")(
+    lambda s, d: spatial.label_channels(_ids(s, d), [[1, 3], [1, 2, 3], [3]]).df
+)
+_corner = lambda t, n: _taps.format(t=t, pos=f"i * 3.0::DOUBLE / {n - 1}", n=n, m=4)
+_decoded = lambda s, d: spatial.decode_for_training(load(s, d, "3d"), load(s, d, "3d").values((F.col("v") > 0).cast("double")), {"d": 6, "h": 5, "w": 3}, 2, 2)
+query("decode_image", f"WITH {V3}, {_corner('a', 6)}, {_corner('b', 5)}, {_corner('e', 3)} SELECT sample_id, a.t AS d, b.t AS h, e.t AS w, k::INT AS c, round(sum(v * a.x * b.x * e.x), 6) + 0.0 AS v FROM v JOIN a ON d = a.f JOIN b ON h = b.f JOIN e ON w = e.f, range(2) r(k) GROUP BY ALL")(
+    lambda s, d: _decoded(s, d)[0].df
+)
+query("decode_label", f"""WITH {V3} SELECT sample_id, i::INT AS d, j::INT AS h, l::INT AS w, k::INT AS c, ((v > 0)::INT = k)::INT::DOUBLE AS v FROM v JOIN (SELECT i, round_even(i * 3.0::DOUBLE / 5, 0)::INT AS f FROM range(6) r(i)) a ON d = a.f
+JOIN (SELECT j, round_even(j * 3.0::DOUBLE / 4, 0)::INT AS f FROM range(5) r(j)) b ON h = b.f JOIN (SELECT l, round_even(l * 3.0::DOUBLE / 2, 0)::INT AS f FROM range(3) r(l)) e ON w = e.f, range(2) r(k)""")(lambda s, d: _decoded(s, d)[1].df)
+vox("dropout", "2d", lambda v: layers.dropout(v, 7, 0.25), f"CASE WHEN {_u('sample_id', 'd', 'h', 'w', 'c')} < 0.75 THEN v / 0.75 ELSE 0 END")
+for _n, _e in {"tanh": "tanh(v)", "gelu": "v / (1 + exp(-1.5957691216057308 * (v + 0.044715 * v * v * v)))"}.items():
+    vox(f"act_{_n}", "2d", lambda v, n=_n: layers.activate(v, n), _e)
