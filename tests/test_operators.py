@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxweave.functions import scalars
-from voxweave.operators import augment, geometry, intensity, layers, morphology, scores, spatial, windows
+from voxweave.operators import augment, geometry, intensity, layers, morphology, regions, scores, spatial, windows
 from voxweave.plans import catalog, transforms
 from voxweave.sources import readers
 from voxweave.streaming.metrics import stream_dice, windowed_means
@@ -325,3 +325,53 @@ def test_streams(spark, sf, tmp_path):
     assert got == {c: (sum(t * p for k, t, p in rows if k == c), sum(t + p for k, t, p in rows if k == c), 20) for c in range(3)}
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert windowed_means(events.withColumn("ts", F.col("ts").cast("timestamp"))).count() > 0
+
+
+def packed(spark, rows):
+    return spark.createDataFrame([(i, None if x is None else list(x.shape), None if x is None else [float(v) for v in x.ravel()]) for i, x in rows], regions.PACKED)
+
+
+def test_packed_normalisation(spark):
+    """Arrays of several shapes, a constant one, zeros alone, a null; an empty table."""
+    rng = np.random.default_rng(3)
+    arrays = [(1, rng.normal(size=(2, 3, 4, 2))), (2, rng.normal(size=(1, 5, 2, 3)).round()), (3, np.full((1, 2, 3, 1), 0.1)), (4, np.zeros((1, 2, 2, 2))), (5, None)]
+    for nonzero in (False, True):
+        for channel_wise in (False, True):
+            got = {r.sample_id: r.data for r in intensity.normalize_packed(packed(spark, arrays), nonzero, channel_wise).collect()}
+            assert got[5] is None
+            for i, x in arrays[:4]:
+                want = x.copy()
+                for part in [np.s_[..., k] for k in range(x.shape[-1])] if channel_wise else [np.s_[...]]:
+                    own = x[part][x[part] != 0] if nonzero else x[part].ravel()
+                    if own.size:
+                        deviation = 0 if np.ptp(own) == 0 else own.std()
+                        mean = own[0] if np.ptp(own) == 0 else own.mean()
+                        scaled = (x[part] - mean) / (deviation or 1)
+                        want[part] = np.where(x[part] != 0, scaled, 0) if nonzero else scaled
+                assert np.allclose(got[i], want.ravel(), atol=1e-9), (i, nonzero, channel_wise)
+    assert intensity.normalize_packed(packed(spark, [])).count() == 0
+
+
+def test_largest_component(spark):
+    """Gaps closed or not, ties by place, a volume's corner contact, nothing at all, a null."""
+    line = np.zeros((1, 3, 12, 1))
+    line[0, 1, [0, 1, 2, 5, 6, 11], 0] = 1
+    tie = np.zeros((1, 1, 5, 1))
+    tie[0, 0, [0, 4], 0] = 1
+    corner = np.zeros((3, 3, 3, 1))
+    corner[0, 0, 0], corner[1, 1, 1], corner[2, 0, 0] = 1, 1, 0
+    rows = packed(spark, [(1, line), (2, tie), (3, corner), (4, np.zeros((1, 2, 2, 1))), (5, None)])
+    got = {r.sample_id: r.data for r in regions.largest_component(rows, 0).collect()}
+    assert [k for k, v in enumerate(got[1]) if v] == [12, 13, 14] and got[2] == [1.0, 0.0, 0.0, 0.0, 0.0]
+    assert got[3] == list(corner.ravel()) and got[4] == [0.0] * 4 and got[5] is None
+    wide = {r.sample_id: r.data for r in regions.largest_component(rows, 1).collect()}
+    assert [k for k, v in enumerate(wide[1]) if v] == [12, 13, 14, 17, 18]
+    assert regions.largest_component(packed(spark, [])).count() == 0
+
+
+def test_packed_skeleton_is_that_of_voxels(spark):
+    x = np.random.default_rng(5).random((2, 3, 5, 6, 1))
+    want = back(morphology.skeleton(make(spark, *x), 2))
+    got = {r.sample_id: r.data for r in regions.skeleton(packed(spark, list(enumerate(x))), 2).collect()}
+    for i, w in enumerate(want):
+        assert np.allclose(got[i], np.ravel(w), atol=1e-9)

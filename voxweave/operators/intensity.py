@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip
+from ..functions.scalars import bound, clip
 from ..voxels import Voxels
 
 FLOAT_MAX = 3.4028234663852886e38
@@ -68,3 +68,32 @@ def fill_empty(vox: Voxels, fill: float = 0.0) -> Voxels:
     v = F.col("v")
     inf = F.lit(float("inf"))
     return vox.values(F.when(F.isnan(v), F.lit(float(fill))).when(v == inf, F.lit(FLOAT_MAX)).when(v == -inf, F.lit(-FLOAT_MAX)).otherwise(v))
+
+
+def normalize_packed(packed: DataFrame, nonzero: bool = False, channel_wise: bool = False) -> DataFrame:
+    """`normalize` on packed rows (sample_id, shape, data): worked out within each row, nothing is shuffled.
+
+    Arrays may differ in shape. Without a value that counts, or a null array, a row stays as it is.
+    """
+    channels = F.element_at("shape", -1) if channel_wise else F.lit(1)
+    counts = lambda x: (x != 0) if nonzero else F.lit(True)
+
+    def total(a: Column, of) -> Column:
+        return F.aggregate(a, F.lit(0.0), lambda t, x: t + of(x))
+
+    def stats(k: Column) -> Column:
+        own = F.filter("data", lambda x, i: (F.pmod(i, channels) == k) & counts(x))
+        # equal values have their own mean, exactly
+        mean = lambda a: F.when(F.array_min(a) == F.array_max(a), F.array_min(a)).otherwise(total(a, lambda x: x) / F.size(a))
+        spread = lambda s: F.sqrt(total(s["own"], lambda x: (x - s["mean"]) * (x - s["mean"])) / F.size(s["own"]))
+        both = lambda a: bound(F.struct(a.alias("own"), mean(a).alias("mean")), lambda s: F.struct(s["mean"].alias("mean"), spread(s).alias("deviation")))
+        return bound(own, lambda a: F.when(F.size(a) > 0, both(a)))
+
+    rows = packed.select("sample_id", "shape", "data", F.transform(F.sequence(F.lit(0), channels - 1), stats).alias("stats"))
+
+    def value(x: Column, i: Column) -> Column:
+        s = F.element_at("stats", (F.pmod(i, channels) + 1).cast("int"))
+        scaled = (x - s["mean"]) / F.when(s["deviation"] == 0, 1.0).otherwise(s["deviation"])
+        return F.when(counts(x), F.coalesce(scaled, x)).otherwise(x)
+
+    return rows.select("sample_id", "shape", F.transform("data", value).alias("data"))

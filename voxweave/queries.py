@@ -32,6 +32,14 @@ def load(spark: SparkSession, sf_dir: str, base: str = "2d") -> Voxels:
     return unpack(rows, BASES[base][0], "vec_id", "embedding")
 
 
+def pack_rows(spark: SparkSession, sf_dir: str, base: str = "2d") -> DataFrame:
+    """The same arrays as `load`, still packed."""
+    shape = BASES[base][0]
+    full = (1, *shape, 1) if len(shape) == 2 else shape
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return rows.select(F.col("vec_id").alias("sample_id"), F.array(*map(F.lit, full)).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Doubles as other engines have them."""
     return df.select(*[rounded(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
@@ -262,7 +270,7 @@ def _skeleton_sql(iterations: int, value: str = "v", name: str = "k") -> str:
 for _n in (2, 50):
     ORACLES[f"skeleton_{_n}it"] = f"WITH RECURSIVE {V2}, {_skeleton_sql(_n)} SELECT sample_id, 0 AS d, h, w, 0 AS c, round(skel, 6) + 0.0 AS v FROM k"
 vox("skeleton_2it", "2d", lambda v: morphology.skeleton(v, 2))
-query("skeleton_50it")(lambda s, d: unpack(regions.skeleton(pack(load(s, d))), (8, 8)).df)
+query("skeleton_50it")(lambda s, d: unpack(regions.skeleton(pack_rows(s, d)), (8, 8)).df)
 for _f in ("avg", "max"):
     query(f"adaptive_{_f}_pool", f"WITH {V2} SELECT sample_id, d, i::INT AS h, j::INT AS w, c, round({_f}(v), 6) + 0.0 AS v FROM v, range(3) a(i), range(5) b(j) WHERE h >= i * 8 // 3 AND h < ceil((i + 1) * 8 / 3.0) AND w >= j * 8 // 5 AND w < ceil((j + 1) * 8 / 5.0) GROUP BY ALL")(
         lambda s, d, f=_f: morphology.adaptive_pool(load(s, d), f, h=3, w=5).df
@@ -347,17 +355,25 @@ for _v, (_from, _sums, _rows, _of) in _VARIANTS.items():
     )
 
 
-@query("loss_centerline_dice")
-def _cldice(s, d):
+def _cldice_sql(iterations: int) -> str:
+    true, pred = "(v > 0)::INT::DOUBLE", "1 / (1 + exp(-4 * v))"
+    return f"""WITH RECURSIVE {V2}, {_skeleton_sql(iterations, true, 'kt')}, {_skeleton_sql(iterations, pred, 'kp')},
+s AS (SELECT v.sample_id, sum(kp.skel * {true}) AS pt, sum(kp.skel) AS sp, sum(kt.skel * {pred}) AS tp, sum(kt.skel) AS st FROM v JOIN kt USING (sample_id, h, w) JOIN kp USING (sample_id, h, w) GROUP BY 1),
+r AS (SELECT sample_id, (pt + 1e-7) / (sp + 1e-7) AS p, (tp + 1e-7) / (st + 1e-7) AS r FROM s) SELECT sample_id, 0 AS class, round(1 - 2 * p * r / (p + r), 6) + 0.0 AS loss FROM r"""
+
+
+def _cldice(s: SparkSession, d: str, thinned: Callable[[Voxels], Voxels]) -> DataFrame:
     true = load(s, d).values((F.col("v") > 0).cast("double"))
     pred = load(s, d).values(scalars.sigmoid(F.col("v") * 4))
     keys = ["sample_id", "d", "h", "w", "c"]
     rows = true.df.withColumnRenamed("v", "y_true").join(pred.df.withColumnRenamed("v", "y_pred"), keys)
     for name, v in (("s_true", true), ("s_pred", pred)):
-        rows = rows.join(morphology.skeleton(v, 1).df.withColumnRenamed("v", name), keys)
+        rows = rows.join(thinned(v).df.withColumnRenamed("v", name), keys)
     return scores.centerline_dice_loss(rows.withColumnRenamed("c", "class"))
 
 
+query("loss_centerline_dice", _cldice_sql(1))(lambda s, d: _cldice(s, d, lambda v: morphology.skeleton(v, 1)))
+query("loss_centerline_dice_50it", _cldice_sql(50))(lambda s, d: _cldice(s, d, lambda v: unpack(regions.skeleton(pack(v)), (8, 8))))
 query("label_dice", """WITH s AS (SELECT lang AS class, toxic::DOUBLE AS t, (n_chars > 1500)::INT::DOUBLE AS p FROM labels JOIN documents USING (doc_id))
 SELECT class, round((2 * sum(t * p) + 1e-6) / (sum(t + p) + 1e-6), 6) + 0.0 AS dice FROM s GROUP BY 1""")(
     lambda s, d: scores.dice_by_class(
@@ -418,7 +434,9 @@ SELECT sample_id, r::INT AS place, choice FROM (SELECT *, row_number() OVER (PAR
     lambda s, d: augment.random_choice(s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sample_id")), 7, [3, 1, 0, 2], 2)
 )
 vox("drop_path", "2d", lambda v: augment.drop_path(v, 7, 0.5), f"CASE WHEN {_u('sample_id', '0')} < 0.5 THEN v / 0.5 ELSE 0 END")
-vox("random_rotate", "2d", lambda v: augment.random_rotate(v, 7, 0.5))
+query("random_rotate", f"""WITH {V2}, z AS (SELECT *, CASE WHEN {_u('sample_id', '0')} < 0.8 THEN ({_u('sample_id', '1')} * 2 - 1) * 0.5 ELSE 0 END AS a FROM v),
+t AS (SELECT *, round_even(sin(a) * (w - 4) + cos(a) * (h - 4) + 4, 0) AS fh, round_even(cos(a) * (w - 4) - sin(a) * (h - 4) + 4, 0) AS fw FROM z)
+SELECT t.sample_id, t.d, t.h, t.w, t.c, round(coalesce(v.v, 0), 6) + 0.0 AS v FROM t LEFT JOIN v ON v.sample_id = t.sample_id AND v.h = fh AND v.w = fw""")(lambda s, d: augment.random_rotate(load(s, d), 7, 0.5).df)
 
 # ---- pipelines, catalog, strings, batches -------------------------------------------------------
 
@@ -469,6 +487,12 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.dice_by_class(state)
 
 
+for _n, _base, _how in (("global", "2d", {}), ("channel", "mc", {"channel_wise": True})):
+    query(f"normalize_packed_{_n}", ORACLES[f"normalize_{_n}"])(lambda s, d, b=_base, h=_how: unpack(intensity.normalize_packed(pack_rows(s, d, b), **h), BASES[b][0]).df)
+query("normalize_packed_nonzero", ORACLES["normalize_nonzero"])(
+    lambda s, d: unpack(intensity.normalize_packed(pack_rows(s, d, "2d").withColumn("data", F.transform("data", lambda x: F.greatest(x, F.lit(0.0)))), nonzero=True), (8, 8)).df
+)
+
 # ---- whole arrays, and compositions of the operators above --------------------------------------
 
 
