@@ -56,6 +56,7 @@ _SLICE = 2048
 _BLOCK = 1 << 24  # bytes of text
 _PART = 1 << 13
 _SPAN = 2 * SIDE
+_ROWS = 256
 
 Weights = dict[str, np.ndarray]
 
@@ -114,6 +115,22 @@ def targets(counts: np.ndarray, turn: int) -> np.ndarray:
     return np.flatnonzero(place % ROUNDS == turn)
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b by stacks of _ROWS rows: products so small stay in the task's own thread, whereas for
+    larger ones the BLAS starts threads that wait in busy loops and take CPU from other tasks."""
+    out, n = np.empty((len(a), b.shape[1]), np.float32), len(a) // _ROWS * _ROWS
+    np.matmul(a[:n].reshape(-1, _ROWS, a.shape[1]), b, out=out[:n].reshape(-1, _ROWS, b.shape[1]))
+    np.matmul(a[n:], b, out=out[n:])
+    return out
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, by stacks as well."""
+    n = len(a) // _ROWS * _ROWS
+    stacks = a[:n].reshape(-1, _ROWS, a.shape[1]).transpose(0, 2, 1) @ b[:n].reshape(-1, _ROWS, b.shape[1])
+    return stacks.sum(axis=0) + a[n:].T @ b[n:]
+
+
 def hidden(w: Weights, ctx: np.ndarray) -> np.ndarray:
     h = w["hidden"] + sum(w["embed"][ctx[:, k]] * w["scale"][k] for k in range(_SPAN))
     return np.tanh(h)
@@ -123,7 +140,7 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     """In place, over the last axis."""
     logits -= logits.max(axis=-1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=-1, keepdims=True)
+    logits /= np.einsum("...k->...", logits)[..., None]
     return logits
 
 
@@ -147,7 +164,7 @@ def cell_logp(w: Weights, ctx: np.ndarray, cell: np.ndarray) -> np.ndarray:
     for a in range(0, len(cell), _SLICE):
         kinds, subs = np.divmod(cell[a : a + _SLICE], CELLS)
         h = hidden(w, ctx[a : a + _SLICE])
-        p = _softmax(h @ w["out"] + w["bias"])[np.arange(len(kinds)), kinds]
+        p = _softmax(_times(h, w["out"]) + w["bias"])[np.arange(len(kinds)), kinds]
         _, place, q = _in_class(w, h, kinds)
         out[a : a + _SLICE] = np.log(p.astype(np.float64)) + np.log(q[kinds, place, subs].astype(np.float64))
     return out
@@ -170,10 +187,10 @@ class Trainer:
         kinds, subs = np.divmod(cell, CELLS)
         rows = w["embed"][ctx]
         h = np.tanh(w["hidden"] + np.einsum("nkd,kd->nd", rows, w["scale"]))
-        p = _softmax(h @ w["out"] + w["bias"])
+        p = _softmax(_times(h, w["out"]) + w["bias"])
         p[np.arange(n), kinds] -= 1
         p /= n
-        back = p @ w["out"].T
+        back = _times(p, w["out"].T)
         states, place, q = _in_class(w, h, kinds)
         q[kinds, place, subs] -= 1
         q /= n
@@ -192,7 +209,7 @@ class Trainer:
         start = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
         embed = np.add.reduceat(each[order], start, axis=0)
         scale = np.einsum("nkd,nd->kd", rows, back)
-        self._step("out", h.T @ p)
+        self._step("out", _crossed(h, p))
         self._step("bias", p.sum(axis=0))
         self._step("hidden", back.sum(axis=0))
         self._step("scale", scale)
