@@ -7,9 +7,10 @@ source's documents, expected copies are prefix-summed, one random offset is adde
 per source, and a document is emitted once per integer that its interval crosses.
 
 The order within a source runs by length bin, then a salt, then length, so the
-sample is spread evenly over long and short documents, and each (source, bin,
-salt) is small enough for one sort even if a source has a third of all rows. Ranks start
-from running sums over those groups' counts, which are combined map-side.
+sample is spread evenly over long and short documents. There is a salt for each
+`ROWS_A_SALT` rows of the table, `SALTS` at least, so each (source, bin, salt) stays small
+enough for one sort at any size, even if a source has a third of all rows. Ranks start
+from running sums over those groups' counts, which are combined map-side and written once.
 
 Defined cases: a null source is a source, last in order; a null or blank text has
 size 0 and expects as many copies as others of its source (it carries no words); a
@@ -26,12 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import col
+from .common import as_table, col
 from .tokens import pieces, word_spans
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SALTS = 16
+ROWS_A_SALT = 1 << 20
 #: Length bins per doubling of the length.
 FINENESS = 4
 
@@ -79,14 +81,16 @@ def _planned(df: DataFrame, seed: int, weights: tuple[int, ...], cap: int) -> Da
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = df.select(F.struct(*[col(c) for c in df.columns]).alias("row"), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
     rows = rows.withColumn("bin", F.floor(F.log2(F.col("size") + F.lit(1.0)) * FINENESS).cast("int"))
-    rows = rows.withColumn("salt", F.pmod(F.conv(F.substring("key", 9, 4), 16, 10).cast("int"), F.lit(SALTS)))
+    rows = rows.withColumn("salt", F.pmod(F.conv(F.substring("key", 9, 8), 16, 10).cast("long"), F.lit(max(SALTS, df.count() // ROWS_A_SALT))))
+    rows = rows.withColumn("text_hash", F.xxhash64("row.text"))
     cells = rows.groupBy("source", "bin", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    cells = as_table(cells, "mix-cells")
     per_source = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap)
     in_source = Window.partitionBy("source").orderBy("bin", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("base", F.coalesce(F.sum("n").over(in_source), F.lit(0))).select("source", "bin", "salt", "base")
     starts = starts.alias("a").join(per_source.alias("b"), F.expr("a.source <=> b.source")).select("a.*", "source_size", "target")
     starts = starts.select(F.col("source").alias("s"), F.col("bin").alias("b"), F.col("salt").alias("t"), "base", "source_size", "target")
-    rank = F.row_number().over(Window.partitionBy("source", "bin", "salt").orderBy("size", "key", "row.doc_id", F.xxhash64("row.text")))
+    rank = F.row_number().over(Window.partitionBy("source", "bin", "salt").orderBy("size", "key", "row.doc_id", "text_hash"))
     ranked = rows.withColumn("rank", rank.cast("long"))
     joined = ranked.join(starts, F.expr("source <=> s AND bin = b AND salt = t"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -124,7 +128,7 @@ WITH d AS (
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size
   FROM documents
 ), c AS (
-  SELECT *, floor(log2(size + 1.0::DOUBLE) * 4)::INT AS bin, ('0x' || substr(key, 9, 4))::INT % 16 AS salt FROM d
+  SELECT *, floor(log2(size + 1.0::DOUBLE) * 4)::INT AS bin, ('0x' || substr(key, 9, 8))::BIGINT % greatest(16, (SELECT count(*) FROM documents) // 1048576) AS salt FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM c GROUP BY source
 ), w AS (

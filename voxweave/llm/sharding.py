@@ -6,10 +6,10 @@ permutation of [0, rows) and the permuted position gives shard and slot:
 one row at most, slots have no gaps, and a reader computes where any row number
 went without a table.
 
-Row numbers come from `BINS` hash bins of the rows' own values: bins are counted with
-map-side combine, their running sums (`BINS` rows, so a bounded broadcast) are added
-to a row's rank within its bin. The outcome depends on the rows, never on how
-they are partitioned.
+Row numbers come from hash bins of the rows' own values, one for each `ROWS_A_BIN` rows of the
+table and `BINS` at least: bins are counted with map-side combine, their running sums are
+joined on the bin, by which the rows are dealt already, and added to a row's rank within its
+bin. The outcome depends on the rows, never on how they are partitioned.
 
 The Feistel network works on pairs (left < a, right < b) with a*b barely above
 rows, so a permuted number seldom falls outside; those that do walk their cycle
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import col
 
 BINS = 4096
+ROWS_A_BIN = 1 << 18
 ROUNDS = 6
 #: Walks beyond this do not happen: each leaves 1/b of what is outside, b > 30 for any table where it binds.
 MOST_WALKS = 64
@@ -63,7 +64,7 @@ def assign_shards(df: DataFrame, shards: int, keys: list[str | Column], seed: in
     kept = [c for c in df.columns if c.lower() not in new]
     order = [col(k) if isinstance(k, str) else k for k in keys]
     # the caller's columns travel in one struct, so no name of theirs can clash
-    spread = F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(BINS)).cast("int")
+    spread = F.pmod(F.xxhash64(*order, F.lit(seed)), F.lit(max(BINS, df.count() // ROWS_A_BIN))).cast("int")
     rows = df.select(F.struct(*[col(c) for c in kept]).alias("row"), F.struct(*order).alias("key"), spread.alias("bin"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,7 +74,7 @@ def assign_shards(df: DataFrame, shards: int, keys: list[str | Column], seed: in
         .select("bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(everything).alias("total"))
     )
     rank = F.row_number().over(Window.partitionBy("bin").orderBy("key")).cast("long")
-    numbered = rows.withColumn("rank", rank).join(F.broadcast(bins), "bin")  # at most BINS rows
+    numbered = rows.withColumn("rank", rank).join(bins, "bin")
     numbered = numbered.withColumn("row_number", F.col("base") + F.col("rank") - 1)
     placed = numbered.withColumn("position", permute(F.col("row_number"), F.col("total"), seed))
     sound = F.when(F.col("position") < F.col("total"), F.col("position")).otherwise(F.raise_error(F.lit("a cycle walk did not end")).cast("long"))
