@@ -2,6 +2,13 @@
 
 Each stage is (name, function of (spark, docs, sf_dir)) and returns a DataFrame; all but
 the last return the columns of the documents they got.
+
+Defined cases, at every stage: an empty table gives an empty one; null ids and sources are
+values like others; columns beyond those of `documents` pass through under any name, but for
+`shard`, `slot` and `row_number`, which the last stage replaces. Null and blank texts go in
+the first stage, as they have fewer words than the rules ask for; the later stages, when they
+are given some, keep them (the fourth may leave out or repeat them like other rows of their
+source). Of repeated rows the near-duplicate stage keeps one; the others judge each alone.
 """
 
 from __future__ import annotations
