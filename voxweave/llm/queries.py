@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op11_alignment
 from .chat import OP10_SQL, op10_chat_format
 from .decontam import op7_decontamination
 from .licences import op5_license_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
+    "op11_alignment": op11_alignment,
 }
 
 ORACLES = {
