@@ -12,6 +12,7 @@ from .mixing import OP3_SQL, op3_mixing
 from .quality import OP4_SQL, op4_quality
 from .repeats import op2_repeats
 from .sharding import op1_sharding
+from .variants import op12_variants
 from .warc import OP6_SQL, op6_warc
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_chat_format": op10_chat_format,
     "op11_alignment": op11_alignment,
+    "op12_variants": op12_variants,
 }
 
 ORACLES = {
