@@ -5,6 +5,7 @@ from __future__ import annotations
 from .align import op11_alignment
 from .chat import OP10_SQL, op10_chat_format
 from .decontam import op7_decontamination
+from .langid import op13_langid
 from .licences import op5_license_scan
 from .lm import op9_lm_score
 from .minhash import op8_minhash
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_alignment": op11_alignment,
     "op12_variants": op12_variants,
+    "op13_langid": op13_langid,
 }
 
 ORACLES = {
