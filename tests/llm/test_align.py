@@ -95,6 +95,21 @@ def test_query(spark, sf, tools):
     same(A.op11_alignment(spark, sf), [r for r in rows], tools)
 
 
+def test_wide_groups(monkeypatch):
+    """Groups too wide to be listed link by link give the same pairs."""
+    texts = [t for _, t in ODD if t] + ["  ".join("x" * 9 for _ in range(9))]
+    found = []
+    for wide in (4096, 1, 0):
+        monkeypatch.setattr(A, "WIDE", wide)
+        known = A.Aligner(A.TOKENIZERS)
+        units = [known.of(t) for t in texts]
+        known.fresh()
+        n = known.numbers[:, 5]
+        first = n.cumsum() - n
+        found.append((units, known.texts, known.numbers.tolist(), [sorted(zip(known.pair[a : a + k].tolist(), known.times[a : a + k].tolist())) for a, k in zip(first, n)]))
+    assert found[0] == found[1] == found[2]
+
+
 def test_large_multiplicities(tools):
     """More than a byte holds, in one chunk and document."""
     known, counts = A.Aligner(A.TOKENIZERS), A._Counts()

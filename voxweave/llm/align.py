@@ -28,9 +28,9 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -47,7 +47,9 @@ SPLIT = re.compile(r"(?<=\S) (?=\S)")
 #: Slices of A ids. Bytes of postings a cell of slice and salt, and the least number of salts.
 SLICES, CELL, SALTS = 32, 8 << 20, 4
 #: A chunk ends after so many characters or documents; units stay known up to so many, if short.
-CHUNK_CHARS, CHUNK_DOCS, KNOWN, SHORT = 1 << 20, 4096, 100_000, 64
+CHUNK_CHARS, CHUNK_DOCS, KNOWN, SHORT = 1 << 20, 4096, 300_000, 64
+#: Links of a group up to which they are listed one by one.
+WIDE = 4096
 #: Pairs whose counts a task holds before they leave it.
 HELD = 1 << 20
 B_BITS = 15
@@ -69,15 +71,20 @@ class Aligner:
         if len(pieces) > 1 << B_BITS or any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the piece vocabulary has too many pieces, or one with a space inside")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
+        most = np.arange(max(len(self.a_bytes), len(self.b_bytes)))[:, None]
+        power = 10 ** np.arange(4, -1, -1)
+        #: five places, empty ones zero
+        self.digits = np.where((most >= power) | (power == 1), 48 + most // power % 10, 0).astype(np.uint8)
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.units: list[str] = []
-        #: n_a, n_b, n_groups, n_links, valid, pairs; and the groups' text, pairs (key, multiplicity)
-        self.numbers = np.zeros((0, 6), np.int64)
         self.texts: list[bytes] = []
-        self.pairs: list[np.ndarray] = []
+        #: n_a, n_b, n_groups, n_links, valid, pairs of each unit; all units' pairs and multiplicities
+        self.numbers = np.zeros((0, 6), np.int64)
+        self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def of(self, text: str) -> list[int]:
         """The text's units by their place; new ones are encoded by fresh()."""
@@ -93,48 +100,84 @@ class Aligner:
         return out
 
     def fresh(self) -> None:
-        new = self.units[len(self.texts) :]
-        if not new:
-            return
-        rows = []
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            encoded = self.a.encode_batch([" " + u for u in some], add_special_tokens=False)
-            for unit, a, b in zip(some, encoded, self.b.encode(some, num_threads=1)):
-                rows.append(self._aligned(unit, a.ids, b))
-        self.numbers = np.concatenate([self.numbers, np.array(rows, np.int64).reshape(-1, 6)])
-
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple[int, ...]:
-        whole = (" " + unit).encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            self.texts.append(b"")
-            self.pairs.append(np.zeros((0, 2), np.int64))
-            return 0, 0, 0, 0, 0, 0
-        groups, links, pairs = [], 0, Counter()
-        i = j = i0 = j0 = x = y = 0
-        while i < len(a) or j < len(b):
-            if x <= y and i < len(a):
-                x += len(a_parts[i])
-                i += 1
-            else:
-                y += len(b_parts[j])
-                j += 1
-            if x == y and i > i0 and j > j0:
-                left, right = a[i0:i], b[j0:j]
-                groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                links += len(left) * len(right)
-                if len(left) == len(right) == 1:
-                    pairs[left[0] << B_BITS | right[0]] += 1
-                else:
-                    right_times = Counter(right).items()
-                    for p, n in Counter(left).items():
-                        for q, m in right_times:
-                            pairs[p << B_BITS | q] += n * m
-                i0, j0 = i, j
-        self.texts.append(";".join(groups).encode())
-        self.pairs.append(np.array(list(pairs.items()), np.int64))
-        return len(a), len(b), len(groups), links, 1, len(pairs)
+        new, done = self.units[len(self.texts) :], [(self.numbers, self.pair, self.times)]
+        for at in range(0, len(new), 1 << 14):
+            done.append(self._aligned(new[at : at + (1 << 14)]))
+        self.numbers, self.pair, self.times = (np.concatenate(x) for x in zip(*done))
+
+    def _aligned(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, pairs, multiplicities) of some units; their groups are added to texts."""
+        a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        valid = np.ones(len(units), bool)
+        whole = [(" " + u).encode() for u in units]
+        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join([table[i] for x in ids for i in x]) != b"".join(whole):
+                valid &= [b"".join([table[i] for i in x]) == w for x, w in zip(ids, whole)]
+        if not valid.all():
+            a, b, whole = ([x if ok else x[:0] for x, ok in zip(side, valid)] for side in (a, b, whole))
+        size = np.array([len(w) for w in whole])
+        unit_end = np.cumsum(size)
+        marks, sides = [np.zeros(int(size.sum()) + 1, bool) for _ in "ab"], []
+        for ids, lengths, mark in ((a, self.a_lengths, marks[0]), (b, self.b_lengths, marks[1])):
+            n = np.array([len(x) for x in ids])
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            ends = np.cumsum(lengths[flat])
+            mark[ends] = True
+            sides.append((n, flat, ends))
+        cuts = np.flatnonzero(marks[0] & marks[1])
+        (n_a, flat_a, ends_a), (n_b, flat_b, ends_b) = sides
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        wide_a, wide_b = (np.bincount(g, minlength=len(cuts)) for g in (group_a, group_b))
+        unit = np.searchsorted(unit_end, cuts)
+        links = wide_a * wide_b
+        if len(links) and int(links.max()) > WIDE:
+            # ids of such a group are counted before they are paired
+            narrow, keys, times = links <= WIDE, [], []
+            for g in np.flatnonzero(~narrow):
+                (x, n), (y, m) = (np.unique(flat[group == g], return_counts=True) for flat, group in ((flat_a, group_a), (flat_b, group_b)))
+                keys.append((unit[g] << 32 | x[:, None] << B_BITS | y).reshape(-1))
+                times.append((n[:, None] * m).reshape(-1))
+        else:
+            narrow, keys, times = None, [], []
+        first_b = np.cumsum(wide_b) - wide_b
+        mine = np.arange(len(flat_a)) if narrow is None else np.flatnonzero(narrow[group_a])
+        many = wide_b[group_a[mine]]
+        right = np.repeat(first_b[group_a[mine]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        left = np.repeat(mine, many)
+        key, n = np.unique(unit[group_a[left]] << 32 | flat_a[left] << B_BITS | flat_b[right], return_counts=True)
+        if keys:
+            # a unit may have the same pair in narrow and in wide groups
+            key, place = np.unique(np.concatenate([key, *keys]), return_inverse=True)
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, place, np.concatenate([n, *times]))
+            n = total
+        self._spell(flat_a, group_a, flat_b, group_b, n_a, n_b)
+        exact_links = np.zeros(len(units), np.int64)
+        np.add.at(exact_links, unit, links)
+        pairs = np.bincount(key >> 32, minlength=len(units))
+        return np.stack([n_a, n_b, np.bincount(unit, minlength=len(units)), exact_links, valid, pairs], axis=1).astype(np.int64), key & 0xFFFFFFFF, n
+
+    def _spell(self, flat_a, group_a, flat_b, group_b, n_a, n_b) -> None:
+        """Each unit's groups as text: a token's digits and what separates it from the next, a row of bytes each."""
+        at_a = np.arange(len(flat_a)) + np.searchsorted(group_b, group_a)
+        at_b = np.arange(len(flat_b)) + np.searchsorted(group_a, group_b, side="right")
+        ids = np.zeros(len(flat_a) + len(flat_b), np.int64)
+        ids[at_a], ids[at_b] = flat_a, flat_b
+        rows = np.zeros((len(ids), 6), np.uint8)
+        rows[:, :5] = self.digits[ids]
+        comma, bar, semicolon = b",|;"
+        rows[:, 5] = comma
+        for at, group, sign in ((at_a, group_a, bar), (at_b, group_b, semicolon)):
+            if len(group):
+                rows[at[np.append(group[1:] != group[:-1], True)], 5] = sign
+        shown = rows > 0
+        text, size = rows[shown].tobytes(), shown.sum(axis=1)
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n_a + n_b)]
+        start = 0
+        for e in ends.tolist():
+            self.texts.append(text[start : e - 1] if e > start else b"")
+            start = e
 
     def forget(self) -> None:
         """Start anew where too much is known, or something long."""
@@ -254,13 +297,10 @@ def _chunk(known: Aligner, counts: _Counts, chunk: int, ids: list, texts: list)
         # distinct units of each document, then their pairs
         both, times = np.unique(doc * len(known.units) + flat, return_counts=True)
         doc, flat = both // len(known.units), both % len(known.units)
-        used, place = np.unique(flat, return_inverse=True)
-        pairs = np.concatenate([known.pairs[i] for i in used.tolist()])
-        n = known.numbers[used, 5]
-        first = np.cumsum(n) - n
-        size = n[place]
-        at = np.repeat(first[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        key, m, doc = pairs[at, 0], pairs[at, 1] * np.repeat(times, size), np.repeat(doc, size)
+        n = known.numbers[:, 5]
+        first, size = (np.cumsum(n) - n)[flat], n[flat]
+        at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key, m, doc = known.pair[at], known.times[at] * np.repeat(times, size), np.repeat(doc, size)
         # by slice of A ids, then pair, then document
         order_key = ((key >> B_BITS) % SLICES) << 48 | key << 16 | doc
         order = np.argsort(order_key)
