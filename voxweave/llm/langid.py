@@ -208,13 +208,13 @@ def _hash() -> Column:
 
 def sample(labelled: DataFrame) -> tuple[list[str], DataFrame]:
     """(languages by code points, (lang, hash, text)) of the bounded sample, over narrow rows but for the last step."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    names = sorted(r.lang for r in counts.collect())  # LANGUAGES at most
-    spark = labelled.sparkSession
-    chosen = spark.createDataFrame([(x,) for x in names], "lang string")
-    narrow = labelled.select("lang", _hash().alias("hash")).join(F.broadcast(chosen), "lang")
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    names = sorted(r.lang for r in counts)  # LANGUAGES at most
+    # a share of the hashes that has four times as many documents as are wanted: the rest never leaves its task
+    bound = [(r.lang, min((1 << 63) - 1, (4 * A_LANGUAGE << 64) // r["count"] - (1 << 63))) for r in counts]
+    chosen = labelled.sparkSession.createDataFrame(bound, "lang string, bound long")
+    narrow = labelled.select("lang", _hash().alias("hash")).join(F.broadcast(chosen), "lang").where("hash <= bound")
     order = Window.partitionBy("lang").orderBy("hash")
-    # each task keeps the least hashes of a language before they are dealt
     last = narrow.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= A_LANGUAGE).groupBy("lang").agg(F.max("hash").alias("last"))
     rows = labelled.withColumn("hash", _hash()).join(F.broadcast(last), "lang").where("hash <= last")
     # copies of one row have one hash, and count once

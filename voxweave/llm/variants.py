@@ -34,7 +34,7 @@ from .tokens import _INVERSE, U64, mix64, powers, prefix
 LEAST_LETTERS, LEAST_COUNT, TIMES = 7, 2, 10
 DELETE_EVERY = 31
 #: Words that a task counts before they leave it; words a block of keys is made of; bytes of keys a partition.
-HELD, BLOCK, PARTITION = 200_000, 50_000, 24 << 20
+HELD, BLOCK, PARTITION = 200_000, 50_000, 6 << 20
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
