@@ -8,7 +8,7 @@ one is undone first.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -16,15 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kernels import axis_aligned, resized, respaced_shape, spacing
+
 TRACE = "array<struct<name: string, perm: array<int>, flips: array<boolean>, shape: array<int>, affine: array<double>>>"
 #: World axis and sign of each orientation code: fixed values.
 WORLD = {"R": (0, 1), "L": (0, -1), "A": (1, 1), "P": (1, -1), "S": (2, 1), "I": (2, -1)}
 
+#: Bytes of results that a task holds before it gives them back.
+HELD = 64 << 20
+
 Row = tuple[np.ndarray, np.ndarray, list[dict]]
 
 
 def _each(df: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, list[dict]], Row]) -> DataFrame:
-    """df with voxels, affine and trace of every row as the kernel gives them."""
+    """df with voxels, affine and trace of every row as the kernel gives them; rows without an array or affine stay as they are."""
     if "trace" not in df.columns:
         df = df.withColumn("trace", F.array().cast(TRACE))
 
@@ -32,15 +37,31 @@ def _each(df: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, list[dict]],
         for batch in batches:
             rows = zip(*(batch.column(batch.schema.names.index(k)) for k in ("shape", "data", "affine", "trace")))
             new: dict[str, list] = {"shape": [], "data": [], "affine": [], "trace": []}
-            for shape, data, affine, trace in rows:
+            first = held = 0
+
+            def out(end: int) -> pa.RecordBatch:
+                cols = [pa.array(new[f.name], f.type) if f.name in new else batch.column(i).slice(first, end - first) for i, f in enumerate(batch.schema)]
+                for values in new.values():
+                    values.clear()
+                return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+            for row, (shape, data, affine, trace) in enumerate(rows):
+                if not (shape.is_valid and data.is_valid and affine.is_valid):
+                    for k, v in (("shape", shape), ("data", data), ("affine", affine), ("trace", trace)):
+                        new[k].append(v.as_py())
+                    continue
                 matrix = np.asarray(affine.as_py(), dtype=float)
                 if matrix.size != 16 or not np.isfinite(matrix).all() or matrix[12:].tolist() != [0, 0, 0, 1]:
                     raise ValueError("not a 4x4 affine")
                 x, a, kept = kernel(data.values.to_numpy(zero_copy_only=False).reshape(shape.as_py()), matrix.reshape(4, 4), trace.as_py())
                 for k, v in (("shape", x.shape), ("data", x.ravel()), ("affine", a.ravel()), ("trace", kept)):
                     new[k].append(v)
-            cols = [pa.array(new[f.name], f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)]
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+                held += x.nbytes
+                if held >= HELD:
+                    yield out(row + 1)
+                    first, held = row + 1, 0
+            if first < batch.num_rows:
+                yield out(batch.num_rows)
 
     return df.mapInArrow(run, df.schema)
 
@@ -108,45 +129,63 @@ def sampled(x: np.ndarray, points: np.ndarray, mode: str, fill: float) -> np.nda
     return out
 
 
-def _read(x: np.ndarray, a: np.ndarray, to: np.ndarray, shape: tuple[int, ...], mode: str, fill: float) -> np.ndarray:
-    """x on the grid with affine `to`, a slab of the result at a time."""
+def read_grids(arrays: dict[str, tuple[np.ndarray, str]], a: np.ndarray, to: np.ndarray, shape: tuple[int, ...], fill: float) -> dict[str, np.ndarray]:
+    """Arrays of one affine on the grid with affine `to`, each with its mode; a slab of coordinates at a time serves all."""
     m = np.linalg.inv(a) @ to
-    out = np.empty((*shape, x.shape[3]))
+    out = {k: np.empty((*shape, x.shape[3])) for k, (x, _) in arrays.items()}
     cells = np.stack(np.meshgrid(np.arange(shape[1]), np.arange(shape[2]), indexing="ij"))
     for d in range(shape[0]):
         points = np.tensordot(m[:3, 1:3], cells, 1) + (m[:3, 0] * d + m[:3, 3]).reshape(3, 1, 1)
-        out[d] = sampled(x, points, mode, fill)
+        for k, (x, mode) in arrays.items():
+            out[k][d] = sampled(x, points, mode, fill)
     return out
 
 
+def read_grid(x: np.ndarray, a: np.ndarray, to: np.ndarray, shape: tuple[int, ...], mode: str, fill: float) -> np.ndarray:
+    return read_grids({"x": (x, mode)}, a, to, shape, fill)["x"]
+
+
+def new_grid(a: np.ndarray, pixdim: Sequence[float], diagonal: bool = False) -> np.ndarray:
+    """The affine of another spacing: the same origin, and the same axes, or the world's if diagonal."""
+    to = np.eye(4)
+    to[:3, :3] = (np.eye(3) if diagonal else a[:3, :3] / spacing(a)) * np.asarray(pixdim, dtype=float)
+    to[:3, 3] = a[:3, 3]
+    return to
+
+
 def respace(df: DataFrame, pixdim: tuple[float, float, float], mode: str = "linear", fill: float = 0.0, diagonal: bool = False) -> DataFrame:
     """Each volume at another voxel spacing, from its own affine.
 
-    The new grid starts at the same origin and runs along the same axes, or the world's if diagonal. It
-    spans the mapped corners of the volume. Nearest rounds half to even; linear mixes the fill
+    Where voxel axes run along the world's, the volume is resized: linear with half-pixel centres and clamped borders, nearest on a grid from
+    corner to corner. Otherwise, and if diagonal, the new grid starts at the same origin and runs along the same axes, or the
+    world's. It spans the mapped corners of the volume; nearest rounds half to even; linear mixes the fill
     into voxels beyond the border.
     """
     if mode not in ("nearest", "linear"):
         raise ValueError(f"no such mode: {mode}")
+    if len(pixdim) != 3 or min(pixdim) <= 0:
+        raise ValueError("three spacings above 0 are needed")
 
     def kernel(x: np.ndarray, a: np.ndarray, trace: list[dict]) -> Row:
-        cosines = np.eye(3) if diagonal else a[:3, :3] / np.linalg.norm(a[:3, :3], axis=0)
-        to = np.eye(4)
-        to[:3, :3], to[:3, 3] = cosines * np.asarray(pixdim, dtype=float), a[:3, 3]
+        to = new_grid(a, pixdim, diagonal)
+        if not diagonal and axis_aligned(a):
+            y = resized(x, respaced_shape(x.shape[:3], spacing(a), pixdim), mode)
+            return y, to, [*trace, _entry("Spacing", x, a, flips=[])]
         span = np.abs((np.linalg.inv(to) @ a)[:3, :3]) @ np.array(x.shape[:3])
         shape = np.maximum(np.floor(span + 0.5), 1).astype(int)
-        return _read(x, a, to, tuple(shape), mode, fill), to, [*trace, _entry("Spacing", x, a)]
+        return read_grid(x, a, to, tuple(shape), mode, fill), to, [*trace, _entry("Spacing", x, a)]
 
     return _each(df, kernel)
 
 
 def unspace(df: DataFrame, mode: str = "linear", fill: float = 0.0) -> DataFrame:
-    """Undo the last respace: read back on the grid that the trace names."""
+    """Undo the last respace, in the way that it was done."""
 
     def kernel(x: np.ndarray, a: np.ndarray, trace: list[dict]) -> Row:
         done = _last(trace, "Spacing")
-        to = np.array(done["affine"]).reshape(4, 4)
-        return _read(x, a, to, tuple(done["shape"][:3]), mode, fill), to, trace[:-1]
+        to, shape = np.array(done["affine"]).reshape(4, 4), tuple(done["shape"][:3])
+        by_size = done["flips"] is not None  # no flips, but a list of them: it was resized
+        return (resized(x, shape, mode) if by_size else read_grid(x, a, to, shape, mode, fill)), to, trace[:-1]
 
     return _each(df, kernel)
 
@@ -159,6 +198,6 @@ def resample(df: DataFrame, shape: tuple[int, int, int], mode: str = "linear", f
 
     def kernel(x: np.ndarray, a: np.ndarray, trace: list[dict]) -> Row:
         grid = np.array(trace[-1]["affine"]).reshape(4, 4)
-        return _read(x, a, grid, shape, mode, fill), grid, trace
+        return read_grid(x, a, grid, shape, mode, fill), grid, trace
 
     return _each(held, kernel).drop("trace")

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Bytes of results that a task holds before it gives them back.
+HELD = 64 << 20
 PACKED = "sample_id long, shape array<int>, data array<double>"
 
 
@@ -21,9 +23,13 @@ def each_array(packed: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for sample, shape, data in zip(batch["sample_id"], batch["shape"], batch["data"]):
-                out = None if data is None or shape is None else fn(np.asarray(data, float).reshape(shape)).astype(float).ravel()
-                yield pd.DataFrame({"sample_id": [sample], "shape": [shape], "data": [out]})
+            first, held, new = 0, 0, []
+            for row, (shape, data) in enumerate(zip(batch["shape"], batch["data"])):
+                new.append(None if data is None or shape is None else fn(np.asarray(data, float).reshape(shape)).astype(float).ravel())
+                held += 0 if new[-1] is None else new[-1].nbytes
+                if held >= HELD or row + 1 == len(batch):
+                    yield batch.iloc[first : row + 1].assign(data=new)
+                    first, held, new = row + 1, 0, []
 
     return packed.select("sample_id", "shape", "data").mapInPandas(run, PACKED)
 
@@ -61,6 +67,12 @@ def _largest(x: np.ndarray, bridge: int) -> np.ndarray:
     return mask & (label == first)
 
 
+def largest_mask(mask: np.ndarray, bridge: int = 2) -> np.ndarray:
+    """The largest component of a mask of two or three axes."""
+    full = mask.reshape((1, *mask.shape) if mask.ndim == 2 else mask.shape)[..., None]
+    return _largest(full.astype(float), bridge).reshape(mask.shape)
+
+
 def largest_component(packed: DataFrame, bridge: int = 2) -> DataFrame:
     """1 where a cell above 0 is in the largest component, else 0.
 
