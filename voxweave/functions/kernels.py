@@ -75,13 +75,10 @@ def rotated(x: np.ndarray, angle: float, mode: str = "linear", fill: float = 0.0
 
 
 def inscribed(h: int, w: int, angle: float) -> tuple[float, float]:
-    """(height, width) of the largest upright rectangle of the plane's proportions within the turned plane."""
+    """(height, width) of the largest upright rectangle of the plane's proportions within the turned plane, so that none of it is fill."""
     sin, cos = np.sin(abs(angle)), np.cos(angle)
-    if w <= h:
-        width = w / (sin + w / h * cos)
-        return h / w * width, width
-    height = h / (sin + h / w * cos)
-    return height, w / h * height
+    scale = min(h / (h * cos + w * sin), w / (w * cos + h * sin))
+    return h * scale, w * scale
 
 
 def cropped_to_inscribed(x: np.ndarray, angle: float, mode: str) -> np.ndarray:

@@ -566,3 +566,5 @@ JOIN (SELECT j, round_even(j * 3.0::DOUBLE / 4, 0)::INT AS f FROM range(5) r(j))
 vox("dropout", "2d", lambda v: layers.dropout(v, 7, 0.25), f"CASE WHEN {_u('sample_id', 'd', 'h', 'w', 'c')} < 0.75 THEN v / 0.75 ELSE 0 END")
 for _n, _e in {"tanh": "tanh(v)", "gelu": "v / (1 + exp(-1.5957691216057308 * (v + 0.044715 * v * v * v)))"}.items():
     vox(f"act_{_n}", "2d", lambda v, n=_n: layers.activate(v, n), _e)
+
+from . import record_queries as _record_queries  # noqa: E402, F401  registers its own
