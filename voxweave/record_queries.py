@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import attention as A
 from .operators import geometry
+from .operators import tiles as T
 from .plans import records as R
 from .queries import MC, V2, V3, _component_sql, _flat, _NEW, _oblique, _u, _volumes, query
+from .sources import tables
 
 
 def cell(shape: tuple[int, ...], data: Column) -> Column:
@@ -184,3 +187,90 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 
 query("resample_many_image", f"""WITH {V3}, t AS (SELECT a.sample_id, a.d, a.h, a.w, a.v, b.v AS u FROM v a LEFT JOIN v b ON b.sample_id = a.sample_id AND b.d = a.d + 1 AND b.h = a.h AND b.w = a.w WHERE a.w % 2 = 0)
 SELECT sample_id, (d * 8 + h * 2 + w // 2)::INT AS i, round((v + coalesce(u, -1)) / 2, 4) + 0.0 AS v FROM t""")(lambda s, d: flat(_pairs(s, d)).withColumn("v", F.round("v", 4)))
+
+
+# ---- tiles and blocks --------------------------------------------------------------------------
+
+_arrays = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.array(*map(F.lit, (4, 4, 2, 2))).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
+VC = "v AS (SELECT vec_id AS sample_id, (i // 16)::INT AS d, (i // 4 % 4)::INT AS h, (i // 2 % 2)::INT AS w, (i % 2)::INT AS c, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i))"
+_TILE = (2, 3, 2)
+# weights (d, h, w, in, out) of a 3x3x3 kernel, as SQL has them too
+_KERNEL3 = np.fromfunction(lambda a, b, e, i, o: (a - 1) * 0.3 + (b - 1) * 0.2 - (e - 1) * 0.1 + (i + 1) * (o + 1) * 0.05, (3, 3, 3, 2, 3))
+_W3 = "(a * 0.3::DOUBLE + b * 0.2::DOUBLE - e * 0.1::DOUBLE + (i.c + 1) * (o + 1) * 0.05::DOUBLE)"
+_NEAR = "x AS (SELECT DISTINCT sample_id, d, h, w FROM v), k AS (SELECT (a - 1)::INT AS a, (b - 1)::INT AS b, (e - 1)::INT AS e FROM range(3) p(a), range(3) q(b), range(3) r(e))"
+
+
+def _conv3(dilation: int) -> str:
+    return f"SELECT x.sample_id, x.d, x.h, x.w, o::INT AS o, sum(i.v * {_W3}) AS v FROM x, k, range(3) r(o) JOIN v i ON i.sample_id = x.sample_id AND i.d = x.d + a * {dilation} AND i.h = x.h + b * {dilation} AND i.w = x.w + e * {dilation} GROUP BY ALL"
+
+
+for _n in (1, 2):
+    query(f"conv3d_channels_dilation{_n}", f"WITH {VC}, {_NEAR}, y AS ({_conv3(_n)}) SELECT sample_id, (((d * 4 + h) * 2 + w) * 3 + o)::INT AS i, round(v, 6) + 0.0 AS v FROM y")(
+        lambda s, d, n=_n: _flat(T.joined(T.convolution(T.cut(_arrays(s, d), _TILE), _TILE, _KERNEL3, n)))
+    )
+_DEEP = np.fromfunction(lambda a, b, e, i: (a - 1) * 0.3 + (b - 1) * 0.2 - (e - 1) * 0.1 + (i + 1) * 0.05, (3, 3, 3, 2))
+_MIX = np.fromfunction(lambda i, o: 0.1 * (i + 1) - 0.05 * o, (2, 3))
+query("conv3d_separable", f"""WITH {VC}, {_NEAR}, t AS (SELECT x.sample_id, x.d, x.h, x.w, i.c, sum(i.v * (a * 0.3::DOUBLE + b * 0.2::DOUBLE - e * 0.1::DOUBLE + (i.c + 1) * 0.05::DOUBLE)) AS v FROM x, k JOIN v i ON i.sample_id = x.sample_id AND i.d = x.d + a AND i.h = x.h + b AND i.w = x.w + e GROUP BY ALL)
+SELECT sample_id, (((d * 4 + h) * 2 + w) * 3 + o)::INT AS i, round(sum(v * (0.1::DOUBLE * (c + 1) - 0.05::DOUBLE * o)), 6) + 0.0 AS v FROM t, range(3) r(o) GROUP BY ALL""")(
+    lambda s, d: _flat(T.joined(T.convolution(T.cut(_arrays(s, d), _TILE), _TILE, _DEEP, 1, _MIX)))
+)
+_NORM = [([0.1, -0.1, 0.2], [1.0, 2.0, 0.5], [1.0, -1.0, 0.5], [0.2, 0.1, 0.3])] * 5
+_PROJECT = np.fromfunction(lambda i, o: ((i * 7 + o * 3) % 5 - 2) * 0.25, (12, 3))
+_bn = "greatest(({x} - [0.1, -0.1, 0.2][o + 1]::DOUBLE) / sqrt([1.0, 2.0, 0.5][o + 1]::DOUBLE + 0.001::DOUBLE) * [1.0, -1.0, 0.5][o + 1]::DOUBLE + [0.2, 0.1, 0.3][o + 1]::DOUBLE, 0)".format
+query("spatial_pyramid", f"""WITH {VC}, {_NEAR}, b0 AS (SELECT sample_id, d, h, w, o::INT AS o, sum(v * (0.1::DOUBLE * (c + 1) - 0.05::DOUBLE * o)) AS v FROM v, range(3) r(o) GROUP BY ALL), b1 AS ({_conv3(1)}), b2 AS ({_conv3(2)}),
+g AS (SELECT sample_id, c, avg(v) AS v FROM v GROUP BY 1, 2), b3 AS (SELECT sample_id, o::INT AS o, sum(v * (0.1::DOUBLE * (c + 1) - 0.05::DOUBLE * o)) AS v FROM g, range(3) r(o) GROUP BY ALL),
+u AS (SELECT sample_id, d, h, w, o AS n, {_bn(x="v")} AS v FROM b0 UNION ALL SELECT sample_id, d, h, w, o + 3, {_bn(x="v")} FROM b1 UNION ALL SELECT sample_id, d, h, w, o + 6, {_bn(x="v")} FROM b2 UNION ALL SELECT x.sample_id, d, h, w, o + 9, {_bn(x="v")} FROM x JOIN b3 USING (sample_id)),
+z AS (SELECT sample_id, d, h, w, o::INT AS o, sum(v * (((n * 7 + o * 3) % 5 - 2) * 0.25::DOUBLE)) AS v FROM u, range(3) r(o) GROUP BY ALL)
+SELECT sample_id, (((d * 4 + h) * 2 + w) * 3 + o)::INT AS i, round({_bn(x="v")}, 6) + 0.0 AS v FROM z""")(
+    lambda s, d: _flat(T.joined(T.pyramid(T.cut(_arrays(s, d), _TILE), _TILE, _MIX, [(1, _KERNEL3, None), (2, _KERNEL3, None)], _MIX, _PROJECT, _NORM)))
+)
+
+# 16 tokens of four channels; two heads of two
+_sequence = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.array(F.lit(16), F.lit(4)).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
+TOKENS = "v AS (SELECT vec_id AS sample_id, (i // 4)::INT AS n, (i % 4)::INT AS c, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i))"
+_LEARNED = np.fromfunction(lambda i, c: (i + 1) * 0.5 - c * 0.3, (3, 4))
+_square = lambda k: (np.fromfunction(lambda i, o: ((i * 3 + o * 5 + k) % 7 - 3) * 0.4, (4, 4)), [0.1 * k] * 4)
+_dense_sql = lambda k, x="v": f"sum({x} * (((c * 3 + o * 5 + {k}) % 7 - 3) * 0.4::DOUBLE)) + {0.1 * k}::DOUBLE"
+
+
+def _masks(s: SparkSession, d: str) -> DataFrame:
+    """Query i sees token n of a sample unless (sample + i + n) is a multiple of 3."""
+    rows = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.explode(F.array(*[F.lit(x) for x in (0, 5, 10, 15)])).alias("first"))
+    seen = [F.when(F.col("first") + j < 16, ((F.col("sample_id") + i + F.col("first") + j) % 3 != 0).cast("double")) for i in range(3) for j in range(5)]
+    return rows.select("sample_id", F.col("first").cast("long").alias("first"), F.filter(F.array(*seen), lambda x: x.isNotNull()).alias("data"))
+
+
+query("masked_cross_attention", f"""WITH {TOKENS}, q0 AS (SELECT i, o, sum(((i + 1) * 0.5::DOUBLE - c * 0.3::DOUBLE) * (((c * 3 + o * 5) % 7 - 3) * 0.4::DOUBLE)) AS v FROM range(3) p(i), range(4) q(c), range(4) r(o) GROUP BY ALL),
+k AS (SELECT sample_id, n, o, {_dense_sql(1)} AS v FROM v, range(4) r(o) GROUP BY ALL),
+u AS (SELECT sample_id, n, o, {_dense_sql(2)} AS v FROM v, range(4) r(o) GROUP BY ALL),
+s AS (SELECT k.sample_id, i, n, k.o // 2 AS hd, sum(q0.v * k.v) / sqrt(2.0::DOUBLE) + max(CASE WHEN (k.sample_id + i + n) % 3 = 0 THEN -1e9 ELSE 0 END) AS s FROM q0 JOIN k ON k.o = q0.o GROUP BY ALL),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, i, hd)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id, i, hd) AS p FROM e),
+a AS (SELECT p.sample_id, i AS j, u.o AS c, sum(p.p * u.v) AS v FROM p JOIN u ON u.sample_id = p.sample_id AND u.n = p.n AND u.o // 2 = p.hd GROUP BY ALL),
+z AS (SELECT sample_id, j, o, {_dense_sql(3)} AS v FROM a, range(4) r(o) GROUP BY ALL) SELECT sample_id, (j * 4 + o)::INT AS i, round(v, 6) + 0.0 AS v FROM z""")(
+    lambda s, d: _flat(A.cross_attention(A.tiled_queries(_sequence(s, d), _LEARNED), A.blocks(_sequence(s, d), 5), 2, *[_square(k) for k in range(4)], _masks(s, d)))
+)
+_QKVV = np.fromfunction(lambda i, o: ((i * 3 + o * 5) % 7 - 3) * 0.4, (4, 16))
+_FEW = np.fromfunction(lambda n, k: ((n * 2 + k * 3) % 5 - 2) * 0.2, (16, 3))
+query("paired_attention", f"""WITH {TOKENS}, y AS (SELECT sample_id, n, (o // 4)::INT AS part, (o % 4)::INT AS c, sum(v * (((c * 3 + o * 5) % 7 - 3) * 0.4::DOUBLE)) AS v FROM v, range(16) r(o) GROUP BY sample_id, n, o),
+l AS (SELECT *, sqrt(greatest(sum(v * v) OVER (PARTITION BY sample_id, part, c), 1e-6::DOUBLE)) AS l FROM y), q AS (SELECT sample_id, n, c, v / l AS v FROM l WHERE part = 0), k AS (SELECT sample_id, n, c, v / l AS v FROM l WHERE part = 1),
+g AS (SELECT q.sample_id, q.c AS a, k.c AS b, sum(q.v * k.v) AS s FROM q JOIN k ON q.sample_id = k.sample_id AND q.n = k.n AND q.c // 2 = k.c // 2 GROUP BY ALL),
+ge AS (SELECT *, exp(s - max(s) OVER w) AS e FROM g WINDOW w AS (PARTITION BY sample_id, a)), gp AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id, a) AS p FROM ge),
+ca AS (SELECT gp.sample_id, y.n * 4 + gp.a AS i, sum(p * y.v) AS v FROM gp JOIN y ON y.sample_id = gp.sample_id AND y.part = 2 AND y.c = gp.b GROUP BY ALL),
+kp AS (SELECT sample_id, c, t, sum(v * (((n * 2 + t * 3) % 5 - 2) * 0.2::DOUBLE)) AS v FROM k, range(3) r(t) GROUP BY ALL), vp AS (SELECT sample_id, c, t, sum(v * (((n * 2 + t * 3) % 5 - 2) * 0.2::DOUBLE)) AS v FROM y, range(3) r(t) WHERE part = 3 GROUP BY ALL),
+s AS (SELECT q.sample_id, q.n, q.c // 2 AS hd, t, sum(q.v * kp.v) AS s FROM q JOIN kp ON kp.sample_id = q.sample_id AND kp.c = q.c GROUP BY ALL),
+se AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, n, hd)) AS e FROM s), sp AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id, n, hd) AS p FROM se),
+sa AS (SELECT sp.sample_id, ((vp.c % 2) * 2 + hd) * 16 + n AS i, sum(p * vp.v) AS v FROM sp JOIN vp ON vp.sample_id = sp.sample_id AND vp.c // 2 = hd AND vp.t = sp.t GROUP BY ALL)
+SELECT ca.sample_id, ca.i::INT AS i, round(ca.v + sa.v, 6) + 0.0 AS v FROM ca JOIN sa USING (sample_id, i)""")(
+    lambda s, d: A.paired_attention(A.blocks(_sequence(s, d), 5), 16, 2, (_QKVV, None), _FEW).select("sample_id", F.col("first"), F.posexplode("data").alias("j", "v")).select("sample_id", (F.col("first") * 4 + F.col("j")).cast("int").alias("i"), "v")
+)
+
+# ---- batches -----------------------------------------------------------------------------------
+
+_keyed = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.when(F.col("vec_id") % 3 > 0, F.col("vec_id") % 5 * 10**12).alias("key"))
+_KEYED = "e AS (SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN vec_id % 5 * 1000000000000 END AS key FROM embeddings)"
+query("batch_sparse_keys", f"WITH {_KEYED}, r AS (SELECT vec_id, row_number() OVER (ORDER BY key NULLS FIRST, vec_id) - 1 AS r, count(*) OVER () AS n FROM e) SELECT vec_id, r // 7 AS batch, (r % 7)::INT AS place FROM r WHERE r // 7 < n // 7")(
+    lambda s, d: tables.batches(_keyed(s, d), ["key", "vec_id"], 7).drop("key")
+)
+query("batch_epoch", "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY md5('7|2|' || vec_id::VARCHAR), vec_id) - 1 AS r FROM embeddings) SELECT vec_id, r // 7 AS batch, (r % 7)::INT AS place FROM r")(
+    lambda s, d: tables.epochs(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id"), 7, 2, 7, "vec_id", drop_remainder=False)
+)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tables import batches
+
 # NIfTI-1 data type codes.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
@@ -77,17 +79,5 @@ def npz(spark: SparkSession, path: str, images: str, labels: str) -> DataFrame:
 
 
 def batched(df: DataFrame, key: str, size: int) -> DataFrame:
-    """df with `batch`: full batches in key order by a range sort; the remainder is dropped.
-
-    Ranks come from range partitions' counts (one row a partition), so no task sees all rows.
-    """
-    from pyspark.sql import Window
-
-    parts = df.withColumn("bin", F.expr(f"cast(floor({key} / {size * 64}) as long)"))
-    counts = parts.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    bases = counts.select("bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(all_rows).alias("total"))
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy(key)) - 1
-    numbered = parts.withColumn("rank", rank).join(bases, "bin").withColumn("batch", F.expr(f"(base + rank) div {size}"))
-    return numbered.where(F.expr(f"batch < total div {size}")).drop("bin", "rank", "base", "total")
+    """df with `batch`: full batches in key order, nulls first; the remainder is dropped. Keys may be sparse, null or repeated."""
+    return batches(df, [key], size).drop("place")
