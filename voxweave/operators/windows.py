@@ -88,9 +88,38 @@ def extract_patches(vox: Voxels, roi: dict[str, int], overlap: float = 0.25) ->
     return df.withColumns(moved).select("sample_id", "patch_id", *AXES, "v", *[f"start_{a}" for a in moved])
 
 
-def merge_patches(vox: Voxels, patches: DataFrame, roi: dict[str, int], mode: str = "constant", sigma_scale: float = 0.125) -> Voxels:
-    """Patches (with start_<axis>) back to arrays: sum of v * weight over sum of weights."""
+def weight_map(given: float | list, roi: dict[str, int]) -> np.ndarray:
+    """A weight for each place of a patch: a scalar everywhere, or an array of the region's shape, with or without a batch and channel axis of 1."""
+    shape, x = tuple(roi.values()), np.asarray(given, float)
+    if x.ndim == 0:
+        return np.full(shape, float(x))
+    if x.shape not in (shape, (1, *shape, 1)):
+        raise ValueError(f"a scalar, or weights of shape {shape} or {(1, *shape, 1)}, not {x.shape}")
+    return x.reshape(shape)
+
+
+def resized_weights(weights: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Weights at the size of a model's results, by the nearest place on a grid from corner to corner."""
+    for axis, n in enumerate(shape):
+        at = np.floor(np.arange(n) * ((weights.shape[axis] - 1) / (n - 1) if n > 1 else 0.0) + 0.5).astype(int)
+        weights = np.take(weights, at, axis)
+    return weights
+
+
+def merge_patches(vox: Voxels, patches: DataFrame, roi: dict[str, int], mode: str = "constant", sigma_scale: float = 0.125, weights: float | list | None = None) -> Voxels:
+    """Patches (with start_<axis>) back to arrays: sum of v * weight over sum of weights.
+
+    Weights given from outside (see weight_map) take the place of the mode's; they are a table of a row a place, broadcast. Where
+    all weights are 0 the result is 0.
+    """
     axes = spatial_axes(vox)
+    if weights is not None:
+        cells = [(*map(int, at), float(w)) for at, w in np.ndenumerate(weight_map(weights, {a: roi[a] for a in axes}))]
+        table = vox.df.sparkSession.createDataFrame(cells, ", ".join(f"{a} int" for a in axes) + ", weight double")
+        weighted = patches.join(F.broadcast(table), axes).withColumns({a: F.col(a) + F.col(f"start_{a}") for a in axes})  # as long as a patch
+        total = F.sum("weight")
+        merged = weighted.groupBy("sample_id", *AXES).agg(F.when(total != 0, F.sum(F.col("v") * F.col("weight")) / total).otherwise(0.0).alias("v"))
+        return vox.mapped(merged)
     floor = 0.0
     if mode == "gaussian":
         floor = max(reduce(lambda x, y: x * y, [min(importance(roi[a], mode, sigma_scale)) for a in axes]), 1e-3)
@@ -101,7 +130,7 @@ def merge_patches(vox: Voxels, patches: DataFrame, roi: dict[str, int], mode: st
 
 
 def sliding_window(
-    vox: Voxels, roi: dict[str, int], model: Callable[[DataFrame], DataFrame], overlap: float = 0.25, mode: str = "constant", padding: str = "constant", fill: float = 0.0
+    vox: Voxels, roi: dict[str, int], model: Callable[[DataFrame], DataFrame], overlap: float = 0.25, mode: str = "constant", padding: str = "constant", fill: float = 0.0, weights: float | list | None = None
 ) -> Voxels:
     """Patches through a model (DataFrame of patches to the same columns), merged.
 
@@ -109,10 +138,24 @@ def sliding_window(
     """
     widths = roi_padding(vox, roi)
     padded = pad(vox, padding, fill, **widths)
-    out = merge_patches(padded, model(extract_patches(padded, roi, overlap)), roi, mode)
+    out = merge_patches(padded, model(extract_patches(padded, roi, overlap)), roi, mode, weights=weights)
     return crop(out, **{a: (n, n + vox.size(a)) for a, (n, _) in widths.items()}) if widths else out
 
 
+def best_slices(vox: Voxels, axis: str = "d") -> DataFrame:
+    """(sample_id, <axis>, total): of merged maps, the slice with the highest sum, the first of equals."""
+    sums = vox.df.groupBy("sample_id", axis).agg(F.sum("v").alias("total"))
+    best = sums.groupBy("sample_id").agg(F.max(F.struct("total", (-F.col(axis)).alias("at"))).alias("b"))
+    return best.select("sample_id", (-F.col("b.at")).alias(axis), F.col("b.total").alias("total"))
+
+
+def merged_maps(vox: Voxels, maps: DataFrame, roi: dict[str, int], mode: str = "gaussian") -> Voxels:
+    """Activation maps of patches (with start_<axis>) merged, cut at 0 and divided by each array's maximum, where that is above 0."""
+    merged = merge_patches(vox, maps, roi, mode).values(F.greatest(F.col("v"), F.lit(0.0)))
+    top = merged.df.groupBy("sample_id").agg(F.max("v").alias("top"))
+    return vox.mapped(merged.df.join(top, "sample_id").withColumn("v", F.when(F.col("top") > 0, F.col("v") / F.col("top")).otherwise(F.col("v"))), merged.shape)
+
+
 def shift_mask(height: int, width: int, window: int, shift: int, spark: SparkSession) -> DataFrame:
     """(win, i, j, mask): -100 where two places of a shifted window come from different regions, else 0."""
     band = lambda x, n: F.when(x < n - window, 0).when(x < n - shift, 1).otherwise(2)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from .operators import attention as A
 from .operators import geometry
 from .operators import tiles as T
+from .operators import windows
 from .plans import records as R
-from .queries import MC, V2, V3, _component_sql, _flat, _NEW, _oblique, _u, _volumes, query
-from .sources import tables
+from .queries import MC, V2, V3, _component_sql, _flat, _model, _NEW, _oblique, _starts, _u, _volumes, load, query
+from .sources import tables, tfrecords
+from .streaming import metrics
 
 
 def cell(shape: tuple[int, ...], data: Column) -> Column:
@@ -274,3 +276,55 @@ query("batch_sparse_keys", f"WITH {_KEYED}, r AS (SELECT vec_id, row_number() OV
 query("batch_epoch", "WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY md5('7|2|' || vec_id::VARCHAR), vec_id) - 1 AS r FROM embeddings) SELECT vec_id, r // 7 AS batch, (r % 7)::INT AS place FROM r")(
     lambda s, d: tables.epochs(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id"), 7, 2, 7, "vec_id", drop_remainder=False)
 )
+
+# ---- record files, streams and merging ---------------------------------------------------------
+
+
+@query("tfrecord_round_trip", "SELECT vec_id AS sample_id, label::BIGINT AS label, array_to_string(list_transform(range(0, 32), lambda i: (round(embedding[i + 1]::DOUBLE * 1000))::BIGINT::VARCHAR || ':' || (round(embedding[i + 33]::DOUBLE * 1000))::BIGINT::VARCHAR), ',') AS pairs FROM embeddings")
+def _records_back(s, d):
+    """embeddings as record files, read in ranges smaller than a file; two halves put together as channels."""
+    rows = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.slice("embedding", 1, 32).alias("first"), F.slice("embedding", 33, 32).alias("second"))
+    folder = tables.shared_path(s, "tfrecords")
+    tfrecords.write_records(rows, folder, 40_000)
+    f = lambda name, kind: F.col("features")[name][kind]
+    back = tfrecords.read_records(s, folder, 7_000)
+    both = tfrecords.channels([f("first", "floats"), f("second", "floats")])
+    text = F.transform(both, lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string"))
+    pair = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.concat_ws(":", F.get(text, 2 * i), F.get(text, 2 * i + 1)))
+    return back.select(f("vec_id", "ints")[0].alias("sample_id"), f("label", "ints")[0].alias("label"), F.array_join(pair, ",").alias("pairs"))
+
+
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    # a stream reads folders or patterns, not one file by its name
+    return s.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_closed_windows", """WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, value, max(ts) OVER () AS last FROM events)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, round(avg(value), 6) + 0.0 AS mean, count(*) AS n FROM e WHERE start + INTERVAL 1 HOUR <= last - INTERVAL 2 HOUR GROUP BY ALL""")
+def _windows(s, d):
+    path, checkpoint = tables.shared_path(s, "windows"), tables.shared_path(s, "windows-state")
+    metrics.closed_windows(_event_stream(s, d), path, checkpoint).awaitTermination()
+    return s.read.parquet(path).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "mean", "n")
+
+
+@query("stream_sessions", """WITH e AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before, max(ts) OVER () AS last FROM events),
+g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e),
+r AS (SELECT user_id, k, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS n, any_value(last) AS last FROM g GROUP BY ALL)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, n FROM r WHERE b <= last - INTERVAL 2 HOUR""")
+def _sessions(s, d):
+    path, checkpoint = tables.shared_path(s, "sessions"), tables.shared_path(s, "sessions-state")
+    metrics.sessions(_event_stream(s, d), path, checkpoint).awaitTermination()
+    return s.read.parquet(path).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+_WEIGHTS = [[1.0, 2.0, 0.5], [0.0, 1.5, 1.0], [2.0, 0.25, 1.0], [1.0, 1.0, 3.0]]
+query("patch_merge_weights", f"WITH {V2}, {_starts}, t AS (SELECT *, {_WEIGHTS}[h - sh + 1][w - sw + 1]::DOUBLE AS wt FROM v JOIN p ON h BETWEEN sh AND sh + 3 AND w BETWEEN sw AND sw + 2) SELECT sample_id, d, h, w, c, round(CASE WHEN sum(wt) <> 0 THEN sum((v + patch_id) * wt) / sum(wt) ELSE 0 END, 6) + 0.0 AS v FROM t GROUP BY ALL")(
+    lambda s, d: windows.sliding_window(load(s, d), {"h": 4, "w": 3}, _model, 0.25, weights=_WEIGHTS).df
+)
+_D0 = "p AS (SELECT i::INT AS patch_id, (i * 2 - greatest(i * 2 + 3 - 4, 0))::INT AS sd FROM range(2) a(i))"
+query("merged_map_slice", f"""WITH {V3}, {_D0}, m AS (SELECT sample_id, d, h, w, greatest(avg(v * (patch_id + 1)), 0) AS v FROM v JOIN p ON d BETWEEN sd AND sd + 2 GROUP BY ALL),
+n AS (SELECT *, CASE WHEN max(v) OVER q > 0 THEN v / max(v) OVER q ELSE v END AS x FROM m WINDOW q AS (PARTITION BY sample_id)), s AS (SELECT sample_id, d, sum(x) AS total FROM n GROUP BY ALL)
+SELECT sample_id, d, round(total, 6) + 0.0 AS total FROM s QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY total DESC, d) = 1""")(
+    lambda s, d: windows.best_slices(windows.merged_maps(load(s, d, "3d"), windows.extract_patches(load(s, d, "3d"), {"d": 3, "h": 4, "w": 4}).withColumn("v", F.col("v") * (F.col("patch_id") + 1)), {"d": 3, "h": 4, "w": 4}, "constant"))
+)

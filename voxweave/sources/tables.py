@@ -6,26 +6,28 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows are numbered within a partition in the low bits of monotonically_increasing_id: fixed value of Spark.
 ROW_BITS = 33
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as Parquet in the folder that spark.checkpoint.dir names, read back: lineage ends there.
-
-    A temporary folder is made for a local master only. The files are the caller's to clear.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; a temporary one is made for a local master only."""
+    sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="voxweave-")
         sc.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: lineage ends there. The files are the caller's to clear."""
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
