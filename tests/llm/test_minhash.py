@@ -53,10 +53,8 @@ def test_odd_rows(odd, odd_rows, none):
     assert near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("leaders", [1, 16])
-def test_groups(spark, words, monkeypatch, leaders):
+def test_groups(spark, words):
     """Near copies of one original, copies whose original is absent, and texts that share a passage."""
-    monkeypatch.setattr(minhash, "FULL_LEADERS", leaders)
     rng = random.Random(1)
     say = lambda n: [rng.choice(words) for _ in range(n)]
 
@@ -74,6 +72,55 @@ def test_groups(spark, words, monkeypatch, leaders):
     assert results(near_duplicates(df, width=4)) == brute(rows, 4)
 
 
+def changed(text, rng, words, n):
+    text = list(text)
+    for k in rng.sample(range(len(text)), n):
+        text[k] = rng.choice(words)
+    return text
+
+
+@pytest.mark.parametrize("size", [150, 600])
+def test_edits_of_an_absent_original_cost_in_proportion(spark, words, monkeypatch, size):
+    """No centre, nearly all in common, mostly unlinked: a bounded number of comparisons a text."""
+    rng = random.Random(size)
+    origin = [rng.choice(words) for _ in range(90)]
+    rows = [(i, " ".join(changed(origin, rng, words, 2))) for i in range(size)]
+    counts = []
+    table = minhash.as_table
+
+    def counted(df, label):
+        out = table(df, label)
+        if label == "minhash-diffs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "as_table", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert results(near_duplicates(df, width=4)) == brute(rows, 4)
+    assert 0 < sum(counts) <= 24 * size
+
+
+def test_families_of_edits(spark, words):
+    """Edits of edits: families that share differences, some linked within, some across."""
+    rng = random.Random(21)
+    origin, rows = [rng.choice(words) for _ in range(100)], []
+    for family in range(12):
+        base = changed(origin, rng, words, 4)
+        for _ in range(rng.randint(1, 9)):
+            rows.append((len(rows), " ".join(changed(base, rng, words, rng.randint(0, 3)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = results(near_duplicates(df, width=4))
+    assert got == brute(rows, 4) and 1 < len({c for _, _, c, _ in got}) < len(rows)
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_query(spark, sf, width):
+    """The whole given table, as the query and the pipeline's stage take it."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    df = minhash.op8_minhash(spark, sf) if width == 4 else near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert results(df) == brute(rows, width)
+
+
 def test_chain_of_near_copies(spark, words):
     """Each text is near the next one only, so a component has a long way through it."""
     rng = random.Random(9)

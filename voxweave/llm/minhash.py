@@ -17,8 +17,12 @@
 5. Lists that are open after that round over signatures come from texts that share much, but less than the
    threshold. Their classes are posted again, under the rarest shingles of their full sets and by
    set size (see `_full_posts`): this is exact, and leaves out classes that can't reach the
-   threshold with anybody. Rounds go on over these lists, with GROWTH times as many leaders in each,
-   until none is open. So every pair is linked through others, or compared, or excluded by a bound.
+   threshold with anybody.
+6. Lists still open hold texts that have nearly all in common, such as edits of one original. Each list's leader is compared with
+   its other classes, and these are posted again by how they differ from the leader (see `_refined`): what all differ in
+   comes last in the order, so only classes that share rare differences stay together. This is exact too, and
+   goes on until no list is open; each time the leaders have left, and lists of up to FEW classes are settled in a task each.
+   A group of n edits costs about n comparisons a round, not n * n. So every pair is linked through others, or compared, or excluded by a bound.
 
 A pair at the threshold of 0.8 agrees in fewer than MATCHES coordinates with
 probability 8e-7 (binomial with 48 coordinates, taking their hashes as independent); nothing
@@ -49,8 +53,8 @@ from .tokens import U64, mix64, pieces, shingles, word_hashes
 COORDS = 48
 MATCHES = 24
 PREFIX = COORDS - MATCHES + 1
-#: Leaders of each open list: in the round over signatures, in the first over full sets, and how they multiply.
-LEADERS, FULL_LEADERS, GROWTH = 1, 64, 1024
+#: Lists of up to so many classes are settled in one task each.
+FEW = 48
 #: A link needs 100 * common >= THRESHOLD * union.
 THRESHOLD = 80
 
@@ -198,23 +202,100 @@ def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
     return as_table(tagged.join(lists, "list").where(as_small | as_large).select(*posts.columns, "label"), "minhash-open")
 
 
-def _led(lists: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs of leaders and their list's classes in other components, lists without the leaders)."""
-    rest = [c for c in lists.columns if c not in ("list", "weight")]
-    salt = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
-    best = lists.groupBy("list", salt.alias("salt")).agg(F.max(F.struct("weight", *rest)).alias("lead"))
-    best = as_table(best.select("list", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in rest]), "minhash-leaders")
-    fits = F.col("lead_label") != F.col("label")
-    if "small" in rest:
-        lead_larger = F.col("lead_size") >= F.col("size")
-        fits &= F.when(F.col("lead_small"), ~F.col("small") & (F.col("size") >= F.col("lead_size"))).otherwise(F.col("small") & lead_larger)
-        fits &= (F.col("size") <= F.col("lead_most")) & (F.col("lead_size") <= F.col("most"))
-    pairs = lists.join(best, "list").where(fits).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
-    role = [lists["node"] == best["lead_node"]] + ([lists["small"] == best["lead_small"]] if "small" in rest else [])
-    left = lists.join(best, [lists["list"] == best["list"], *role], "left_anti")
+def _led(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs of each list's leader and its classes in other components, lists without their leaders)."""
+    best = lists.groupBy("list").agg(F.max(F.struct("weight", "node", "label")).alias("lead"))
+    best = as_table(best.select("list", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label")), "minhash-leaders")
+    pairs = lists.join(best, "list").where("lead_label <> label").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    left = lists.join(best, [lists["list"] == best["list"], lists["node"] == best["lead"]], "left_anti")
     return pairs, left
 
 
+def _differences(width: int):
+    """(lead, node, both texts) to the size of node's set, and its shingles that are in one of both sets only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names
+            lead, node, text_a, text_b = (batch.column(names.index(n)) for n in ("lead", "node", "text_a", "text_b"))
+            last_key, last_set, rows, held = None, None, [], 0
+            for i, (key, own) in enumerate(zip(lead.to_pylist(), _sets(text_b, width))):
+                if key != last_key:
+                    last_key, last_set = key, next(_sets(text_a.slice(i, 1), width))
+                rows.append((key, node[i].as_py(), len(last_set), len(own), np.setxor1d(last_set, own, assume_unique=True).view(np.int64)))
+                held += len(rows[-1][4])
+                if held >= 1 << 20:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["lead", "node", "n_lead", "n", "diff"])
+
+    return run
+
+
+def _settled(lists: DataFrame, bodies: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links (a, b) that join the linked classes of each list of up to FEW, on full sets; pairs that are joined already are skipped."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, texts = table.column("node").to_pylist(), table.column("text").combine_chunks()
+        sets, links, up = list(_sets(texts, width)), [], list(range(len(nodes)))
+        known = {}
+        for i, label in enumerate(table.column("label").to_pylist()):
+            up[i] = known.setdefault(label, i)
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for i, x in enumerate(sets):
+            for j in range(i):
+                y, (a, b) = sets[j], (root(i), root(j))
+                # sizes bound what can be common
+                if a != b and 100 * min(len(x), len(y)) >= threshold * max(len(x), len(y)):
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= threshold * (len(x) + len(y) - common):
+                        up[a] = b
+                        links.append((nodes[i], nodes[j]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return lists.join(bodies.select("node", "text"), "node").groupBy("list").applyInArrow(run, "a long, b long")
+
+
+def _refined(lists: DataFrame, bodies: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), lists that hold every pair that may be linked besides), by differences from each list's leader.
+
+    With D the difference of a set A from the leader's, two sets are at the threshold if (100 + threshold) * |D_a xor D_b| <=
+    (100 - threshold) * (|A_a| + |A_b|). So with slack s = (100 + threshold) * |D| - (100 - threshold) * |A| they need
+    (s_a + s_b) / (2 * (100 + threshold)) differences in common. Where the sum is not above 0 they are linked: it is enough to
+    link a class with that of least slack, if that sum is not. Others share one of their first |D| - need + 1 differences, in any common
+    order, need being what they have to share with the class of least slack; rare ones go first.
+    """
+    heads = lists.groupBy("list").agg(F.max(F.struct("weight", "node"))["node"].alias("lead"))
+    pairs = lists.join(heads, "list").where("lead <> node").select("lead", "node").distinct()
+    a = bodies.select(F.col("node").alias("lead"), F.col("text").alias("text_a"))
+    both = pairs.join(bodies.select("node", F.col("text").alias("text_b")), "node").join(a, "lead")
+    diffs = both.select("lead", "node", "text_a", "text_b").mapInArrow(_differences(width), "lead long, node long, n_lead long, n long, diff array<long>")
+    d, up, down = F.size("diff"), 100 + threshold, 100 - threshold
+    diffs = as_table(diffs.withColumn("slack", (d * up - F.col("n") * down).cast("long")), "minhash-diffs")
+    least = diffs.groupBy("lead").agg(F.min(F.struct("slack", "node")).alias("least"))
+    known = diffs.join(least.select("lead", F.col("least.slack").alias("least"), F.col("least.node").alias("nearest")), "lead")
+    with_lead = diffs.where(d * up <= (F.col("n") + F.col("n_lead")) * down).select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    with_nearest = known.where("slack + least <= 0 AND node <> nearest").select(F.col("nearest").alias("a"), F.col("node").alias("b"))
+    need = F.greatest(F.ceil((F.col("slack") + F.col("least")) / (2 * up)), F.lit(1))
+    each = known.withColumn("first", d - need + 1).where(F.col("first") > 0).select("lead", "node", "slack", d.alias("d"), "first", F.explode("diff").alias("gram"))
+    often = each.groupBy("lead", "gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    mine = Window.partitionBy("lead", "node")
+    # differences of one class only come first in the order
+    place = F.col("d") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "gram"))
+    posts = each.join(often, ["lead", "gram"]).withColumn("place", place).where(F.col("place") <= F.col("first"))
+    return with_lead.unionByName(with_nearest), posts.select(F.xxhash64("lead", "gram").alias("list"), "node", (-F.col("slack")).alias("weight"))
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough and whose sizes allow the threshold."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -270,20 +351,24 @@ def members(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Data
         b = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return near.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, threshold), "a long, b long")
 
-    labels, turn = contract(None, confirmed(first)), 0
-
-    def settled(lists: DataFrame, leaders: int) -> DataFrame:
-        """What is still open of the lists after one round."""
-        nonlocal labels, turn
-        pairs, lists = _led(lists, leaders, turn)
-        labels, turn = contract(labels, confirmed(pairs)), turn + 1
-        return _open(lists.drop("label"), labels)
-
-    lists = settled(_open(lists, labels), LEADERS)
+    labels = contract(None, confirmed(first))
+    pairs, lists = _led(_open(lists, labels))
+    labels = contract(labels, confirmed(pairs))
+    lists = _open(lists.drop("label"), labels)
     if not lists.isEmpty():
-        lists, leaders = _open(_full_posts(lists.select("node").distinct(), bodies, width, threshold), labels), FULL_LEADERS
+        # a class may be posted as the smaller and as the larger one
+        lists = _open(_full_posts(lists.select("node").distinct(), bodies, width, threshold), labels).select("list", "node", "weight", "label").dropDuplicates(["list", "node"])
         while not lists.isEmpty():
-            lists, leaders = settled(lists, leaders), leaders * GROWTH
+            sizes = as_table(lists.groupBy("list").agg(F.count(F.lit(1)).alias("many")), "minhash-sizes")
+            links = _settled(lists.join(sizes.where(F.col("many") <= FEW), "list"), bodies, width, threshold)
+            large, lists = lists.join(sizes.where(F.col("many") > FEW), "list"), None
+            if not large.isEmpty():
+                more, lists = _refined(large, bodies, width, threshold)
+                links = links.unionByName(more)
+            labels = contract(labels, as_table(links, "minhash-links"))
+            if lists is None:
+                break
+            lists = _open(lists, labels)
 
     # classes that are linked with others: the least lead of their component
     own = F.struct(F.col("lead_id").isNull().alias("none"), "lead_id", "lead_hash")
