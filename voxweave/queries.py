@@ -224,10 +224,11 @@ def _oblique_shape(s, d):
 
 # ---- sliding windows ----------------------------------------------------------------------------
 
-query("patch_slices", "SELECT (i * 4 + j)::INT AS patch_id, (i * 3 - greatest(i * 3 + 4 - 8, 0))::INT AS start_h, (j * 2 - greatest(j * 2 + 3 - 8, 0))::INT AS start_w FROM range(3) a(i), range(4) b(j)")(
-    lambda s, d: windows.patch_table(load(s, d), {"h": 4, "w": 3}, 0.25)
-)
 _starts = "p AS (SELECT (i * 4 + j)::INT AS patch_id, (i * 3 - greatest(i * 3 + 4 - 8, 0))::INT AS sh, (j * 2 - greatest(j * 2 + 3 - 8, 0))::INT AS sw FROM range(3) a(i), range(4) b(j))"
+query("patch_slices", f"WITH {V2}, {_starts} SELECT sample_id, patch_id, sh AS start_h, sw AS start_w, round(sum(v), 6) + 0.0 AS total FROM v JOIN p ON h BETWEEN sh AND sh + 3 AND w BETWEEN sw AND sw + 2 GROUP BY ALL")(
+    lambda s, d: windows.extract_patches(load(s, d), {"h": 4, "w": 3}).groupBy("sample_id", "patch_id").agg(F.sum("v").alias("total"))
+    .join(F.broadcast(windows.patch_table(load(s, d), {"h": 4, "w": 3}, 0.25)), "patch_id")
+)
 query("patch_extract", f"WITH {V2}, {_starts} SELECT sample_id, patch_id, d, h - sh AS h, w - sw AS w, c, round(v, 6) + 0.0 AS v FROM v JOIN p ON h BETWEEN sh AND sh + 3 AND w BETWEEN sw AND sw + 2")(
     lambda s, d: windows.extract_patches(load(s, d), {"h": 4, "w": 3}).drop("start_h", "start_w")
 )
@@ -244,8 +245,11 @@ for _m, _x in {"constant": "", "edge": "greatest(least(t - 2, 7), 0)", "reflect"
     query(f"pad_{_m}", f"WITH {V2} {_src}")(lambda s, d, m=_m: windows.pad(load(s, d), m, -3.0, h=(2, 3)).df)
 for _m in ("constant", "reflect"):
     vox(f"sliding_padded_{_m}", "2d", lambda v, m=_m: windows.sliding_window(v, {"h": 11, "w": 5}, lambda p: p.withColumn("v", F.col("v") * 2 + 1), 0.5, "gaussian", m), "v * 2 + 1")
-query("shift_mask", """WITH x AS (SELECT h, w, (h // 4 * 2 + w // 4)::INT AS win, ((h % 4) * 4 + w % 4)::INT AS i, CASE WHEN h < 4 THEN 'a' WHEN h < 6 THEN 'b' ELSE 'c' END || CASE WHEN w < 4 THEN 'a' WHEN w < 6 THEN 'b' ELSE 'c' END AS r FROM range(8) p(h), range(8) q(w))
-SELECT x.win, x.i, y.i AS j, CASE WHEN x.r = y.r THEN 0.0::DOUBLE ELSE -100.0 END AS mask FROM x JOIN x y ON x.win = y.win""")(lambda s, d: windows.shift_mask(8, 8, 4, 2, s))
+query("shift_mask", f"""WITH {V2}, x AS (SELECT sample_id, (h // 4 * 2 + w // 4)::INT AS win, ((h % 4) * 4 + w % 4)::INT AS i, v, CASE WHEN h < 4 THEN 'a' WHEN h < 6 THEN 'b' ELSE 'c' END || CASE WHEN w < 4 THEN 'a' WHEN w < 6 THEN 'b' ELSE 'c' END AS r FROM v)
+SELECT sample_id, win, i, count(*) AS seen, round(sum(v), 6) + 0.0 AS total FROM (SELECT x.sample_id, x.win, x.i, y.v FROM x JOIN x y ON x.sample_id = y.sample_id AND x.win = y.win AND x.r = y.r) GROUP BY ALL""")(
+    lambda s, d: windows.window_partition(load(s, d), h=4, w=4).join(F.broadcast(windows.shift_mask(8, 8, 4, 2, s).where("mask = 0").withColumnRenamed("j", "pos")), ["win", "pos"])
+    .groupBy("sample_id", "win", "i").agg(F.count(F.lit(1)).alias("seen"), F.sum("v").alias("total"))
+)
 query("window_partition", f"WITH {V2} SELECT sample_id, (h // 4 * 4 + w // 2)::INT AS win, (h % 4 * 2 + w % 2)::INT AS pos, c, round(v, 6) + 0.0 AS v FROM v")(lambda s, d: windows.window_partition(load(s, d), h=4, w=2))
 vox("window_reverse", "3d", lambda v: windows.window_reverse(v, windows.window_partition(v, d=2, h=4, w=2), d=2, h=4, w=2), "v")
 vox("patch_merging", "2d", windows.patch_merging, "v", idx="sample_id, d, (h // 2)::INT AS h, (w // 2)::INT AS w, (h % 2 + 2 * (w % 2))::INT AS c")
@@ -453,9 +457,17 @@ vox("pipeline_apply", "2d", lambda v: _chain()(transforms.Batch({"image": v}))["
 vox("pipeline_inverse", "2d", lambda v: transforms.Compose.inverse(_chain()(transforms.Batch({"image": v})))["image"], "CASE WHEN 7 - w BETWEEN 1 AND 6 AND h BETWEEN 2 AND 7 THEN v ELSE -1.5 END")
 _b = " UNION ALL ".join(f"SELECT '{f}' AS family, '{n}' AS name" for f, ns in catalog.BACKBONES.items() for n in ns.split())
 _s = " UNION ALL ".join(f"SELECT '{n}' AS name, '{f}' AS family" for n, fs in catalog.SEGMENTORS.items() for f in fs.split())
-query("registry_catalog", f"WITH b AS ({_b}), s AS ({_s}), x AS (SELECT family, string_agg(name, ' ' ORDER BY name) AS backbones FROM b GROUP BY 1), y AS (SELECT family, string_agg(name, ' ' ORDER BY name) AS segmentors FROM s GROUP BY 1) SELECT family, backbones, segmentors FROM x FULL JOIN y USING (family)")(lambda s, d: catalog.by_family(s))
-query("registry_family", f"WITH b AS ({_b}), s AS ({_s}) SELECT 'vit' AS family, (SELECT string_agg(name, ' ' ORDER BY name) FROM b WHERE family = 'vit') AS backbones, (SELECT string_agg(name, ' ' ORDER BY name) FROM s WHERE family = 'vit') AS segmentors")(lambda s, d: catalog.by_family(s, "ViT"))
-query("encoder_compat", f"WITH b AS ({_b}), s AS ({_s}) SELECT s.name AS segmentor, b.name AS encoder FROM b JOIN s USING (family)")(lambda s, d: catalog.compatible(s))
+_families = sorted({f for fs in catalog.BACKBONES for f in fs.split()} | {f for fs in catalog.SEGMENTORS.values() for f in fs.split()})
+_encoders, _heads = sorted({n for ns in catalog.BACKBONES.values() for n in ns.split()}), sorted(catalog.SEGMENTORS)
+_pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+_asked = lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(_pick(_families, "event_id").alias("family")).agg(F.count(F.lit(1)).alias("asked"))
+_ASKED = f"""b AS ({_b}), s AS ({_s}), x AS (SELECT family, string_agg(name, ' ' ORDER BY name) AS backbones FROM b GROUP BY 1), y AS (SELECT family, string_agg(name, ' ' ORDER BY name) AS segmentors FROM s GROUP BY 1),
+q AS (SELECT {_families}[event_id % {len(_families)} + 1] AS family, count(*) AS asked FROM events GROUP BY 1)"""
+query("registry_catalog", f"WITH {_ASKED} SELECT family, asked, backbones, segmentors FROM q LEFT JOIN x USING (family) LEFT JOIN y USING (family)")(lambda s, d: _asked(s, d).join(catalog.by_family(s), "family", "left"))
+query("registry_family", f"WITH {_ASKED} SELECT family, asked, backbones, segmentors FROM q LEFT JOIN x USING (family) LEFT JOIN y USING (family) WHERE family = 'vit'")(lambda s, d: _asked(s, d).join(catalog.by_family(s, "ViT"), "family"))
+query("encoder_compat", f"WITH b AS ({_b}), s AS ({_s}), q AS (SELECT {_heads}[event_id % {len(_heads)} + 1] AS segmentor, {_encoders}[user_id % {len(_encoders)} + 1] AS encoder FROM events) SELECT segmentor, encoder, count(*) AS asked FROM q JOIN (SELECT DISTINCT s.name AS segmentor, b.name AS encoder FROM b JOIN s USING (family)) USING (segmentor, encoder) GROUP BY ALL")(
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").select(_pick(_heads, "event_id").alias("segmentor"), _pick(_encoders, "user_id").alias("encoder")).join(F.broadcast(catalog.compatible(s)), ["segmentor", "encoder"]).groupBy("segmentor", "encoder").agg(F.count(F.lit(1)).alias("asked"))
+)
 query("camel_to_snake", "SELECT DISTINCT event_type, event_type || '_event_loss2_d' AS snake FROM events")(
     lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_type").distinct().select("event_type", scalars.camel_to_snake(F.concat(F.upper(F.substring("event_type", 1, 1)), F.expr("substr(event_type, 2)"), F.lit("EventLOSS2D"))).alias("snake"))
 )
