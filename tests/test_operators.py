@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import gzip
+import itertools
 import json
+import math
 import struct
 
 import numpy as np
@@ -57,16 +59,27 @@ def test_rotations_and_flips(spark, k):
     assert np.array_equal(back(spatial.flip(make(spark, VOLUME), "d", "w"))[0], VOLUME[::-1, :, ::-1])
 
 
-def test_samplers(spark):
-    vol = make(spark, np.arange(8.0).reshape(2, 2, 2, 1))
-    at = lambda *p: spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(p)], "sample_id long, point int, x double, y double, z double")
-    read = lambda *a: [r.v for r in spatial.sample_at(vol, *a).orderBy("point").collect()]
-    assert read(at((0, 0, 0), (1, 1, 1)), "nearest") == [0, 7]
-    assert read(at((0.5, 0.5, 0.5)), "linear") == [3.5]
-    assert read(at((-1, 0, 0), (0, 0, 3)), "nearest", -5.0) == [-5, -5]
-    assert read(at((-1, 0, 0), (0, 0, 3)), "linear", -7.0) == [-7, -7]
-    grown = back(spatial.affine_resample(vol, (0.5, 0, 0, 0, 0, 0.5, 0, 0, 0, 0, 0.5, 0), (4, 4, 4), "nearest", -1.0))[0][..., 0]
-    assert (grown[0, 0, 0], grown[2, 2, 2], grown[3, 3, 3]) == (0, 7, -1)
+@pytest.mark.parametrize("mode", ["nearest", "linear"])
+def test_samplers(spark, mode):
+    """Random places in and around a volume of two channels, and a sheared grid, against loops over corners."""
+    rng = np.random.default_rng(12)
+    x, fill = rng.standard_normal((3, 4, 5, 2)), 0.25
+    cell = lambda i: x[tuple(i)] if all(0 <= a < n for a, n in zip(i, x.shape)) else np.full(2, fill)
+
+    def read(p):
+        if mode == "nearest":
+            return cell([round(float(a)) for a in p])
+        low = [math.floor(a) for a in p]
+        corners = itertools.product((0, 1), repeat=3)
+        return sum(math.prod(a - b if up else 1 - a + b for a, b, up in zip(p, low, c)) * cell([b + up for b, up in zip(low, c)]) for c in corners)
+
+    points = rng.uniform(-1.4, 5.4, (40, 3))
+    df = spark.createDataFrame([(0, k, *map(float, p)) for k, p in enumerate(points)], "sample_id long, point int, x double, y double, z double")
+    got = spatial.sample_at(make(spark, x), df, mode, fill).orderBy("point", "c").collect()
+    assert np.allclose([r.v for r in got], np.concatenate([read(p) for p in points]))
+    m = np.hstack([np.eye(3) * [0.7, 1.2, 0.9] + rng.uniform(-0.2, 0.2, (3, 3)), rng.uniform(-1, 1, (3, 1))])
+    grown = back(spatial.affine_resample(make(spark, x), tuple(m.ravel().tolist()), (2, 3, 4), mode, fill))[0]
+    assert all(np.allclose(grown[i], read(m @ [*i, 1])) for i in np.ndindex(2, 3, 4))
 
 
 def constant(m):

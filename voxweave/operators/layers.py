@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,22 +88,54 @@ def attention_gate(x: Voxels, gate: Voxels, wx: float, wg: float, psi: float) ->
     return x.mapped(both.withColumn("v", F.col("v") * alpha))
 
 
-def window_attention(blocks: DataFrame, scale: float, head_size: int | None = None, mask: DataFrame | None = None) -> DataFrame:
-    """Self-attention within blocks (sample_id, win, pos, c, v) of a fixed size: softmax(q k' * scale + mask) v.
+#: Fixed value: the largest factor of cosine scores.
+MOST_SCALE = 100.0
+
+
+def relative_bias(spark, window: tuple[int, int], table: list[list[float]], bounded: bool = False) -> DataFrame:
+    """(head, i, j, bias) of a window's places from a table with a row for each relative place (the last axis fastest) and a column a head.
+
+    Bounded, the table's values are taken through 16 * sigmoid, as for cosine scores.
+    """
+    h, w = window
+    if len(table) != (2 * h - 1) * (2 * w - 1):
+        raise ValueError("the table has a row for each relative place")
+    cells = [(k, i, j, float(table[(i // w - j // w + h - 1) * (2 * w - 1) + i % w - j % w + w - 1][k])) for k in range(len(table[0])) for i in range(h * w) for j in range(h * w)]
+    out = spark.createDataFrame(cells, "head int, i int, j int, bias double")
+    return out.withColumn("bias", F.lit(16.0) * sigmoid(F.col("bias"))) if bounded else out
+
+
+def window_attention(blocks: DataFrame, scale: float | list[float], head_size: int | None = None, mask: DataFrame | None = None, bias: DataFrame | None = None, cosine: bool = False) -> DataFrame:
+    """Self-attention within blocks (sample_id, win, pos, c, v) of a fixed size: softmax(q k' * scale + bias + mask) v.
 
-    Channels are taken by `head_size` into heads of their own. A mask (win, i, j, mask) is added to the scores.
+    Channels are taken by `head_size` into heads of their own. A mask (win, i, j, mask) and a bias (head, i, j, bias) are added to the
+    scores; both are as large as a window or an array's windows, whatever the number of samples. Cosine scores are of queries and keys of length one in each head; scale
+    then has the logarithm of a factor a head, MOST_SCALE at most.
     """
+    if cosine:
+        cut = F.lit(0) if head_size is None else F.expr(f"c div {head_size}")
+        space = Window.partitionBy("sample_id", "win", "pos", "head")
+        long = blocks.withColumn("head", cut).withColumn("u", F.col("v") / F.sqrt(F.greatest(F.sum(F.col("v") * F.col("v")).over(space), F.lit(1e-6))))
+        factors = F.array(*[F.lit(min(math.exp(x), MOST_SCALE)) for x in (scale if isinstance(scale, list) else [scale])])
+        return _attended(long, long.withColumn("v", F.col("u")), F.element_at(factors, (F.col("head") + 1).cast("int")), mask, bias)
+    cut = blocks.withColumn("head", F.lit(0) if head_size is None else F.expr(f"c div {head_size}"))
+    return _attended(cut, cut, F.lit(scale), mask, bias)
+
+
+def _attended(values: DataFrame, blocks: DataFrame, scale: Column, mask: DataFrame | None, bias: DataFrame | None) -> DataFrame:
     key = ["sample_id", "win", "head"]
-    blocks = blocks.withColumn("head", F.lit(0) if head_size is None else F.expr(f"c div {head_size}"))
     q = blocks.select(*key, F.col("pos").alias("i"), "c", F.col("v").alias("q"))
     k = blocks.select(*key, F.col("pos").alias("j"), "c", F.col("v").alias("k"))
-    scores = q.join(k, [*key, "c"]).groupBy(*key, "i", "j").agg((F.sum(F.col("q") * F.col("k")) * F.lit(scale)).alias("s"))
+    scores = q.join(k, [*key, "c"]).groupBy(*key, "i", "j").agg(F.sum(F.col("q") * F.col("k")).alias("s")).withColumn("s", F.col("s") * scale)
+    if bias is not None:
+        scores = scores.join(F.broadcast(bias), ["head", "i", "j"]).withColumn("s", F.col("s") + F.col("bias"))  # heads x places x places
     if mask is not None:
         scores = scores.join(mask, ["win", "i", "j"]).withColumn("s", F.col("s") + F.col("mask"))
     row = Window.partitionBy(*key, "i")
     e = scores.withColumn("e", F.exp(F.col("s") - F.max("s").over(row)))
     p = e.withColumn("p", F.col("e") / F.sum("e").over(row))
-    out = p.join(k, [*key, "j"]).groupBy(*key, F.col("i").alias("pos"), "c").agg(F.sum(F.col("p") * F.col("k")).alias("v"))
+    v = values.select(*key, F.col("pos").alias("j"), "c", F.col("v").alias("x"))
+    out = p.join(v, [*key, "j"]).groupBy(*key, F.col("i").alias("pos"), "c").agg(F.sum(F.col("p") * F.col("x")).alias("v"))
     return out.drop("head")
 
 
@@ -124,6 +158,18 @@ def dropout(vox: Voxels, seed: int, rate: float) -> Voxels:
     return vox.values(F.when(kept, F.col("v") / F.lit(1 - rate)).otherwise(0.0))
 
 
+def spatial_dropout(vox: Voxels, seed: int, rate: float) -> Voxels:
+    """Channels of a sample dropped as a whole; those kept are scaled up."""
+    kept = uniform(seed, F.col("sample_id"), F.col("c")) < F.lit(1 - rate)
+    return vox.values(F.when(kept, F.col("v") / F.lit(1 - rate)).otherwise(0.0))
+
+
+def prelu(vox: Voxels, slopes: float | list[float]) -> Voxels:
+    """Values below 0 times a learned slope, one for all or one a channel."""
+    slope = F.lit(float(slopes)) if isinstance(slopes, (int, float)) else F.element_at(F.array(*[F.lit(float(x)) for x in slopes]), F.col("c") + 1)
+    return vox.values(F.when(F.col("v") >= 0, F.col("v")).otherwise(F.col("v") * slope))
+
+
 def class_target(scores: DataFrame, chosen: int | None = None) -> DataFrame:
     """(sample_id, target) of class scores (sample_id, c, v): the chosen class, or the highest score."""
     of = F.max("v") if chosen is None else F.max(F.when(F.col("c") == chosen, F.col("v")))

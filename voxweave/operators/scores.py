@@ -37,10 +37,11 @@ def probabilities(pairs: DataFrame, kind: str, from_logits: bool, keys: Sequence
     return shifted.withColumn("y_pred", F.col("e") / F.sum("e").over(voxel)).drop("e")
 
 
-def hard(pairs: DataFrame, kind: str, threshold: float = 0.5, keys: Sequence[str] = ("sample_id", "h", "w")) -> DataFrame:
-    """Logits to decisions: above the threshold, or the largest class (the first of equals)."""
+def hard(pairs: DataFrame, kind: str, threshold: float = 0.5, keys: Sequence[str] = ("sample_id", "h", "w"), from_logits: bool = True) -> DataFrame:
+    """Logits to decisions, or binary probabilities if not from_logits: above the threshold, or the largest class (the first of equals)."""
     if kind == "binary":
-        return pairs.withColumn("y_pred", (sigmoid(F.col("y_pred")) > threshold).cast("double"))
+        p = sigmoid(F.col("y_pred")) if from_logits else F.col("y_pred")
+        return pairs.withColumn("y_pred", (p > threshold).cast("double"))
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("y_pred"), "class"))
     return pairs.withColumn("y_pred", (best == 1).cast("double"))
 

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import attention as A
-from .operators import geometry
+from .operators import geometry, layers
 from .operators import tiles as T
 from .operators import windows
 from .plans import records as R
-from .queries import MC, V2, V3, _component_sql, _flat, _model, _NEW, _oblique, _starts, _u, _volumes, load, query
+from .queries import MC, V2, V3, _component_sql, _flat, _model, _NEW, _oblique, _starts, _u, _volumes, load, query, vox
 from .sources import tables, tfrecords
 from .streaming import metrics
 
@@ -328,3 +328,25 @@ n AS (SELECT *, CASE WHEN max(v) OVER q > 0 THEN v / max(v) OVER q ELSE v END AS
 SELECT sample_id, d, round(total, 6) + 0.0 AS total FROM s QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY total DESC, d) = 1""")(
     lambda s, d: windows.best_slices(windows.merged_maps(load(s, d, "3d"), windows.extract_patches(load(s, d, "3d"), {"d": 3, "h": 4, "w": 4}).withColumn("v", F.col("v") * (F.col("patch_id") + 1)), {"d": 3, "h": 4, "w": 4}, "constant"))
 )
+
+# ---- attention in windows, and small layers ----------------------------------------------------
+
+_PLACES = [[((r * 3 + k * 5) % 7 - 3) * 0.2 for k in range(2)] for r in range(9)]
+_rel = "(((i // 2 - j // 2 + 1) * 3 + i % 2 - j % 2 + 1) * 3 + hd * 5) % 7 * 0.2::DOUBLE - 0.6::DOUBLE"
+
+
+def _attention(vectors: str, scale: str, bias: str) -> str:
+    return f"""WITH {MC}, b AS (SELECT sample_id, (h // 2 * 2 + w // 2)::INT AS win, (h % 2 * 2 + w % 2)::INT AS pos, c, (c // 2)::INT AS hd, v FROM v), u AS ({vectors}),
+s AS (SELECT q.sample_id, q.win, q.hd, q.pos AS i, k.pos AS j, sum(q.v * k.v) AS s FROM u q JOIN u k ON q.sample_id = k.sample_id AND q.win = k.win AND q.c = k.c GROUP BY ALL),
+t AS (SELECT *, s * {scale} + {bias} AS t FROM s), e AS (SELECT *, exp(t - max(t) OVER (PARTITION BY sample_id, win, hd, i)) AS e FROM t), p AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id, win, hd, i) AS p FROM e)
+SELECT p.sample_id, p.win, p.i AS pos, k.c, round(sum(p * k.v), 6) + 0.0 AS v FROM p JOIN b k ON k.sample_id = p.sample_id AND k.win = p.win AND k.hd = p.hd AND k.pos = p.j GROUP BY ALL"""
+
+
+query("attention_bias", _attention("SELECT * FROM b", "0.5", _rel))(
+    lambda s, d: layers.window_attention(windows.window_partition(load(s, d, "mc"), h=2, w=2), 0.5, 2, bias=layers.relative_bias(s, (2, 2), _PLACES))
+)
+query("attention_cosine", _attention("SELECT sample_id, win, pos, c, hd, v / sqrt(greatest(sum(v * v) OVER (PARTITION BY sample_id, win, pos, hd), 1e-6::DOUBLE)) AS v FROM b", "CASE hd WHEN 0 THEN exp(1.5::DOUBLE) ELSE 100 END", f"16 / (1 + exp(-({_rel})))"))(
+    lambda s, d: layers.window_attention(windows.window_partition(load(s, d, "mc"), h=2, w=2), [1.5, 9.0], 2, bias=layers.relative_bias(s, (2, 2), _PLACES, True), cosine=True)
+)
+vox("prelu", "mc", lambda v: layers.prelu(v, [0.1, 0.2, 0.3, 0.4]), "CASE WHEN v >= 0 THEN v ELSE v * 0.1::DOUBLE * (c + 1) END")
+vox("spatial_dropout", "mc", lambda v: layers.spatial_dropout(v, 7, 0.25), f"CASE WHEN {_u('sample_id', 'c')} < 0.75 THEN v / 0.75 ELSE 0 END")
