@@ -108,6 +108,25 @@ def test_labelled_crops():
     assert K.label_aware_start(np.zeros((10, 10, 1)), (4, 4), 0, 0, 1, anywhere, lambda *p: 0.0) == [3, 3] and tried == [0]
 
 
+def test_crop_by_label(spark):
+    """Labels, references and sizes that leave nothing to choose from."""
+    image, label = np.arange(12.0).reshape(3, 4, 1), np.zeros((3, 4, 2))
+    label[2, 1, 1] = 1
+    row = (5, (list(image.shape), image.ravel().tolist()), (list(label.shape), label.ravel().tolist()))
+    df = spark.createDataFrame([row], f"sample_id long, image {STRUCT}, label {STRUCT}")
+    cut = lambda **how: R.Pipeline(R.RandomCropByLabel(("image", "label"), **how))(df).first()
+    assert cut(size=(1, 1), positive=1, negative=0).image.data == [9.0]
+    assert cut(size=(1, 1), positive=0, negative=1, reference="image", threshold=10.5).image.data == [11.0]
+    assert cut(size=(9, 2), positive=1, negative=0).image.shape == [3, 2, 1]
+    assert cut(size=(1, 1), positive=0, negative=1, reference="image", threshold=99).image.shape == [1, 1, 1]
+    p = R.Pipeline(R.RandomCropByLabel(("image", "label"), size=(2, 2), seed=4))
+    back = p.inverse(p(df)).first()
+    assert back.image.shape == [3, 4, 1] and back.trace == [] and sum(x != 0 for x in back.image.data) in (3, 4)
+    for bad in ({"positive": 0, "negative": 0}, {"positive": -1}):
+        with pytest.raises(ValueError):
+            R.RandomCropByLabel(("image", "label"), **bad)
+
+
 def test_foreground_bounds():
     mask = np.zeros((6, 7), bool)
     mask[2:4, 5] = True

@@ -293,6 +293,61 @@ class RandomSpatialCrop(Step):
             record.arrays[k] = _put(record.arrays[k], params["start"], shape)
 
 
+@dataclass
+class RandomCropByLabel(Step):
+    """Image and label (the two keys) cut around a place drawn from label > 0 with odds `positive`, or from label = 0 with `negative`.
+
+    Positive places are drawn among voxels and channels, negative ones among voxels with any channel of 0; with a `reference` these
+    must have a channel above `threshold` in it. Without any such place the center is anywhere. A size beyond the array gives
+    what there is.
+    """
+
+    size: Sequence[int] = ()
+    positive: float = 1.0
+    negative: float = 1.0
+    reference: str | None = None
+    threshold: float = 0.0
+
+    random, kernel = True, "SpatialCrop"
+
+    def __post_init__(self):
+        super().__post_init__()
+        if len(self.keys) != 2:
+            raise ValueError("an image and a label are needed")
+        if min(self.positive, self.negative) < 0 or self.positive + self.negative == 0:
+            raise ValueError("odds must not be negative, nor both 0")
+
+    def run(self, record, draw):
+        here = self.present(record)
+        if len(here) < 2:
+            return {"start": [], "size": [], "shapes": {}}
+        label = record.arrays[self.keys[1]]
+        shape = _spatial(record.arrays[self.keys[0]])
+        size = _per_axis(tuple(self.size), len(shape))
+        if draw("side") < self.positive / (self.positive + self.negative):
+            found, of = np.flatnonzero(label > 0), label.shape
+        else:
+            free = (label == 0).any(axis=-1)
+            if self.reference is not None:
+                if record.arrays.get(self.reference) is None:
+                    raise KeyError(f"{self.name}: no {self.reference}")
+                free &= record.arrays[self.reference].max(axis=-1) > self.threshold
+            found, of = np.flatnonzero(free), free.shape
+        if len(found):
+            center = [int(i) for i in np.unravel_index(found[int(draw("place") * len(found))], of)][: len(shape)]
+        else:
+            center = [int(draw("any", k) * n) for k, n in enumerate(shape)]
+        start, shapes = K.crop_starts(center, size, shape), {}
+        for k in here:
+            shapes[k] = list(_spatial(record.arrays[k]))
+            record.arrays[k] = _cut(record.arrays[k], start, size)
+        return {"start": start, "size": size, "shapes": shapes}
+
+    def back(self, record, params):
+        for k, shape in params["shapes"].items():
+            record.arrays[k] = _put(record.arrays[k], params["start"], shape)
+
+
 @dataclass
 class RandomRotate(Step):
     """Slices turned by an angle drawn from [-factor, factor): the first key linear with fill, others nearest with 0.

@@ -113,6 +113,14 @@ query("random_crop_inverse", f"WITH {V2}, {_LABELLED} SELECT v.sample_id, (h * 8
     lambda s, d: flat(_crop.inverse(_crop(recs(s, d, label=label(0.1)))), "label")
 )
 
+_side = f"{_u('vec_id', chr(39) + 'side' + chr(39))} < 0.6"
+query("random_crop_by_label", f"""WITH {V2}, e AS (SELECT vec_id AS sample_id, {_side} AS pos, {_u('vec_id', chr(39) + 'place' + chr(39))} AS u, {_u('vec_id', chr(39) + 'any' + chr(39), '0')} AS u0, {_u('vec_id', chr(39) + 'any' + chr(39), '1')} AS u1 FROM embeddings),
+f AS (SELECT v.sample_id, h, w, row_number() OVER (PARTITION BY v.sample_id ORDER BY h, w) - 1 AS r, count(*) OVER (PARTITION BY v.sample_id) AS n FROM v JOIN e USING (sample_id) WHERE CASE WHEN pos THEN v > 0.1 ELSE v <= 0.1 AND v > -0.05 END),
+c AS (SELECT e.sample_id, coalesce(f.h, floor(u0 * 8))::INT AS ch, coalesce(f.w, floor(u1 * 8))::INT AS cw FROM e LEFT JOIN f ON f.sample_id = e.sample_id AND f.r = floor(u * n)), b AS (SELECT *, {_start("ch", 3)} AS y, {_start("cw", 4)} AS x FROM c)
+SELECT v.sample_id, ((h - y) * 4 + w - x)::INT AS i, round(v, 6) + 0.0 AS v FROM v JOIN b USING (sample_id) WHERE h >= y AND h < y + 3 AND w >= x AND w < x + 4""")(
+    lambda s, d: flat(R.Pipeline(R.RandomCropByLabel(("image", "label"), seed=7, size=(3, 4), positive=3, negative=2, reference="image", threshold=-0.05))(recs(s, d, label=label(0.1))))
+)
+
 _MASK = "m AS (SELECT sample_id, h, w FROM v WHERE c IN (1, 3) AND v > 0.15)"
 _OPTIONS = f"""{_MASK}, b AS (SELECT vec_id AS sample_id, least(greatest(coalesce(min(h), 0) - 1, 0), 3) AS y, greatest(least(coalesce(max(h) + 1, 4) + 1, 4), 1) AS y1, coalesce(min(w), 0) AS x, coalesce(max(w) + 1, 4) AS x1 FROM embeddings LEFT JOIN m ON sample_id = vec_id GROUP BY 1),
 k AS (SELECT sample_id, y, least(y1 + (y1 - y) % 2, 4) AS y1, x, least(x1 + (3 - (x1 - x) % 3) % 3, 4) AS x1 FROM b)"""
