@@ -94,6 +94,24 @@ def test_families_of_edits(spark, words):
     assert got == brute(rows, 4) and 1 < len({c for _, _, c, _ in got}) < len(rows)
 
 
+def test_no_pair_is_asked_twice(spark, words, monkeypatch):
+    """Edits of an absent original: alike, but mostly not linked, so that rounds go to their end."""
+    rng, n, asked = random.Random(8), 120, []
+    origin = [rng.choice(words) for _ in range(60)]
+    rows = [(i, " ".join(changed(origin, rng, words, 2))) for i in range(n)]
+
+    def unasked(pairs, before):
+        new = plain(pairs, before)
+        asked.extend((min(r), max(r)) for r in new.collect())
+        return new
+
+    plain = minhash._unasked
+    monkeypatch.setattr(minhash, "_unasked", unasked)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert results(near_duplicates(df, width=4)) == brute(rows, 4)
+    assert asked and len(set(asked)) == len(asked) <= n * (n - 1) // 2
+
+
 @pytest.mark.parametrize("width", [4, 5])
 def test_query(spark, sf, width):
     """The whole given table, as the query and the pipeline's stage take it."""

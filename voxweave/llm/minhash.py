@@ -18,7 +18,7 @@
    threshold. Their classes are posted again, under the rarest shingles of their full sets and by
    set size (see `_full_posts`): this is exact, and leaves out classes that can't reach the
    threshold with anybody. Rounds go on over these lists, with GROWTH times as many leaders in each,
-   until none is open. So every pair is linked through others, or compared, or excluded by a bound.
+   until none is open. So every pair is linked through others, or compared once, or excluded by a bound.
 
 A pair at the threshold of 0.8 agrees in fewer than MATCHES coordinates with
 probability 8e-7 (binomial with 48 coordinates, taking their hashes as independent); nothing
@@ -209,12 +209,24 @@ def _led(lists: DataFrame, leaders: int, turn: int) -> tuple[DataFrame, DataFram
         lead_larger = F.col("lead_size") >= F.col("size")
         fits &= F.when(F.col("lead_small"), ~F.col("small") & (F.col("size") >= F.col("lead_size"))).otherwise(F.col("small") & lead_larger)
         fits &= (F.col("size") <= F.col("lead_most")) & (F.col("lead_size") <= F.col("most"))
-    pairs = lists.join(best, "list").where(fits).select(F.col("lead_node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = lists.join(best, "list").where(fits).select(F.col("lead_node").alias("a"), F.col("node").alias("b"))
     role = [lists["node"] == best["lead_node"]] + ([lists["small"] == best["lead_small"]] if "small" in rest else [])
     left = lists.join(best, [lists["list"] == best["list"], *role], "left_anti")
     return pairs, left
 
 
+def _unasked(pairs: DataFrame, asked: list[DataFrame]) -> DataFrame:
+    """Pairs (a, b), each once in either order, but for those of `asked`; noted there for later rounds.
+
+    The table is as large as what is compared in a round, which it precedes.
+    """
+    new = pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).dropDuplicates(["lo", "hi"])
+    for before in asked:
+        new = new.join(before.select("lo", "hi"), ["lo", "hi"], "left_anti")
+    asked.append(as_table(new, "minhash-pairs"))
+    return asked[-1].select("a", "b")
+
+
 def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough and whose sizes allow the threshold."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
@@ -270,13 +282,16 @@ def members(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Data
         b = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return near.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, threshold), "a long, b long")
 
-    labels, turn = contract(None, confirmed(first)), 0
+    asked: list[DataFrame] = []
+    labels, turn = contract(None, confirmed(_unasked(first, asked))), 0
 
     def settled(lists: DataFrame, leaders: int) -> DataFrame:
         """What is still open of the lists after one round."""
         nonlocal labels, turn
         pairs, lists = _led(lists, leaders, turn)
-        labels, turn = contract(labels, confirmed(pairs)), turn + 1
+        pairs, turn = _unasked(pairs, asked), turn + 1
+        if not pairs.isEmpty():
+            labels = contract(labels, confirmed(pairs))
         return _open(lists.drop("label"), labels)
 
     lists = settled(_open(lists, labels), LEADERS)
