@@ -73,7 +73,7 @@ def fill_empty(vox: Voxels, fill: float = 0.0) -> Voxels:
 def normalize_packed(packed: DataFrame, nonzero: bool = False, channel_wise: bool = False) -> DataFrame:
     """`normalize` on packed rows (sample_id, shape, data): worked out within each row, nothing is shuffled.
 
-    Arrays may differ in shape. Without a value that counts, or a null array, a row stays as it is.
+    Arrays may differ in shape. Without a value that counts, or a null array, a row stays as it is. Other columns are kept.
     """
     channels = F.element_at("shape", -1) if channel_wise else F.lit(1)
     counts = lambda x: (x != 0) if nonzero else F.lit(True)
@@ -89,11 +89,11 @@ def normalize_packed(packed: DataFrame, nonzero: bool = False, channel_wise: boo
         both = lambda a: bound(F.struct(a.alias("own"), mean(a).alias("mean")), lambda s: F.struct(s["mean"].alias("mean"), spread(s).alias("deviation")))
         return bound(own, lambda a: F.when(F.size(a) > 0, both(a)))
 
-    rows = packed.select("sample_id", "shape", "data", F.transform(F.sequence(F.lit(0), channels - 1), stats).alias("stats"))
+    rows = packed.withColumn("_stats", F.transform(F.sequence(F.lit(0), channels - 1), stats))
 
     def value(x: Column, i: Column) -> Column:
-        s = F.element_at("stats", (F.pmod(i, channels) + 1).cast("int"))
+        s = F.element_at("_stats", (F.pmod(i, channels) + 1).cast("int"))
         scaled = (x - s["mean"]) / F.when(s["deviation"] == 0, 1.0).otherwise(s["deviation"])
         return F.when(counts(x), F.coalesce(scaled, x)).otherwise(x)
 
-    return rows.select("sample_id", "shape", F.transform("data", value).alias("data"))
+    return rows.withColumn("data", F.transform("data", value)).drop("_stats")

@@ -7,12 +7,14 @@ number of them, must fit. Null arrays stay null.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .scores import class_ids
+
 #: Bytes of results that a task holds before it gives them back.
 HELD = 64 << 20
 PACKED = "sample_id long, shape array<int>, data array<double>"
@@ -109,3 +111,63 @@ def _skeleton(x: np.ndarray, iterations: int) -> np.ndarray:
 def skeleton(packed: DataFrame, iterations: int = 50) -> DataFrame:
     """Soft skeleton: what opening removes, gathered over successive erosions."""
     return each_array(packed, lambda x: _skeleton(x, iterations))
+
+
+def _overlaps(true: np.ndarray, pred: np.ndarray, iterations: int, smooth: float) -> np.ndarray:
+    """Centerline loss of each channel: how much of each skeleton lies in the other array."""
+    space = tuple(range(3))
+    thin_true, thin_pred = _skeleton(true, iterations), _skeleton(pred, iterations)
+    precision = ((thin_pred * true).sum(space) + smooth) / (thin_pred.sum(space) + smooth)
+    recall = ((thin_true * pred).sum(space) + smooth) / (thin_true.sum(space) + smooth)
+    return 1 - 2 * precision * recall / (precision + recall + smooth)
+
+
+def _readied(kind: str, true: np.ndarray, pred: np.ndarray, classes: list[int], from_logits: bool, ignored: Sequence[int], smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """Truth and probabilities of the classes, 0 where the true class is ignored."""
+    valid = ~np.isin(true, list(ignored)) if kind != "categorical" else np.array(1.0)
+    if kind == "sparse":
+        true = (true.astype(int) == np.arange(pred.shape[-1])).astype(float)
+    if from_logits and kind == "binary":
+        pred = 1 / (1 + np.exp(-pred))
+    elif from_logits:
+        e = np.exp(pred - pred.max(-1, keepdims=True))
+        pred = e / e.sum(-1, keepdims=True)
+    return (true * valid)[..., classes], (np.clip(pred, smooth, 1 - smooth) * valid)[..., classes]
+
+
+def centerline_loss(
+    pairs: DataFrame, kind: str = "binary", classes: int = 1, iterations: int = 50, from_logits: bool = False,
+    targets: int | Sequence[int] | None = None, ignored: Sequence[int] = (), smooth: float = 1e-7,
+) -> DataFrame:
+    """(sample_id, class, loss) from packed rows (sample_id, shape, y_true, y_pred), worked out within each row.
+
+    shape is y_pred's: (d, h, w, classes). kind says what y_true holds: `binary` (one class, 0 or 1), `categorical`
+    (as y_pred, one-hot) or `sparse` (a class id a place; one that is no class counts for none). Places whose true class is ignored are
+    0 in both before thinning; one-hot truth has no ids to ignore. A row with a null array has null losses;
+    rows may differ in shape, and repeated ids are judged row by row.
+    """
+    if kind not in ("binary", "categorical", "sparse"):
+        raise ValueError(f"no such kind: {kind}")
+    if kind == "binary" and classes != 1:
+        raise ValueError("binary truth has one class")
+    if kind == "categorical" and ignored:
+        raise ValueError("one-hot truth has no ids to ignore")
+    chosen = class_ids(targets, classes)
+
+    def losses(shape: Sequence[int] | None, true: np.ndarray | None, pred: np.ndarray | None) -> np.ndarray:
+        if shape is None or true is None or pred is None:
+            return np.full(len(chosen), None)
+        shape = tuple(shape)
+        if shape[-1] != classes:
+            raise ValueError(f"{shape[-1]} channels for {classes} classes")
+        of = shape if kind == "categorical" else (*shape[:-1], 1)
+        ready = _readied(kind, np.asarray(true, float).reshape(of), np.asarray(pred, float).reshape(shape), chosen, from_logits, ignored, smooth)
+        return _overlaps(*ready, iterations, smooth)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [losses(*row) for row in zip(batch["shape"], batch["y_true"], batch["y_pred"])]
+            if found:
+                yield pd.DataFrame({"sample_id": batch["sample_id"].repeat(len(chosen)), "class": chosen * len(found), "loss": np.concatenate(found)})
+
+    return pairs.select("sample_id", "shape", "y_true", "y_pred").mapInPandas(run, "sample_id long, class int, loss double")

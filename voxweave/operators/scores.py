@@ -163,7 +163,7 @@ def centerline_dice_loss(scores: DataFrame, smooth: float = 1e-7) -> DataFrame:
         F.sum(F.col("s_pred") * F.col("y_true")).alias("pt"), F.sum("s_pred").alias("sp"), F.sum(F.col("s_true") * F.col("y_pred")).alias("tp"), F.sum("s_true").alias("st")
     )
     precision, recall = (F.col("pt") + smooth) / (F.col("sp") + smooth), (F.col("tp") + smooth) / (F.col("st") + smooth)
-    return sums.select("sample_id", "class", (1 - 2 * precision * recall / (precision + recall)).alias("loss"))
+    return sums.select("sample_id", "class", (1 - 2 * precision * recall / (precision + recall + smooth)).alias("loss"))
 
 
 def best_scores(scores: DataFrame, interval: int = 5) -> DataFrame:

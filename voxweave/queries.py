@@ -6,7 +6,7 @@ four channels (MC).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +32,12 @@ def load(spark: SparkSession, sf_dir: str, base: str = "2d") -> Voxels:
     return unpack(rows, BASES[base][0], "vec_id", "embedding")
 
 
-def pack_rows(spark: SparkSession, sf_dir: str, base: str = "2d") -> DataFrame:
-    """The same arrays as `load`, still packed."""
+def pack_rows(spark: SparkSession, sf_dir: str, base: str = "2d", more: Sequence[Column] = ()) -> DataFrame:
+    """The same arrays as `load`, still packed, and further columns of the table."""
     shape = BASES[base][0]
     full = (1, *shape, 1) if len(shape) == 2 else shape
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    return rows.select(F.col("vec_id").alias("sample_id"), F.array(*map(F.lit, full)).alias("shape"), F.col("embedding").cast("array<double>").alias("data"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("sample_id"), F.array(*map(F.lit, full)).alias("shape"), F.col("embedding").cast("array<double>").alias("data"), *more)
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def _cldice_sql(iterations: int) -> str:
     true, pred = "(v > 0)::INT::DOUBLE", "1 / (1 + exp(-4 * v))"
     return f"""WITH RECURSIVE {V2}, {_skeleton_sql(iterations, true, 'kt')}, {_skeleton_sql(iterations, pred, 'kp')},
 s AS (SELECT v.sample_id, sum(kp.skel * {true}) AS pt, sum(kp.skel) AS sp, sum(kt.skel * {pred}) AS tp, sum(kt.skel) AS st FROM v JOIN kt USING (sample_id, h, w) JOIN kp USING (sample_id, h, w) GROUP BY 1),
-r AS (SELECT sample_id, (pt + 1e-7) / (sp + 1e-7) AS p, (tp + 1e-7) / (st + 1e-7) AS r FROM s) SELECT sample_id, 0 AS class, round(1 - 2 * p * r / (p + r), 6) + 0.0 AS loss FROM r"""
+r AS (SELECT sample_id, (pt + 1e-7) / (sp + 1e-7) AS p, (tp + 1e-7) / (st + 1e-7) AS r FROM s) SELECT sample_id, 0 AS class, round(1 - 2 * p * r / (p + r + 1e-7), 6) + 0.0 AS loss FROM r"""
 
 
 def _cldice(s: SparkSession, d: str, thinned: Callable[[Voxels], Voxels]) -> DataFrame:
@@ -489,12 +489,12 @@ query("sparse_grid_fill", "SELECT k::INT AS l_linenumber, (SELECT count(DISTINCT
 s AS (SELECT label AS class, (v > 0)::INT AS t, (1 / (1 + exp(-z)) > 0.5)::INT AS p FROM n) SELECT class, round((2 * sum(t * p) + 1e-6) / (sum(t + p) + 1e-6), 6) + 0.0 AS dice FROM s GROUP BY 1""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised images: Dice of their sign against the raw values' sign, by label."""
-    images = load(spark, sf_dir)
-    truth = images.df.select("sample_id", "h", "w", (F.col("v") > 0).cast("double").alias("y_true"))
-    shown = intensity.normalize(images).df.select("sample_id", "h", "w", (scalars.sigmoid(F.col("v")) > 0.5).cast("double").alias("y_pred"))
-    labels = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("sample_id"), F.col("label").alias("class"))
-    state = truth.join(shown, ["sample_id", "h", "w"]).join(labels, "sample_id").groupBy("class").agg(
-        F.sum(F.col("y_true") * F.col("y_pred")).alias("intersection"), F.sum(F.col("y_true") + F.col("y_pred")).alias("total"), F.count(F.lit(1)).alias("valid")
+    packed = pack_rows(spark, sf_dir, more=[F.col("embedding").cast("array<double>").alias("raw"), F.col("label").alias("class")])
+    one = lambda x: F.when(x, 1.0).otherwise(0.0)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    shown = intensity.normalize_packed(packed).select("class", F.transform("raw", lambda x: one(x > 0)).alias("t"), F.transform("data", lambda x: one(scalars.sigmoid(x) > 0.5)).alias("p"))
+    state = shown.groupBy("class").agg(
+        F.sum(add(F.zip_with("t", "p", lambda t, p: t * p))).alias("intersection"), F.sum(add("t") + add("p")).alias("total"), F.sum(F.size("t")).alias("valid")
     )
     return scores.dice_by_class(state)
 

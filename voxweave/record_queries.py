@@ -6,12 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars
 from .operators import attention as A
-from .operators import geometry, layers
+from .operators import geometry, layers, regions
 from .operators import tiles as T
 from .operators import windows
 from .plans import records as R
-from .queries import MC, V2, V3, _component_sql, _flat, _model, _NEW, _oblique, _starts, _u, _volumes, load, query, vox
+from .queries import MC, V2, V3, _component_sql, _flat, _skeleton_sql, _model, _NEW, _oblique, _starts, _u, _volumes, load, query, vox
 from .sources import tables, tfrecords
 from .streaming import metrics
 
@@ -358,3 +359,31 @@ query("attention_cosine", _attention("SELECT sample_id, win, pos, c, hd, v / sqr
 )
 vox("prelu", "mc", lambda v: layers.prelu(v, [0.1, 0.2, 0.3, 0.4]), "CASE WHEN v >= 0 THEN v ELSE v * 0.1::DOUBLE * (c + 1) END")
 vox("spatial_dropout", "mc", lambda v: layers.spatial_dropout(v, 7, 0.25), f"CASE WHEN {_u('sample_id', 'c')} < 0.75 THEN v / 0.75 ELSE 0 END")
+
+# ---- centerline losses of several classes -------------------------------------------------------
+
+
+def _centerline(truth: str, pred: str, keep: str, classes: str) -> str:
+    """Each (sample, class) is an array of its own to the skeleton's CTEs."""
+    return f"""WITH RECURSIVE {MC.replace("v AS", "b AS", 1)}, o AS (SELECT *, (({truth}) % 4)::INT AS k, {pred} AS q FROM b),
+v AS (SELECT sample_id * 4 + c AS sample_id, h, w, ({keep})::INT * (k = c)::INT::DOUBLE AS yt, ({keep})::INT * least(greatest(q, 1e-7), 1 - 1e-7) AS yp FROM o WHERE c IN {classes}),
+{_skeleton_sql(50, "yt", "kt")}, {_skeleton_sql(50, "yp", "kp")},
+s AS (SELECT v.sample_id, sum(kp.skel * yt) AS pt, sum(kp.skel) AS sp, sum(kt.skel * yp) AS tp, sum(kt.skel) AS st FROM v JOIN kt USING (sample_id, h, w) JOIN kp USING (sample_id, h, w) GROUP BY 1),
+r AS (SELECT sample_id, (pt + 1e-7) / (sp + 1e-7) AS p, (tp + 1e-7) / (st + 1e-7) AS r FROM s)
+SELECT sample_id // 4 AS sample_id, (sample_id % 4)::INT AS class, round(1 - 2 * p * r / (p + r + 1e-7), 6) + 0.0 AS loss FROM r"""
+
+
+def _class_rows(s: SparkSession, d: str, of: Column, sparse: bool, pred: Column) -> DataFrame:
+    """4x4 places with four channels; `of` is the place's class, by its index i."""
+    truth = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.pmod(of + F.floor(i / 4) * 3 + F.floor(i % 4 / 2), F.lit(4)).cast("double"))
+    hot = F.flatten(F.transform(truth, lambda k: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: (k == c).cast("double"))))
+    rows = s.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("sample_id"), F.array(*map(F.lit, (1, 4, 4, 4))).alias("shape"), (truth if sparse else hot).alias("y_true"), pred.alias("y_pred"))
+
+
+query("loss_centerline_sparse", _centerline("sample_id + h * 3 + w // 2", "exp(4 * v) / sum(exp(4 * v)) OVER (PARTITION BY sample_id, h, w)", "k <> 3", "(0, 1, 2)"))(
+    lambda s, d: regions.centerline_loss(_class_rows(s, d, F.col("vec_id"), True, F.transform("embedding", lambda x: x.cast("double") * 4)), "sparse", 4, from_logits=True, targets=[0, 1, 2], ignored=[3])
+)
+query("loss_centerline_categorical", _centerline("sample_id * 2 + h * 3 + w // 2", "1 / (1 + exp(-4 * v))", "true", "(1, 3)"))(
+    lambda s, d: regions.centerline_loss(_class_rows(s, d, F.col("vec_id") * 2, False, F.transform("embedding", lambda x: scalars.sigmoid(x.cast("double") * 4))), "categorical", 4, targets=[1, 3])
+)
