@@ -64,23 +64,25 @@ def crop_around(vox: Voxels, centers: DataFrame, **size: int) -> DataFrame:
         rows = rows.where((F.col(a) >= F.col(f"start_{a}")) & (F.col(a) < F.col(f"start_{a}") + n)).withColumn(a, F.col(a) - F.col(f"start_{a}"))
     return rows.select("sample_id", "draw", *AXES, "v")
 
-def noise(vox: Voxels, seed: int, deviation: float) -> Voxels:
-    """Normal noise for every voxel, stretched to the range of its sample."""
+def _noised(vox: Voxels, seed: int, deviation: float) -> DataFrame:
+    """The voxels with x: normal noise, stretched to the range of the sample; only the ranges are joined."""
     at = [F.col(a) for a in ("sample_id", *AXES)]
     first, second = uniform(seed, F.lit("r"), *at), uniform(seed, F.lit("a"), *at)
     normal = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - first)) * F.cos(F.lit(2 * math.pi) * second) * F.lit(float(deviation))
     drawn = vox.df.withColumn("z", normal)
     spans = drawn.groupBy("sample_id").agg(*[f(c).alias(f"{n}_{c}") for c in ("v", "z") for n, f in (("low", F.min), ("high", F.max))])
     scaled = (F.col("high_v") - F.col("low_v")) * (F.col("z") - F.col("low_z")) / (F.col("high_z") - F.col("low_z") + F.lit(1e-8)) + F.col("low_v")
-    return vox.mapped(drawn.join(spans, "sample_id").withColumn("v", scaled))
+    return drawn.join(spans, "sample_id").withColumn("x", scaled)
+
+
+def noise(vox: Voxels, seed: int, deviation: float) -> Voxels:
+    """Normal noise for every voxel, stretched to the range of its sample."""
+    return vox.mapped(_noised(vox, seed, deviation).withColumn("v", F.col("x")))
+
 
 def random_cutout(vox: Voxels, seed: int, size: dict[str, int], cuts: int, prob: float = 0.5, fill: float = 0.0, by_slice: bool = False, deviation: float | None = None) -> Voxels:
     """Boxes around random centers, set to fill, or to noise of a standard deviation; by_slice draws centers for each depth."""
-    if deviation is not None:
-        filled = noise(vox, seed, deviation).df.withColumnRenamed("v", "x")
-        both = vox.df.join(filled, ["sample_id", *AXES])
-        cut = random_cutout(vox.mapped(vox.df.withColumn("v", F.lit(0.0))), seed, size, cuts, prob, 1.0, by_slice).df.withColumnRenamed("v", "cut")
-        return vox.mapped(both.join(cut, ["sample_id", *AXES]).withColumn("v", F.when(F.col("cut") > 0, F.col("x")).otherwise(F.col("v"))))
+    rows = vox.df.withColumn("x", F.lit(float(fill))) if deviation is None else _noised(vox, seed, deviation)
     where = [F.col("d")] if by_slice else []
     hit, cut = _hit(seed, 0, prob), F.lit(False)
     for k in range(cuts):
@@ -89,7 +91,7 @@ def random_cutout(vox: Voxels, seed: int, size: dict[str, int], cuts: int, prob:
             center = F.floor(uniform(seed, F.col("sample_id"), 1 + k * len(size) + j, *where) * vox.size(a))
             inside = inside & (F.col(a) >= center - n // 2) & (F.col(a) < center - n // 2 + n)
         cut = cut | inside
-    return vox.values(F.when(hit & cut, F.lit(float(fill))).otherwise(F.col("v")))
+    return vox.mapped(rows.withColumn("v", F.when(hit & cut, F.col("x")).otherwise(F.col("v"))))
 
 def random_choice(ids: DataFrame, seed: int, weights: list[float], choose: int) -> DataFrame:
     """(sample_id, place, choice): `choose` of the weighted choices, without replacement, in drawn order."""

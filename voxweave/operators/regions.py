@@ -102,7 +102,9 @@ def _opened(x: np.ndarray) -> np.ndarray:
 def _skeleton(x: np.ndarray, iterations: int) -> np.ndarray:
     skeleton = np.maximum(x - _opened(x), 0)
     for _ in range(iterations):
-        x = _eroded(x)
+        before, x = x, _eroded(x)
+        if (x == before).all():
+            break  # each channel is constant: no later step adds anything
         lost = np.maximum(x - _opened(x), 0)
         skeleton = skeleton + np.maximum(lost - skeleton * lost, 0)
     return skeleton

@@ -377,7 +377,9 @@ def _cldice(s: SparkSession, d: str, thinned: Callable[[Voxels], Voxels]) -> Dat
 
 
 query("loss_centerline_dice", _cldice_sql(1))(lambda s, d: _cldice(s, d, lambda v: morphology.skeleton(v, 1)))
-query("loss_centerline_dice_50it", _cldice_sql(50))(lambda s, d: _cldice(s, d, lambda v: unpack(regions.skeleton(pack(v)), (8, 8))))
+query("loss_centerline_dice_50it", _cldice_sql(50))(
+    lambda s, d: regions.centerline_loss(pack_rows(s, d).select("*", F.transform("data", lambda x: (x > 0).cast("double")).alias("y_true"), F.transform("data", lambda x: scalars.sigmoid(x * 4)).alias("y_pred")))
+)
 query("label_dice", """WITH s AS (SELECT lang AS class, toxic::DOUBLE AS t, (n_chars > 1500)::INT::DOUBLE AS p FROM labels JOIN documents USING (doc_id))
 SELECT class, round((2 * sum(t * p) + 1e-6) / (sum(t + p) + 1e-6), 6) + 0.0 AS dice FROM s GROUP BY 1""")(
     lambda s, d: scores.dice_by_class(
