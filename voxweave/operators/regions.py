@@ -11,7 +11,9 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .scores import class_ids
 
@@ -20,20 +22,28 @@ HELD = 64 << 20
 PACKED = "sample_id long, shape array<int>, data array<double>"
 
 
-def each_array(packed: DataFrame, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """fn on every array, of the same shape before and after."""
+def each_array(packed: DataFrame, fn: Callable[..., np.ndarray], with_id: bool = False) -> DataFrame:
+    """fn on every array, and its sample_id if asked for; what it gives may have another shape."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            first, held, new = 0, 0, []
-            for row, (shape, data) in enumerate(zip(batch["shape"], batch["data"])):
-                new.append(None if data is None or shape is None else fn(np.asarray(data, float).reshape(shape)).astype(float).ravel())
-                held += 0 if new[-1] is None else new[-1].nbytes
-                if held >= HELD or row + 1 == len(batch):
-                    yield batch.iloc[first : row + 1].assign(data=new)
-                    first, held, new = row + 1, 0, []
+    schema = pa.schema([("sample_id", pa.int64()), ("shape", pa.list_(pa.int32())), ("data", pa.list_(pa.float64()))])
 
-    return packed.select("sample_id", "shape", "data").mapInPandas(run, PACKED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, held, new, shapes = 0, 0, [], []
+            for row, (sample, shape, data) in enumerate(zip(*batch.columns)):
+                shapes.append(shape.as_py())
+                new.append(None)
+                if shape.is_valid and data.is_valid:
+                    x = data.values.to_numpy(zero_copy_only=False).astype(float).reshape(shapes[-1])
+                    y = fn(x, sample.as_py()) if with_id else fn(x)
+                    shapes[-1], new[-1] = list(y.shape), y.astype(float).ravel()
+                    held += new[-1].nbytes
+                if held >= HELD or row + 1 == batch.num_rows:
+                    ids = batch.column(0).slice(first, row + 1 - first)
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(shapes, schema.field(1).type), pa.array(new, schema.field(2).type)], schema=schema)
+                    first, held, new, shapes = row + 1, 0, [], []
+
+    return packed.select(F.col("sample_id").cast("long"), "shape", F.col("data").cast("array<double>")).mapInArrow(run, PACKED)
 
 
 def _shifts(x: np.ndarray, axes: tuple[int, ...], edge: float) -> Iterator[np.ndarray]:
@@ -92,13 +102,16 @@ def _eroded(x: np.ndarray) -> np.ndarray:
     return np.minimum.reduce([_along(x, a, np.minimum, np.inf) for a in _space(x)])
 
 
-def _opened(x: np.ndarray) -> np.ndarray:
-    x = _eroded(x)
+def _dilated(x: np.ndarray) -> np.ndarray:
     for a in _space(x):
         x = _along(x, a, np.maximum, -np.inf)
     return x
 
 
+def _opened(x: np.ndarray) -> np.ndarray:
+    return _dilated(_eroded(x))
+
+
 def _skeleton(x: np.ndarray, iterations: int) -> np.ndarray:
     skeleton = np.maximum(x - _opened(x), 0)
     for _ in range(iterations):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import augment, geometry, intensity, layers, morphology, regions, scores, spatial, windows
+from .operators import augment, geometry, intensity, layers, morphology, packed, regions, scores, spatial, windows
 from .plans import catalog, transforms
 from .sources.readers import batched
 from .voxels import Voxels, pack, rounded, unpack
@@ -61,6 +61,12 @@ def vox(name: str, base: str, fn: Callable[[Voxels], Voxels], value: str | None
     query(name, sql)(lambda spark, sf_dir: fn(load(spark, sf_dir, base)).df)
 
 
+def packed_vox(name: str, base: str, fn: Callable[[DataFrame], DataFrame], value: str, ctes: str = "", source: str = "v", idx: str = IDX, shape: tuple[int, ...] | None = None) -> None:
+    """The same for packed arrays, each worked out within its row; results are of the base's shape unless given."""
+    vox(name, base, lambda v: v, value, ctes, source, idx)
+    query(name, ORACLES[name])(lambda spark, sf_dir: unpack(fn(pack_rows(spark, sf_dir, base)), shape or BASES[base][0]).df)
+
+
 # ---- layouts and intensity ----------------------------------------------------------------------
 
 vox("voxel_explode", "2d", lambda v: v, "v")
@@ -74,10 +80,10 @@ vox("scale_inverse", "2d", lambda v: intensity.unscale_range(intensity.scale_ran
 vox("shift", "2d", lambda v: intensity.shift(v, 0.25), "v + 0.25")
 vox("shift_channel", "mc", lambda v: intensity.shift(v, [1, 2, 3, 4]), "v + c + 1")
 _norm = "coalesce((v - avg({x}) OVER p) / CASE WHEN stddev_pop({x}) OVER p = 0 THEN 1 ELSE stddev_pop({x}) OVER p END, v)"
-vox("normalize_global", "2d", intensity.normalize, _norm.format(x="v"), source="v WINDOW p AS (PARTITION BY sample_id)")
-vox("normalize_channel", "mc", lambda v: intensity.normalize(v, channel_wise=True), _norm.format(x="v"), source="v WINDOW p AS (PARTITION BY sample_id, c)")
-vox(
-    "normalize_nonzero", "2d", lambda v: intensity.normalize(v.values(F.greatest(F.col("v"), F.lit(0.0))), nonzero=True),
+packed_vox("normalize_global", "2d", intensity.normalize_packed, _norm.format(x="v"), source="v WINDOW p AS (PARTITION BY sample_id)")
+packed_vox("normalize_channel", "mc", lambda p: intensity.normalize_packed(p, channel_wise=True), _norm.format(x="v"), source="v WINDOW p AS (PARTITION BY sample_id, c)")
+packed_vox(
+    "normalize_nonzero", "2d", lambda p: intensity.normalize_packed(p.withColumn("data", F.transform("data", lambda x: F.greatest(x, F.lit(0.0)))), nonzero=True),
     "CASE WHEN x = 0 THEN x ELSE " + _norm.format(x="nullif(x, 0)").replace("(v -", "(x -").replace(", v)", ", x)") + " END",
     "z AS (SELECT *, greatest(v, 0) AS x FROM v)", "z WINDOW p AS (PARTITION BY sample_id)",
 )
@@ -134,11 +140,11 @@ _place = ", ".join(f"{_OBLIQUE[r * 4]}::DOUBLE * d + {_OBLIQUE[r * 4 + 1]}::DOUB
 query("affine_trilinear", f"""WITH {V3}, g AS (SELECT vec_id AS sample_id, d::INT AS d, h::INT AS h, w::INT AS w, {_place} FROM embeddings, range(5) a(d), range(4) b(h), range(3) e(w)),
 k AS (SELECT *, (floor(x) + i)::INT AS fx, (floor(y) + j)::INT AS fy, (floor(z) + l)::INT AS fz, CASE i WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END * CASE j WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END * CASE l WHEN 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END AS t FROM g, range(2) a(i), range(2) b(j), range(2) e(l))
 SELECT k.sample_id, k.d, k.h, k.w, 0 AS c, round(sum(t * coalesce(v.v, -2)), 6) + 0.0 AS v FROM k LEFT JOIN v ON v.sample_id = k.sample_id AND v.d = fx AND v.h = fy AND v.w = fz GROUP BY ALL""")(
-    lambda s, d: spatial.affine_resample(load(s, d, "3d"), _OBLIQUE, (5, 4, 3), "linear", -2.0).df
+    lambda s, d: unpack(packed.affine_resample(pack_rows(s, d, "3d"), _OBLIQUE, (5, 4, 3), "linear", -2.0), (5, 4, 3, 1)).df
 )
 query("affine_nearest", f"""WITH {V3}, g AS (SELECT vec_id AS sample_id, d::INT AS d, h::INT AS h, w::INT AS w, {_place} FROM embeddings, range(5) a(d), range(4) b(h), range(3) e(w))
 SELECT g.sample_id, g.d, g.h, g.w, 0 AS c, round(coalesce(v.v, -2), 6) + 0.0 AS v FROM g LEFT JOIN v ON v.sample_id = g.sample_id AND v.d = round_even(x, 0) AND v.h = round_even(y, 0) AND v.w = round_even(z, 0)""")(
-    lambda s, d: spatial.affine_resample(load(s, d, "3d"), _OBLIQUE, (5, 4, 3), "nearest", -2.0).df
+    lambda s, d: unpack(packed.affine_resample(pack_rows(s, d, "3d"), _OBLIQUE, (5, 4, 3), "nearest", -2.0), (5, 4, 3, 1)).df
 )
 
 
@@ -258,9 +264,9 @@ vox("patch_merging", "2d", windows.patch_merging, "v", idx="sample_id, d, (h //
 
 _m3 = "{f}({x}) OVER (PARTITION BY sample_id, {o} ORDER BY {a} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
 _er = "least(" + _m3.format(f="min", x="v", o="w", a="h") + ", " + _m3.format(f="min", x="v", o="h", a="w") + ")"
-vox("erode", "2d", morphology.erode, _er)
-vox("dilate", "2d", morphology.dilate, _m3.format(f="max", x="x", o="h", a="w"), f"y AS (SELECT *, {_m3.format(f='max', x='v', o='w', a='h')} AS x FROM v)", "y")
-vox("open", "2d", morphology.opened, _m3.format(f="max", x="x", o="h", a="w"), f"e AS (SELECT {IDX}, {_er} AS v FROM v), y AS (SELECT *, {_m3.format(f='max', x='v', o='w', a='h')} AS x FROM e)", "y")
+packed_vox("erode", "2d", packed.erode, _er)
+packed_vox("dilate", "2d", packed.dilate, _m3.format(f="max", x="x", o="h", a="w"), f"y AS (SELECT *, {_m3.format(f='max', x='v', o='w', a='h')} AS x FROM v)", "y")
+packed_vox("open", "2d", packed.opened, _m3.format(f="max", x="x", o="h", a="w"), f"e AS (SELECT {IDX}, {_er} AS v FROM v), y AS (SELECT *, {_m3.format(f='max', x='v', o='w', a='h')} AS x FROM e)", "y")
 def _skeleton_sql(iterations: int, value: str = "v", name: str = "k") -> str:
     """CTEs up to <name>: the soft skeleton of `value`, one recursion step an iteration."""
     up = lambda f, x, o, a: f"{f}({x}) OVER (PARTITION BY sample_id, {o} ORDER BY {a} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"
@@ -273,7 +279,7 @@ def _skeleton_sql(iterations: int, value: str = "v", name: str = "k") -> str:
 
 for _n in (2, 50):
     ORACLES[f"skeleton_{_n}it"] = f"WITH RECURSIVE {V2}, {_skeleton_sql(_n)} SELECT sample_id, 0 AS d, h, w, 0 AS c, round(skel, 6) + 0.0 AS v FROM k"
-vox("skeleton_2it", "2d", lambda v: morphology.skeleton(v, 2))
+query("skeleton_2it")(lambda s, d: unpack(regions.skeleton(pack_rows(s, d), 2), (8, 8)).df)
 query("skeleton_50it")(lambda s, d: unpack(regions.skeleton(pack_rows(s, d)), (8, 8)).df)
 for _f in ("avg", "max"):
     query(f"adaptive_{_f}_pool", f"WITH {V2} SELECT sample_id, d, i::INT AS h, j::INT AS w, c, round({_f}(v), 6) + 0.0 AS v FROM v, range(3) a(i), range(5) b(j) WHERE h >= i * 8 // 3 AND h < ceil((i + 1) * 8 / 3.0) AND w >= j * 8 // 5 AND w < ceil((j + 1) * 8 / 5.0) GROUP BY ALL")(
@@ -287,9 +293,9 @@ query("conv3x3", _conv)(lambda s, d: morphology.convolve(load(s, d), _K).df)
 _MIX = lambda n: [[[[(i + 1) * 0.5 - j * 0.25 + p * 0.125 - q * 0.375 for q in range(2)] for p in range(4)] for j in range(n)] for i in range(n)]
 _mix = "k AS (SELECT i, j, p, q, (i + 1) * 0.5::DOUBLE - j * 0.25::DOUBLE + p * 0.125::DOUBLE - q * 0.375::DOUBLE AS x FROM range({n}) e(i), range({n}) f(j), range(4) g(p), range(2) h(q))"
 _mixed = "SELECT sample_id, 0 AS d, oh::INT AS h, ow::INT AS w, q::INT AS c, round(sum(v * x), 6) + 0.0 AS v FROM v JOIN k ON c = p, range({m}) y(oh), range({m}) z(ow) WHERE {on} GROUP BY ALL"
-query("conv_channels", f"WITH {MC}, {_mix.format(n=3)} {_mixed.format(m=4, on='h = oh + i - 1 AND w = ow + j - 1')}")(lambda s, d: morphology.convolve_channels(load(s, d, "mc"), _MIX(3)).df)
-query("conv_channels_stride2", f"WITH {MC}, {_mix.format(n=3)} {_mixed.format(m=2, on='h = oh * 2 + i AND w = ow * 2 + j')}")(lambda s, d: morphology.convolve_channels(load(s, d, "mc"), _MIX(3), 2).df)
-query("conv_transpose", f"WITH {MC}, {_mix.format(n=2)} {_mixed.format(m=8, on='oh = h * 2 + i AND ow = w * 2 + j')}")(lambda s, d: morphology.convolve_channels(load(s, d, "mc"), _MIX(2), 2, True).df)
+query("conv_channels", f"WITH {MC}, {_mix.format(n=3)} {_mixed.format(m=4, on='h = oh + i - 1 AND w = ow + j - 1')}")(lambda s, d: unpack(packed.convolve(pack_rows(s, d, "mc"), _MIX(3)), (1, 4, 4, 2)).df)
+query("conv_channels_stride2", f"WITH {MC}, {_mix.format(n=3)} {_mixed.format(m=2, on='h = oh * 2 + i AND w = ow * 2 + j')}")(lambda s, d: unpack(packed.convolve(pack_rows(s, d, "mc"), _MIX(3), 2), (1, 2, 2, 2)).df)
+query("conv_transpose", f"WITH {MC}, {_mix.format(n=2)} {_mixed.format(m=8, on='oh = h * 2 + i AND ow = w * 2 + j')}")(lambda s, d: unpack(packed.convolve_transposed(pack_rows(s, d, "mc"), _MIX(2), 2), (1, 8, 8, 2)).df)
 
 # ---- metrics and losses -------------------------------------------------------------------------
 
@@ -366,20 +372,13 @@ s AS (SELECT v.sample_id, sum(kp.skel * {true}) AS pt, sum(kp.skel) AS sp, sum(k
 r AS (SELECT sample_id, (pt + 1e-7) / (sp + 1e-7) AS p, (tp + 1e-7) / (st + 1e-7) AS r FROM s) SELECT sample_id, 0 AS class, round(1 - 2 * p * r / (p + r + 1e-7), 6) + 0.0 AS loss FROM r"""
 
 
-def _cldice(s: SparkSession, d: str, thinned: Callable[[Voxels], Voxels]) -> DataFrame:
-    true = load(s, d).values((F.col("v") > 0).cast("double"))
-    pred = load(s, d).values(scalars.sigmoid(F.col("v") * 4))
-    keys = ["sample_id", "d", "h", "w", "c"]
-    rows = true.df.withColumnRenamed("v", "y_true").join(pred.df.withColumnRenamed("v", "y_pred"), keys)
-    for name, v in (("s_true", true), ("s_pred", pred)):
-        rows = rows.join(thinned(v).df.withColumnRenamed("v", name), keys)
-    return scores.centerline_dice_loss(rows.withColumnRenamed("c", "class"))
+def _cldice(s: SparkSession, d: str, iterations: int) -> DataFrame:
+    true, pred = F.transform("data", lambda x: (x > 0).cast("double")), F.transform("data", lambda x: scalars.sigmoid(x * 4))
+    return regions.centerline_loss(pack_rows(s, d).select("*", true.alias("y_true"), pred.alias("y_pred")), iterations=iterations)
 
 
-query("loss_centerline_dice", _cldice_sql(1))(lambda s, d: _cldice(s, d, lambda v: morphology.skeleton(v, 1)))
-query("loss_centerline_dice_50it", _cldice_sql(50))(
-    lambda s, d: regions.centerline_loss(pack_rows(s, d).select("*", F.transform("data", lambda x: (x > 0).cast("double")).alias("y_true"), F.transform("data", lambda x: scalars.sigmoid(x * 4)).alias("y_pred")))
-)
+for _n, _name in ((1, "loss_centerline_dice"), (50, "loss_centerline_dice_50it")):
+    query(_name, _cldice_sql(_n))(lambda s, d, n=_n: _cldice(s, d, n))
 query("label_dice", """WITH s AS (SELECT lang AS class, toxic::DOUBLE AS t, (n_chars > 1500)::INT::DOUBLE AS p FROM labels JOIN documents USING (doc_id))
 SELECT class, round((2 * sum(t * p) + 1e-6) / (sum(t + p) + 1e-6), 6) + 0.0 AS dice FROM s GROUP BY 1""")(
     lambda s, d: scores.dice_by_class(
@@ -406,11 +405,12 @@ b AS (SELECT sample_id, u::INT AS c, 1 / (1 + exp(-sum(v * (0.2::DOUBLE * u - 0.
     lambda s, d: layers.squeeze_excitation(load(s, d, "mc"), _W, _U).df
 )
 vox("attention_gate", "2d", lambda v: layers.attention_gate(v, spatial.flip(v, "w"), 0.7, 0.4, 1.5), "a.v / (1 + exp(-1.5 * greatest(0.7 * a.v + 0.4 * b.v, 0)))", source="v a JOIN v b ON a.sample_id = b.sample_id AND a.h = b.h AND a.w = 7 - b.w", idx="a.sample_id, a.d, a.h, a.w, a.c")
+_said = lambda p: windows.window_partition(unpack(p, (1, 4, 4, 4)), h=2, w=2)
 query("window_attention", f"""WITH {MC}, b AS (SELECT sample_id, (h // 2 * 2 + w // 2)::INT AS win, (h % 2 * 2 + w % 2)::INT AS pos, c, v FROM v),
 s AS (SELECT q.sample_id, q.win, q.pos AS i, k.pos AS j, sum(q.v * k.v) * 0.5 AS s FROM b q JOIN b k ON q.sample_id = k.sample_id AND q.win = k.win AND q.c = k.c GROUP BY ALL),
 e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, win, i)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id, win, i) AS p FROM e)
 SELECT p.sample_id, p.win, p.i AS pos, k.c, round(sum(p * k.v), 6) + 0.0 AS v FROM p JOIN b k ON k.sample_id = p.sample_id AND k.win = p.win AND k.pos = p.j GROUP BY ALL""")(
-    lambda s, d: layers.window_attention(windows.window_partition(load(s, d, "mc"), h=2, w=2), 0.5)
+    lambda s, d: _said(packed.window_attention(pack_rows(s, d, "mc"), (2, 2), scale=0.5))
 )
 query("channel_concat", f"WITH {V2} SELECT sample_id, d, h, w, 0 AS c, round(v, 6) + 0.0 AS v FROM v UNION ALL SELECT sample_id, d, h, 7 - w, 1, round(v, 6) + 0.0 FROM v")(lambda s, d: layers.concat_channels(load(s, d), spatial.flip(load(s, d), "w")).df)
 query("grad_cam", f"""WITH {MC}, g AS (SELECT sample_id, c, avg(v * v) AS x FROM v GROUP BY 1, 2), m AS (SELECT sample_id, d, h, w, greatest(sum(v * x), 0) AS v FROM v JOIN g USING (sample_id, c) GROUP BY ALL)
@@ -442,7 +442,7 @@ SELECT sample_id, r::INT AS place, choice FROM (SELECT *, row_number() OVER (PAR
 vox("drop_path", "2d", lambda v: augment.drop_path(v, 7, 0.5), f"CASE WHEN {_u('sample_id', '0')} < 0.5 THEN v / 0.5 ELSE 0 END")
 query("random_rotate", f"""WITH {V2}, z AS (SELECT *, CASE WHEN {_u('sample_id', '0')} < 0.8 THEN ({_u('sample_id', '1')} * 2 - 1) * 0.5 ELSE 0 END AS a FROM v),
 t AS (SELECT *, round_even(sin(a) * (w - 4) + cos(a) * (h - 4) + 4, 0) AS fh, round_even(cos(a) * (w - 4) - sin(a) * (h - 4) + 4, 0) AS fw FROM z)
-SELECT t.sample_id, t.d, t.h, t.w, t.c, round(coalesce(v.v, 0), 6) + 0.0 AS v FROM t LEFT JOIN v ON v.sample_id = t.sample_id AND v.h = fh AND v.w = fw""")(lambda s, d: augment.random_rotate(load(s, d), 7, 0.5).df)
+SELECT t.sample_id, t.d, t.h, t.w, t.c, round(coalesce(v.v, 0), 6) + 0.0 AS v FROM t LEFT JOIN v ON v.sample_id = t.sample_id AND v.h = fh AND v.w = fw""")(lambda s, d: unpack(packed.random_rotate(pack_rows(s, d), 7, 0.5), (8, 8)).df)
 
 # ---- pipelines, catalog, strings, batches -------------------------------------------------------
 
@@ -491,10 +491,10 @@ query("sparse_grid_fill", "SELECT k::INT AS l_linenumber, (SELECT count(DISTINCT
 s AS (SELECT label AS class, (v > 0)::INT AS t, (1 / (1 + exp(-z)) > 0.5)::INT AS p FROM n) SELECT class, round((2 * sum(t * p) + 1e-6) / (sum(t + p) + 1e-6), 6) + 0.0 AS dice FROM s GROUP BY 1""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised images: Dice of their sign against the raw values' sign, by label."""
-    packed = pack_rows(spark, sf_dir, more=[F.col("embedding").cast("array<double>").alias("raw"), F.col("label").alias("class")])
+    rows = pack_rows(spark, sf_dir, more=[F.col("embedding").cast("array<double>").alias("raw"), F.col("label").alias("class")])
     one = lambda x: F.when(x, 1.0).otherwise(0.0)
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
-    shown = intensity.normalize_packed(packed).select("class", F.transform("raw", lambda x: one(x > 0)).alias("t"), F.transform("data", lambda x: one(scalars.sigmoid(x) > 0.5)).alias("p"))
+    shown = intensity.normalize_packed(rows).select("class", F.transform("raw", lambda x: one(x > 0)).alias("t"), F.transform("data", lambda x: one(scalars.sigmoid(x) > 0.5)).alias("p"))
     state = shown.groupBy("class").agg(
         F.sum(add(F.zip_with("t", "p", lambda t, p: t * p))).alias("intersection"), F.sum(add("t") + add("p")).alias("total"), F.sum(F.size("t")).alias("valid")
     )
@@ -549,13 +549,13 @@ SELECT sample_id, u::INT AS c, round(sum(v * (0.2::DOUBLE * u - 0.1::DOUBLE * o)
 )
 query("conv_separable", f"""WITH {MC}, k AS (SELECT (i - 1)::INT AS a, (j - 1)::INT AS b, (i + 1) * 0.5::DOUBLE - j * 0.25::DOUBLE AS x FROM range(3) p(i), range(3) q(j)),
 t AS (SELECT o.sample_id, o.d, o.h, o.w, o.c, sum(i.v * x) AS v FROM v o, k JOIN v i ON i.sample_id = o.sample_id AND i.c = o.c AND i.h = o.h + a AND i.w = o.w + b GROUP BY ALL)
-SELECT sample_id, d, h, w, u::INT AS c, round(sum(v * (0.1::DOUBLE * (c + 1) - 0.05::DOUBLE * u)), 6) + 0.0 AS v FROM t, range(3) r(u) GROUP BY ALL""")(lambda s, d: layers.separable_convolution(load(s, d, "mc"), _K, _W).df)
+SELECT sample_id, d, h, w, u::INT AS c, round(sum(v * (0.1::DOUBLE * (c + 1) - 0.05::DOUBLE * u)), 6) + 0.0 AS v FROM t, range(3) r(u) GROUP BY ALL""")(lambda s, d: unpack(packed.separable(pack_rows(s, d, "mc"), [[[[_K[0, i - 1, j - 1]]] * 4 for j in range(3)] for i in range(3)], _W), (1, 4, 4, 3)).df)
 query("attention_heads_masked", f"""WITH {MC}, b AS (SELECT sample_id, (h // 2 * 2 + w // 2)::INT AS win, (h % 2 * 2 + w % 2)::INT AS pos, c, c // 2 AS hd, v,
 CASE WHEN h < 2 THEN 'a' WHEN h < 3 THEN 'b' ELSE 'c' END || CASE WHEN w < 2 THEN 'a' WHEN w < 3 THEN 'b' ELSE 'c' END AS r FROM v),
 s AS (SELECT q.sample_id, q.win, q.hd, q.pos AS i, k.pos AS j, sum(q.v * k.v) * 0.5 + CASE WHEN q.r = k.r THEN 0 ELSE -100 END AS s FROM b q JOIN b k ON q.sample_id = k.sample_id AND q.win = k.win AND q.c = k.c GROUP BY q.sample_id, q.win, q.hd, q.pos, k.pos, q.r, k.r),
 e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY sample_id, win, hd, i)) AS e FROM s), p AS (SELECT *, e / sum(e) OVER (PARTITION BY sample_id, win, hd, i) AS p FROM e)
 SELECT p.sample_id, p.win, p.i AS pos, k.c, round(sum(p * k.v), 6) + 0.0 AS v FROM p JOIN b k ON k.sample_id = p.sample_id AND k.win = p.win AND k.hd = p.hd AND k.pos = p.j GROUP BY ALL""")(
-    lambda s, d: layers.window_attention(windows.window_partition(load(s, d, "mc"), h=2, w=2), 0.5, 2, windows.shift_mask(4, 4, 2, 1, s))
+    lambda s, d: _said(packed.window_attention(pack_rows(s, d, "mc"), (2, 2), 2, 0.5, shift=1, rolled=False))
 )
 query("target_class", f"WITH {MC}, g AS (SELECT sample_id, c, avg(v) AS v FROM v GROUP BY 1, 2) SELECT sample_id, round(max(v), 6) + 0.0 AS top, round(max(v) FILTER (c = 2), 6) + 0.0 AS chosen FROM g GROUP BY 1")(
     lambda s, d: layers.class_target(layers.global_pool(load(s, d, "mc"))).withColumnRenamed("target", "top").join(layers.class_target(layers.global_pool(load(s, d, "mc")), 2).withColumnRenamed("target", "chosen"), "sample_id")
@@ -581,4 +581,5 @@ vox("dropout", "2d", lambda v: layers.dropout(v, 7, 0.25), f"CASE WHEN {_u('samp
 for _n, _e in {"tanh": "tanh(v)", "gelu": "v / (1 + exp(-1.5957691216057308 * (v + 0.044715 * v * v * v)))"}.items():
     vox(f"act_{_n}", "2d", lambda v, n=_n: layers.activate(v, n), _e)
 
-from . import record_queries as _record_queries  # noqa: E402, F401  registers its own
+from . import packed_queries as _packed_queries  # noqa: E402, F401  both register their own
+from . import record_queries as _record_queries  # noqa: E402, F401
