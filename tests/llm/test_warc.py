@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from voxweave.llm import warc
 from voxweave.llm.warc import base32_sha1, page_record, read_archives, record, records, write_archives
 
 SCHEMA = "page_id long, url string, html string"
@@ -11,9 +12,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("size", [37, 1000, 1 << 23])
-def test_round_trip(spark, size):
-    pages = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+@pytest.mark.parametrize(("size", "hot"), [(37, 1), (1000, 2), (1 << 23, 10_000)])
+def test_round_trip(spark, monkeypatch, size, hot):
+    monkeypatch.setattr(warc, "HOT", hot)
+    pages = spark.createDataFrame(ROWS, SCHEMA).repartition(3).selectExpr("*", "'x' as key", "1 as n", "2 as refers_to", "true as revisit", "'y' as of_key")
     manifest = write_archives(pages)
     got = sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_archives(manifest, size).collect()), key=str)
     want = []

@@ -41,6 +41,8 @@ EPOCH = "1970-01-01T00:00:00Z"
 #: Archives are closed beyond this many bytes, and read in ranges of so many.
 FILE_BYTES, RANGE_BYTES = 1 << 28, 1 << 23
 _READ = 1 << 18
+#: A payload of more pages than HOT, and of more than one page in SHARE, is told to all tasks.
+HOT, SHARE = 10_000, 10_000
 _URL_SAFE = "".join(c for c in string.printable if c not in string.whitespace)
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -110,15 +112,31 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, folder: str | None =
     folder = folder or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.sha1(F.col("html").cast("binary"))))
-    # combined map-side: one row per payload and task, however often it is repeated
-    first = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = rows.join(first, "key", "left")
-    revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
-    out = marked.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    rows = rows.withColumn("key", F.when(F.octet_length("html") >= least_bytes, F.unhex(F.sha1(F.col("html").cast("binary")))))
+    found = _revisits(rows.where("key IS NOT NULL").select("page_id", "key"))
+    # a page's id is part of what it is joined by, so copies of one payload are spread over all tasks
+    same = (rows["key"] == found["of_key"]) & rows["page_id"].eqNullSafe(found["of_page"])
+    marked = rows.join(found, same, "left")
+    out = marked.select("page_id", "url", "html", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
     return as_table(out.mapInArrow(_writer(folder), "path string, length long"), "warc-manifest")
 
 
+def _revisits(keyed: DataFrame) -> DataFrame:
+    """(of_key, of_page, refers_to) of the pages (page_id, key) whose payload a smaller page_id has; each pair once.
+
+    Only ids and keys are dealt by key, and those of the most frequent payloads not at all.
+    """
+    keyed = as_table(keyed, "warc-keys")
+    # combined map-side: one row per payload and task, however often it is repeated
+    first = keyed.groupBy("key").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    first = as_table(first, "warc-first")
+    least = max(HOT, keyed.count() // SHARE)
+    hot = F.broadcast(first.where(F.col("n") > least).drop("n"))  # fewer than SHARE: each has a larger share of the pages
+    rest = keyed.join(hot, "key", "left_anti").join(first.where(F.col("n") <= least).drop("n"), "key")
+    both = keyed.join(hot, "key").unionByName(rest).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return both.groupBy(F.col("key").alias("of_key"), F.col("page_id").alias("of_page")).agg(F.first("refers_to").alias("refers_to"))
+
+
 class _Range:
     """Reads a file forward from a byte on, in blocks."""
 
