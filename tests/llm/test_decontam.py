@@ -116,6 +116,14 @@ def test_pairs(spark, words, monkeypatch):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in docs if i not in {a for a, _ in want})
 
 
+def test_blocks_are_bounded_whatever_parts_the_words(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 100)
+    texts = ["\t".join(["w"] * 60), "\n".join(["w"] * 60), "x" * 6000, None, "", " a  b "]
+    blocks = list(decontam._blocks(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").coalesce(1)))
+    assert [list(b.items) for b, _ in blocks] == [[0, 1], [2], [3, 4, 5]]
+    assert [last for _, last in blocks] == [False, False, True]
+
+
 def test_empty(spark, none):
     q = spark.createDataFrame([], "item_id long, text string")
     assert contaminated_pairs(none, q).count() == 0

@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import WORD, as_table
 from .tokens import U64, mix64, pieces, word_hashes
 
 MASKS = (
@@ -52,7 +52,9 @@ MASKS = (
 MIN_WORDS = 13
 #: A stretch may have one substitution in so many words.
 ONE_IN = 5
+#: A block ends at so many words; a text counts as a word for every WORD_BYTES bytes at least.
 BLOCK_WORDS = 250_000
+WORD_BYTES = 32
 #: Hits expanded at a time, which bounds a task's memory.
 HITS = 1 << 20
 
@@ -164,32 +166,32 @@ class Block:
                 yield row + text, item, length, equal, -start
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Block]:
-    items, texts, held = [], [], 0
-    rows = benchmark.select("item_id", "text", F.size(F.split("text", " ")).alias("n")).toLocalIterator()
-    for r in rows:
-        items.append(r["item_id"])
-        texts.append(r["text"])
-        held += max(0, r["n"] or 0) + 8
-        if held >= BLOCK_WORDS:
-            yield Block(items, texts)
-            items, texts, held = [], [], 0
-    if items:
-        yield Block(items, texts)
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Block, bool]]:
+    """Blocks one after another, and whether each is the last; one item more than a block holds is read ahead."""
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    size = F.greatest(words, F.coalesce(F.octet_length("text"), F.lit(0)) / WORD_BYTES).cast("long")
+    rows = benchmark.select("item_id", "text", size.alias("n")).toLocalIterator()
+    row = next(rows, None)
+    while row is not None:
+        items, texts, held = [], [], 0
+        while row is not None and held < BLOCK_WORDS:
+            items.append(row["item_id"])
+            texts.append(row["text"])
+            held += row["n"] + 8
+            row = next(rows, None)
+        yield Block(items, texts), row is None
 
 
 def _shared_blocks(spark: SparkSession, benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
-    """Each block as a broadcast, and whether it is the only one; if not, it is released when the next is asked for."""
-    blocks = _blocks(benchmark)
-    block, alone = next(blocks, None), True
-    while block is not None:
-        after = next(blocks, None)
-        alone = alone and after is None
+    """Each block as a broadcast, and whether it is the only one; if not, it is released before the next is read."""
+    alone = True
+    for block, last in _blocks(benchmark):
+        alone = alone and last
         shared = spark.sparkContext.broadcast(block)
+        del block
         yield shared, alone
         if not alone:
             shared.destroy()
-        block = after
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
