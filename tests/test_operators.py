@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from voxweave.functions import scalars
 from voxweave.operators import augment, geometry, intensity, layers, morphology, regions, scores, spatial, windows
 from voxweave.plans import catalog, transforms
+from voxweave.queries import filled_grid
 from voxweave.sources import readers
 from voxweave.streaming.metrics import stream_dice, windowed_means
 from voxweave.voxels import Voxels, pack, unpack
@@ -388,3 +389,15 @@ def test_packed_skeleton_is_that_of_voxels(spark):
     got = {r.sample_id: r.data for r in regions.skeleton(packed(spark, list(enumerate(x))), 2).collect()}
     for i, w in enumerate(want):
         assert np.allclose(got[i], np.ravel(w), atol=1e-9)
+
+
+def test_filled_grid_deals_a_row_an_order(spark):
+    """A grid of seven lines an order; a line's sum is whole without an order, and an empty table has a grid, too."""
+    rows = [(1, 1, 0.5), (1, 3, 0.25), (1, 3, 0.25), (2, 7, 1.0), (None, 2, 4.0), (2, 9, 8.0)]
+    schema = "l_orderkey long, l_linenumber int, l_discount double"
+    want = dict.fromkeys(range(1, 8), 0.0) | {1: 0.5, 2: 4.0, 3: 0.5, 7: 1.0}
+    got = filled_grid(spark.createDataFrame(rows, schema).repartition(3))
+    assert sorted(map(tuple, got.collect())) == [(k, 2, x) for k, x in want.items()]
+    assert sorted(map(tuple, filled_grid(spark.createDataFrame([], schema)).collect())) == [(k, 0, 0.0) for k in want]
+    # neither the cells of the grid nor the lines are joined or sorted by order and line
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
