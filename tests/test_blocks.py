@@ -150,3 +150,24 @@ def test_epochs_differ_and_repeat(spark):
     order = lambda e, d=df: [r.id for r in sorted(tables.epochs(d, 3, e, 8, "id").collect(), key=lambda r: (r.batch, r.place))]
     assert order(0) == order(0, df.repartition(5)) != order(1)
     assert len(order(0)) == 48 and len(set(order(0))) == 48
+
+
+def test_tiles_meet_over_batches_and_runs(spark, arrays, monkeypatch):
+    """Groups that go on over Arrow batches, runs of a few tiles: the same arrays; many tiles are worked on in one call of Python."""
+    many = {k: arrays[k % 3 + 1] + k for k in range(7)}
+    kernel = np.random.default_rng(9).standard_normal((3, 3, 3, 2, 3))
+    size, key = (2, 3, 4), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        df = T.joined(T.convolution(T.cut(packed(spark, many), size), size, kernel))
+        got = unpacked(df)
+    finally:
+        spark.conf.set(key, before)
+    assert set(got) == set(many) and all(np.allclose(got[k], same_convolution(x, kernel, 1)) for k, x in many.items())
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    tile = T._rows(T.SCHEMA, np.ones((5000, 1, 1, 1, 1)), np.arange(5000), (0, 0, 0), (1, 1, 1))
+    monkeypatch.setattr(T, "HELD", 1 << 20)
+    # rows of few numbers are held to a bound as well
+    runs = list(T._runs(iter([tile, tile]), ["sample_id"]))
+    assert max(rows.num_rows for rows, _ in runs) <= 1024 and sum(rows.num_rows for rows, _ in runs) == 10_000
