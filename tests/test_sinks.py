@@ -141,3 +141,16 @@ def test_weight_maps(spark):
     assert [round(r.v, 9) for r in same] == list(range(12))
     none = windows.sliding_window(vox, roi, lambda p: p, 0.5, weights=0.0).df.collect()
     assert {r.v for r in none} == {0.0}
+
+
+def test_frames_of_many_records_and_few_tasks(spark, tmp_path):
+    """Checksums side by side are those of each alone; small ranges are dealt to few tasks; files that no manifest names are not read."""
+    rng = random.Random(3)
+    records = [rng.randbytes(n) for n in (0, 1, 2, 3, 4, 5, 7, 8, 9, 31, 64, 300, 20_000, 301, 0)]
+    assert R.framed(records) == [R.frame(r) for r in records] and R.frame(b"123456789")[-4:] == struct.pack("<I", R.masked(slow_crc(b"123456789")))
+    rows = spark.range(400).selectExpr("id", "array(cast(id as float)) AS f")
+    manifest = R.write_records(rows, f"file://{tmp_path}/out", 200)
+    (tmp_path / "out" / "part-lost.tfrecord").write_bytes(R.frame(R.encode_example({"id": [-1], "f": [0.5]})))
+    back = R.read_records(spark, manifest, 40)
+    assert back.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r.features["id"].ints[0] for r in back.collect()) == list(range(400))

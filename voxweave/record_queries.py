@@ -294,12 +294,13 @@ def _records_back(s, d):
     """embeddings as record files, read in ranges smaller than a file; two halves put together as channels."""
     rows = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.slice("embedding", 1, 32).alias("first"), F.slice("embedding", 33, 32).alias("second"))
     folder = tables.shared_path(s, "tfrecords")
-    tfrecords.write_records(rows, folder, 40_000)
+    manifest = tfrecords.write_records(rows, folder, 40_000)
     f = lambda name, kind: F.col("features")[name][kind]
-    back = tfrecords.read_records(s, folder, 7_000)
+    back = tfrecords.read_records(s, manifest, 7_000)
     both = tfrecords.channels([f("first", "floats"), f("second", "floats")])
     text = F.transform(both, lambda x: F.round(x.cast("double") * 1000).cast("long").cast("string"))
-    pair = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.concat_ws(":", F.get(text, 2 * i), F.get(text, 2 * i + 1)))
+    # bound: text is worked out once, not for each of its places
+    pair = scalars.bound(text, lambda t: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.concat_ws(":", F.get(t, 2 * i), F.get(t, 2 * i + 1))))
     return back.select(f("vec_id", "ints")[0].alias("sample_id"), f("label", "ints")[0].alias("label"), F.array_join(pair, ",").alias("pairs"))
 
 

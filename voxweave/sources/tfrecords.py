@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .tables import shared_path
 
 RANGE_BYTES = 64 << 20
+#: Bytes from which on a piece is worked out in lanes of its own; bytes read beyond a range, for its last record; bytes framed together.
+LONG, BEYOND, FRAMED = 1 << 14, 1 << 12, 1 << 20
 #: The Castagnoli polynomial, reflected; what is added to a rotated checksum.
 POLYNOMIAL, MASK = 0x82F63B78, 0xA282EAD8
 EXAMPLE = "map<string, struct<bytes: array<binary>, floats: array<float>, ints: array<long>>>"
@@ -32,6 +34,11 @@ def _table() -> np.ndarray:
 
 
 TABLE = _table()
+STEPS = TABLE.tolist()
+#: What two bytes do to a register: LOW as the last two of a word, HIGH as the first two.
+_after = lambda s: TABLE[s & np.uint32(255)] ^ (s >> np.uint32(8))  # noqa: E731  a zero byte
+LOW = _after(_after(np.arange(1 << 16, dtype=np.uint32)))
+HIGH = _after(_after(LOW))
 
 
 def _lanes(rows: np.ndarray, state: np.ndarray) -> np.ndarray:
@@ -45,24 +52,65 @@ def crc32c(data: bytes | np.ndarray, lane: int = 4096) -> int:
     """The checksum of some bytes: lanes of equal length are worked out side by side, then joined from left to right."""
     x = np.frombuffer(data, np.uint8) if not isinstance(data, np.ndarray) else data
     head = len(x) % lane
-    state = _lanes(x[None, :head].astype(np.uint32), np.full(1, 0xFFFFFFFF, np.uint32))
+    now = 0xFFFFFFFF
+    for b in x[:head].tolist():
+        now = STEPS[(now ^ b) & 255] ^ (now >> 8)
     if len(x) > head:
         rows = x[head:].reshape(-1, lane).astype(np.uint32)
         each = _lanes(rows, np.zeros(len(rows), np.uint32))
         # what `lane` zero bytes do to each bit of a register
         shift = _lanes(np.zeros((32, lane), np.uint32), np.uint32(1) << np.arange(32, dtype=np.uint32))
         bits = np.arange(32, dtype=np.uint32)
-        now = int(state[0])
         for r in each.tolist():
             now = int(np.bitwise_xor.reduce(shift[(np.uint32(now) >> bits & np.uint32(1)) == 1], initial=np.uint32(0))) ^ r
-        state = np.array([now], np.uint32)
-    return int(state[0]) ^ 0xFFFFFFFF
+    return now ^ 0xFFFFFFFF
+
+
+def checksums(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The checksums of many pieces of some bytes: pieces of about one length are worked out side by side, four bytes a step."""
+    out = np.zeros(len(starts), np.uint32)
+    for k in np.flatnonzero(sizes >= LONG):
+        out[k] = crc32c(data[starts[k] : starts[k] + sizes[k]])
+    short = np.flatnonzero(sizes < LONG)
+    classes = np.frexp(sizes[short].astype(float))[1]
+    for c in np.unique(classes):
+        rows = short[classes == c]
+        rows = rows[np.argsort(-sizes[rows], kind="stable")]
+        size, start = sizes[rows], starts[rows]
+        words = size // 4
+        at = start[:, None] + np.arange(max(int(words[0]), 1) * 4)
+        cells = np.ascontiguousarray(np.ascontiguousarray(data[np.minimum(at, len(data) - 1)] if len(data) else np.zeros(at.shape, np.uint8)).view("<u4").T)
+        state = np.full(len(rows), 0xFFFFFFFF, np.uint32)
+        for k in range(int(words[0])):
+            live = int(np.searchsorted(-words, -k, "left"))  # the pieces with more than k words come first
+            s = state[:live] ^ cells[k, :live]
+            state[:live] = HIGH[s & np.uint32(0xFFFF)] ^ LOW[s >> np.uint32(16)]
+        for k in range(3):
+            more = np.flatnonzero(size % 4 > k)
+            state[more] = TABLE[(state[more] ^ data[start[more] + 4 * words[more] + k]) & np.uint32(255)] ^ (state[more] >> np.uint32(8))
+        out[rows] = ~state
+    return out
 
 
 def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
+def _masked(crc: np.ndarray) -> np.ndarray:
+    return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(MASK)
+
+
+def framed(records: Sequence[bytes]) -> list[bytes]:
+    """The frame of each record; checksums are worked out together."""
+    sizes = np.array([len(r) for r in records], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    heads = sizes.astype("<u8").view(np.uint8)
+    of_data = _masked(checksums(np.frombuffer(b"".join(records), np.uint8), starts, sizes)).astype("<u4").tobytes()
+    of_size = _masked(checksums(heads, np.arange(len(sizes)) * 8, np.full(len(sizes), 8))).astype("<u4").tobytes()
+    heads = heads.tobytes()
+    return [heads[8 * k : 8 * k + 8] + of_size[4 * k : 4 * k + 4] + r + of_data[4 * k : 4 * k + 4] for k, r in enumerate(records)]
+
+
 def frame(data: bytes) -> bytes:
     size = struct.pack("<Q", len(data))
     return size + struct.pack("<I", masked(crc32c(size))) + data + struct.pack("<I", masked(crc32c(data)))
@@ -76,14 +124,14 @@ def _headers(data: np.ndarray) -> np.ndarray:
     state = np.full(n, 0xFFFFFFFF, np.uint32)
     for k in range(8):
         state = TABLE[(state ^ data[k : k + n]) & np.uint32(255)] ^ (state >> np.uint32(8))
-    crc = ~state
-    want = ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(MASK)
+    want = _masked(~state)
     given = sum(data[8 + k : 8 + k + n].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
     return np.flatnonzero(want == given)
 
 
 class _File:
     def __init__(self, path: str) -> None:
+        self.path = path
         store, name = pafs.FileSystem.from_uri(path)
         self.file = store.open_input_file(name)
         self.size = self.file.size()
@@ -103,9 +151,25 @@ class _File:
         return body[:n] if struct.unpack("<I", body[n:])[0] == masked(crc32c(body[:n])) else None
 
 
-def frames(path: str, start: int, end: int, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+def _whole(block: bytes, most: int) -> tuple[list[int], list[int], int]:
+    """(places, sizes, records at the start that are not broken) of the records that begin before `most` and lie within some bytes."""
+    places, sizes, at = [], [], 0
+    while at < most and at + 16 <= len(block):
+        n = int.from_bytes(block[at : at + 8], "little")
+        if at + n + 16 > len(block):
+            break
+        places.append(at)
+        sizes.append(n)
+        at += n + 16
+    x, p, n = np.frombuffer(block, np.uint8), np.array(places, np.int64), np.array(sizes, np.int64)
+    given = lambda at: sum(x[at + k].astype(np.uint32) << np.uint32(8 * k) for k in range(4))
+    fits = (_masked(checksums(x, p, np.full(len(p), 8))) == given(p + 8)) & (_masked(checksums(x, p + 12, n)) == given(p + 12 + n))
+    return places, sizes, len(p) if fits.all() else int(np.argmin(fits))
+
+
+def frames(path: str | _File, start: int, end: int, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     """(place, data) of the records whose frames start in [start, end)."""
-    f = _File(path)
+    f = path if isinstance(path, _File) else _File(path)
     at = start
     if start > 0:
         at = end
@@ -115,9 +179,18 @@ def frames(path: str, start: int, end: int, step: int = 1 << 20) -> Iterator[tup
             if at < end:
                 break
     while at < min(end, f.size):
+        block = f.read(at, min(step, end - at + BEYOND))
+        places, sizes, good = _whole(block, end - at)
+        for p, n in zip(places[:good], sizes):
+            yield at + p, block[p + 12 : p + 12 + n]
+        if good:
+            at += places[good - 1] + sizes[good - 1] + 16
+        if good == len(places) and good:
+            continue
+        # one that is broken, or goes beyond the block
         data = f.data(at)
         if data is None:
-            raise ValueError(f"{path}: no whole record at byte {at}")
+            raise ValueError(f"{f.path}: no whole record at byte {at}")
         yield at, data
         at += len(data) + 16
 
@@ -210,25 +283,33 @@ def _varints(data: memoryview) -> list[int]:
     return out
 
 
-def read_records(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, at, features) of record files: byte ranges are spread over tasks."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
+def read_records(spark: SparkSession, path: str | DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, at, features) of record files: byte ranges are spread over tasks, small ones many to a task.
+
+    The files are those of a folder, or of a manifest from write_records, for which no folder is listed.
+    """
+    files = (path if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path)).select("path", "length").where("length > 0")
     cuts = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    spread = cuts.repartition(min(max(cuts.count(), 1), 100_000))
+    ranges, size = files.agg(F.sum(F.ceil(F.col("length") / range_bytes)), F.sum("length")).first()
+    tasks = min(ranges or 1, max(4 * spark.sparkContext.defaultParallelism, (size or 0) // RANGE_BYTES + 1), 100_000)
+    spread = cuts.repartition(tasks).sortWithinPartitions("path", "start")
     schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("features", pa.map_(pa.string(), pa.struct([("bytes", pa.list_(pa.binary())), ("floats", pa.list_(pa.float32())), ("ints", pa.list_(pa.int64()))])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, rows, held = None, [], 0
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, held = [], 0
-                for at, data in frames(name, start, start + range_bytes):
+                if file is None or file.path != name:
+                    file = _File(name)
+                for at, data in frames(file, start, start + range_bytes):
                     rows.append((name, at, list(decode_example(data).items())))
                     held += len(data)
-                    if held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    if held > 16 << 20 or len(rows) == 10_000:
+                        yield given()
                         rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        if rows:
+            yield given()
 
     return spread.mapInArrow(run, f"path string, at long, features {EXAMPLE}")
 
@@ -244,18 +325,27 @@ def write_records(df: DataFrame, folder: str | None = None, file_bytes: int = 25
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root)
         out, done, name, n, size = None, [], "", 0, 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    name, n, size = f"part-{uuid.uuid4().hex}.tfrecord", 0, 0
-                    out = store.open_output_stream(f"{root}/{name}")
-                features = {k: v if isinstance(v, list) else [v] for k, v in row.items() if v is not None}
-                data = frame(encode_example(features))
-                out.write(data)
-                n, size = n + 1, size + len(data)
-                if size >= file_bytes:
-                    out.close()
-                    done, out = [*done, (f"{folder}/{name}", n, size)], None
+        def records() -> Iterator[bytes]:
+            some, held = [], 0
+            for batch in batches:
+                for row in batch.to_pylist():
+                    some.append(encode_example({k: v if isinstance(v, list) else [v] for k, v in row.items() if v is not None}))
+                    held += len(some[-1])
+                    if held >= FRAMED:
+                        yield from framed(some)
+                        some, held = [], 0
+            yield from framed(some)
+
+        for data in records():
+            if out is None:
+                name, n, size = f"part-{uuid.uuid4().hex}.tfrecord", 0, 0
+                out = store.open_output_stream(f"{root}/{name}")
+            out.write(data)
+            n, size = n + 1, size + len(data)
+            if size >= file_bytes:
+                out.close()
+                done.append((f"{folder}/{name}", n, size))
+                out = None
         if out is not None:
             out.close()
             done.append((f"{folder}/{name}", n, size))
