@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 import pytest
 
-from voxweave.operators import augment, morphology, packed, spatial
+from voxweave.operators import augment, morphology, packed, regions, spatial
 from voxweave.voxels import pack, unpack
 
 RNG = np.random.default_rng(11)
@@ -173,3 +173,34 @@ def test_nulls_empty_tables_and_refusals(spark):
             bad()
     with pytest.raises(Exception, match="channels"):
         packed.convolve(table(spark, [RNG.standard_normal((1, 2, 2, 3))]), kernel).collect()
+
+
+def test_skeletons_of_stacks(spark):
+    """Arrays of several shapes, constant ones, infinite cells and nulls in one table: each as if alone, many in one call."""
+    rng = np.random.default_rng(4)
+    arrays = [rng.random(s) for s in ((1, 5, 6, 2), (3, 4, 5, 1), (1, 5, 6, 2), (1, 1, 1, 1))] + [np.ones((1, 5, 6, 2)), None]
+    arrays[0][0, 2, 2, 0] = np.inf
+
+    def alone(x):
+        opened = lambda y: regions._dilated(regions._eroded(y))
+        out = np.maximum(x - opened(x), 0)
+        for _ in range(50):
+            before, x = x, regions._eroded(x)
+            if (x == before).all():
+                break
+            lost = np.maximum(x - opened(x), 0)
+            out = out + np.maximum(lost - out * lost, 0)
+        return out
+
+    rows = [(k, None if x is None else list(x.shape), None if x is None else x.ravel().tolist()) for k, x in enumerate(arrays)]
+    got = {r.sample_id: r for r in regions.skeleton(spark.createDataFrame(rows, regions.PACKED).repartition(2)).collect()}
+    assert len(got) == len(arrays) and got[5].data is None
+    assert all(np.array_equal(np.array(got[k].data).reshape(x.shape), alone(x), equal_nan=True) for k, x in enumerate(arrays) if x is not None)
+    calls, stack = [], np.stack([arrays[2]] * 300)
+    before = regions._eroded
+    try:
+        regions._eroded = lambda x: calls.append(1) or before(x)
+        assert np.array_equal(regions._skeletons(stack, 50)[7], alone(arrays[2]), equal_nan=True)
+    finally:
+        regions._eroded = before
+    assert len(calls) < 300
