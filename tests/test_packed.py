@@ -204,3 +204,20 @@ def test_skeletons_of_stacks(spark):
     finally:
         regions._eroded = before
     assert len(calls) < 300
+
+
+def test_attention_queries_shuffle_nothing(spark, sf):
+    """Bias and cosine scores on packed arrays: no exchange, and the values of the form with a row a voxel."""
+    import __spark_entry__
+    from voxweave.operators import layers, windows
+    from voxweave.queries import load
+    from voxweave.record_queries import _PLACES
+
+    queries = __spark_entry__.queries()
+    for name, scale, cosine in (("attention_bias", 0.5, False), ("attention_cosine", [1.5, 9.0], True)):
+        df = queries[name](spark, sf)
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        long = layers.window_attention(windows.window_partition(load(spark, sf, "mc"), h=2, w=2), scale, 2, bias=layers.relative_bias(spark, (2, 2), _PLACES, cosine), cosine=cosine)
+        want = {(r.sample_id, r.win, r.pos, r.c): r.v for r in long.where("sample_id < 5").collect()}
+        got = {(r.sample_id, r.win, r.pos, r.c): r.v for r in df.where("sample_id < 5").collect()}
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)

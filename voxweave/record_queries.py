@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .operators import attention as A
-from .operators import geometry, layers, regions
+from .operators import geometry, layers, packed, regions
 from .operators import tiles as T
 from .operators import windows
 from .plans import records as R
-from .queries import MC, V2, V3, _component_sql, _flat, _skeleton_sql, _model, _NEW, _oblique, _starts, _u, _volumes, load, query, vox
+from .queries import MC, V2, V3, _component_sql, _flat, _skeleton_sql, _model, _NEW, _oblique, _starts, _u, _volumes, _said, load, pack_rows, query, vox
 from .sources import tables, tfrecords
 from .streaming import metrics
 
@@ -353,10 +353,10 @@ SELECT p.sample_id, p.win, p.i AS pos, k.c, round(sum(p * k.v), 6) + 0.0 AS v FR
 
 
 query("attention_bias", _attention("SELECT * FROM b", "0.5", _rel))(
-    lambda s, d: layers.window_attention(windows.window_partition(load(s, d, "mc"), h=2, w=2), 0.5, 2, bias=layers.relative_bias(s, (2, 2), _PLACES))
+    lambda s, d: _said(packed.window_attention(pack_rows(s, d, "mc"), (2, 2), 2, 0.5, bias=packed.relative_bias((2, 2), _PLACES)))
 )
 query("attention_cosine", _attention("SELECT sample_id, win, pos, c, hd, v / sqrt(greatest(sum(v * v) OVER (PARTITION BY sample_id, win, pos, hd), 1e-6::DOUBLE)) AS v FROM b", "CASE hd WHEN 0 THEN exp(1.5::DOUBLE) ELSE 100 END", f"16 / (1 + exp(-({_rel})))"))(
-    lambda s, d: layers.window_attention(windows.window_partition(load(s, d, "mc"), h=2, w=2), [1.5, 9.0], 2, bias=layers.relative_bias(s, (2, 2), _PLACES, True), cosine=True)
+    lambda s, d: _said(packed.window_attention(pack_rows(s, d, "mc"), (2, 2), 2, [1.5, 9.0], bias=packed.relative_bias((2, 2), _PLACES, True), cosine=True))
 )
 vox("prelu", "mc", lambda v: layers.prelu(v, [0.1, 0.2, 0.3, 0.4]), "CASE WHEN v >= 0 THEN v ELSE v * 0.1::DOUBLE * (c + 1) END")
 vox("spatial_dropout", "mc", lambda v: layers.spatial_dropout(v, 7, 0.25), f"CASE WHEN {_u('sample_id', 'c')} < 0.75 THEN v / 0.75 ELSE 0 END")
