@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from voxweave.operators import attention as A
 from voxweave.operators import tiles as T
 from voxweave.sources import readers, tables
@@ -171,3 +172,21 @@ def test_tiles_meet_over_batches_and_runs(spark, arrays, monkeypatch):
     # rows of few numbers are held to a bound as well
     runs = list(T._runs(iter([tile, tile]), ["sample_id"]))
     assert max(rows.num_rows for rows, _ in runs) <= 1024 and sum(rows.num_rows for rows, _ in runs) == 10_000
+
+
+@pytest.mark.parametrize("name", ["conv3d_channels_dilation1", "conv3d_channels_dilation2"])
+def test_channel_convolutions_call_python_for_many_tiles(spark, sf, name):
+    """The registered queries have no call of Python a group, and a kernel's calls follow shapes and tasks, not tiles."""
+    df = __spark_entry__.queries()[name](spark, sf)
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+    calls, size = spark.sparkContext.accumulator(0), (2, 3, 2)
+
+    def kernel(x):
+        calls.add(1)
+        return x
+
+    tiles = T.cut(packed(spark, {k: np.full((4, 4, 2, 2), float(k)) for k in range(60)}), size)
+    grown = unpacked(T.joined(T._each(tiles, kernel)))
+    assert set(grown) == set(range(60)) and all((x == k).all() for k, x in grown.items())
+    # 240 tiles of two shapes, in two tasks
+    assert 0 < calls.value <= 4
