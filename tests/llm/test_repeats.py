@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import voxweave.llm.repeats as repeats
@@ -98,6 +100,73 @@ def test_low_entropy_and_small_pieces(spark, monkeypatch):
     assert len(apart) == len(whole) and (apart[near] >= whole[near]).all()
 
 
+def test_buckets_are_of_one_size():
+    """The least hash of a window is small, so equal ranges of it held up to 16 times the mean."""
+    text = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8)
+    shard = repeats.Shard.__new__(repeats.Shard)
+    shard.ids, shard.offsets, shard.data = np.array([7]), np.array([0, len(text)]), text
+    shard._find_anchors()
+    sizes = np.diff(shard.cuts(16))
+    assert sizes.sum() == len(shard.lead) and sizes.max() < 1.2 * sizes.mean()
+
+
+def test_answers_of_many_shards_take_one_pass():
+    """3,000 reports of one bucket: each had all of the bucket's answers looked through."""
+    rng, n, each = np.random.default_rng(4), 3000, 100
+    anchors = rng.integers(0, 1 << 48, 50_000).astype(np.uint64)
+    blobs, expected = [], {}
+    which = np.stack([np.sort(rng.choice(len(anchors), each, replace=False)) for _ in range(n)])
+    for s in range(n):
+        h = np.sort(anchors[which[s]])
+        least = np.full(each, s, dtype=np.int64)
+        for x in h.tolist():
+            expected.setdefault(x, s)
+        values, place = repeats._narrow(least)
+        six = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :6])
+        blobs.append(repeats._bytes(np.array([place.itemsize], np.uint8), values, place, six, h))
+    table = pa.table({"bucket": pa.array([0] * n, pa.int32()), "shard": pa.array(range(n), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    began = time.process_time()
+    rows = repeats._meet(table).to_pylist()
+    assert time.process_time() - began < 4
+    got = {}
+    for r in rows:
+        _, local, values, at, wanted = repeats._arrays(r["blob"], "u1", "<u4", "<i8", "<u2", "<u4")
+        assert r["kind"] == 0 and not len(wanted)
+        got[r["shard"]] = dict(zip(local.tolist(), values[at].tolist()))
+    for s in range(n):
+        h = np.sort(anchors[which[s]]).tolist()
+        assert got.get(s, {}) == {i: expected[x] for i, x in enumerate(h) if expected[x] < s}
+
+
+def test_long_groups_sort_one_of_equal_strings(monkeypatch):
+    """A line that many texts have, between other lines: its anchor's contexts differ, most strings don't."""
+    rng = np.random.default_rng(6)
+    line = rng.integers(97, 123, 40).astype(np.uint8)
+    n, size = 400, 80
+    texts = np.concatenate([rng.integers(97, 99, (n, 20)).astype(np.uint8), np.tile(line, (n, 1)), rng.integers(97, 99, (n, 20)).astype(np.uint8)], axis=1)
+    least = rng.permutation(n).astype(np.int64)
+    args = np.zeros(n, np.uint64), least, texts.ravel(), np.full(n, size), np.full(n, 30)
+    sorted_bytes, plain = [], repeats.least_documents
+
+    def counted(body, size, least):
+        sorted_bytes.append(len(body))
+        return plain(body, size, least)
+
+    monkeypatch.setattr(repeats, "least_documents", counted)
+    whole = repeats._sort_contexts(*args)
+    sorted_bytes.clear()
+    monkeypatch.setattr(repeats, "SORT_BYTES", 1000)
+    apart = repeats._sort_contexts(*args)
+    first = {}
+    for i in np.argsort(least).tolist():
+        for j in range(size - 49):
+            first.setdefault((j, texts[i, j : j + 50].tobytes()), int(least[i]))
+    expected = [first[j, texts[i, j : j + 50].tobytes()] for i in range(n) for j in range(size - 49)]
+    assert apart.tolist() == expected == whole.tolist()
+    # each distinct string once, if it occurs again, not all of n * 31 strings
+    assert 0 < sum(sorted_bytes) <= min(50 * len(first), 50 * n * 31 // 4)
+
+
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert results(op2_repeats(spark, sf)) == brute(docs)

@@ -13,13 +13,15 @@ smaller doc_id. Strings are judged on the input, and never cross documents.
 3. Per bucket of anchor hashes: where all contexts of an anchor are equal, the least
    document of all is the answer for all of its strings. Where they differ, one shard sends the
    context's bytes.
-4. Those contexts, a few megabytes of each bucket at a time, are sorted into a suffix array by
+4. Of those contexts, runs of strings whose hashes another context of the anchor has are kept, each
+   distinct run once. A few megabytes of each bucket at a time, they are sorted into a suffix array by
    induced sorting; permuted common prefixes of LENGTH or more group equal strings, and each
    group's least document is the answer for its strings.
 5. Answers go back to the shards, which mark and remove bytes.
 
 One answer per shard and context is what travels, so thousands of copies cost one row a shard. An
-anchor with very many different contexts is taken apart by the strings' offset from it.
+anchor with very many different contexts is taken apart by the strings' offset from it; of equal strings
+one is sorted.
 
 Defined cases: a null text is empty; texts under LENGTH bytes are kept whole; a null doc_id is
 larger than any other; rows with equal doc_ids do not remove each other's bytes; texts of any
@@ -46,6 +48,7 @@ from .tokens import _BASE, _INVERSE, U64, buffers, mix64, powers, prefix, span_h
 LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
 SHARD_BYTES, CHUNK, BUCKET_BYTES, SORT_BYTES = 2 << 20, 1 << 18, 6 << 20, 1 << 18
+MANY_BUCKETS = 96
 #: A string reaches so far to the left of its anchor, or at least so far to its right.
 NEAR = (LENGTH - GRAM) // 2
 #: No byte of UTF-8.
@@ -155,7 +158,8 @@ class Shard:
             last = keep[np.append(np.flatnonzero(new)[1:], len(keep)) - 1]
             offset = anchor[first] - first
             context = mix64(span_hashes(sums, first, last + LENGTH) + offset.astype(U64) * U64(_BASE))
-            found.append((at[first], at[last], owner[first], offset, grams[anchor[first]], context))
+            # the least of a window is a small number: mixed again, so that buckets are of one size
+            found.append((at[first], at[last], owner[first], offset, mix64(grams[anchor[first]]), context))
         cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, U64)] * 2
         self.first, self.last, self.doc, self.offset, self.anchor, self.context = cols
         # distinct (anchor hash, context hash), ordered: the entries
@@ -260,16 +264,19 @@ def _meet(table: pa.Table) -> pa.Table:
     out_shard, out_kind, out_blob = [], [], []
     beaten = ~several & (best < least[order])
     sends = several & ~same
-    answers = order[beaten]
+    # both sorted by owner once, so that each shard has a slice
+    ends = np.arange(len(parts) + 1)
+    by_owner = np.argsort(owner[order[beaten]], kind="stable")
+    answers, found = order[beaten][by_owner], best[beaten][by_owner]
     asked = order[sends]
-    for s in range(len(parts)):
-        mine, ask = owner[answers] == s, owner[asked] == s
-        if mine.any() or ask.any():
-            values, place = _narrow(best[beaten][mine])
-            out_shard.append(shards[s])
-            out_kind.append(0)
-            wanted = np.sort(local[asked[ask]]).astype("<u4")
-            out_blob.append(_bytes(np.array([place.itemsize], np.uint8), local[answers[mine]].astype("<u4"), values, place, wanted))
+    asked = asked[np.lexsort((local[asked], owner[asked]))]
+    cut, cut_asked = np.searchsorted(owner[answers], ends), np.searchsorted(owner[asked], ends)
+    for s in np.flatnonzero((np.diff(cut) > 0) | (np.diff(cut_asked) > 0)):
+        mine, ask = slice(cut[s], cut[s + 1]), slice(cut_asked[s], cut_asked[s + 1])
+        values, place = _narrow(found[mine])
+        out_shard.append(shards[s])
+        out_kind.append(0)
+        out_blob.append(_bytes(np.array([place.itemsize], np.uint8), local[answers[mine]].astype("<u4"), values, place, local[asked[ask]].astype("<u4")))
     if several.any():
         # contexts in the order of (owner, entry) in which they will be sent
         sent = order[sends]
@@ -373,49 +380,105 @@ def _near_strings(anchors: np.ndarray, body: np.ndarray, begin: np.ndarray, size
     return lo, np.maximum(lo, hi)
 
 
+def _equals_last(body: np.ndarray, start: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Whether the string at each start is that at the start before, byte for byte, where `which`."""
+    words = np.ndarray((len(body) - 7,), dtype="<u8", buffer=body.data, strides=(1,))
+    at = np.flatnonzero(which)
+    for j in (*range(0, LENGTH - 7, 8), LENGTH - 8):
+        at = at[words[start[at] + j] == words[start[at - 1] + j]]
+    out = np.zeros(len(start), dtype=bool)
+    out[at] = True
+    return out
+
+
+def _shared_runs(sums: np.ndarray, anchors: np.ndarray, body: np.ndarray, begin: np.ndarray, size: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(context, first, last + 1) of each run of strings whose hash another context of the anchor has at the same place."""
+    lo, hi = _near_strings(anchors, body, begin, size, offset)
+    live = np.flatnonzero(hi > lo)
+    lo, hi, base = lo[live], hi[live], offset[live] - (WINDOW - 1)
+    shared = np.zeros((len(live), WINDOW + 2), dtype=np.int8)
+    for j in range(WINDOW):
+        some = np.flatnonzero((base + j >= lo) & (base + j < hi))
+        start = begin[live[some]] + base[some] + j
+        key = mix64(span_hashes(sums, start, start + LENGTH) ^ anchors[live[some]])
+        order = np.argsort(key)
+        twin = key[order[1:]] == key[order[:-1]]
+        shared[some[order[1:][twin]], j + 1] = 1
+        shared[some[order[:-1][twin]], j + 1] = 1
+    turns = np.diff(shared, axis=1)
+    row, first = np.nonzero(turns == 1)
+    last = np.nonzero(turns == -1)[1]
+    return live[row], base[row] + first, base[row] + last
+
+
 def _sort_contexts(anchors: np.ndarray, least: np.ndarray, body: np.ndarray, size: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """least_documents over contexts: anchors kept together, a bounded piece at a time."""
+    """least_documents over contexts: anchors kept together, a bounded piece at a time.
+
+    Only runs of strings that another context may have are sorted, and of equal runs of an anchor (as of
+    equal contexts before) that with the least document for all.
+    """
     begin = np.cumsum(size) - size
     strings = size - LENGTH + 1
     place = np.cumsum(strings) - strings
     out = np.repeat(least, strings)
-    lo, hi = _near_strings(anchors, body, begin, size, offset)
-    live = np.flatnonzero(hi > lo)
-    live = live[np.argsort(anchors[live], kind="stable")]
-    group = np.cumsum(np.append(True, anchors[live][1:] != anchors[live][:-1])) - 1 if len(live) else live
-    long = np.bincount(group, weights=(hi - lo)[live] + LENGTH) > 16 * SORT_BYTES if len(live) else live
-
-    def sort(which: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        """Strings a .. b-1 of the contexts."""
-        n = b - a + LENGTH - 1
-        best = least_documents(body[_ranges(begin[which] + a, n)], n, least[which])
-        out[_ranges(place[which] + a, b - a)] = best
-
-    plain = live[~long[group]] if len(live) else live
-    held = np.cumsum((hi - lo)[plain] + LENGTH) // SORT_BYTES
-    last_of_group = np.append(anchors[plain][1:] != anchors[plain][:-1], True)[: len(plain)]
+    sums = prefix(body)
+    which, first, last = _shared_runs(sums, anchors, body, begin, size, offset)
+    if not len(which):
+        return out
+    start, n, at = begin[which] + first, last - first, offset[which] - first
+    key = span_hashes(sums, start, start + n + LENGTH - 1)
+    order = np.lexsort((least[which], n, at, key, anchors[which]))
+    place, start, n, at, key, group, docs = (x[order] for x in (place[which] + first, start, n, at, key, anchors[which], least[which]))
+    differs = [x[1:] != x[:-1] for x in (group, key, at, n)]
+    new = np.append(True, np.logical_or.reduce(differs))
+    lead = np.flatnonzero(new)
+    to = np.zeros(len(lead), dtype=np.int64)
+    np.cumsum(n[lead][:-1], out=to[1:])
+    best = np.repeat(docs[lead], n[lead])
+    spread = (place, n, to[np.cumsum(new) - 1])
+    start, n, at, group, docs = (x[lead] for x in (start, n, at, group, docs))
+    edge = np.append(group[1:] != group[:-1], True)
+    group = np.cumsum(edge) - edge
+    long = np.bincount(group, weights=n + LENGTH) > 16 * SORT_BYTES
+
+    plain = np.flatnonzero(~long[group])
+    held = np.cumsum(n[plain] + LENGTH) // SORT_BYTES
     cuts, seen = [0], 0
-    for i in np.flatnonzero(last_of_group):
+    for i in np.flatnonzero(edge[plain]):
         if held[i] > seen or i == len(plain) - 1:
             cuts.append(int(i) + 1)
             seen = held[i]
     for a, b in zip(cuts, cuts[1:]):
         part = plain[a:b]
-        sort(part, lo[part], hi[part])
+        width = n[part] + LENGTH - 1
+        best[_ranges(to[part], n[part])] = least_documents(body[_ranges(start[part], width)], width, docs[part])
     # strings of one anchor are equal only at equal offsets from it: a very long group is taken apart by
-    # that offset, and by the strings' first bytes
+    # that offset, and of equal strings the one with the least document is sorted for all
     for g in np.flatnonzero(long):
-        part = live[group == g]
+        part = np.flatnonzero(group == g)
         for reach in range(WINDOW):
-            k = offset[part] - reach
-            has = (k >= lo[part]) & (k < hi[part])
+            k = at[part] - reach
+            has = (k >= 0) & (k < n[part])
             some, k = part[has], k[has]
-            head = np.stack([body[begin[some] + k + j] for j in (0, 1, LENGTH - 2, LENGTH - 1)], axis=1).astype(np.uint8)
-            kind = np.ascontiguousarray(head).view("<u4").ravel()
-            order = np.argsort(kind, kind="stable")
-            for one in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+            if not len(some):
+                continue
+            key = span_hashes(sums, start[some] + k, start[some] + k + LENGTH)
+            order = np.lexsort((docs[some], key))
+            some, k, key = some[order], k[order], key[order]
+            alike = np.append(False, key[1:] == key[:-1])
+            new = ~(alike & _equals_last(body, start[some] + k, alike))
+            leads = np.flatnonzero(new & (alike | np.append(alike[1:], False)))
+            # a piece ends where the hash changes
+            held = np.arange(len(leads)) * LENGTH // SORT_BYTES
+            held = held[np.searchsorted(key[leads], key[leads])]
+            answer = docs[some]
+            for one in np.split(leads, np.flatnonzero(np.diff(held)) + 1):
                 if len(one):
-                    sort(some[one], k[one], k[one] + 1)
+                    width = np.full(len(one), LENGTH)
+                    answer[one] = least_documents(body[_ranges(start[some[one]] + k[one], width)], width, docs[some[one]])
+            best[to[some] + k] = answer[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    place, n, to = spread
+    out[_ranges(place, n)] = best[_ranges(to, n)]
     return out
 
 
@@ -531,7 +594,9 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     shards = as_table(packed.withColumn("shard", F.monotonically_increasing_id()), "repeats-shards")
     size, many = shards.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
     # about one anchor in 15 bytes, and 20 bytes for each
-    buckets = max(1, -(-int(size or 0) * 20 // 15 // BUCKET_BYTES))
+    entries = int(size or 0) * 20 // 15
+    # a row for each pair of shard and bucket: beyond MANY_BUCKETS they are larger rather than more
+    buckets = max(1, min(-(-entries // BUCKET_BYTES), max(MANY_BUCKETS, -(-entries // (4 * BUCKET_BYTES)))))
 
     reports = shards.repartition(min(max(1, many), 100_000)).mapInArrow(_report(buckets), "bucket int, shard long, blob binary")
     answers = as_table(reports.groupBy("bucket").applyInArrow(_meet, "bucket int, shard long, kind int, blob binary"), "repeats-answers")
