@@ -120,6 +120,23 @@ def test_query(spark, sf, width):
     assert results(df) == brute(rows, width)
 
 
+def test_postings_are_not_broadcast(spark, sf, monkeypatch):
+    """Spark takes 48 postings for one row: they, or their counts, went through the driver."""
+    plans, plain = {}, minhash.as_table
+
+    def noted(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(minhash, "as_table", noted)
+    out = minhash.op8_minhash(spark, sf)
+    plans["result"] = [out._jdf.queryExecution().executedPlan().toString()]
+    for label in ("minhash-lists", "result"):
+        assert "SortMergeJoin" in plans[label][0] and "Broadcast" not in plans[label][0]
+    # arrays have a table of their own, so that Spark knows their size
+    assert len(plans["minhash-sigs"]) == 1
+
+
 def test_chain_of_near_copies(spark, words):
     """Each text is near the next one only, so a component has a long way through it."""
     rng = random.Random(9)

@@ -150,6 +150,15 @@ def _grams(width: int):
     return run
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and is not to be broadcast, however small Spark takes it for.
+
+    It takes what explode makes of a row for one row, and compressed files for what they hold; just below
+    its threshold, millions of rows would pass through the driver.
+    """
+    return side.hint("merge")
+
+
 def _full_posts(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int) -> DataFrame:
     """Postings of full sets, whose lists hold every pair that may reach the threshold.
 
@@ -165,7 +174,7 @@ def _full_posts(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int)
     mine = Window.partitionBy("node")
     # shingles of one text only come first in the order
     place = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "gram"))
-    posts = grams.join(often, "gram").withColumn("place", place)
+    posts = grams.join(_shuffled(often), "gram").withColumn("place", place)
     # what can be common from here on, and the other's largest size that this allows
     posts = posts.withColumn("most", F.floor((F.col("size") - F.col("place") + 1) * ((100 + threshold) / threshold)) - F.col("size"))
     step = lambda c: F.floor(F.log(c.cast("double")) / np.log(1.05)).cast("int")
@@ -178,7 +187,7 @@ def _full_posts(nodes: DataFrame, bodies: DataFrame, width: int, threshold: int)
     lists = posts.groupBy("gram", "step").agg(F.bool_or("small").alias("s"), F.bool_or(~F.col("small")).alias("l")).where("s AND l")
     key = F.xxhash64("gram", "step").alias("list")
     weight = (F.col("most") - F.col("size")).alias("weight")
-    return posts.join(lists, ["gram", "step"]).select(key, "node", weight, "size", "most", "small")
+    return posts.join(_shuffled(lists), ["gram", "step"]).select(key, "node", weight, "size", "most", "small")
 
 
 def _open(posts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,9 +236,9 @@ def _unasked(pairs: DataFrame, asked: list[DataFrame]) -> DataFrame:
     return asked[-1].select("a", "b")
 
 
-def _agreeing(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _agreeing(pairs: DataFrame, sigs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) whose signatures agree often enough and whose sizes allow the threshold."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
+    side = lambda x: sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
     equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -254,11 +263,14 @@ def members(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Data
         .select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("lead.doc_id").alias("lead_id"), F.coalesce("lead.text_hash", "any_hash").alias("lead_hash"), "sig", "n_shingles"),
         "minhash-classes",
     )
+    # of their own: as some of many columns, Spark takes arrays for a fifth of what they are
+    sigs = as_table(classes.select("node", "sig", "n_shingles"), "minhash-sigs")
+    classes = classes.drop("sig", "n_shingles")
 
     place_of = (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("list")
-    posted = classes.select("node", F.posexplode("sig").alias("at", "value")).select("node", place_of)
+    posted = sigs.select("node", F.posexplode("sig").alias("at", "value")).select("node", place_of)
     often = posted.groupBy("list").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = posted.join(often, "list")
+    shared = posted.join(_shuffled(often), "list")
     # values posted once come first in the order; they are COORDS minus those that are shared
     mine = Window.partitionBy("node")
     place = F.lit(COORDS) - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("often", "list"))
@@ -268,7 +280,7 @@ def members(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Data
 
     lead = F.max(F.struct("weight", "node"))["node"].alias("a")
     heads = lists.groupBy("list").agg(lead, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = lists.join(heads, "list").where("a <> node").groupBy("node", "a").agg(F.count(F.lit(1)).alias("n"))
+    stars = lists.join(_shuffled(heads), "list").where("a <> node").groupBy("node", "a").agg(F.count(F.lit(1)).alias("n"))
     first = stars.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("node").alias("b"))
 
     listed = lists.select("node").distinct().join(classes, "node").select("node", F.col("lead_id").alias("doc_id"), F.col("lead_hash").alias("text_hash"))
@@ -277,7 +289,7 @@ def members(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Data
     bodies = as_table(listed.alias("x").join(texts.alias("y"), same).select("x.node", "y.text").dropDuplicates(["node"]), "minhash-texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        near = _agreeing(pairs, classes, threshold)
+        near = _agreeing(pairs, sigs, threshold)
         a = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return near.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, threshold), "a long, b long")
@@ -309,7 +321,7 @@ def members(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> Data
     every = as_table(alone.join(ends, "set_key", "left").select(
         "set_key", F.when(F.col("far_hash").isNull(), F.col("lead_id")).otherwise(F.col("far_id")).alias("lead_id"), F.coalesce("far_hash", "lead_hash").alias("lead_hash")
     ), "minhash-leads")
-    return slim.select("doc_id", "text_hash", "n_shingles", "set_key").join(every, "set_key", "left").drop("set_key")
+    return slim.select("doc_id", "text_hash", "n_shingles", "set_key").join(_shuffled(every), "set_key", "left").drop("set_key")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
