@@ -63,3 +63,18 @@ def test_stages_on_odd_rows(spark, sf, clashing, none):
         if last:
             assert out.count() == clashing.count()
         assert stage(spark, none, sf).count() == 0
+
+
+def test_near_dedup_broadcasts_no_postings(spark, sf, monkeypatch):
+    """The stage over documents: Spark takes 48 postings for one row, and sent them or their counts through the driver."""
+    from voxweave.llm import minhash
+
+    plans, plain = {}, minhash.as_table
+
+    def noted(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    monkeypatch.setattr(minhash, "as_table", noted)
+    corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert "SortMergeJoin" in plans["minhash-lists"] and "Broadcast" not in plans["minhash-lists"]
